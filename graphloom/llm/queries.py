@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import mixing, quality
+from graphloom.llm import langid, mixing, pieces, pii, quality, simhash
 from graphloom.session import table
 
 
@@ -11,8 +11,12 @@ def _over(module, name="documents"):
 
 
 QUERIES = {
+    "op1_sentencepiece_dropout": _over(pieces),
+    "op2_simhash_near_dedup": _over(simhash),
     "op4_quality_rules": _over(quality),
+    "op5_personal_data": _over(pii),
     "op8_source_mixing": _over(mixing),
+    "op9_language_codewords": _over(langid),
 }
 
 ORACLE_SQL = {
