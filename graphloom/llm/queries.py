@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from graphloom.llm import langid, mixing, pieces, pii, quality, simhash
+from graphloom.llm import langid, media, mixing, pieces, pii, quality, rollups, simhash, toxicity, warc
 from graphloom.session import table
 
 
-def _over(module, name="documents"):
-    return lambda spark, sf_dir: module.query(table(spark, sf_dir, name))
+def _over(module, *names):
+    return lambda spark, sf_dir: module.query(*(table(spark, sf_dir, n) for n in names))
 
 
 QUERIES = {
-    "op1_sentencepiece_dropout": _over(pieces),
-    "op2_simhash_near_dedup": _over(simhash),
-    "op4_quality_rules": _over(quality),
-    "op5_personal_data": _over(pii),
-    "op8_source_mixing": _over(mixing),
-    "op9_language_codewords": _over(langid),
+    "op1_sentencepiece_dropout": _over(pieces, "documents"),
+    "op2_simhash_near_dedup": _over(simhash, "documents"),
+    "op3_media_sequences": _over(media, "documents"),
+    "op4_quality_rules": _over(quality, "documents"),
+    "op5_personal_data": _over(pii, "documents"),
+    "op6_token_rollups": _over(rollups, "documents"),
+    "op7_toxicity": _over(toxicity, "documents", "labels"),
+    "op8_source_mixing": _over(mixing, "documents"),
+    "op9_language_codewords": _over(langid, "documents"),
+    "op10_warc_packages": _over(warc, "pages"),
 }
 
 ORACLE_SQL = {
