@@ -9,13 +9,15 @@ distance runs along it: a state is the set of (trie node, edits) pairs that a
 word's letters so far can reach. States are made when first met and kept, so
 that a worker turns the product of automaton and trie into a plain table and a
 word costs one step for each letter until its state is empty. Terms of five
-letters allow one edit, of nine two; shorter ones none.
+letters allow one edit, of nine two; shorter ones none, and neither do learned
+terms whose misspellings turn out to be common in other documents.
 
 Context. A match inside quotation marks, or within ``WINDOW`` words of a word
 of reporting, counts as quoted; one within the window of "you" or another match
-counts as aimed. The counts of exact and misspelled matches by context, and
-their share of all words, are the features of a logistic regression that the
-driver fits. Terms and weights are fitted on at most ``SAMPLE`` label rows, the
+counts as aimed. The log-odds of the text's terms are summed by context, a
+misspelled match weighing less than an exact one; the sums, the number of aimed
+matches and the matches' share of all words are the features of a logistic
+regression with weights of at least 0 that the driver fits. Terms and weights are fitted on at most ``SAMPLE`` label rows, the
 first by a keyed hash of their ids; that bound is also what is broadcast to
 find their documents.
 
@@ -30,6 +32,7 @@ a document with several labels counts once for each.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -45,6 +48,9 @@ SAMPLE, TERMS = 8000, 500
 WINDOW = 6
 #: A learned term's least number of toxic documents and least odds against others.
 LEAST_DOCS, LEAST_ODDS = 3, 12.0
+#: The log-odds of a fixed term, and the weights used without labels.
+SEED_ODDS = 4.0
+FALLBACK = (1.0, 0.2, 0.5, 0.3)
 #: A few common insults.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown")
 #: Cues of reporting and of address.
@@ -52,7 +58,9 @@ REPORTING = frozenset("said says wrote quoted quote called cited reported stated
 ADDRESS = frozenset("you your youre yourself u du dich ihr vous toi tu ustedes".split())
 _OPEN, _CLOSE, _BOTH = "“«„‹", "”»“›", '"'
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»„‹›]")
-FEATURES = ("exact", "exact_quoted", "near", "near_quoted", "aimed", "share", "terms")
+FEATURES = ("evidence", "quoted", "aimed", "share")
+#: What a match counts by its number of edits.
+EDIT_WEIGHT = (1.0, 0.7, 0.5)
 
 
 def edits_allowed(term: str) -> int:
@@ -63,12 +71,13 @@ def edits_allowed(term: str) -> int:
 class Lexicon:
     """A trie of terms, walked by a Levenshtein automaton."""
 
-    def __init__(self, terms):
+    def __init__(self, terms, rigid=()):
+        self.rigid = frozenset(rigid)
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.limit: list[int] = [0]
         for term in sorted(set(terms)):
-            node, allowed = 0, edits_allowed(term)
+            node, allowed = 0, self.allowed(term)
             self.limit[0] = max(self.limit[0], allowed)
             for c in term:
                 if c not in self.next[node]:
@@ -86,6 +95,9 @@ class Lexicon:
         self.ends: list[tuple[str, int] | None] = []
         self.first = self._state({0: 0})
 
+    def allowed(self, term: str) -> int:
+        return 0 if term in self.rigid else edits_allowed(term)
+
     def _close(self, state: dict[int, int]) -> dict[int, int]:
         """Add the nodes reached by leaving out a term's letters."""
         out, todo = dict(state), list(state)
@@ -106,7 +118,7 @@ class Lexicon:
             number = self.numbers[name] = len(self.states)
             self.states.append(closed)
             self.steps.append({})
-            hits = [(cost, self.term[n]) for n, cost in closed.items() if self.term[n] is not None and cost <= edits_allowed(self.term[n])]
+            hits = [(cost, self.term[n]) for n, cost in closed.items() if self.term[n] is not None and cost <= self.allowed(self.term[n])]
             self.ends.append(min(hits)[::-1] if hits else None)
         return number
 
@@ -140,8 +152,10 @@ class Lexicon:
 class Reader:
     """Feature rows of texts; keeps the words it has matched, up to a bound."""
 
-    def __init__(self, terms):
-        self.lexicon = Lexicon(terms)
+    def __init__(self, terms: dict[str, float], rigid=(), ordinary=()):
+        self.lexicon = Lexicon(terms, rigid)
+        self.odds = dict(terms)
+        self.ordinary = frozenset(ordinary)
         self.known: dict[str, tuple[str, int] | None] = {}
 
     def match(self, word: str):
@@ -149,7 +163,10 @@ class Reader:
             return self.known[word]
         if len(self.known) > 200_000:
             self.known.clear()
-        found = self.known[word] = self.lexicon.match(word)
+        found = self.lexicon.match(word)
+        if found and found[1] and word in self.ordinary:
+            found = None
+        self.known[word] = found
         return found
 
     def hits(self, text: str) -> tuple[list[tuple[int, str, int]], list[str]]:
@@ -171,16 +188,20 @@ class Reader:
         marks = [i for i, w in enumerate(tokens) if len(w) == 1 and w in _OPEN + _CLOSE + _BOTH]
         inside = self._inside(tokens, marks)
         at = [i for i, _, _ in hits]
-        sums = {name: 0.0 for name in FEATURES}
-        for n, (i, _, edits) in enumerate(hits):
+        plain: dict[str, float] = {}
+        cited: dict[str, float] = {}
+        aim = total = 0.0
+        for n, (i, term, edits) in enumerate(hits):
             near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
             quoted = i in inside or any(w in REPORTING for w in near)
             aimed = any(w in ADDRESS for w in near) or (n and i - at[n - 1] <= WINDOW) or (n + 1 < len(at) and at[n + 1] - i <= WINDOW)
-            sums[("exact" if edits == 0 else "near") + ("_quoted" if quoted else "")] += 1
-            sums["aimed"] += bool(aimed) and not quoted
-        sums["share"] = len(hits) / len(tokens) * 100
-        sums["terms"] = len({t for _, t, e in hits if e == 0})
-        return [float(np.log1p(sums[name])) for name in FEATURES]
+            weight = EDIT_WEIGHT[edits]
+            best = cited if quoted else plain
+            best[term] = max(best.get(term, 0.0), weight * self.odds[term])
+            aim += weight * (bool(aimed) and not quoted)
+            total += weight * (0.3 if quoted else 1.0)
+        share = 100 * total / len(tokens)
+        return [sum(plain.values()), sum(cited.values()), math.log1p(aim), math.log1p(share)]
 
     @staticmethod
     def _inside(tokens: list[str], marks: list[int]) -> set[int]:
@@ -197,17 +218,20 @@ class Reader:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method with a ridge."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Logistic regression by damped Newton steps with a ridge, weights at least 0."""
     design = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(design.shape[1])
     ridge = np.full(len(w), 0.05)
     ridge[-1] = 1e-6
-    for _ in range(min(rounds, 30)):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (y - p) - ridge * w
+        free = (w > 0) | (grad > 0)
+        free[-1] = True
         curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge)
-        w = w + np.linalg.solve(curve, grad)
+        w[free] += 0.7 * np.linalg.solve(curve[np.ix_(free, free)], grad[free])
+        w[:-1] = np.maximum(w[:-1], 0.0)
     return w[:-1], float(w[-1])
 
 
@@ -224,51 +248,76 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return cut(found.select("text", "toxic"), "toxic-sample")
 
 
-def learn_terms(rows: DataFrame) -> list[str]:
-    """Words of far more toxic documents than others."""
+def learn_terms(rows: DataFrame) -> dict[str, float]:
+    """Words of far more toxic documents than others, with their log-odds."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'’]+"), lambda w: F.length(w) >= 4))
     each = rows.select(F.explode(words).alias("word"), (F.col("toxic") > 0).cast("long").alias("bad"))
     counts = each.groupBy("word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).where(F.col("bad") >= LEAST_DOCS)
     totals = rows.agg(F.sum((F.col("toxic") > 0).cast("long")).alias("bad"), F.count("*").alias("n")).head()
+    terms = dict.fromkeys(SEEDS, SEED_ODDS)
     if not totals["n"] or not totals["bad"] or totals["bad"] == totals["n"]:
-        return list(SEEDS)
+        return terms
     bad, good = totals["bad"], totals["n"] - totals["bad"]
     odds = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (good + 1))
     least = max(LEAST_DOCS, bad // 50)
-    found = counts.withColumn("odds", odds).where((F.col("odds") >= LEAST_ODDS) & (F.col("bad") >= least))
+    found = counts.withColumn("odds", F.log(odds)).where((F.col("odds") >= math.log(LEAST_ODDS)) & (F.col("bad") >= least))
     rows_found = found.orderBy(F.desc("bad"), "word").limit(TERMS).collect()
-    return sorted({*SEEDS, *(r["word"] for r in rows_found)})
+    return terms | {r["word"]: max(r["odds"], terms.get(r["word"], 0.0)) for r in rows_found}
+
+
+def common_misspellings(rows: DataFrame, terms: dict[str, float]) -> tuple[list[str], list[str]]:
+    """Learned terms whose misspelled matches are no sign of toxicity, and
+    words that only look like a misspelling of another term."""
+    sent = rows.sparkSession.sparkContext.broadcast(terms)
+
+    @F.pandas_udf("array<struct<term:string,word:string>>")
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(sent.value)
+        for texts in batches:
+            out = []
+            for x in texts:
+                hits, tokens = reader.hits(x)
+                out.append([{"term": t, "word": w} for t, w in sorted({(t, tokens[i]) for i, t, e in hits if e})])
+            yield pd.Series(out, dtype=object)
 
+    each = rows.select(F.inline(near(F.col("text"))), (F.col("toxic") > 0).cast("long").alias("bad"))
+    each = cut(each.groupBy("term", "word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")), "toxic-near")
+    by_term = each.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("2 * bad < n").collect()
+    rigid = sorted(r["term"] for r in by_term if r["term"] not in SEEDS)
+    words = each.where((2 * F.col("bad") < F.col("n")) & ~F.col("term").isin(rigid)).select("word").distinct().collect()
+    return rigid, sorted(r["word"] for r in words)
 
-def feature_rows(df: DataFrame, terms: list[str], carry: list[str]) -> DataFrame:
+
+def feature_rows(df: DataFrame, lexicon: tuple, carry: list[str]) -> DataFrame:
     """``carry`` and ``x``, the features of the text."""
-    sent = df.sparkSession.sparkContext.broadcast(list(terms))
+    sent = df.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("array<double>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(sent.value)
+        reader = Reader(*sent.value)
         for texts in batches:
             yield pd.Series([reader.features(t) for t in texts], dtype=object)
 
     return df.select(*carry, read(F.col("text")).alias("x"))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """Terms, weights and bias."""
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[tuple, np.ndarray, float]:
+    """The lexicon (terms, those that allow no misspelling, words that are none),
+    weights and bias."""
     rows = labelled(docs, labels)
     terms = learn_terms(rows)
-    seen = feature_rows(rows, terms, ["toxic"]).collect()
+    lexicon = (terms, *common_misspellings(rows, terms))
+    seen = feature_rows(rows, lexicon, ["toxic"]).collect()
     y = np.array([float(r["toxic"] > 0) for r in seen])
     if len(set(y)) < 2:
-        return terms, np.array([2.0, 0.5, 1.0, 0.2, 1.0, 0.5, 0.5]), -3.0
-    weights, bias = fit(np.array([r["x"] for r in seen]), y)
-    return terms, weights, bias
+        return lexicon, np.array(FALLBACK), -3.0
+    return lexicon, *fit(np.array([r["x"] for r in seen]), y)
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float]) -> DataFrame:
-    """doc_id, score and the number of matches by kind."""
-    terms, weights, bias = model
-    rows = feature_rows(docs.select("doc_id", "text"), terms, ["doc_id"])
+def score(docs: DataFrame, model) -> DataFrame:
+    """doc_id and score by a model of ``learn``."""
+    lexicon, weights, bias = model
+    rows = feature_rows(docs.select("doc_id", "text"), lexicon, ["doc_id"])
     total = F.lit(float(bias))
     for k, w in enumerate(weights):
         total = total + F.lit(float(w)) * F.col("x")[k]
