@@ -132,7 +132,7 @@ def mix(docs: DataFrame, text_col: str = "text", keep_rows: bool = False) -> Dat
 def mixed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself: whole documents with the columns of ``docs``, a copy for
     each time they are taken, range-sorted by training position."""
-    plan = mix(docs, text_col, keep_rows=True).where("copies > 0")
+    plan = mix(docs, text_col, keep_rows=True)
     copies = plan.select("position", "doc_id", "row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return copies.orderBy("position", "doc_id").select("row.*")
 
