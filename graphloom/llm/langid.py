@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.text import draw
+
 #: Labelled documents that the fit may use.
 SAMPLE = 2000
 BUCKETS = 4096
@@ -155,8 +157,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """The model of the labelled documents that are not held out."""
     usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col("doc_id"))
-    drawn = docs.where(usable).select(F.xxhash64("doc_id", F.lit(17)).alias("_draw"), "doc_id", "lang", F.col(text_col).alias("text"))
-    drawn = drawn.orderBy("_draw", "doc_id", "lang").limit(sample)
+    drawn = draw(docs.where(usable).select("doc_id", "lang", F.col(text_col).alias("text")), "doc_id", sample, 17)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter()

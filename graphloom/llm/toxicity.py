@@ -41,6 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.text import draw
 from graphloom.session import cut
 
 #: Label rows that the fit may use, and terms that the lexicon may hold.
@@ -243,7 +244,7 @@ def held_out(doc_id: Column) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of the sampled rows that may be learned from."""
     usable = F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-    drawn = labels.where(usable).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id", "toxic").limit(sample)
+    drawn = draw(labels.where(usable).select("doc_id", "toxic"), "doc_id", sample, 29)
     found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")
     return cut(found.select("text", "toxic"), "toxic-sample")
 
