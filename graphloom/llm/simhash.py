@@ -224,11 +224,10 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     classes. Rows without an id cannot be named and all stay.
     """
     winners = classes(_named(docs, text_col, id_col)).where("first IS NOT NULL").select("first.*").distinct()
-    winners = cut(winners, "simhash-winners").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    kept = hashed.join(winners, (F.col(id_col) == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    kept = kept.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    winners = cut(winners, "simhash-winners")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    kept = rows.join(winners, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return kept.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def query(docs: DataFrame) -> DataFrame:
