@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.model import weight
 from graphloom.operators import annotate, extract, graph, overlay, redact, regions, resolve, retrieval, semantics
 from graphloom.session import cut, table
-from graphloom.sources import bindings
+from graphloom.sources import bindings, published
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,7 +64,7 @@ def query(sql: str | None = None):
 
 
 def _trade(spark, sf_dir):
-    return bindings.trade(spark, sf_dir)
+    return published.trade_map(spark, sf_dir)
 
 
 def _scored(spark, sf_dir):
