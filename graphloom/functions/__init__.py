@@ -1 +1 @@
-
+"""SQL functions and views over a map."""

@@ -1 +1 @@
-
+"""Streams of changed paths."""
