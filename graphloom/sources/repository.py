@@ -2,7 +2,7 @@
 
 Texts are cut into numbered lines and read with regular expressions and windows
 over each file's lines; a symbol's end is where its indentation (Python) or its
-brace depth (TypeScript, JavaScript, Go) closes. This reads the forms that
+brace depth (TypeScript, JavaScript, Go, Rust, C, C++) closes. This reads the forms that
 code uses day to day and recovers from broken files by construction, but it is
 no full parser: strings over several lines, macros and nested generics are
 beyond it.
@@ -25,7 +25,12 @@ KEYWORDS = (
     "if elif else for while switch case return func function def class with catch except lambda await typeof new in not and or "
     "print range len super constructor make append panic string int import export assert del yield raise"
 ).split()
-LANGUAGE = {"py": "python", "ts": "es", "tsx": "es", "js": "es", "jsx": "es", "mjs": "es", "cjs": "es", "go": "go"}
+LANGUAGE = {
+    "py": "python", "ts": "es", "tsx": "es", "js": "es", "jsx": "es", "mjs": "es", "cjs": "es", "go": "go", "rs": "rust",
+    "c": "c", "h": "c", "cpp": "c", "cc": "c", "cxx": "c", "hpp": "c", "hh": "c", "hxx": "c",
+}
+#: Source extensions that pair with a header, in order.
+PAIRS = ("c", "cc", "cpp", "cxx")
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
@@ -43,26 +48,30 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
 
 
 def language(path: Column) -> Column:
-    """python, es or go by extension, case-sensitive; null for others."""
+    """A key of DECLARATIONS by extension, case-sensitive; null for others."""
     extension = F.when(F.instr(path, ".") > 0, F.substring_index(path, ".", -1))
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in LANGUAGE.items() for x in pair)), extension)
 
 
-def _bare(line: Column) -> Column:
+def _bare(line: Column, lang: Column) -> Column:
     """A line without the contents of strings and without its comment."""
-    emptied = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|`[^`]*`', '""')
-    return F.regexp_replace(emptied, r"(//|#).*$", "")
+    quoted = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', '""')
+    # An apostrophe is also a lifetime in Rust; only single characters are emptied there.
+    single = F.when(lang == "rust", F.regexp_replace(quoted, r"'(?:[^'\\]|\\.)'", "''")).otherwise(
+        F.regexp_replace(quoted, r"'(?:[^'\\]|\\.)*'|`[^`]*`", "''"))
+    return F.when(lang == "python", F.regexp_replace(single, r"#.*$", "")).otherwise(F.regexp_replace(single, r"//.*$|/\*.*?\*/", ""))
 
 
 def lines(files: DataFrame) -> DataFrame:
     """(path, lang, line, text, bare, indent, depth): depth of braces before each line."""
     rows = files.select("path", language(F.col("path")).alias("lang"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where("lang IS NOT NULL")
-    rows = rows.withColumn("line", F.col("line") + 1).withColumn("bare", _bare(F.col("text")))
+    rows = rows.withColumn("line", F.col("line") + 1).withColumn("bare", _bare(F.col("text"), F.col("lang")))
     count = lambda c: F.length("bare") - F.length(F.replace("bare", F.lit(c), F.lit("")))
     before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     depth = F.coalesce(F.sum(count("{") - count("}")).over(before), F.lit(0))
     indent = F.length(F.regexp_extract("text", r"^(\s*)", 1))
-    return rows.withColumn("depth", depth.cast("int")).withColumn("indent", indent)
+    after = F.lead("bare").over(Window.partitionBy("path").orderBy("line"))
+    return rows.withColumn("depth", depth.cast("int")).withColumn("indent", indent).withColumn("next_bare", after)
 
 
 #: By language: (kind, pattern, group of the name, group of a receiver type or 0).
@@ -74,6 +83,16 @@ DECLARATIONS = {
         ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", 1, 0),
         ("method", r"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*(\w+)\s*\([^)]*\)\s*(?::[^{]+)?\{", 1, 0),
     ],
+    "rust": [
+        ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern \"\")\s+)*fn\s+(\w+)", 1, 0),
+        ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)", 1, 0),
+        ("scope", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?&?(\w+)", 1, 0),
+        ("scope", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)", 1, 0),
+    ],
+    "c": [
+        ("function", r"^\s*(?:[A-Za-z_][\w:<>,]*[\s*&]+)+((?:\w+::)*~?\w+)\s*\([^;{}]*\)\s*(?:const\s*|noexcept\s*|override\s*)*\{", 1, 0),
+        ("class", r"^\s*(?:typedef\s+)?(?:struct|class)\s+(\w+)[^;()]*\{", 1, 0),
+    ],
     "go": [("function", r"^func\s+(?:\(\s*\w*\s*\*?(\w+)[^)]*\)\s*)?(\w+)\s*[(\[]", 2, 1), ("class", r"^type\s+(\w+)\s+struct\b", 1, 0)],
 }
 
@@ -84,45 +103,55 @@ def symbols(code: DataFrame) -> DataFrame:
     for lang, rules in DECLARATIONS.items():
         for k, pattern, group, of in reversed(rules):
             hit = (F.col("lang") == lang) & F.col("bare").rlike(pattern)
-            if k == "method":
+            if k == "method" or lang == "c":
                 hit = hit & ~F.regexp_extract("bare", pattern, group).isin(*KEYWORDS)
             kind = F.when(hit, F.lit(k)).otherwise(kind)
             name = F.when(hit, F.regexp_extract("bare", pattern, group)).otherwise(name)
             receiver = F.when(hit, F.regexp_extract("bare", pattern, of) if of else F.lit("")).otherwise(receiver)
     level = F.when(F.col("lang") == "python", F.col("indent")).otherwise(F.col("depth"))
     rows = code.withColumn("level", level)
+    # In C a body may open on the line after its head.
+    head = (F.col("lang") == "c") & F.col("next_bare").rlike(r"^\s*\{") & ~F.col("bare").rlike(r"[;{}]")
+    rows = rows.withColumn("shown", F.col("bare")).withColumn("bare", F.when(head, F.concat("bare", F.lit(" {"))).otherwise(F.col("bare")))
     found = rows.withColumn("kind", kind).withColumn("name", name).withColumn("of", receiver).where("kind IS NOT NULL")
     # A symbol ends before the next line at its level or above it that is not
     # blank; a closing brace at its level still belongs to it.
-    closers = rows.where(F.btrim("bare") != "").select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("level").alias("v"))
+    opens = (F.col("lang") == "c") & F.col("shown").rlike(r"^\s*\{")
+    closers = rows.where((F.btrim("shown") != "") & ~opens).select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("level").alias("v"))
     ends = found.select("path", "line", "level").join(closers, (F.col("path") == F.col("p")) & (F.col("l") > F.col("line")) & (F.col("v") <= F.col("level")), "left")
     ends = ends.groupBy("path", "line").agg(F.min("l").alias("next"))
     last = rows.groupBy("path").agg(F.max(F.when(F.btrim("text") != "", F.col("line"))).alias("last"))
     found = found.join(ends, ["path", "line"]).join(last, "path").withColumn("end_line", F.greatest("line", F.coalesce(F.col("next") - 1, F.col("last"))))
     # Members carry their class's name.
-    owners = found.where("kind = 'class'").select(F.col("path").alias("p"), F.col("line").alias("cl"), F.col("end_line").alias("ce"), F.col("level").alias("cv"), F.col("name").alias("owner"))
+    owners = found.where("kind IN ('class', 'scope')").select(F.col("path").alias("p"), F.col("line").alias("cl"), F.col("end_line").alias("ce"), F.col("level").alias("cv"), F.col("name").alias("owner"))
     inside = found.join(owners, (F.col("path") == F.col("p")) & (F.col("line") > F.col("cl")) & (F.col("line") <= F.col("ce")) & (F.col("level") > F.col("cv")), "left")
     held = inside.groupBy("path", "line").agg(F.max_by("owner", "cl").alias("owner"))
-    found = found.join(held, ["path", "line"]).where("kind <> 'method' OR owner IS NOT NULL")
+    found = found.join(held, ["path", "line"]).where("kind <> 'scope' AND (kind <> 'method' OR owner IS NOT NULL)")
     owner = F.coalesce(F.nullif("of", F.lit("")), F.when(F.col("kind") != "class", F.col("owner")))
+    name = F.when(F.col("lang") == "c", F.replace("name", F.lit("::"), F.lit("."))).otherwise(F.col("name"))
     outer = F.when(F.col("lang") == "python", F.col("indent") == 0).otherwise(F.col("depth") == 0) & owner.isNull()
     exported = (
         F.when(F.col("lang") == "python", outer & ~F.col("name").startswith("_"))
         .when(F.col("lang") == "go", outer & F.col("name").rlike("^[A-Z]"))
+        .when(F.col("lang") == "rust", outer & F.col("bare").rlike(r"^\s*pub\b"))
+        .when(F.col("lang") == "c", outer & ~F.col("bare").rlike(r"^\s*static\b"))
         .otherwise(outer & F.col("bare").rlike(r"^\s*export\b"))
     )
     return found.select(
         "path", F.col("line").alias("seq"), F.when(F.col("kind") == "class", "class").otherwise("function").alias("kind"),
-        F.concat_ws(".", owner, F.col("name")).alias("name"), F.col("line").alias("start_line"), "end_line", exported.alias("exported"))
+        F.concat_ws(".", owner, name).alias("name"), F.col("line").alias("start_line"), "end_line", exported.alias("exported"))
 
 
 def calls(code: DataFrame, declared: DataFrame) -> DataFrame:
     """(path, caller, callee, receiver) of calls inside functions; the innermost one calls."""
-    pattern = r"((?:\w+\.)*\w+)\s*\("
+    pattern = r"((?:\w+(?:\.|::))*\w+)\s*\("
     rows = code.select("path", "line", "lang", F.explode(F.regexp_extract_all("bare", F.lit(pattern), 1)).alias("callee_path"))
+    # A Rust value's method is no function of a module; only paths are followed.
+    rows = rows.where((F.col("lang") != "rust") | (F.instr("callee_path", ".") == 0))
+    rows = rows.withColumn("callee_path", F.replace("callee_path", F.lit("::"), F.lit(".")))
     receiver = F.when(F.instr("callee_path", ".") > 0, F.regexp_replace("callee_path", r"\.\w+$", "")).otherwise(F.lit(""))
     rows = rows.select("path", "line", "lang", F.substring_index("callee_path", ".", -1).alias("callee"), receiver.alias("receiver"))
-    rows = rows.where(~F.col("callee").isin(*KEYWORDS) & ((F.col("lang") == "python") | (F.instr("receiver", ".") == 0)))
+    rows = rows.where(~F.col("callee").isin(*KEYWORDS) & (F.col("lang").isin("python", "rust") | (F.instr("receiver", ".") == 0)))
     spans = declared.where("kind = 'function'").select(F.col("path").alias("p"), "name", "start_line", "end_line")
     held = rows.join(spans, (F.col("path") == F.col("p")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
     own = held.where((F.col("line") != F.col("start_line")) | (F.substring_index("name", ".", -1) != F.col("callee")))
@@ -166,7 +195,24 @@ def imports(files: DataFrame) -> DataFrame:
     alias = F.regexp_extract("s", r"^(\w+)\s", 1)
     go = go.select("path", "import_seq", specifier.alias("specifier"), F.when(alias != "", alias).otherwise(F.substring_index(specifier, "/", -1)).alias("local"),
                    F.lit(None).cast("string").alias("imported"), F.lit(True).alias("is_namespace"))
-    return es.unionByName(python).unionByName(go)
+    include = files.where(lang == "c").select("path", F.posexplode(F.regexp_extract_all("text", F.lit(r'(?m)^\s*#\s*include\s*"([^"\n]+)"'), 1)).alias("import_seq", "specifier"))
+    include = include.select("path", "import_seq", "specifier", *(F.lit(None).cast("string").alias(c) for c in ("local", "imported")), F.lit(False).alias("is_namespace"))
+
+    rust = files.where(lang == "rust").select("path", F.posexplode(F.regexp_extract_all(
+        "text", F.lit(r"(?m)^\s*((?:pub(?:\([^)]*\))?\s+)?(?:use\s+[^;]+|mod\s+\w+));"), 1)).alias("import_seq", "s"))
+    rust = rust.withColumn("s", F.btrim(F.regexp_replace(F.regexp_replace("s", r"^pub(\([^)]*\))?\s+", ""), r"\s+", " ")))
+    prefix = F.regexp_extract("s", r"^use ([\w:]*?)(?:::)?\{", 1)
+    inner = F.when(F.instr("s", "{") > 0, F.split(F.regexp_extract("s", r"\{([^{}]*)\}", 1), ",")).otherwise(F.array(F.regexp_replace("s", r"^(use|mod) ", "")))
+    leaves = F.filter(F.transform(inner, lambda x: F.btrim(x)), lambda x: (x != "") & ~x.endswith("*"))
+    rust = rust.select("path", "import_seq", F.startswith("s", F.lit("mod ")).alias("is_mod"), prefix.alias("prefix"), F.explode(leaves).alias("n"))
+    full = F.concat_ws("::", F.nullif("prefix", F.lit("")), F.regexp_extract("n", r"^([\w:]+)", 1))
+    bound = F.regexp_extract("n", r"(\w+)$", 1)
+    rust = rust.withColumn("full", F.when(F.col("is_mod"), F.concat(F.lit("self::"), "n")).otherwise(F.regexp_replace(full, r"::self$", ""))).withColumn("local", bound)
+    leaf = F.when(~F.col("is_mod"), F.regexp_extract("full", r"(\w+)$", 1))
+    as_name = rust.where("NOT is_mod").select("path", "import_seq", "full", "local", leaf.alias("imported"), F.lit(False).alias("is_namespace"))
+    as_space = rust.select("path", "import_seq", "full", "local", F.lit(None).cast("string").alias("imported"), F.lit(True).alias("is_namespace"))
+    rust = as_name.unionByName(as_space).select("path", "import_seq", F.col("full").alias("specifier"), "local", "imported", "is_namespace")
+    return es.unionByName(python).unionByName(go).unionByName(include).unionByName(rust)
 
 
 def reexports(files: DataFrame) -> DataFrame:
@@ -181,13 +227,47 @@ def reexports(files: DataFrame) -> DataFrame:
         F.regexp_extract("n", r"^(\w+)", 1).alias("local"), (F.col("specifier") != "").alias("has_specifier"), "specifier")
 
 
+def prototypes(code: DataFrame, files: DataFrame) -> DataFrame:
+    """Re-exports (path, seq, exported, local, has_specifier, target) of functions that a
+    header declares: they live in the source file of the same stem beside it."""
+    pattern = r"^\s*(?:extern\s+)?(?:[A-Za-z_]\w*[\s*]+)+(\w+)\s*\([^;{}()]*\)\s*;"
+    heads = code.where(F.col("path").rlike(r"\.(h|hpp|hh|hxx)$") & (F.col("depth") == 0) & F.col("bare").rlike(pattern) & ~F.col("bare").rlike(r"^\s*(return|typedef|static)\b"))
+    name = F.regexp_extract("bare", pattern, 1)
+    heads = heads.select("path", F.col("line").cast("long").alias("seq"), name.alias("exported"), name.alias("local"))
+    stem = F.regexp_replace("path", r"\.\w+$", "")
+    pairs = F.array(*(F.concat(stem, F.lit(f".{e}")) for e in PAIRS))
+    mates = resolve.first_match(heads.select("path").distinct().withColumn("import_seq", F.lit(0)), pairs, files).select("path", "target")
+    return heads.join(mates, "path").select("path", "seq", "exported", "local", F.lit(True).alias("has_specifier"), "target")
+
+
+def rust_candidates(path: Column, specifier: Column) -> Column:
+    """Module files of a ``use`` path, whole first, then without its last segments.
+
+    ``crate`` is the nearest ``src``; ``self`` is the file's own children, ``super``
+    its parent's; another first segment is tried as a child module.
+    """
+    here = resolve.directory(path)
+    stem = F.regexp_extract(path, r"([^/]*)\.rs$", 1)
+    own = F.when(stem.isin("mod", "lib", "main"), here).otherwise(F.concat_ws("/", F.nullif(here, F.lit("")), stem))
+    src = F.regexp_extract(path, r"^((?:.*/)?src)/", 1)
+    ups = F.length(F.regexp_extract(specifier, r"^((?:super::)*)", 1)) / F.length(F.lit("super::"))
+    up = F.repeat(F.lit("../"), ups.cast("int"))
+    base = F.when(specifier.startswith("crate::"), src).when(specifier.startswith("super::"), resolve.joined(own, up)).otherwise(own)
+    rest = F.regexp_replace(specifier, r"^(?:crate::|self::|(?:super::)+)", "")
+    parts = F.split(rest, "::")
+    shorter = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/"))
+    joined = F.transform(shorter, lambda x: F.concat_ws("/", F.nullif(base, F.lit("")), x))
+    return F.flatten(F.transform(joined, lambda x: F.array(F.concat(x, F.lit(".rs")), F.concat(x, F.lit("/mod.rs")))))
+
+
 def _candidates(path: Column, specifier: Column, go_module: Column) -> Column:
     lang = language(path)
     none = F.array().cast("array<string>")
     inner = F.when(F.startswith(specifier, F.concat(go_module, F.lit("/"))), F.substring(specifier, F.length(go_module) + 2, F.length(specifier)))
     return F.coalesce(
         F.when(lang == "es", resolve.es_candidates(path, specifier)).when(lang == "python", resolve.python_candidates(path, specifier))
-        .when(lang == "go", F.array(inner)), none)
+        .when(lang == "go", F.array(inner)).when(lang == "c", resolve.include_candidates(path, specifier))
+        .when(lang == "rust", rust_candidates(path, specifier)), none)
 
 
 def resolved(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -246,13 +326,20 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     whole = stated.where("imported IS NULL OR is_namespace").join(found, ["path", "specifier"]).select("path", "target")
     by_name = with_modules.select("path", F.coalesce("module_target", "target").alias("target")).where("target IS NOT NULL")
-    imported = whole.unionByName(by_name).distinct()
+    imported = whole.unionByName(by_name).where("path <> target").distinct()
+    made = cut(calls(code, declared), "facts-calls")
+    # In C every callee that a file does not define is offered to each of its includes.
+    included = stated.where(language(F.col("path")) == "c").join(found, ["path", "specifier"])
+    loose = made.where((language(F.col("path")) == "c") & (F.col("receiver") == "")).select("path", "callee").distinct()
+    offers = included.join(loose, "path").select("path", F.col("callee").alias("local"), F.col("callee").alias("imported"), "target", order(0).alias("ord"))
+    bindings = bindings.unionByName(offers)
     functions = declared.where("kind = 'function'").select("path", "name", "exported")
     offered = offered.join(found, ["path", "specifier"], "left").select("path", "seq", "exported", "local", "has_specifier", "target")
+    offered = offered.unionByName(prototypes(code, files.select("path")))
     # A local name in an export clause is exported by it.
     listed = offered.where("NOT has_specifier").select("path", F.col("local").alias("name")).distinct().withColumn("listed", F.lit(True))
     functions = functions.join(listed, ["path", "name"], "left").select("path", "name", (F.col("exported") | F.coalesce("listed", F.lit(False))).alias("exported"))
-    called = call_rules.resolve_calls(calls(code, declared), functions, offered, bindings, modules)
+    called = call_rules.resolve_calls(made, functions, offered, bindings, modules)
     file_id = node_id("file", F.col("path"))
     edges = (
         declared.select(*edge(file_id, symbol_id, "contains"))

@@ -27,6 +27,11 @@ TREE = {
     "cmd/help.go": "package main\n\nfunc helper() {\n}\n",
     "store/store.go": "package store\n\ntype DB struct {\n}\n\nfunc (d *DB) Close() {\n}\n",
     "store/open.go": "package store\n\nfunc Open() {\n}\n\nfunc hidden() {\n}\n",
+    "c/main.c": '#include "calc.h"\n#include <stdio.h>\n\nstatic int twice(int x)\n{\n    return add(x, x);\n}\n\nint main(void) {\n    twice(2);\n    printf("add(");\n    hidden();\n    return 0;\n}\n',
+    "c/calc.h": "int add(int a, int b);\nint hidden(void);\n",
+    "c/calc.c": '#include "calc.h"\n\nint add(int a, int b) {\n    return a + b;\n}\nstatic int hidden(void) {\n    return 1;\n}\n',
+    "rs/src/main.rs": "mod util;\nuse crate::util::{help as h, Tool};\nuse std::fs;\n\npub struct App {\n}\n\nimpl App {\n    fn go(&self) {\n        h();\n        util::help();\n        fs::read();\n    }\n}\n\nfn main() {\n    local();\n}\n\nfn local() {\n}\n",
+    "rs/src/util.rs": "pub struct Tool {\n}\n\npub fn help() {\n}\n\nfn secret() {\n}\n",
     "node_modules/x.ts": "export function no() {\n}\n",
     "notes.txt": "call main() here\n",
 }
@@ -51,7 +56,8 @@ def test_files_and_symbols(tree):
     nodes = {r.node_id: r.summary for r in tree[0].collect()}
     assert "file:node_modules/x.ts" not in nodes and "file:notes.txt" in nodes
     for symbol in ("class:web/app.ts:Box", "function:web/app.ts:Box.open", "function:web/app.ts:arrow", "function:pkg/core.py:Job.act",
-                   "function:pkg/core.py:broken", "class:store/store.go:DB", "function:store/store.go:DB.Close"):
+                   "function:pkg/core.py:broken", "class:store/store.go:DB", "function:store/store.go:DB.Close",
+                   "function:c/main.c:twice", "function:rs/src/main.rs:App.go", "class:rs/src/util.rs:Tool"):
         assert symbol in nodes
     assert nodes["file:cmd/help.go"] == "Go file, 4 lines: 1 function"
     assert nodes["function:web/greet.ts:greet"] == "Function greet, lines 1-2"
@@ -61,6 +67,7 @@ def test_imports(tree):
     assert pairs(tree[1], "imports") == {
         ("web/app.ts", "web/lib/index.ts"), ("web/app.ts", "web/util.ts"), ("web/lib/index.ts", "web/greet.ts"),
         ("pkg/core.py", "pkg/tools.py"), ("cmd/main.go", "store/store.go"),
+        ("c/main.c", "c/calc.h"), ("c/calc.c", "c/calc.h"), ("rs/src/main.rs", "rs/src/util.rs"),
     }
 
 
@@ -70,6 +77,8 @@ def test_calls_and_decoys(tree):
         ("web/app.ts:Box.open", "web/lib/index.ts:shout"), ("web/app.ts:arrow", "web/app.ts:main"),
         ("pkg/core.py:start", "pkg/tools.py:run"), ("pkg/core.py:Job.act", "pkg/core.py:start"), ("pkg/core.py:broken", "pkg/core.py:start"),
         ("cmd/main.go:main", "store/open.go:Open"), ("cmd/main.go:main", "cmd/help.go:helper"),
+        ("c/main.c:twice", "c/calc.c:add"), ("c/main.c:main", "c/main.c:twice"),
+        ("rs/src/main.rs:App.go", "rs/src/util.rs:help"), ("rs/src/main.rs:main", "rs/src/main.rs:local"),
     }
 
 
@@ -80,4 +89,4 @@ def test_exports(tree):
 
 def test_flows_start_where_nothing_calls(tree):
     roots = {r.path for r in semantics.entry_functions(*tree).collect()}
-    assert roots == {"web/app.ts", "pkg/core.py", "cmd/main.go"}
+    assert roots == {"web/app.ts", "pkg/core.py", "cmd/main.go", "c/main.c", "rs/src/main.rs"}
