@@ -75,18 +75,37 @@ class Counter:
         return out.reshape(len(texts), BUCKETS), letters
 
     def features(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(counts, letters) of successive groups of texts."""
+        """(counts, letters) of successive groups of texts.
+
+        A text of over GROUP characters is counted in stretches, cut at blanks
+        where it has any, which are summed.
+        """
         group, chars = [], 0
         for t in texts:
             if group and (chars + len(t) > GROUP or len(group) >= 256):
                 yield self.counts(group)
                 group, chars = [], 0
+            if len(t) > GROUP:
+                parts = [self.counts([x]) for x in stretches(t)]
+                yield sum(c for c, _ in parts), sum(n for _, n in parts)
+                continue
             group.append(t)
             chars += len(t)
         if group:
             yield self.counts(group)
 
 
+def stretches(text: str, most: int = GROUP) -> Iterator[str]:
+    """``text`` in stretches of at most ``most`` characters, ending at blanks if possible."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + most)
+        if end < len(text):
+            end = max(text.rfind(" ", at, end), text.rfind("\n", at, end)) + 1 or end
+        yield text[at:end]
+        at = end
+
+
 def scale(counts: np.ndarray) -> np.ndarray:
     """Unit vectors of square-rooted frequencies."""
     total = counts.sum(1, keepdims=True)

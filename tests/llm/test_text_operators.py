@@ -101,6 +101,23 @@ def test_pieces_without_dropout_are_the_librarys():
         at += len(ends)
 
 
+def test_long_words_go_through_the_heap():
+    import sentencepiece
+
+    data = open(pieces.MODEL, "rb").read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdehilnorst漢é") for _ in range(3000))
+    ids, _ = next(pieces.Segmenter(data, 0.0).encode([long, "x" * 200_000]))
+    assert ids.tolist() == sp.encode(long) + sp.encode("x" * 200_000)
+    own = pieces.Segmenter(data, 0.3, seed=5)
+    word = " " + "".join(rng.choice("abcdehilnorst") for _ in range(400))
+    symbols = own.by_char[[ord(c) for c in word]]
+    assert own._merge_long(symbols, 99).tolist() == [int(s) for s in plain_agenda(own, word, 99)]
+    padded, n = own._merge(symbols[None, :].copy(), np.array([len(symbols)]), np.array([99], np.uint64))
+    assert padded[0, : n[0]].tolist() == own._merge_long(symbols, 99).tolist()
+
+
 def test_dropout_matches_a_plain_agenda_and_varies():
     data = open(pieces.MODEL, "rb").read()
     own = pieces.Segmenter(data, 0.3, seed=5)
@@ -420,6 +437,17 @@ def test_codewords_are_far_apart():
     assert len({tuple(c) for c in langid.codewords(5).T}) == 15
 
 
+def test_long_texts_are_counted_whole():
+    counter, rng = langid.Counter(), random.Random(2)
+    text = prose(rng, 1000)
+    parts = list(langid.stretches(text, 700))
+    assert "".join(parts) == text and max(map(len, parts)) <= 700
+    whole, _ = counter.counts([text])
+    split = sum(counter.counts([p])[0] for p in parts)
+    assert abs(split - whole).sum() <= 12 * len(parts)
+    assert list(langid.stretches("x" * 10, 4)) == ["xxxx", "xxxx", "xx"]
+
+
 def test_held_out_languages(spark):
     docs = table(spark, SF.replace("0.001", "0.01"), "documents")
     rows = langid.query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
