@@ -132,17 +132,19 @@ def dependency_depth(links: DataFrame) -> DataFrame:
     """(node_id, depth): the longest way down to a node from a node nothing links to.
 
     ``links`` (source, target) must hold no cycle; every round settles a level
-    and there are as many rounds as levels.
+    and there are as many rounds as levels. More rounds than nodes mean a cycle.
     """
     links = cut(links.select("source", "target").distinct(), "links")
     heads = links.select(F.col("source").alias("node_id")).distinct().join(links.select(F.col("target").alias("node_id")), "node_id", "left_anti")
     depth = front = cut(heads.withColumn("depth", F.lit(0)), "depth")
-    while True:
+    most = links.select(F.explode(F.array("source", "target")).alias("n")).distinct().count()
+    for _ in range(most + 1):
         step = front.join(links, front["node_id"] == links["source"]).select(F.col("target").alias("node_id"), (F.col("depth") + 1).alias("depth"))
         front = cut(step.distinct(), "depth-front")
         if front.isEmpty():
             return depth
         depth = cut(depth.unionByName(front).groupBy("node_id").agg(F.max("depth").alias("depth")), "depth")
+    raise ValueError("the links hold a cycle; cut its back links first")
 
 
 def bands(depth: DataFrame) -> DataFrame:

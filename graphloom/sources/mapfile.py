@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from graphloom import model
 
-PROVENANCE = "provenance: string"
 MAP = (
     "version string, project struct<name: string>, "
     "nodes array<struct<id: string, kind: string, name: string, path: string, summary: string, "
@@ -18,6 +17,8 @@ MAP = (
     "tour array<struct<node: string, label: string, provenance: string>>"
 )
 STORE_VERSION = 2
+#: Nodes and edges that a map file may hold.
+MOST = 500_000
 ENTRY = "map<string, struct<content_hash: string, summary: string>>"
 TEXT = "map<string, struct<inputs_hash: string, text: string>>"
 STORE = f"version int, annotations {ENTRY}, layers {TEXT}, layer_descriptions {TEXT}, flows {TEXT}, tour {TEXT}"
@@ -37,12 +38,14 @@ def read_map(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def write_map(nodes: DataFrame, edges: DataFrame, layers: DataFrame, path: str, project: str, version: str = "0.5.0") -> None:
     """One JSON document a file is for; the lines of each list are sorted by id.
 
-    The contract file is a single document, so it is made by one task. It is
-    for maps of a repository's size; larger ones stay tables (``published``).
+    The contract file is a single document, so it is put together in one place:
+    a map of over ``MOST`` rows is refused and stays tables (``published``).
     """
     import json
 
     spark = nodes.sparkSession
+    if nodes.count() + edges.count() > MOST:
+        raise ValueError(f"a map file holds at most {MOST} nodes and edges; publish the map as tables")
     n = [{k: v for k, v in r.asDict().items() if v is not None} for r in nodes.withColumnRenamed("node_id", "id").orderBy("path", "id").toLocalIterator()]
     e = [r.asDict() for r in edges.orderBy("source", "target", "kind").toLocalIterator()]
     ls = [{"id": r.layer_id, "name": r.name, "description": {"text": r.description, "provenance": r.provenance}, "provenance": r.provenance} for r in layers.orderBy("layer_id").toLocalIterator()]

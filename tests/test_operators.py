@@ -110,6 +110,16 @@ def test_shortest_path_against_breadth_first_search(spark):
         assert got == want[::-1]
 
 
+def test_depth_is_the_longest_way_and_cycles_are_refused(spark):
+    import pytest
+
+    links = lambda pairs: spark.createDataFrame(pairs, "source string, target string")
+    got = {r.node_id: r.depth for r in graph.dependency_depth(links([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")])).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
+    with pytest.raises(ValueError):
+        graph.dependency_depth(links([("a", "b"), ("b", "c"), ("c", "b")]))
+
+
 def test_dangling_edges_are_reported_and_skipped(spark):
     nodes = make_nodes(spark, [file("a/x.ts")])
     edges = make_edges(spark, [("file:a/x.ts", "file:b/none.ts", "imports")])
