@@ -183,3 +183,24 @@ def files_filter(nodes: DataFrame, needle: str) -> DataFrame:
 def flows_by_domain(flows: DataFrame) -> DataFrame:
     """(domain, n_flows, first_flow): domains with the first of their flows."""
     return flows.groupBy("domain").agg(F.count("*").alias("n_flows"), F.min("flow_id").alias("first_flow"))
+
+
+def entry_points(nodes: DataFrame, entries: DataFrame, top: int = TOP) -> DataFrame:
+    """(rank, node_id): the first entry functions in map order."""
+    best = nodes.join(entries.select("node_id"), "node_id", "left_semi").orderBy("path", "node_id").limit(top)
+    return best.select(F.row_number().over(Window.orderBy("path", "node_id")).alias("rank"), "node_id")
+
+
+def enriched_slots(*families: DataFrame) -> DataFrame:
+    """One row: how many rows of the slot families a provider has written."""
+    marks = None
+    for df in families:
+        rows = df.select("provenance")
+        marks = rows if marks is None else marks.unionByName(rows)
+    return marks.agg(F.count_if(F.col("provenance") == "llm").alias("n_enriched"), F.count("*").alias("n_slots"))
+
+
+def symbol_files(nodes: DataFrame) -> DataFrame:
+    """(node_id, file_id): the file that a symbol is in."""
+    held = files(nodes).select("path", F.col("node_id").alias("file_id"))
+    return nodes.where("kind <> 'file'").select("node_id", "path").join(held, "path").select("node_id", "file_id")

@@ -150,3 +150,17 @@ def narratives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     alone = F.col("inbound_n").isNull() & F.col("outbound_n").isNull()
     rest = F.when(alone, "Nothing in this map reaches it, and it reaches nothing.").otherwise(F.concat_ws(" ", inward, outward))
     return out.select("node_id", F.concat_ws(" ", holds, rest).alias("narrative"))
+
+
+def cited_nodes(citations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(pos, node_id, name, missing): citations with the node that they name, if any."""
+    named = nodes.select(F.col("node_id").alias("_id"), "name")
+    joined = citations.join(named, F.col("node_id") == F.col("_id"), "left")
+    return joined.select("pos", "node_id", "name", F.col("_id").isNull().alias("missing"))
+
+
+def source_lines(texts: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """(key, line, text, lit): numbered lines, those of the range lit."""
+    rows = texts.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    line = F.col("pos") + 1
+    return rows.select(key, line.alias("line"), "text", line.between(first, last).alias("lit"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import weight
-from graphloom.operators import annotate, extract, graph, overlay, redact, regions, resolve, retrieval, semantics
+from graphloom.operators import annotate, calls, extract, graph, overlay, redact, regions, resolve, retrieval, semantics
 from graphloom.session import cut, table
 from graphloom.sources import bindings, published
 
@@ -588,3 +588,69 @@ def es_imports(spark, sf_dir):
 @query(f"WITH {T}, g AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir FROM nodes WHERE kind = 'file' AND path LIKE '%.go') SELECT dir, min(path) AS anchor FROM g GROUP BY 1")
 def package_anchors(spark, sf_dir):
     return resolve.package_anchors(_trade(spark, sf_dir)[0].where("kind = 'file'").select("path"))
+
+
+# --- more views ---------------------------------------------------------------------
+
+
+@query(f"WITH {T},{ENTRY} SELECT (row_number() OVER (ORDER BY path, node_id))::INT AS rank, node_id FROM ent ORDER BY rank LIMIT 6")
+def entry_functions(spark, sf_dir):
+    nodes, edges = _trade(spark, sf_dir)
+    return regions.entry_points(nodes, semantics.entry_functions(nodes, edges))
+
+
+@query(f"WITH {T} SELECT s.node_id, f.node_id AS file_id FROM nodes s JOIN nodes f USING (path) WHERE s.kind <> 'file' AND f.kind = 'file'")
+def symbol_files(spark, sf_dir):
+    return regions.symbol_files(_trade(spark, sf_dir)[0])
+
+
+@query(f"WITH {D},{_ENRICHED}, {T},{LAYERS} SELECT ((SELECT count(*) FROM enr WHERE provenance = 'llm'))::BIGINT AS n_enriched, ((SELECT count(*) FROM enr) + (SELECT count(*) FROM layers))::BIGINT AS n_slots")
+def enriched_slots(spark, sf_dir):
+    return regions.enriched_slots(_enriched(spark, sf_dir), semantics.layers(_trade(spark, sf_dir)[0]))
+
+
+@query("""SELECT i.doc_id AS pos, 'file:' || i.doc_id AS node_id, CASE WHEN d.doc_id IS NOT NULL THEN d.source END AS name, d.doc_id IS NULL AS missing
+FROM labels i LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d ON d.doc_id = i.doc_id""")
+def citation_missing(spark, sf_dir):
+    node = lambda c: F.concat(F.lit("file:"), c).alias("node_id")
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(node("doc_id"), F.col("source").alias("name"))
+    return retrieval.cited_nodes(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), node("doc_id")), docs)
+
+
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), x AS (SELECT doc_id, (unnest(range(1, len(a) + 1)))::INT AS line, unnest(a) AS text FROM l) SELECT *, line BETWEEN 2 AND 3 AS lit FROM x")
+def source_lines(spark, sf_dir):
+    return retrieval.source_lines(table(spark, sf_dir, "documents"), "doc_id", 2, 3)
+
+
+_FACTS = """
+fn AS (SELECT DISTINCT 'lib/' || p_brand || '.ts' AS path, 'f' || p_size AS name, p_size % 2 = 0 AS exported FROM part
+  UNION ALL SELECT 'app/c' || c_custkey || '.ts', 'main', true FROM customer UNION ALL SELECT 'app/c' || c_custkey || '.ts', 'f' || (c_custkey % 50), false FROM customer),
+own AS (SELECT path, name FROM fn WHERE exported),
+re AS (SELECT DISTINCT 'lib/' || p_brand || '.ts' AS path, 'f' || p_size AS name FROM part WHERE p_size % 7 = 0),
+ex AS (SELECT path, name, path AS dp, name AS dn FROM own UNION ALL SELECT path, name, path, 'f2' FROM re
+  WHERE (path, name) NOT IN (SELECT (path, name) FROM own) AND path IN (SELECT path FROM own WHERE name = 'f2')),
+use AS (SELECT DISTINCT 'app/c' || o_custkey || '.ts' AS path, 'f' || p_size AS callee, 'lib/' || p_brand || '.ts' AS target, p_partkey AS ord
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+loc AS (SELECT DISTINCT path, callee, path AS dp, callee AS dn FROM use WHERE (path, callee) IN (SELECT (path, name) FROM fn)),
+bnd AS (SELECT u.path, callee, arg_max(dp, ord) AS dp, arg_max(dn, ord) AS dn FROM use u JOIN ex ON ex.path = u.target AND ex.name = u.callee
+  WHERE (u.path, callee) NOT IN (SELECT (path, name) FROM fn) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_FACTS} SELECT DISTINCT 'function:' || path || ':main' AS source, 'function:' || dp || ':' || dn AS target, 'calls' AS kind, 0.9::DOUBLE AS weight
+FROM (SELECT path, dp, dn FROM loc UNION ALL SELECT path, dp, dn FROM bnd)""")
+def call_edges(spark, sf_dir):
+    """Customers' files call functions of the brands' files that their orders bring in."""
+    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    lib, size = F.concat(F.lit("lib/"), "p_brand", F.lit(".ts")), F.concat(F.lit("f"), "p_size")
+    app = lambda c: F.concat(F.lit("app/c"), c, F.lit(".ts"))
+    functions = part.select(lib.alias("path"), size.alias("name"), (F.col("p_size") % 2 == 0).alias("exported")).distinct()
+    mains = customer.select(app("c_custkey").alias("path"), F.lit("main").alias("name"), F.lit(True).alias("exported"))
+    helpers = customer.select(app("c_custkey").alias("path"), F.concat(F.lit("f"), F.col("c_custkey") % 50).alias("name"), F.lit(False).alias("exported"))
+    again = part.where("p_size % 7 = 0").select(
+        lib.alias("path"), F.col("p_size").alias("seq"), size.alias("exported"), F.lit("f2").alias("local"), F.lit(False).alias("has_specifier"), F.lit(None).cast("string").alias("target"))
+    bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    used = bought.select(app("o_custkey").alias("path"), size.alias("callee"), lib.alias("target"), F.col("p_partkey").alias("ord")).distinct()
+    made = used.select("path", F.lit("main").alias("caller"), "callee", F.lit("").alias("receiver"))
+    bound = used.select("path", F.col("callee").alias("local"), F.col("callee").alias("imported"), "target", "ord")
+    modules = spark.createDataFrame([], "path string, local string, target string, ord long")
+    return calls.resolve_calls(made, functions.unionByName(mains).unionByName(helpers), again.distinct(), bound, modules)
