@@ -164,3 +164,24 @@ def source_lines(texts: DataFrame, key: str, first: int, last: int) -> DataFrame
     rows = texts.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     line = F.col("pos") + 1
     return rows.select(key, line.alias("line"), "text", line.between(first, last).alias("lit"))
+
+
+def ask(nodes: DataFrame, questions: DataFrame, talk: DataFrame | None = None, provider=None) -> list[dict]:
+    """Answers to a few questions, one request each.
+
+    A question that is blank or too long is refused. The context slice takes the
+    clamped turns' citations first. ``provider`` is a function of (question,
+    context ids) that returns (text, citations); without one the slice is the
+    answer. Citations of nodes that were not shown are dropped.
+    """
+    out = []
+    for row in validated(questions).join(questions.select("item_id", "text"), "item_id").orderBy("item_id").toLocalIterator():
+        if row.status != "ok":
+            out.append({"item_id": row.item_id, "status": row.status, "answer": None, "citations": []})
+            continue
+        cited = None if talk is None else talk.where(F.col("item_id") == row.item_id).select("node_id", "cite_rank")
+        shown = [r.node_id for r in context_slice(nodes, row.text, cited).orderBy("rank").collect()]
+        text, citations = provider(row.text, shown) if provider else ("", shown)
+        kept = list(dict.fromkeys(c for c in citations if c in shown))
+        out.append({"item_id": row.item_id, "status": "ok", "answer": text, "citations": kept})
+    return out

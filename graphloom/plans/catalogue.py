@@ -382,11 +382,11 @@ def term_score(spark, sf_dir):
     return retrieval.scored_nodes(bindings.documents(spark, sf_dir), QUESTION)
 
 
-@query(f"""WITH {D},{_SCORES}, ci AS (SELECT node_id, min(doc_id) AS cite_rank FROM docs JOIN (SELECT doc_id, 'd' || doc_id || '.md' AS name FROM labels WHERE toxic = 1 ORDER BY doc_id LIMIT 5) USING (name) GROUP BY 1)
+@query(f"""WITH {D},{_SCORES}, ci AS (SELECT node_id, min(doc_id) AS cite_rank FROM docs JOIN (SELECT doc_id, 'd' || doc_id || '.md' AS name FROM labels WHERE toxic = 1 AND quality = 0) USING (name) GROUP BY 1)
 SELECT (row_number() OVER (ORDER BY cite_rank NULLS LAST, score DESC, node_id))::INT AS rank, node_id, score FROM sc LEFT JOIN ci USING (node_id) ORDER BY rank LIMIT 40""")
 def context_slice(spark, sf_dir):
     docs = bindings.documents(spark, sf_dir)
-    cited = table(spark, sf_dir, "labels").where("toxic = 1").orderBy("doc_id").limit(5).select(F.col("doc_id").alias("cite_rank"), F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("name"))
+    cited = table(spark, sf_dir, "labels").where("toxic = 1 AND quality = 0").select(F.col("doc_id").alias("cite_rank"), F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("name"))
     return retrieval.context_slice(docs, QUESTION, cited.join(docs.select("name", "node_id"), "name"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom import model
 
@@ -82,6 +83,30 @@ def overlay_json(marks: DataFrame, unmapped: DataFrame) -> DataFrame:
     return ids.join(paths, "version").select(F.to_json(F.struct("version", "changed", "affected", "unmapped_paths")).alias("json"))
 
 
+def json_schema(schema: T.DataType, patterns: dict[str, str] | None = None) -> dict:
+    """The JSON Schema of a Spark type; ``patterns`` gives those of string fields by name."""
+    patterns = patterns or {}
+    if isinstance(schema, T.StructType):
+        fields = {f.name: json_schema(f.dataType, patterns) | ({"pattern": patterns[f.name]} if f.name in patterns else {}) for f in schema}
+        return {"type": "object", "properties": fields, "required": [f.name for f in schema if not f.nullable]}
+    if isinstance(schema, T.ArrayType):
+        return {"type": "array", "items": json_schema(schema.elementType, patterns)}
+    if isinstance(schema, T.MapType):
+        return {"type": "object", "additionalProperties": json_schema(schema.valueType, patterns)}
+    simple = {"string": "string", "int": "integer", "bigint": "integer", "double": "number", "boolean": "boolean"}
+    return {"type": simple[schema.simpleString()]}
+
+
+def write_ignore_file(folder: str, kept: str = "annotations.json") -> bool:
+    """Write ``.gitignore`` that keeps only the store; an existing one is never touched."""
+    try:
+        with open(f"{folder}/.gitignore", "x") as f:
+            f.write(f"*\n!.gitignore\n!{kept}\n")
+        return True
+    except FileExistsError:
+        return False
+
+
 def edges_of(tables: dict[str, DataFrame]) -> DataFrame:
     """Edges of a read map in the model's columns, dangling ones left out."""
     ids = tables["nodes"].select("node_id")

@@ -348,3 +348,21 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(called)
     )
     return nodes, edges
+
+
+#: Bytes of a source file that a reader is shown.
+SHOWN = 512 * 1024
+
+
+def source_envelope(files: DataFrame, nodes: DataFrame, wanted: str, cap: int = SHOWN) -> DataFrame:
+    """(path, language, text, truncated) of one mapped file.
+
+    Only the id of a file node of the map names a file. A cut goes back to
+    where a character ends.
+    """
+    mapped = nodes.where((F.col("kind") == "file") & (F.col("node_id") == wanted)).select("path").distinct()
+    data = F.col("text").cast("binary")
+    starts = [F.try_validate_utf8(F.substring(data, 1, cap - k).cast("string")) for k in range(4)]
+    shown = F.when(F.octet_length(data) <= cap, F.col("text")).otherwise(F.coalesce(*starts))
+    found = files.join(mapped, "path", "left_semi")
+    return found.select("path", regions.language_of(F.col("path")).alias("language"), shown.alias("text"), (F.octet_length(data) > cap).alias("truncated"))

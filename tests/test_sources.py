@@ -89,6 +89,31 @@ def test_overlay_json(spark):
     assert json.loads(row.json) == {"version": 1, "changed": ["a", "b"], "affected": ["c"], "unmapped_paths": []}
 
 
+def test_schema_ignore_file_and_envelope(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from graphloom.sources import repository
+
+    schema = mapfile.json_schema(T.StructType.fromDDL(mapfile.MAP), {"version": r"^\\d+\\.\\d+\\.\\d+$"})
+    assert schema["properties"]["edges"]["items"]["properties"]["weight"] == {"type": "number"}
+    assert schema["properties"]["version"]["pattern"].startswith("^")
+    assert mapfile.write_ignore_file(str(tmp_path)) and not mapfile.write_ignore_file(str(tmp_path))
+    files = spark.createDataFrame([("app.ts", "aé" * 10), ("other.ts", "x")], "path string, text string")
+    one = repository.source_envelope(files, sample(spark).nodes, "file:app.ts", 5).collect()
+    assert [(r.path, r.language, r.text, r.truncated) for r in one] == [("app.ts", "TypeScript", "aéa", True)]
+    assert repository.source_envelope(files, sample(spark).nodes, "file:other.ts").count() == 0
+
+
+def test_ask_refuses_and_verifies(spark):
+    from graphloom.operators import retrieval
+
+    nodes = sample(spark).nodes
+    questions = spark.createDataFrame([(1, "help?"), (2, " "), (3, "x" * 1001)], "item_id long, text string")
+    said = retrieval.ask(nodes, questions, provider=lambda q, shown: ("yes", [shown[0], "invented", shown[0]]))
+    assert [a["status"] for a in said] == ["ok", "the question is empty", "the question is 1001 characters; the limit is 1000"]
+    assert said[0]["citations"] == ["function:lib/util.ts:help"]
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.slug(F.lit(" my repo/name! ")).alias("a"), text.slug(F.lit("//")).alias("b"), text.percent_decoded(F.lit("a%20b+c")).alias("c"),
