@@ -10,6 +10,7 @@ beyond it.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +91,7 @@ DECLARATIONS = {
         ("scope", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)", 1, 0),
     ],
     "c": [
+        ("namespace", r"^\s*(?:inline\s+)?namespace\s+([\w:]+)\s*\{", 1, 0),
         ("function", r"^\s*(?:[A-Za-z_][\w:<>,]*[\s*&]+)+((?:\w+::)*~?\w+)\s*\([^;{}]*\)\s*(?:const\s*|noexcept\s*|override\s*)*\{", 1, 0),
         ("class", r"^\s*(?:typedef\s+)?(?:struct|class)\s+(\w+)[^;()]*\{", 1, 0),
     ],
@@ -97,8 +99,8 @@ DECLARATIONS = {
 }
 
 
-def symbols(code: DataFrame) -> DataFrame:
-    """(path, seq, kind, name, start_line, end_line, exported), in order of lines."""
+def marked(code: DataFrame) -> DataFrame:
+    """Lines with the declaration that each may hold, and how it bears on nesting."""
     kind = name = receiver = F.lit(None).cast("string")
     for lang, rules in DECLARATIONS.items():
         for k, pattern, group, of in reversed(rules):
@@ -113,23 +115,72 @@ def symbols(code: DataFrame) -> DataFrame:
     # In C a body may open on the line after its head.
     head = (F.col("lang") == "c") & F.col("next_bare").rlike(r"^\s*\{") & ~F.col("bare").rlike(r"[;{}]")
     rows = rows.withColumn("shown", F.col("bare")).withColumn("bare", F.when(head, F.concat("bare", F.lit(" {"))).otherwise(F.col("bare")))
-    found = rows.withColumn("kind", kind).withColumn("name", name).withColumn("of", receiver).where("kind IS NOT NULL")
-    # A symbol ends before the next line at its level or above it that is not
-    # blank; a closing brace at its level still belongs to it.
+    rows = rows.withColumn("kind", kind).withColumn("name", name).withColumn("of", receiver)
     opens = (F.col("lang") == "c") & F.col("shown").rlike(r"^\s*\{")
-    closers = rows.where((F.btrim("shown") != "") & ~opens).select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("level").alias("v"))
-    ends = found.select("path", "line", "level").join(closers, (F.col("path") == F.col("p")) & (F.col("l") > F.col("line")) & (F.col("v") <= F.col("level")), "left")
-    ends = ends.groupBy("path", "line").agg(F.min("l").alias("next"))
-    last = rows.groupBy("path").agg(F.max(F.when(F.btrim("text") != "", F.col("line"))).alias("last"))
-    found = found.join(ends, ["path", "line"]).join(last, "path").withColumn("end_line", F.greatest("line", F.coalesce(F.col("next") - 1, F.col("last"))))
+    return rows.select(
+        "path", "line", "lang", "level", "depth", "indent", "bare", "kind", "name", "of",
+        (F.btrim("shown") != "").alias("solid"), ((F.btrim("shown") != "") & ~opens).alias("closes"), _is_prototype().alias("promises"))
+
+
+NESTED = "path string, line int, end_line int, owner string, space string, n_spaces int, function_line int"
+
+
+def nesting(marked: DataFrame) -> DataFrame:
+    """A row for each declaration, prototype and line within a function: where the
+    declaration ends, the class or scope that holds it, the namespaces around it, and the
+    line of the innermost function.
+
+    One pass over a file's lines with a stack of open declarations, which grows with
+    the file's length; a file's text was one row already, so a task's memory is bounded
+    by it. A declaration ends with the last line of code before the next one at its level
+    or above it; a closing brace at its level still belongs to it.
+    """
+    columns = [c.split()[0] for c in NESTED.split(", ")]
+
+    def read(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("line")
+        out: list[list] = []
+        stack: list[tuple[int, str, str, int, list]] = []  # level, kind, name, line, output row
+        last = 0
+        wanted = ("line", "level", "kind", "name", "solid", "closes", "promises")
+        for line, level, kind, name, solid, closes, promises in zip(*(rows[c].tolist() for c in wanted)):
+            while closes and stack and stack[-1][0] >= level:
+                done = stack.pop()
+                done[4][2] = max(done[3], last)
+            holder = next((s for s in reversed(stack) if s[1] in ("class", "scope") and s[0] < level), None)
+            spaces = [s[2] for s in stack if s[1] == "namespace"]
+            inside = next((s[3] for s in reversed(stack) if s[1] in ("function", "method")), None)
+            row = [rows["path"].iloc[0], line, None, holder and holder[2], "::".join(spaces), len(spaces), inside]
+            if kind is not None:
+                out.append(row)
+                stack.append((level, kind, name, line, row))
+                if kind in ("function", "method"):
+                    row[6] = line
+            elif promises or (inside is not None and solid):
+                out.append(row)
+            last = line if solid else last
+        for done in stack:
+            done[4][2] = max(done[3], last)
+        frame = pd.DataFrame(out, columns=columns)
+        return frame.astype({"line": "int32", "n_spaces": "int32", "end_line": "Int32", "function_line": "Int32"})
+
+    slim = marked.select("path", "line", "level", "kind", "name", "solid", "closes", "promises")
+    return slim.groupBy("path").applyInPandas(read, NESTED)
+
+
+def symbols(marked: DataFrame, nested: DataFrame) -> DataFrame:
+    """(path, seq, kind, name, start_line, end_line, exported), in order of lines."""
+    found = marked.where("kind IS NOT NULL AND kind <> 'namespace'").join(nested.where("end_line IS NOT NULL"), ["path", "line"])
     # Members carry their class's name.
-    owners = found.where("kind IN ('class', 'scope')").select(F.col("path").alias("p"), F.col("line").alias("cl"), F.col("end_line").alias("ce"), F.col("level").alias("cv"), F.col("name").alias("owner"))
-    inside = found.join(owners, (F.col("path") == F.col("p")) & (F.col("line") > F.col("cl")) & (F.col("line") <= F.col("ce")) & (F.col("level") > F.col("cv")), "left")
-    held = inside.groupBy("path", "line").agg(F.max_by("owner", "cl").alias("owner"))
-    found = found.join(held, ["path", "line"]).where("kind <> 'scope' AND (kind <> 'method' OR owner IS NOT NULL)")
+    found = found.where("kind <> 'scope' AND (kind <> 'method' OR owner IS NOT NULL)")
     owner = F.coalesce(F.nullif("of", F.lit("")), F.when(F.col("kind") != "class", F.col("owner")))
-    name = F.when(F.col("lang") == "c", F.replace("name", F.lit("::"), F.lit("."))).otherwise(F.col("name"))
-    outer = F.when(F.col("lang") == "python", F.col("indent") == 0).otherwise(F.col("depth") == 0) & owner.isNull()
+    # C++: a name within a namespace carries its path; a member defined outside its
+    # class carries the class's.
+    plain = F.concat_ws(".", owner, F.when(F.col("lang") == "c", F.replace("name", F.lit("::"), F.lit("."))).otherwise(F.col("name")))
+    name = F.concat_ws("::", F.nullif("space", F.lit("")), plain)
+    member = owner.isNotNull() | ((F.col("lang") == "c") & (F.instr("name", "::") > 0))
+    top = F.when(F.col("lang") == "python", F.col("indent") == 0).when(F.col("lang") == "c", F.col("depth") == F.col("n_spaces")).otherwise(F.col("depth") == 0)
+    outer = top & ~member
     exported = (
         F.when(F.col("lang") == "python", outer & ~F.col("name").startswith("_"))
         .when(F.col("lang") == "go", outer & F.col("name").rlike("^[A-Z]"))
@@ -139,24 +190,42 @@ def symbols(code: DataFrame) -> DataFrame:
     )
     return found.select(
         "path", F.col("line").alias("seq"), F.when(F.col("kind") == "class", "class").otherwise("function").alias("kind"),
-        F.concat_ws(".", owner, name).alias("name"), F.col("line").alias("start_line"), "end_line", exported.alias("exported"))
+        name.alias("name"), F.col("line").alias("start_line"), "end_line", exported.alias("exported"))
+
 
+def calls(code: DataFrame, declared: DataFrame, nested: DataFrame) -> DataFrame:
+    """(path, caller, callee, receiver) of calls inside functions; the innermost one calls.
 
-def calls(code: DataFrame, declared: DataFrame) -> DataFrame:
-    """(path, caller, callee, receiver) of calls inside functions; the innermost one calls."""
-    pattern = r"((?:\w+(?:\.|::))*\w+)\s*\("
+    A name that a line declares is no call there. In C++ a ``::`` names a namespace and
+    not a module: the callee keeps its path, and a bare one means the nearest namespace
+    around the caller in which its file defines it.
+    """
+    pattern = r"((?:\w+(?:\.|::|->))*\w+)\s*\("
     rows = code.select("path", "line", "lang", F.explode(F.regexp_extract_all("bare", F.lit(pattern), 1)).alias("callee_path"))
-    # A Rust value's method is no function of a module; only paths are followed.
-    rows = rows.where((F.col("lang") != "rust") | (F.instr("callee_path", ".") == 0))
-    rows = rows.withColumn("callee_path", F.replace("callee_path", F.lit("::"), F.lit(".")))
+    rows = rows.withColumn("callee_path", F.replace("callee_path", F.lit("->"), F.lit(".")))
+    # A value's method is no function of a module in Rust and C++; only paths are followed.
+    rows = rows.where(~F.col("lang").isin("rust", "c") | (F.instr("callee_path", ".") == 0))
+    rows = rows.withColumn("callee_path", F.when(F.col("lang") == "c", F.col("callee_path")).otherwise(F.replace("callee_path", F.lit("::"), F.lit("."))))
     receiver = F.when(F.instr("callee_path", ".") > 0, F.regexp_replace("callee_path", r"\.\w+$", "")).otherwise(F.lit(""))
     rows = rows.select("path", "line", "lang", F.substring_index("callee_path", ".", -1).alias("callee"), receiver.alias("receiver"))
     rows = rows.where(~F.col("callee").isin(*KEYWORDS) & (F.col("lang").isin("python", "rust") | (F.instr("receiver", ".") == 0)))
-    spans = declared.where("kind = 'function'").select(F.col("path").alias("p"), "name", "start_line", "end_line")
-    held = rows.join(spans, (F.col("path") == F.col("p")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
-    own = held.where((F.col("line") != F.col("start_line")) | (F.substring_index("name", ".", -1) != F.col("callee")))
-    innermost = own.groupBy("path", "line", "callee", "receiver").agg(F.max_by("name", "start_line").alias("caller"))
-    return innermost.select("path", "caller", "callee", "receiver").distinct()
+    functions = declared.where("kind = 'function'")
+    own = functions.select("path", F.col("start_line").alias("line"), F.regexp_extract("name", r"(~?\w+)$", 1).alias("callee"))
+    rows = rows.withColumn("tail", F.substring_index("callee", "::", -1))
+    rows = rows.join(own.withColumnRenamed("callee", "tail"), ["path", "line", "tail"], "left_anti")
+    held = rows.join(nested.where("function_line IS NOT NULL").select("path", "line", "function_line"), ["path", "line"])
+    named = functions.select("path", F.col("start_line").alias("function_line"), F.col("name").alias("caller"))
+    made = held.join(named, ["path", "function_line"]).select("path", "lang", "caller", "callee", "receiver").distinct()
+    # Namespaces from the caller's own outwards, then none.
+    space = F.split(F.regexp_extract("caller", r"^((?:\w+::)*)", 1), "::")
+    depth = F.size(space) - 1
+    tries = F.transform(F.sequence(F.lit(0), F.greatest(depth - 1, F.lit(0))), lambda k: F.array_join(F.concat(F.slice(space, 1, depth - k), F.array("callee")), "::"))
+    bare = made.where((F.col("lang") == "c") & (F.instr("callee", "::") == 0) & (F.instr("caller", "::") > 0))
+    known = declared.select("path", F.col("name").alias("full")).distinct()
+    near = bare.select("path", "caller", "callee", F.posexplode(tries).alias("k", "full")).join(known, ["path", "full"])
+    near = near.groupBy("path", "caller", "callee").agg(F.min_by("full", "k").alias("full"))
+    made = made.join(near, ["path", "caller", "callee"], "left")
+    return made.select("path", "caller", F.coalesce("full", "callee").alias("callee"), "receiver").distinct()
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -227,12 +296,21 @@ def reexports(files: DataFrame) -> DataFrame:
         F.regexp_extract("n", r"^(\w+)", 1).alias("local"), (F.col("specifier") != "").alias("has_specifier"), "specifier")
 
 
-def prototypes(code: DataFrame, files: DataFrame) -> DataFrame:
+PROTOTYPE = r"^\s*(?:extern\s+)?(?:[A-Za-z_][\w:]*[\s*&]+)+(\w+)\s*\([^;{}()]*\)\s*;"
+
+
+def _is_prototype() -> Column:
+    """Whether a line of a header may declare a function."""
+    header = F.col("path").rlike(r"\.(h|hpp|hh|hxx)$") & F.col("bare").rlike(PROTOTYPE)
+    return header & ~F.col("bare").rlike(r"^\s*(return|typedef|static|else|new|delete|throw)\b")
+
+
+def prototypes(marked: DataFrame, nested: DataFrame, files: DataFrame) -> DataFrame:
     """Re-exports (path, seq, exported, local, has_specifier, target) of functions that a
-    header declares: they live in the source file of the same stem beside it."""
-    pattern = r"^\s*(?:extern\s+)?(?:[A-Za-z_]\w*[\s*]+)+(\w+)\s*\([^;{}()]*\)\s*;"
-    heads = code.where(F.col("path").rlike(r"\.(h|hpp|hh|hxx)$") & (F.col("depth") == 0) & F.col("bare").rlike(pattern) & ~F.col("bare").rlike(r"^\s*(return|typedef|static)\b"))
-    name = F.regexp_extract("bare", pattern, 1)
+    header declares at the level of a file or a namespace: they live in the source file of
+    the same stem beside it."""
+    heads = marked.where("promises AND kind IS NULL").join(nested.select("path", "line", "space", "n_spaces"), ["path", "line"]).where("depth = n_spaces")
+    name = F.concat_ws("::", F.nullif("space", F.lit("")), F.regexp_extract("bare", PROTOTYPE, 1))
     heads = heads.select("path", F.col("line").cast("long").alias("seq"), name.alias("exported"), name.alias("local"))
     stem = F.regexp_replace("path", r"\.\w+$", "")
     pairs = F.array(*(F.concat(stem, F.lit(f".{e}")) for e in PAIRS))
@@ -240,11 +318,26 @@ def prototypes(code: DataFrame, files: DataFrame) -> DataFrame:
     return heads.join(mates, "path").select("path", "seq", "exported", "local", F.lit(True).alias("has_specifier"), "target")
 
 
-def rust_candidates(path: Column, specifier: Column) -> Column:
+def crates(files: DataFrame) -> DataFrame:
+    """(name, src_dir): the source directory of each crate of the tree, that holds its
+    ``lib.rs`` or ``main.rs``. The manifest beside it names it, else its directory does."""
+    root = files.where(F.col("path").rlike(r"^(?:.*/)?src/(?:lib|main)\.rs$")).select(resolve.directory(F.col("path")).alias("src_dir")).distinct()
+    root = root.withColumn("crate_dir", F.regexp_replace("src_dir", "/?src$", ""))
+    manifests = files.where((F.col("path") == "Cargo.toml") | F.col("path").endswith("/Cargo.toml"))
+    package = F.regexp_extract("text", r"(?ms)^\s*\[package\](.*?)(?=^\s*\[|\z)", 1)
+    stated = F.regexp_extract(package, r'(?m)^\s*name\s*=\s*"([^"\n]*)"', 1)
+    manifests = manifests.select(resolve.directory(F.col("path")).alias("crate_dir"), F.nullif(stated, F.lit("")).alias("stated"))
+    name = F.coalesce("stated", F.nullif(F.substring_index("crate_dir", "/", -1), F.lit("")))
+    return root.join(manifests, "crate_dir", "left").select(F.replace(name, F.lit("-"), F.lit("_")).alias("name"), "src_dir").where("name IS NOT NULL")
+
+
+def rust_candidates(path: Column, specifier: Column, crate_src: Column) -> Column:
     """Module files of a ``use`` path, whole first, then without its last segments.
 
     ``crate`` is the nearest ``src``; ``self`` is the file's own children, ``super``
-    its parent's; another first segment is tried as a child module.
+    its parent's; a first segment that names a crate of the tree (``crate_src``, else
+    null) is that crate, and what is no module there is an item of its root file;
+    another first segment is tried as a child module.
     """
     here = resolve.directory(path)
     stem = F.regexp_extract(path, r"([^/]*)\.rs$", 1)
@@ -252,22 +345,29 @@ def rust_candidates(path: Column, specifier: Column) -> Column:
     src = F.regexp_extract(path, r"^((?:.*/)?src)/", 1)
     ups = F.length(F.regexp_extract(specifier, r"^((?:super::)*)", 1)) / F.length(F.lit("super::"))
     up = F.repeat(F.lit("../"), ups.cast("int"))
-    base = F.when(specifier.startswith("crate::"), src).when(specifier.startswith("super::"), resolve.joined(own, up)).otherwise(own)
-    rest = F.regexp_replace(specifier, r"^(?:crate::|self::|(?:super::)+)", "")
-    parts = F.split(rest, "::")
-    shorter = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/"))
-    joined = F.transform(shorter, lambda x: F.concat_ws("/", F.nullif(base, F.lit("")), x))
-    return F.flatten(F.transform(joined, lambda x: F.array(F.concat(x, F.lit(".rs")), F.concat(x, F.lit("/mod.rs")))))
-
-
-def _candidates(path: Column, specifier: Column, go_module: Column) -> Column:
+    base = (
+        F.when(specifier.startswith("crate::"), src).when(specifier.startswith("super::"), resolve.joined(own, up))
+        .when(specifier.startswith("self::"), own).otherwise(F.coalesce(crate_src, own)))
+    named = crate_src.isNotNull()
+    rest = F.when(named, F.regexp_replace(specifier, r"^\w+(?:::)?", "")).otherwise(F.regexp_replace(specifier, r"^(?:crate::|self::|(?:super::)+)", ""))
+    parts = F.filter(F.split(rest, "::"), lambda x: x != "")
+    under = lambda x: F.concat_ws("/", F.nullif(base, F.lit("")), x)
+    shorter = F.when(F.size(parts) > 0, F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/"),
+    )).otherwise(F.array().cast("array<string>"))
+    modules = F.flatten(F.transform(F.transform(shorter, under), lambda x: F.array(F.concat(x, F.lit(".rs")), F.concat(x, F.lit("/mod.rs")))))
+    roots = F.array(*(under(F.lit(f"{n}.rs")) for n in ("mod", "lib", "main")), F.concat(base, F.lit(".rs")))
+    return F.concat(modules, F.when(named, roots).otherwise(F.array().cast("array<string>")))
+
+
+def _candidates(path: Column, specifier: Column, go_module: Column, crate_src: Column) -> Column:
     lang = language(path)
     none = F.array().cast("array<string>")
     inner = F.when(F.startswith(specifier, F.concat(go_module, F.lit("/"))), F.substring(specifier, F.length(go_module) + 2, F.length(specifier)))
     return F.coalesce(
         F.when(lang == "es", resolve.es_candidates(path, specifier)).when(lang == "python", resolve.python_candidates(path, specifier))
         .when(lang == "go", F.array(inner)).when(lang == "c", resolve.include_candidates(path, specifier))
-        .when(lang == "rust", rust_candidates(path, specifier)), none)
+        .when(lang == "rust", rust_candidates(path, specifier, crate_src)), none)
 
 
 def resolved(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -277,9 +377,15 @@ def resolved(files: DataFrame, wanted: DataFrame) -> DataFrame:
     mods = files.where("path = 'go.mod'").select(F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("go_module"))
     # One row at most: the module line of the root's go.mod.
     pairs = wanted.select("path", "specifier").distinct().withColumn("import_seq", F.xxhash64("path", "specifier"))
-    pairs = pairs.withColumn("one", F.lit(1)).join(mods.withColumn("one", F.lit(1)), "one", "left").drop("one")
+    pairs = pairs.withColumn("one", F.lit(1)).join(F.broadcast(mods.limit(1).withColumn("one", F.lit(1))), "one", "left").drop("one")
+    # The crate of the tree that a Rust path may begin with.
+    first = F.when(language(F.col("path")) == "rust", F.regexp_extract("specifier", r"^(\w+)", 1))
+    pairs = pairs.withColumn("name", first)
+    asked = pairs.where(~F.col("name").isin("crate", "self", "super")).select("path", "name").distinct()
+    near = resolve.nearest(asked, crates(files)).select("path", "name", F.col("src_dir").alias("crate_src"))
+    pairs = pairs.join(near, ["path", "name"], "left")
     targets = paths.unionByName(anchors.select(F.col("dir").alias("path")))
-    hit = resolve.first_match(pairs, _candidates(F.col("path"), F.col("specifier"), F.col("go_module")), targets)
+    hit = resolve.first_match(pairs, _candidates(F.col("path"), F.col("specifier"), F.col("go_module"), F.col("crate_src")), targets)
     hit = hit.join(anchors.select(F.col("dir").alias("target"), "anchor"), "target", "left").select("path", "import_seq", F.coalesce("anchor", "target").alias("target"))
     return pairs.join(hit, ["path", "import_seq"]).select("path", "specifier", "target")
 
@@ -292,8 +398,9 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of ``files`` (path, text)."""
     # Facts are written once; five branches read them.
-    code = cut(lines(files), "facts-lines")
-    declared = cut(extract.symbol_ids(symbols(code)), "facts-symbols")
+    code = cut(marked(lines(files)), "facts-lines")
+    nested = cut(nesting(code), "facts-nesting")
+    declared = cut(extract.symbol_ids(symbols(code, nested)), "facts-symbols")
     counts = declared.groupBy("path").agg(F.count_if(F.col("kind") == "function").alias("f"), F.count_if(F.col("kind") == "class").alias("c"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     known = files.join(counts, "path", "left")
@@ -311,7 +418,11 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = stated.where("imported IS NOT NULL AND NOT is_namespace")
     deep = F.concat(F.col("specifier"), F.when(F.col("specifier").endswith("."), "").otherwise("."), F.col("imported"))
     as_module = names.where(language(F.col("path")) == "python").select("path", "import_seq", "local", "imported", "specifier", deep.alias("module"))
-    wanted = stated.select("path", "specifier").unionByName(as_module.select("path", F.col("module").alias("specifier"))).unionByName(
+    made = cut(calls(code, declared, nested), "facts-calls")
+    # A Rust path before a call may name a module that no ``use`` binds.
+    reached = made.where((language(F.col("path")) == "rust") & (F.col("receiver") != "")).select("path", "receiver").distinct()
+    reached = reached.withColumn("specifier", F.replace("receiver", F.lit("."), F.lit("::")))
+    wanted = stated.select("path", "specifier").unionByName(reached.select("path", "specifier")).unionByName(as_module.select("path", F.col("module").alias("specifier"))).unionByName(
         offered.where("has_specifier").select("path", "specifier"))
     found = cut(resolved(files, wanted), "facts-resolved")
     module_of = found.select("path", F.col("specifier").alias("module"), F.col("target").alias("module_target"))
@@ -324,10 +435,12 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     spaces = stated.where("is_namespace").join(found, ["path", "specifier"]).select("path", "local", "target", order(0).alias("ord"))
     modules = spaces.unionByName(with_modules.where("module_target IS NOT NULL").select("path", "local", F.col("module_target").alias("target"), order(1).alias("ord")))
 
+    unbound = reached.join(found, ["path", "specifier"])
+    modules = modules.unionByName(unbound.select("path", F.col("receiver").alias("local"), "target", F.struct(F.lit(-1).alias("import_seq"), F.lit(0).alias("part")).alias("ord")))
+
     whole = stated.where("imported IS NULL OR is_namespace").join(found, ["path", "specifier"]).select("path", "target")
     by_name = with_modules.select("path", F.coalesce("module_target", "target").alias("target")).where("target IS NOT NULL")
     imported = whole.unionByName(by_name).where("path <> target").distinct()
-    made = cut(calls(code, declared), "facts-calls")
     # In C every callee that a file does not define is offered to each of its includes.
     included = stated.where(language(F.col("path")) == "c").join(found, ["path", "specifier"])
     loose = made.where((language(F.col("path")) == "c") & (F.col("receiver") == "")).select("path", "callee").distinct()
@@ -335,7 +448,7 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     bindings = bindings.unionByName(offers)
     functions = declared.where("kind = 'function'").select("path", "name", "exported")
     offered = offered.join(found, ["path", "specifier"], "left").select("path", "seq", "exported", "local", "has_specifier", "target")
-    offered = offered.unionByName(prototypes(code, files.select("path")))
+    offered = offered.unionByName(prototypes(code, nested, files.select("path")))
     # A local name in an export clause is exported by it.
     listed = offered.where("NOT has_specifier").select("path", F.col("local").alias("name")).distinct().withColumn("listed", F.lit(True))
     functions = functions.join(listed, ["path", "name"], "left").select("path", "name", (F.col("exported") | F.coalesce("listed", F.lit(False))).alias("exported"))

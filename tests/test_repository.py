@@ -32,6 +32,24 @@ TREE = {
     "c/calc.c": '#include "calc.h"\n\nint add(int a, int b) {\n    return a + b;\n}\nstatic int hidden(void) {\n    return 1;\n}\n',
     "rs/src/main.rs": "mod util;\nuse crate::util::{help as h, Tool};\nuse std::fs;\n\npub struct App {\n}\n\nimpl App {\n    fn go(&self) {\n        h();\n        util::help();\n        fs::read();\n    }\n}\n\nfn main() {\n    local();\n}\n\nfn local() {\n}\n",
     "rs/src/util.rs": "pub struct Tool {\n}\n\npub fn help() {\n}\n\nfn secret() {\n}\n",
+    "cpp/geo.hpp": "namespace geo {\nint nsq(int x);\nstruct Disc {\n    double r;\n    int area();\n};\nnamespace inner {\nint deep(int x);\n}\n}\n",
+    "cpp/geo.cpp": (
+        '#include "bare.hpp"\n#include "geo.hpp"\n\nnamespace geo {\nint nsq(int x) {\n    return x * x;\n}\n\n'
+        "int twice(int k) {\n    return nsq(k) + nsq(k);\n}\n}\n\nnamespace geo::inner {\nint deep(int x) {\n    return geo::nsq(x) + 1;\n}\n}\n\n"
+        "double Circle::area() {\n    return nsq(2);\n}\n"
+    ),
+    "cpp/bare.hpp": "int nsq(int x);\n",
+    "cpp/bare.cpp": '#include "bare.hpp"\n\nint nsq(int x) {\n    return x + 1;\n}\n',
+    "cpp/use.cpp": '#include "geo.hpp"\nint use_geo() {\n    return geo::nsq(2);\n}\n\nint use_deep(Disc d) {\n    d.nsq(1);\n    return geo::inner::deep(3);\n}\n',
+    "ws/crates/engine-core/Cargo.toml": '[workspace]\n\n[package]\nname = "engine-core"\n\n[dependencies]\nname = "no"\n',
+    "ws/crates/engine-core/src/lib.rs": "pub mod run;\n\npub fn top() {\n}\n",
+    "ws/crates/engine-core/src/run.rs": "pub fn go() {\n}\n",
+    "ws/crates/engine-core/tests/it.rs": "use engine_core::run::go;\n\nfn checks() {\n    go();\n    engine_core::top();\n}\n",
+    "ws/crates/toolbox/Cargo.toml": '[package]\nversion = "1"\nname = "ws-tools"\n',
+    "ws/crates/toolbox/src/lib.rs": "pub fn helper() {\n}\n",
+    "ws/vendor/toolbox/Cargo.toml": '[package]\nname = "ws-tools"\n',
+    "ws/vendor/toolbox/src/lib.rs": "pub fn helper() {\n}\n",
+    "ws/crates/cli/src/main.rs": "use ws_tools::helper;\nuse serde::Serialize;\n\nfn cli() {\n    helper();\n    fn nested() {\n        engine_core::run::go();\n    }\n}\n",
     "node_modules/x.ts": "export function no() {\n}\n",
     "notes.txt": "call main() here\n",
 }
@@ -57,7 +75,8 @@ def test_files_and_symbols(tree):
     assert "file:node_modules/x.ts" not in nodes and "file:notes.txt" in nodes
     for symbol in ("class:web/app.ts:Box", "function:web/app.ts:Box.open", "function:web/app.ts:arrow", "function:pkg/core.py:Job.act",
                    "function:pkg/core.py:broken", "class:store/store.go:DB", "function:store/store.go:DB.Close",
-                   "function:c/main.c:twice", "function:rs/src/main.rs:App.go", "class:rs/src/util.rs:Tool"):
+                   "function:c/main.c:twice", "function:rs/src/main.rs:App.go", "class:rs/src/util.rs:Tool",
+                   "class:cpp/geo.hpp:geo::Disc", "function:cpp/geo.cpp:geo::inner::deep", "function:cpp/geo.cpp:Circle.area"):
         assert symbol in nodes
     assert nodes["file:cmd/help.go"] == "Go file, 4 lines: 1 function"
     assert nodes["function:web/greet.ts:greet"] == "Function greet, lines 1-2"
@@ -68,6 +87,9 @@ def test_imports(tree):
         ("web/app.ts", "web/lib/index.ts"), ("web/app.ts", "web/util.ts"), ("web/lib/index.ts", "web/greet.ts"),
         ("pkg/core.py", "pkg/tools.py"), ("cmd/main.go", "store/store.go"),
         ("c/main.c", "c/calc.h"), ("c/calc.c", "c/calc.h"), ("rs/src/main.rs", "rs/src/util.rs"),
+        ("cpp/geo.cpp", "cpp/bare.hpp"), ("cpp/geo.cpp", "cpp/geo.hpp"), ("cpp/bare.cpp", "cpp/bare.hpp"), ("cpp/use.cpp", "cpp/geo.hpp"),
+        ("ws/crates/engine-core/src/lib.rs", "ws/crates/engine-core/src/run.rs"),
+        ("ws/crates/engine-core/tests/it.rs", "ws/crates/engine-core/src/run.rs"), ("ws/crates/cli/src/main.rs", "ws/crates/toolbox/src/lib.rs"),
     }
 
 
@@ -79,6 +101,13 @@ def test_calls_and_decoys(tree):
         ("cmd/main.go:main", "store/open.go:Open"), ("cmd/main.go:main", "cmd/help.go:helper"),
         ("c/main.c:twice", "c/calc.c:add"), ("c/main.c:main", "c/main.c:twice"),
         ("rs/src/main.rs:App.go", "rs/src/util.rs:help"), ("rs/src/main.rs:main", "rs/src/main.rs:local"),
+        ("cpp/geo.cpp:geo::twice", "cpp/geo.cpp:geo::nsq"), ("cpp/geo.cpp:geo::inner::deep", "cpp/geo.cpp:geo::nsq"),
+        ("cpp/geo.cpp:Circle.area", "cpp/bare.cpp:nsq"), ("cpp/use.cpp:use_geo", "cpp/geo.cpp:geo::nsq"),
+        ("cpp/use.cpp:use_deep", "cpp/geo.cpp:geo::inner::deep"),
+        ("ws/crates/engine-core/tests/it.rs:checks", "ws/crates/engine-core/src/run.rs:go"),
+        ("ws/crates/engine-core/tests/it.rs:checks", "ws/crates/engine-core/src/lib.rs:top"),
+        ("ws/crates/cli/src/main.rs:cli", "ws/crates/toolbox/src/lib.rs:helper"),
+        ("ws/crates/cli/src/main.rs:nested", "ws/crates/engine-core/src/run.rs:go"),
     }
 
 
@@ -88,5 +117,21 @@ def test_exports(tree):
 
 
 def test_flows_start_where_nothing_calls(tree):
-    roots = {r.path for r in semantics.entry_functions(*tree).collect()}
+    roots = {r.path for r in semantics.entry_functions(*tree).collect() if not r.path.startswith(("cpp", "ws"))}
     assert roots == {"web/app.ts", "pkg/core.py", "cmd/main.go", "c/main.c", "rs/src/main.rs"}
+
+
+def test_namespaces_do_not_change_linkage(tree):
+    assert {t for _, t in pairs(tree[1], "exports") if t.startswith("cpp")} == {
+        "cpp/geo.hpp:geo::Disc", "cpp/geo.cpp:geo::nsq", "cpp/geo.cpp:geo::twice", "cpp/geo.cpp:geo::inner::deep", "cpp/bare.cpp:nsq",
+        "cpp/use.cpp:use_geo", "cpp/use.cpp:use_deep"}
+
+
+def test_declarations_end_with_their_last_line(spark):
+    text = "def a():\n    def b():\n        c()\n\n    b()\n\n\n# end\nclass K:\n    def m(self):\n        b()\n"
+    code = repository.marked(repository.lines(spark.createDataFrame([("x.py", text)], "path string, text string")))
+    nested = repository.nesting(code)
+    found = repository.symbols(code, nested)
+    assert {(r.name, r.start_line, r.end_line) for r in found.collect()} == {("a", 1, 5), ("b", 2, 3), ("K", 9, 11), ("K.m", 10, 11)}
+    called = repository.calls(code, found, nested)
+    assert {(r.caller, r.callee) for r in called.collect()} == {("b", "c"), ("a", "b"), ("K.m", "b")}

@@ -3,6 +3,7 @@
 import json
 import subprocess
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.codemap import CodeMap
@@ -129,3 +130,45 @@ def test_back_links_and_grid(spark):
     depth = spark.createDataFrame([(f"n{i}", 0 if i < 5 else 3) for i in range(7)], "node_id string, depth int")
     got = {r.node_id: (r.band, r.row, r.column) for r in layout.grid(depth).collect()}
     assert got["n0"] == (0, 0, 0) and got["n4"] == (0, 1, 0) and got["n5"] == (1, 2, 0) and got["n6"] == (1, 2, 1)
+
+
+def _crossings(band, place, links):
+    count = 0
+    for i, (a, b) in enumerate(links):
+        for c, d in links[i + 1 :]:
+            if band[a] == band[c] and band[b] == band[d] == band[a] + 1:
+                count += (place[a] - place[c]) * (place[b] - place[d]) < 0
+    return count
+
+
+def test_ordering_takes_crossings_out(spark):
+    random = np.random.default_rng(5)
+    for _ in range(20):
+        band = np.sort(random.integers(0, 4, 24))
+        band = np.unique(band, return_inverse=True)[1]
+        place = np.concatenate([np.arange(n) for n in np.bincount(band)])
+        links = np.array([(a, b) for a, b in random.integers(0, 24, (60, 2)) if band[a] < band[b]]).reshape(-1, 2)
+        got = layout.uncrossed(band, place, links)
+        for b in set(band):
+            assert sorted(got[band == b]) == list(range((band == b).sum()))
+        assert _crossings(band, got, links.tolist()) <= _crossings(band, place, links.tolist())
+    cards = spark.createDataFrame([("v", "a", 0, 0), ("v", "b", 0, 1), ("v", "c", 1, 0), ("v", "d", 1, 1), ("w", "x", 0, 0)], "view string, node_id string, band int, place int")
+    links = spark.createDataFrame([("v", "a", "d"), ("v", "b", "c"), ("u", "a", "b")], "view string, source string, target string")
+    placed = layout.ordered(cards, links)
+    assert {(r.view, r.node_id, r.band, r.place) for r in placed.collect()} == {("v", "a", 0, 0), ("v", "b", 0, 1), ("v", "d", 1, 0), ("v", "c", 1, 1), ("w", "x", 0, 0)}
+    alone = spark.createDataFrame([("v", "k", 0), ("v", "l", 1), ("v", "m", 2), ("z", "q", 0)], "view string, node_id string, place int")
+    at = {(r.view, r.node_id): (r.x, r.y) for r in layout.drawing(placed, alone).collect()}
+    assert at == {("v", "a"): (109.0, 0.0), ("v", "b"): (327.0, 0.0), ("v", "d"): (109.0, 130.0), ("v", "c"): (327.0, 130.0), ("w", "x"): (0.0, 0.0),
+                  ("v", "k"): (0.0, 332.0), ("v", "l"): (218.0, 332.0), ("v", "m"): (436.0, 332.0), ("z", "q"): (0.0, 0.0)}
+
+
+def test_edge_ends_fan_out(spark):
+    cards = spark.createDataFrame([("v", "hub", 0.0, 52.0), ("v", "l", -100.0, 52.0), ("v", "r", 100.0, 52.0)], "view string, node_id string, x double, width double")
+    edges = [("v", "e1", "hub", "r"), ("v", "e0", "hub", "l"), ("v", "gone", "hub", "x")] + [("v", f"m{i}", "l", "hub") for i in range(4)]
+    rows = layout.fan_out(cards, spark.createDataFrame(edges, "view string, edge_id string, source string, target string")).collect()
+    at = {(r.edge_id, r.node_id): (r.anchor, r.x) for r in rows}
+    assert at[("e0", "hub")] == ("s0", 14.0) and at[("e1", "hub")] == ("s1", 38.0) and at[("e1", "r")] == ("t0", 26.0)
+    assert [at[(f"m{i}", "hub")] for i in range(4)] == [("t0", 14.0), ("t0", 14.0), ("t1", 26.0), ("t2", 38.0)]
+    assert not [k for k in at if k[0] == "gone"]
+    one = next(r for r in rows if r.edge_id == "e1" and r.node_id == "hub")
+    assert (one.handle_x, one.handle_y) == (35.0, 52.0)
