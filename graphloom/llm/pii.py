@@ -21,7 +21,9 @@ rows have equal spans; other columns pass through.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -449,9 +451,15 @@ def all_spans(text: str | None, field: Field) -> list[tuple[str, int, int]]:
     """Pattern spans, then field spans that touch none of them."""
     if not text:
         return []
-    base = base_spans(text)
-    found = field_spans(text, field)
-    return base + [s for s in found if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    base, found = base_spans(text), field_spans(text, field)
+    if not base or not found:
+        return base + found
+    # A span touches one of those that begin before its end if the furthest of
+    # their ends is beyond its start.
+    begins, ends = zip(*sorted((a, b) for _, a, b in base))
+    furthest = list(accumulate(ends, max))
+    before = [bisect_left(begins, end) for _, _, end in found]
+    return base + [s for s, k in zip(found, before) if not k or furthest[k - 1] <= s[1]]
 
 
 def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

@@ -488,3 +488,13 @@ def test_zip64_directory():
     assert package.stored(warc.DATA) == (len(local), len(data))
     headers, payload = next(warc.read_records(package, [{"offset": 0, "length": len(data)}]))
     assert headers["warc-record-id"] == "<urn:page:7>" and payload == b"body"
+
+
+def test_field_spans_that_touch_a_pattern_go(monkeypatch):
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        draw = lambda kind, n: [(kind, int(a), int(a + d)) for a, d in zip(rng.integers(0, 40, n), rng.integers(1, 9, n))]
+        base, found = draw("email", rng.integers(0, 5)), draw("name", rng.integers(0, 6))
+        monkeypatch.setattr(pii, "base_spans", lambda text: base)
+        monkeypatch.setattr(pii, "field_spans", lambda text, field: found)
+        assert pii.all_spans("x", None) == base + [s for s in found if not any(s[1] < b and a < s[2] for _, a, b in base)]
