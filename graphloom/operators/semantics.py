@@ -75,9 +75,10 @@ def flow_steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, node_id, pos): the depth-first pre-order walk from each entry function.
 
     With neighbours in id order, a node's place in that walk is the rank of the
-    least path to it, paths being compared id by id. Least paths are relaxed
-    level by level over (root, node) pairs until nothing changes, so a large
-    flow is shared by many tasks. On a graph with cycles paths stay simple.
+    least simple path to it, paths being compared id by id; this also holds with
+    cycles, and each beginning of such a path is itself least. Least paths are
+    relaxed level by level over (root, node) pairs until nothing changes, so a
+    large flow is shared by many tasks, and rounds are at most the walk's depth.
     """
     calls = cut(edges.where("kind = 'calls'").select("source", "target").distinct(), "calls")
     roots = entry_functions(nodes, edges).select(F.col("node_id").alias("root"), F.col("node_id"), F.array("node_id").alias("way"))
