@@ -14,7 +14,8 @@
 4. Curriculum. A source's weight at time t in [0, 1] is ``a + (b - a) t``. Its
    integral gives the source's cumulative demand, which is inverted to find
    the time, and from it the position in the training stream, at which a
-   document is first due. Rows leave range-sorted by that position.
+   document is first due. Rows leave range-sorted by that position. ``mixed``
+   places each pass over a source at its own part of the demand.
 
 Defined results: null or blank texts have size 0 and take 0 words; a null
 source is a source of its own; null ids sort first; repeated rows are separate
@@ -85,13 +86,21 @@ def due(share: Column, a: Column, b: Column) -> Column:
     return share * (a + b) / (a + F.sqrt(a * a + (b - a) * (a + b) * share))
 
 
+def _position(at: Column) -> Column:
+    """The training position at which word ``at`` of a source's demand is due."""
+    share = at / F.nullif(F.col("whole").cast("double"), F.lit(0.0))
+    t = due(share, F.col("a"), F.col("b"))
+    return F.floor(F.col("linear") * t + F.col("square") / 2 * t * t).cast("long")
+
+
 def mix(docs: DataFrame, text_col: str = "text", keep_rows: bool = False) -> DataFrame:
     """A row for each document: what the mix takes of it and when it is first due.
 
     Columns: doc_id, source, size, source_size, target, taken, copies (whole
     copies in the mix: a document cut by its source's end counts if at least
     half of it is taken), position (null if nothing is taken), and with
-    ``keep_rows`` the input row as a struct ``row``.
+    ``keep_rows`` the input row as a struct ``row`` and ``positions``, a
+    position for each copy (null if there is none).
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = docs.select(
@@ -117,23 +126,22 @@ def mix(docs: DataFrame, text_col: str = "text", keep_rows: bool = False) -> Dat
     over = F.col("whole") - F.col("_full") * F.col("source_size") - F.col("_at")
     joined = joined.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), over)))
     joined = joined.withColumn("taken", (F.col("_full") * F.col("size") + F.col("_part")).cast("long"))
-    share = F.col("_at") / F.nullif(F.col("whole").cast("double"), F.lit(0.0))
-    joined = joined.withColumn("_t", F.when(F.col("taken") > 0, due(share, F.col("a"), F.col("b"))))
-    position = F.floor(F.col("linear") * F.col("_t") + F.col("square") / 2 * F.col("_t") * F.col("_t"))
     half = ((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("size"))).cast("long")
+    joined = joined.withColumn("copies", F.col("_full") * (F.col("size") > 0).cast("long") + half)
+    # Pass p over a source starts after p times its words.
+    passes = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: _position(p * F.col("source_size") + F.col("_at")))
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", "taken",
-        (F.col("_full") * (F.col("size") > 0).cast("long") + half).alias("copies"),
-        position.cast("long").alias("position"),
-        *(["row"] if keep_rows else []),
+        "doc_id", "source", "size", "source_size", "target", "taken", "copies",
+        F.when(F.col("taken") > 0, _position(F.col("_at"))).alias("position"),
+        *(["row", F.when(F.col("copies") > 0, passes).alias("positions")] if keep_rows else []),
     )
 
 
 def mixed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself: whole documents with the columns of ``docs``, a copy for
-    each time they are taken, range-sorted by training position."""
+    each time they are taken, range-sorted by each copy's training position."""
     plan = mix(docs, text_col, keep_rows=True)
-    copies = plan.select("position", "doc_id", "row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    copies = plan.select(F.explode("positions").alias("position"), "doc_id", "row")
     return copies.orderBy("position", "doc_id").select("row.*")
 
 

@@ -418,6 +418,23 @@ def test_mix_meets_targets_in_curriculum_order(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in rows)
 
 
+def test_every_pass_follows_its_schedule_to_the_end(spark):
+    # 20 equal sources: weight 3 is passed over about one and a half times.
+    # One hot source beside small ones: those are at the cap of three passes.
+    equal = {f"s{i:02d}": 40 for i in range(20)}
+    hot = {"a": 10, "b": 10, "c": 10, "hot": 3000}
+    for sizes in (equal, hot):
+        made = [(i, "one two three four five", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+        docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+        plan = {r.source: r for r in mixing.source_targets(spark.createDataFrame([(s, 5 * n) for s, n in sizes.items()], "source string, source_size long")).collect()}
+        order = [r.source for r in mixing.mixed(docs).collect()]
+        assert max(r.target / r.source_size for r in plan.values()) > 1.5
+        for t in (0.25, 0.5, 0.75, 0.9, 1.0):
+            head = order[: round(sum(r.whole * (r.a * t + (r.b - r.a) / 2 * t * t) for r in plan.values()) / 5)]
+            for s, r in plan.items():
+                assert abs(5 * head.count(s) - r.whole * (r.a * t + (r.b - r.a) / 2 * t * t)) <= 10, (s, t)
+
+
 def test_due_inverts_the_integral(spark):
     for a, b in mixing.SCHEDULES.values():
         for t in (0.0, 0.25, 0.9, 1.0):
