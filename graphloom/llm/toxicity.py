@@ -1,25 +1,28 @@
 """Toxicity: misspelling-tolerant lexicon matches, weighed by their context.
 
-Lexicon. Terms are learned from a sample of labelled documents: words that
-stand in toxic documents far more often than in others (by document counts,
-made by Spark), with a few fixed ones besides. At most ``TERMS`` terms.
+Lexicon. Terms are learned from all labelled documents: words that stand in
+toxic documents far more often than in others (by document counts, made by
+Spark), with a few fixed ones besides. A word of any length is a term if the
+Chernoff bound of its counts arising by chance, times the number of words
+tried, is below ``DOUBT``; the lexicon is as large as the evidence makes it.
 
 Matching. The terms form a trie. A Levenshtein automaton of the allowed
 distance runs along it: a state is the set of (trie node, edits) pairs that a
 word's letters so far can reach. States are made when first met and kept, so
 that a worker turns the product of automaton and trie into a plain table and a
-word costs one step for each letter until its state is empty. Terms of five
+word costs one step for each letter until its state is empty. Terms of four
 letters allow one edit, of nine two; shorter ones none, and neither do learned
-terms whose misspellings turn out to be common in other documents.
+terms whose misspellings turn out to be common in other documents. A word that
+only looks like a misspelling is dropped after ``CLEAN_DOCS`` other documents.
 
 Context. A match inside quotation marks, or within ``WINDOW`` words of a word
 of reporting, counts as quoted; one within the window of "you" or another match
 counts as aimed. The log-odds of the text's terms are summed by context, a
 misspelled match weighing less than an exact one; the sums, the number of aimed
 matches and the matches' share of all words are the features of a logistic
-regression with weights of at least 0 that the driver fits. Terms and weights are fitted on at most ``SAMPLE`` label rows, the
-first by a keyed hash of their ids; that bound is also what is broadcast to
-find their documents.
+regression with weights of at least 0 that the driver fits. The weights are
+fitted on at most ``SAMPLE`` label rows, the first by a keyed hash of their ids;
+that bound is also what is broadcast to find their documents.
 
 Rows whose CRC-32 of the id is 0 modulo 5 are never learned from. Scores use
 the text alone.
@@ -44,11 +47,14 @@ from pyspark.sql import functions as F
 from graphloom.llm.text import draw
 from graphloom.session import cut
 
-#: Label rows that the fit may use, and terms that the lexicon may hold.
-SAMPLE, TERMS = 8000, 500
+#: Label rows that the fit may use.
+SAMPLE = 8000
 WINDOW = 6
 #: A learned term's least number of toxic documents and least odds against others.
 LEAST_DOCS, LEAST_ODDS = 3, 12.0
+#: The chance that any learned term is one by chance, and the least number of
+#: other documents that speak against a misspelling.
+DOUBT, CLEAN_DOCS = 0.05, 3
 #: The log-odds of a fixed term, and the weights used without labels.
 SEED_ODDS = 4.0
 FALLBACK = (1.0, 0.2, 0.5, 0.3)
@@ -66,7 +72,7 @@ EDIT_WEIGHT = (1.0, 0.7, 0.5)
 
 def edits_allowed(term: str) -> int:
     """Misspellings a term may have."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class Lexicon:
@@ -249,9 +255,22 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return cut(found.select("text", "toxic"), "toxic-sample")
 
 
+def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of all rows that may be learned from."""
+    usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    marked = labels.where(usable & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    found = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull()).join(marked, "doc_id")
+    return cut(found.select("text", "toxic"), "toxic-learnable")
+
+
 def learn_terms(rows: DataFrame) -> dict[str, float]:
-    """Words of far more toxic documents than others, with their log-odds."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'’]+"), lambda w: F.length(w) >= 4))
+    """Words of far more toxic documents than others, with their log-odds.
+
+    With a share ``p`` of toxic documents, chance puts ``bad`` or more of a
+    word's ``n`` documents among them with a probability of at most
+    ``exp(-n KL(bad / n, p))``.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'’]+"), lambda w: w != ""))
     each = rows.select(F.explode(words).alias("word"), (F.col("toxic") > 0).cast("long").alias("bad"))
     counts = each.groupBy("word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).where(F.col("bad") >= LEAST_DOCS)
     totals = rows.agg(F.sum((F.col("toxic") > 0).cast("long")).alias("bad"), F.count("*").alias("n")).head()
@@ -260,10 +279,14 @@ def learn_terms(rows: DataFrame) -> dict[str, float]:
         return terms
     bad, good = totals["bad"], totals["n"] - totals["bad"]
     odds = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (good + 1))
-    least = max(LEAST_DOCS, bad // 50)
-    found = counts.withColumn("odds", F.log(odds)).where((F.col("odds") >= math.log(LEAST_ODDS)) & (F.col("bad") >= least))
-    rows_found = found.orderBy(F.desc("bad"), "word").limit(TERMS).collect()
-    return terms | {r["word"]: max(r["odds"], terms.get(r["word"], 0.0)) for r in rows_found}
+    counts = cut(counts, "toxic-words")
+    clean = F.col("n") - F.col("bad")
+    base, share = bad / totals["n"], F.col("bad") / F.col("n")
+    against = F.when(clean > 0, clean * F.log(clean / F.col("n") / (1 - base))).otherwise(0.0)
+    evidence = F.col("bad") * F.log(share / base) + against
+    sure = (share > base) & (evidence >= math.log(max(1, counts.count()) / DOUBT))
+    found = counts.withColumn("odds", F.log(odds)).where((F.col("odds") >= math.log(LEAST_ODDS)) & sure)
+    return terms | {r["word"]: max(r["odds"], terms.get(r["word"], 0.0)) for r in found.collect()}
 
 
 def common_misspellings(rows: DataFrame, terms: dict[str, float]) -> tuple[list[str], list[str]]:
@@ -283,9 +306,10 @@ def common_misspellings(rows: DataFrame, terms: dict[str, float]) -> tuple[list[
 
     each = rows.select(F.inline(near(F.col("text"))), (F.col("toxic") > 0).cast("long").alias("bad"))
     each = cut(each.groupBy("term", "word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")), "toxic-near")
-    by_term = each.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("2 * bad < n").collect()
+    clean = (2 * F.col("bad") < F.col("n")) & (F.col("n") - F.col("bad") >= CLEAN_DOCS)
+    by_term = each.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(clean).collect()
     rigid = sorted(r["term"] for r in by_term if r["term"] not in SEEDS)
-    words = each.where((2 * F.col("bad") < F.col("n")) & ~F.col("term").isin(rigid)).select("word").distinct().collect()
+    words = each.where(clean & ~F.col("term").isin(rigid)).select("word").distinct().collect()
     return rigid, sorted(r["word"] for r in words)
 
 
@@ -305,10 +329,10 @@ def feature_rows(df: DataFrame, lexicon: tuple, carry: list[str]) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[tuple, np.ndarray, float]:
     """The lexicon (terms, those that allow no misspelling, words that are none),
     weights and bias."""
-    rows = labelled(docs, labels)
-    terms = learn_terms(rows)
-    lexicon = (terms, *common_misspellings(rows, terms))
-    seen = feature_rows(rows, lexicon, ["toxic"]).collect()
+    every = learnable(docs, labels)
+    terms = learn_terms(every)
+    lexicon = (terms, *common_misspellings(every, terms))
+    seen = feature_rows(labelled(docs, labels), lexicon, ["toxic"]).collect()
     y = np.array([float(r["toxic"] > 0) for r in seen])
     if len(set(y)) < 2:
         return lexicon, np.array(FALLBACK), -3.0

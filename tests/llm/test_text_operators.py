@@ -373,6 +373,28 @@ def test_quotation_scores_below_abuse():
     assert reader.features(None) == reader.features("") == [0.0] * 4
 
 
+def test_rare_and_short_terms_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SEEDS", ())
+    rng = random.Random(21)
+    terms = sorted({"".join(rng.choice("bcdfgkmpqvxz") for _ in range(3 + i % 5)) for i in range(80)})
+    # Each term stands in 10 of the labelled documents, about 1.3 % of the toxic ones.
+    made = [(prose(rng, 30) + f" {t} " + prose(rng, 30), 1) for t in terms for _ in range(10)]
+    made += [(prose(rng, 60), 0) for _ in range(3200)]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(made)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic) for i, (_, toxic) in enumerate(made)], "doc_id long, toxic int")
+    assert set(toxicity.learn_terms(toxicity.learnable(docs, labels))) == set(terms)
+    rows = toxicity.query(docs, labels).collect()
+    assert all(r.predicted == made[r.doc_id][1] for r in rows)
+
+
+def test_four_letters_allow_an_edit_and_one_sighting_drops_nothing(spark):
+    assert toxicity.Lexicon(["scum"]).match("scvm") == ("scum", 1)
+    made = [("scvm idiott", 0), *[("the moran", 0)] * 3]
+    rows = spark.createDataFrame(made, "text string, toxic int")
+    rigid, ordinary = toxicity.common_misspellings(rows, dict.fromkeys(toxicity.SEEDS, 4.0))
+    assert rigid == [] and ordinary == ["moran"]
+
+
 def test_held_out_scores_separate(spark):
     sf = SF.replace("0.001", "0.1")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
