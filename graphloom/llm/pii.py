@@ -250,7 +250,8 @@ class Field:
         self.rows = np.zeros((len(PLACES), 0, LABELS))
         self.edge = {place: self._sum(None, place) for place in PLACES}
         rel = moves - moves[OUT, OUT]
-        self.slack = rel[:, 1:].max(0) + np.maximum(0.0, rel[1:, OUT])
+        self.leave = np.maximum(0.0, rel[1:, OUT])
+        self.slack = rel[:, 1:].max(0) + self.leave
         self.plain = self._learn_kind(("x", "", False))
 
     def __getstate__(self):
@@ -304,9 +305,12 @@ class Field:
         A span opens with a "begin" or a "number". With each word's gain over
         "outside" raised by the most that transitions can add, and with what
         all later words of the line could add as "inside", a line without a
-        positive sum is best outside throughout.
+        positive sum is best outside throughout. No move leads to the first
+        word of a line.
         """
         gain = emissions[:, 1:] - emissions[:, :1] + self.slack
+        first = np.concatenate([[0], ends[:-1]]).astype(int)
+        gain[first] = emissions[first, 1:] - emissions[first, :1] + self.leave
         inside = np.cumsum(np.maximum(gain[:, INSIDE - 1], 0.0))
         line = np.searchsorted(ends, np.arange(len(gain)), side="right")
         later = inside[ends - 1][line] - inside

@@ -302,6 +302,25 @@ def test_decoder_and_screen_against_every_path():
             assert len(field.can_hold(short, np.array([len(short)])))
 
 
+def test_screen_keeps_lines_that_open_with_a_span():
+    trained, rng = pii.train(), random.Random(31)
+    cold = trained.moves.copy()
+    cold[:, [pii.BEGIN, pii.NUMBER]] -= 12.0
+    names = [n for n in " ".join(pii.NAMES).split()] + ["John", "Maria", "536-22-1984"]
+    rest = "the house was sold . and Contact Dr. name of Regards, today".split()
+    lines = [[rng.choice(names) for _ in range(rng.randint(1, 3))] + [rng.choice(rest) for _ in range(rng.randint(0, 5))] for _ in range(2000)]
+    for field in (trained, pii.Field(trained.weights, cold)):
+        scores = field.emissions(lines)
+        ends = np.cumsum([len(x) for x in lines])
+        # Around the point at which the first word's gain decides.
+        for nudge in (0.0, 1.0, 2.0, 4.0):
+            raised = scores.copy()
+            raised[ends - [len(x) for x in lines], 1:] += nudge
+            held = set(field.can_hold(raised, ends).tolist())
+            marked = {i for i, best in enumerate(field.decode(np.split(raised, ends[:-1]))) if best.any()}
+            assert marked <= held
+
+
 # --- op6 ------------------------------------------------------------------------
 
 
