@@ -34,7 +34,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,26 +218,37 @@ def plan(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of a Spark schema."""
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
 def write(planned: DataFrame, folder: str) -> DataFrame:
     """Write packages below ``folder``; (package, n_records) of those that count."""
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("page_id", "url", "payload", "digest", "refers_to")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = None, []
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(batch[c].tolist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
+            for page_id, url, payload, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in names)):
                 out = out or _Writer(folder)
-                page_id = None if pd.isna(page_id) else int(page_id)
-                refers_to = None if pd.isna(refers_to) else int(refers_to)
-                out.add(page_id, record(page_id, url, bytes(payload), digest, refers_to))
+                out.add(page_id, record(page_id, url, payload, digest, refers_to))
                 if out.at >= PACKAGE:
                     done.append(out.close())
                     out = None
         if out:
             done.append(out.close())
-        yield pd.DataFrame(done, columns=["package", "n_records"])
+        yield _batch(done, PACKAGES)
 
-    return cut(planned.mapInPandas(stream, "package string, n_records long"), "warc-packages")
+    return cut(planned.mapInArrow(stream, PACKAGES), "warc-packages")
 
 
+#: Rows pass between Spark and Python as Arrow lists, in which a null beside a
+#: 64-bit number leaves it a whole number.
+_TYPES = {"long": pa.int64(), "string": pa.string()}
+PACKAGES = "package string, n_records long"
 RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, target string"
 
 
@@ -246,10 +257,10 @@ def read(packages: DataFrame) -> DataFrame:
 
     Packages are dealt out one by one, whatever files their list came from.
     """
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda v: None if v in (None, "null") else int(v)
         for batch in batches:
-            for uri in batch["package"]:
+            for uri in batch.column("package").to_pylist():
                 package, file = open_package(uri)
                 rows = []
                 with file:
@@ -260,11 +271,10 @@ def read(packages: DataFrame) -> DataFrame:
                         digest = hashlib.sha1(payload).hexdigest() if kind == "response" else headers["warc-payload-digest"][len("sha1:") :]
                         size = len(payload) if kind == "response" else None
                         rows.append((number(page), kind, number(to[len("<urn:page:") : -1]) if to else None, size, digest, headers["warc-target-uri"]))
-                frame = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+                yield _batch(rows, RECORD)
 
     n = max(1, min(packages.count(), 20_000))
-    return packages.select("package").repartition(n).mapInPandas(scan, RECORD)
+    return packages.select("package").repartition(n).mapInArrow(scan, RECORD)
 
 
 def resolve(records: DataFrame) -> DataFrame:

@@ -527,6 +527,36 @@ def test_packages_are_plain_zip_files_and_read_by_ranges(spark):
         3: (4, sha("tiny"), "response", None), 4: (4, sha("tiny"), "response", None), 5: (0, sha(""), "response", None)}
 
 
+def slow_records(rows):
+    """The contract's row of each page, by plain Python."""
+    groups: dict = {}
+    for page_id, html in rows:
+        raw = (html or "").encode()
+        groups.setdefault(raw, []).append(page_id)
+    out = []
+    for raw, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        first = max(known) if known and len(ids) > 1 and len(raw) >= 1000 else None
+        for i in ids:
+            own = first is None or i == first
+            out.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "response" if own else "revisit", None if own else first))
+    return sorted(out, key=str)
+
+
+def test_ids_of_64_bits_beside_nulls(spark):
+    big, other = "x" * 1500, "y" * 1200
+    ids = [2**53 + 1, 2**53 - 4, None, 2**63 - 1, 2**63 - 2, -(2**63), 2**62 + 1]
+    rows = [(i, [big, big, big, other, other, other, "z"][k]) for k, i in enumerate(ids)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").coalesce(1)
+    assert sorted(map(tuple, warc.query(pages).collect()), key=str) == slow_records(rows)
+
+
+def test_whole_page_table_against_plain_python(spark):
+    pages = table(spark, SF.replace("0.001", "0.01"), "pages")
+    rows = [(r.page_id, r.html) for r in pages.select("page_id", "html").collect()]
+    assert sorted(map(tuple, warc.query(pages).collect()), key=str) == slow_records(rows)
+
+
 def test_zip64_directory():
     """A package whose sizes and offsets are only in ZIP64 fields."""
     import struct
