@@ -8,9 +8,13 @@ outvoted. The share of that codeword among all, by ``exp(-loss)``, is the
 score; a text is flagged ambiguous if the runner-up's loss is close.
 
 The classifiers are fitted on the driver from at most ``SAMPLE`` labelled
-documents, the first by a keyed hash of their ids, of which executors send
-sparse n-gram counts (not texts). All documents are scored from their whole
-texts, in one map.
+documents, an equal number of each language, those with the least keyed hashes
+of their ids; executors send sparse n-gram counts of them (not texts). The
+languages are those of all rows that may be learned from, so that a rare one
+has its documents in the fit; if they are more than ``SAMPLE``, the most
+frequent are learned. All documents are scored from their whole texts, in one
+map. Features and weights are whole numbers, whose products are summed without
+rounding: a text's score doesn't depend on the texts beside it.
 
 Defined results: a null text or one without a letter is ``und`` with score 0,
 and so is every text if there is no labelled document; with a single learned
@@ -26,18 +30,19 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import draw
 
-#: Labelled documents that the fit may use.
-SAMPLE = 2000
+#: Labelled documents that the fit may use, and the key that draws them.
+SAMPLE, KEY = 2000, 17
 BUCKETS = 4096
 #: Below this gap between the two least losses a text is ambiguous.
 MARGIN = 1.0
 #: Characters whose n-grams are counted at once.
 GROUP = 400_000
+#: Feature and weight units: sums of BUCKETS products stay below 2^53.
+FEATURE_UNIT, WEIGHT_UNIT = 2.0**14, 2.0**18
 _PRIMES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
@@ -51,43 +56,59 @@ def _letters() -> np.ndarray:
 
 
 class Counter:
-    """N-gram counts of whole texts."""
+    """Counts of the character n-grams of whole texts, each between two blanks."""
 
     def __init__(self):
         self.fold = _letters()
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """[text, bucket] counts, and the number of letters of each text."""
-        chars = np.frombuffer("\n".join([*(t.lower() for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.array([len(t.lower()) + 1 for t in texts])
-        doc = np.repeat(np.arange(len(texts)), size)
-        c = self.fold[chars]
-        letters = np.bincount(doc, weights=c != 32, minlength=len(texts)).astype(np.int64)
-        out = np.zeros(len(texts) * BUCKETS, np.int64)
+    def _chars(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Folded characters of all texts, and how many each has."""
+        padded = [f" {t.lower()} " for t in texts]
+        chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.fold[chars], np.array([len(t) for t in padded])
+
+    @staticmethod
+    def _buckets(c: np.ndarray) -> Iterator[np.ndarray]:
+        """For n = 1, 2, 3: the bucket of the n-gram at each character."""
         key = np.zeros(len(c), np.uint32)
         shift = np.uint32(32 - BUCKETS.bit_length() + 1)
         for n, prime in enumerate(_PRIMES):
             key = key[: len(c) - n] * prime + c[n:]
-            hashed = (key * np.uint32(0x9E3779B1)) >> shift
-            # A gram counts for the text of its first character; those that run
-            # over its end hold a blank there and stand for its last word.
-            out += np.bincount(doc[: len(hashed)] * BUCKETS + hashed, minlength=len(out))
-        return out.reshape(len(texts), BUCKETS), letters
+            yield (key * np.uint32(0x9E3779B1)) >> shift
 
-    def features(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(counts, letters) of successive groups of texts.
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """[text, bucket] counts, and the number of letters of each text."""
+        c, size = self._chars(texts)
+        doc = np.repeat(np.arange(len(texts)), size)
+        letters = np.bincount(doc, weights=c != 32, minlength=len(texts)).astype(np.int64)
+        ends = np.cumsum(size)
+        out = np.zeros(len(texts) * BUCKETS + 1, np.int64)
+        for n, bucket in enumerate(self._buckets(c)):
+            cell = doc[: len(bucket)] * BUCKETS + bucket
+            # The last n grams of a text would reach into the next one.
+            over = (ends[:, None] - 1 - np.arange(n)).ravel()
+            cell[over[over < len(cell)]] = len(out) - 1
+            out += np.bincount(cell, minlength=len(out))
+        return out[:-1].reshape(len(texts), BUCKETS), letters
+
+    def long_counts(self, text: str, step: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+        """As ``counts`` of one text, ``step`` characters at a time and the two after them."""
+        c, _ = self._chars([text])
+        out = np.zeros(BUCKETS, np.int64)
+        for at in range(0, len(c), step):
+            for bucket in self._buckets(c[at : at + step + 2]):
+                out += np.bincount(bucket[:step], minlength=BUCKETS)
+        return out[None, :], np.array([np.count_nonzero(c != 32)])
 
-        A text of over GROUP characters is counted in stretches, cut at blanks
-        where it has any, which are summed.
-        """
+    def features(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(counts, letters) of successive groups of texts."""
         group, chars = [], 0
         for t in texts:
             if group and (chars + len(t) > GROUP or len(group) >= 256):
                 yield self.counts(group)
                 group, chars = [], 0
             if len(t) > GROUP:
-                parts = [self.counts([x]) for x in stretches(t)]
-                yield sum(c for c, _ in parts), sum(n for _, n in parts)
+                yield self.long_counts(t)
                 continue
             group.append(t)
             chars += len(t)
@@ -95,17 +116,6 @@ class Counter:
             yield self.counts(group)
 
 
-def stretches(text: str, most: int = GROUP) -> Iterator[str]:
-    """``text`` in stretches of at most ``most`` characters, ending at blanks if possible."""
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + most)
-        if end < len(text):
-            end = max(text.rfind(" ", at, end), text.rfind("\n", at, end)) + 1 or end
-        yield text[at:end]
-        at = end
-
-
 def scale(counts: np.ndarray) -> np.ndarray:
     """Unit vectors of square-rooted frequencies."""
     total = counts.sum(1, keepdims=True)
@@ -135,11 +145,12 @@ class Model:
     """Bit classifiers, codewords and the languages they stand for."""
 
     def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, code: np.ndarray):
-        self.langs, self.weights, self.bias, self.code = langs, weights, bias, code
+        self.langs, self.bias, self.code = langs, bias, code
+        self.weights = np.rint(np.clip(weights.astype(float), -64, 64) * WEIGHT_UNIT)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, score, ambiguous) of feature rows."""
-        margins = x @ self.weights + self.bias
+        margins = np.rint(x * FEATURE_UNIT).astype(float) @ self.weights / (FEATURE_UNIT * WEIGHT_UNIT) + self.bias
         loss = np.logaddexp(0.0, -margins[:, None, :] * self.code[None, :, :]).sum(2)
         best = loss.argmin(1)
         least = loss[np.arange(len(x)), best]
@@ -173,10 +184,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def sample_rows(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """(lang, text) of ``sample`` rows at most: of each language the same number,
+    the first by a keyed hash.
+
+    The table of languages has ``sample`` rows at most, which bounds what is
+    broadcast. It tells about which hashes can be drawn, so that little more than
+    the rows wanted goes to the window.
+    """
+    usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col("doc_id"))
+    rows = docs.where(usable).select("doc_id", "lang", F.col(text_col).alias("text"), F.xxhash64("doc_id", F.lit(KEY)).alias("key"))
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    each = F.greatest(F.lit(1), F.floor(F.lit(sample) / F.count("*").over(Window.partitionBy())))
+    wanted = langs.select("lang", "n", each.alias("each"))
+    share = F.least(F.lit(1.0), (1.2 * F.col("each") + 100) / F.col("n"))
+    few = rows.join(F.broadcast(wanted), "lang").where(F.col("key") / F.lit(2.0**64) + 0.5 <= share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", F.xxhash64("text")))
+    return few.withColumn("rank", rank).where("rank <= each").orderBy("lang", "rank").select("lang", "text")
+
+
 def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """The model of the labelled documents that are not held out."""
-    usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col("doc_id"))
-    drawn = draw(docs.where(usable).select("doc_id", "lang", F.col(text_col).alias("text")), "doc_id", sample, 17)
+    drawn = sample_rows(docs, text_col, sample)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter()

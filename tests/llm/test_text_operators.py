@@ -495,15 +495,67 @@ def test_codewords_are_far_apart():
     assert len({tuple(c) for c in langid.codewords(5).T}) == 15
 
 
+def slow_counts(text):
+    """Buckets of every n-gram of the folded text between two blanks, one by one."""
+    folded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    out: dict = {}
+    for n in (1, 2, 3):
+        for i in range(len(folded) - n + 1):
+            key = 0
+            for c, prime in zip(folded[i : i + n], langid._PRIMES):
+                key = (key * int(prime) + ord(c)) % 2**32
+            bucket = (key * 0x9E3779B1 % 2**32) >> (33 - langid.BUCKETS.bit_length())
+            out[bucket] = out.get(bucket, 0) + 1
+    return out, sum(c != " " for c in folded)
+
+
+def slow_prediction(model, text):
+    """Features, margins, losses and the nearest codeword by plain sums."""
+    counts, letters = slow_counts(text or "")
+    if not letters:
+        return "und", 0.0
+    total = sum(counts.values())
+    x = {b: float(np.rint(np.sqrt(n / total).astype(np.float32) * np.float32(langid.FEATURE_UNIT))) for b, n in counts.items()}
+    unit = langid.FEATURE_UNIT * langid.WEIGHT_UNIT
+    margins = [sum(v * model.weights[b, k] for b, v in x.items()) / unit + float(model.bias[k]) for k in range(model.code.shape[1])]
+    losses = [sum(float(np.logaddexp(0.0, -m * s)) for m, s in zip(margins, word)) for word in model.code]
+    best = min(range(len(losses)), key=losses.__getitem__)
+    return model.langs[best], 1 / sum(np.exp(losses[best] - v) for v in losses)
+
+
 def test_long_texts_are_counted_whole():
     counter, rng = langid.Counter(), random.Random(2)
-    text = prose(rng, 1000)
-    parts = list(langid.stretches(text, 700))
-    assert "".join(parts) == text and max(map(len, parts)) <= 700
-    whole, _ = counter.counts([text])
-    split = sum(counter.counts([p])[0] for p in parts)
-    assert abs(split - whole).sum() <= 12 * len(parts)
-    assert list(langid.stretches("x" * 10, 4)) == ["xxxx", "xxxx", "xx"]
+    text = prose(rng, 1000) + "İß漢"
+    whole, letters = counter.counts([text])
+    assert {b: int(whole[0, b]) for b in np.flatnonzero(whole[0])} == slow_counts(text)[0] and letters[0] == slow_counts(text)[1]
+    for step in (1, 2, 3, 7, 700, len(text), len(text) + 1):
+        part, n = counter.long_counts(text, step)
+        assert (part == whole).all() and n[0] == letters[0]
+
+
+def test_counts_and_scores_stand_alone(spark):
+    counter, rng = langid.Counter(), random.Random(5)
+    texts = ["ab", "xyz", "ab", "qrs", "", "12", "la", "la", *(prose(rng, rng.randint(1, 30)) for _ in range(40))]
+    for order in (texts, texts[::-1], rng.sample(texts, len(texts))):
+        counts, letters = counter.counts(order)
+        for t, row, n in zip(order, counts, letters):
+            assert ({b: int(row[b]) for b in np.flatnonzero(row)}, n) == slow_counts(t)
+    docs = table(spark, SF, "documents")
+    docs = docs.unionByName(docs.where("n_chars < 400"))  # repeated rows
+    model = langid.learn(docs)
+    scored = lambda d: sorted((r.doc_id, r.found.lang_pred, r.found.score, r.found.ambiguous) for r in langid.identify(d.select("doc_id", "text"), model).collect())
+    first = scored(docs)
+    assert first == scored(docs.repartition(7)) == scored(docs.orderBy("n_chars").coalesce(1))
+    assert len({r[0] for r in first}) == len(set(first))
+    plain = {r.doc_id: slow_prediction(model, r.text) for r in docs.select("doc_id", "text").collect()}
+    for doc_id, lang, score, _ in first:
+        assert plain[doc_id][0] == lang and abs(plain[doc_id][1] - score) < 1e-9
+
+
+def test_rare_languages_are_drawn(spark):
+    rows = [(i, "the house", "en") for i in range(3000)] + [(i, "la casa", "it") for i in range(3000, 3004)]
+    drawn = langid.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100).collect()
+    assert sum(r.lang == "en" for r in drawn) == 50 and 0 < sum(r.lang == "it" for r in drawn) <= 4
 
 
 def test_held_out_languages(spark):
