@@ -4,9 +4,10 @@
    in turn and share all words; no source is asked for more than three times
    what it holds, and what the cap frees is shared anew by weight. That fixed
    point is ``min(cap, level * weight)``; the level is found in closed form
-   with windows over the table of sources.
+   with windows over the table of sources. Sources are the rows of a table of
+   weights: one task sorts them (with spilling), some ten million at most.
 2. Order. Each source's documents are put in a keyed random order (the MD5 of
-   the id). A source's running word count comes from two windows, one within
+   the id; equal ids by size and the MD5 of the text). A source's running word count comes from two windows, one within
    4,096 buckets of the order and one over the bucket totals, so that a source
    with a third of all rows is spread over as many tasks as others.
 3. Amount. A source whose target is k and a fraction times its size is passed
@@ -98,15 +99,15 @@ def mix(docs: DataFrame, text_col: str = "text", keep_rows: bool = False) -> Dat
 
     Columns: doc_id, source, size, source_size, target, taken, copies (whole
     copies in the mix: a document cut by its source's end counts if at least
-    half of it is taken), position (null if nothing is taken), and with
-    ``keep_rows`` the input row as a struct ``row`` and ``positions``, a
-    position for each copy (null if there is none).
+    half of it is taken), position (null if nothing is taken), positions (one
+    for each copy, null if there is none), and with ``keep_rows`` the input row
+    as a struct ``row``.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = docs.select(
         "doc_id", "source", n_words(F.col(text_col)).alias("size"), key.alias("_key"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
-        F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"),
+        F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"),
         *([F.struct(*docs.columns).alias("row")] if keep_rows else []),
     )
     sized = sized if keep_rows else cut(sized, "mix-sizes")
@@ -117,7 +118,7 @@ def mix(docs: DataFrame, text_col: str = "text", keep_rows: bool = False) -> Dat
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("_start", F.coalesce(F.sum("_bucket_size").over(ahead), F.lit(0)))
     starts = starts.join(sources, F.col("_source") == F.col("_of")).drop("source", "_of", "_bucket_size")
-    within = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(starts, ["_source", "_bucket"])
     joined = joined.withColumn("_at", F.col("_start") + F.col("_ahead"))
@@ -132,8 +133,8 @@ def mix(docs: DataFrame, text_col: str = "text", keep_rows: bool = False) -> Dat
     passes = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: _position(p * F.col("source_size") + F.col("_at")))
     return joined.select(
         "doc_id", "source", "size", "source_size", "target", "taken", "copies",
-        F.when(F.col("taken") > 0, _position(F.col("_at"))).alias("position"),
-        *(["row", F.when(F.col("copies") > 0, passes).alias("positions")] if keep_rows else []),
+        F.when(F.col("taken") > 0, _position(F.col("_at"))).alias("position"), F.when(F.col("copies") > 0, passes).alias("positions"),
+        *(["row"] if keep_rows else []),
     )
 
 
@@ -142,18 +143,19 @@ def mixed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     each time they are taken, range-sorted by each copy's training position."""
     plan = mix(docs, text_col, keep_rows=True)
     copies = plan.select(F.explode("positions").alias("position"), "doc_id", "row")
-    return copies.orderBy("position", "doc_id").select("row.*")
+    return copies.orderBy("position", "doc_id", F.xxhash64("row")).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """The contract's columns, range-sorted by training position."""
-    return mix(docs).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    """The contract's columns, range-sorted by training position; ``positions`` are comma-joined."""
+    plan = mix(docs).withColumn("positions", F.array_join("positions", ","))
+    return plan.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k
+         md5(coalesce(doc_id::VARCHAR, '')) AS k, md5(coalesce(text, '')) AS tie
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -174,17 +176,23 @@ plan AS (
          sum(floor(target) * (b - a)) OVER () AS square
   FROM tgt),
 placed AS (
-  SELECT doc_id, s.source, size, source_size, target, whole, a, b, linear, square,
-         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id, size
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS beg,
-         coalesce(floor(whole / nullif(source_size, 0)), 0)::BIGINT AS full_passes
+  SELECT row_number() OVER () AS rid, doc_id, s.source, size, source_size, target, whole, a, b, linear, square,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id, size, tie
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS beg
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
-parts AS (SELECT *, greatest(0, least(size, whole - full_passes * source_size - beg)) AS part FROM placed),
-took AS (SELECT *, full_passes * size + part AS taken, beg / nullif(whole, 0)::DOUBLE AS share FROM parts),
+-- Every pass over a source, laid end to end: what of the document lies before the target is taken.
+passes AS (
+  SELECT *, p * source_size + beg AS spot, greatest(0, least(size, whole - (p * source_size + beg))) AS got
+  FROM placed CROSS JOIN (SELECT unnest(range(0, 4)) AS p)),
 timed AS (
-  SELECT *, CASE WHEN taken > 0 THEN share * (a + b) / (a + sqrt(a * a + (b - a) * (a + b) * share)) END AS t FROM took)
-SELECT doc_id, source, size, source_size, target, taken::BIGINT AS taken,
-       (full_passes * (size > 0)::BIGINT + (part > 0 AND 2 * part >= size)::BIGINT)::BIGINT AS copies,
-       floor(linear * t + square / 2 * t * t)::BIGINT AS position
-FROM timed
+  SELECT *, spot / whole::DOUBLE * (a + b) / (a + sqrt(a * a + (b - a) * (a + b) * (spot / whole::DOUBLE))) AS t
+  FROM passes WHERE got > 0),
+due AS (SELECT *, floor(linear * t + square / 2 * t * t)::BIGINT AS pos FROM timed),
+each AS (
+  SELECT rid, sum(got) AS taken, count(*) FILTER (2 * got >= size) AS copies, min(pos) FILTER (p = 0) AS position,
+         string_agg(pos::VARCHAR, ',' ORDER BY p) FILTER (2 * got >= size) AS positions
+  FROM due GROUP BY rid)
+SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(copies, 0)::BIGINT AS copies,
+       position, positions
+FROM placed LEFT JOIN each USING (rid)
 """

@@ -459,6 +459,20 @@ def test_mix_meets_targets_in_curriculum_order(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in rows)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_rows_are_those_of_the_sql(spark, name):
+    import duckdb
+
+    sf = SF.replace("0.001", "0.01")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    found = queries.QUERIES[name](spark, sf)
+    sql = con.sql(queries.ORACLE_SQL[name])
+    assert sorted(sql.columns) == sorted(found.columns)
+    want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
 def test_every_pass_follows_its_schedule_to_the_end(spark):
     # 20 equal sources: weight 3 is passed over about one and a half times.
     # One hot source beside small ones: those are at the cap of three passes.
@@ -476,6 +490,30 @@ def test_every_pass_follows_its_schedule_to_the_end(spark):
                 assert abs(5 * head.count(s) - r.whole * (r.a * t + (r.b - r.a) / 2 * t * t)) <= 10, (s, t)
 
 
+def test_copies_of_a_document_lie_apart_and_ties_are_decided(spark):
+    docs = table(spark, SF.replace("0.001", "0.1"), "documents").select("doc_id", "text", "source")
+    plan = mixing.mix(docs).where("size(positions) > 1").collect()
+    whole = sum({r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}.values())
+    for r in plan:
+        gaps = [b - a for a, b in zip(r.positions, r.positions[1:])]
+        assert r.positions[0] == r.position and min(gaps) > 0.1 * whole, r
+    # Each source's words in each tenth of the stream are those its schedule asks for.
+    targets = {r.source: r for r in mixing.source_targets(mixing.mix(docs).groupBy("source").agg(F.first("source_size").alias("source_size"))).collect()}
+    end = sum(r.whole for r in targets.values())
+    at = lambda t: sum(r.whole * (r.a * t + (r.b - r.a) / 2 * t * t) for r in targets.values())
+    got: dict = {}
+    for r in mixing.mix(docs).where("copies > 0").collect():
+        for p in r.positions:
+            got[(r.source, p)] = got.get((r.source, p), 0) + r.size
+    for k in range(10):
+        lo, hi = at(k / 10), at((k + 1) / 10)
+        assert abs(sum(n for (_, p), n in got.items() if lo <= p < hi) - (hi - lo)) < 0.02 * end
+    # Equal ids and sizes, other texts: the order is that of the texts' digests, however rows are dealt.
+    tied = spark.createDataFrame([(i // 8, f"w{i} x{i} y{i}", "ab"[i % 2]) for i in range(64)], "doc_id long, text string, source string")
+    first = mixing.mixed(tied).collect()
+    assert first == mixing.mixed(tied.repartition(5, "text")).collect() == mixing.mixed(tied.orderBy(F.desc("text"))).collect()
+
+
 def test_due_inverts_the_integral(spark):
     for a, b in mixing.SCHEDULES.values():
         for t in (0.0, 0.25, 0.9, 1.0):
