@@ -43,7 +43,7 @@ def good(text):
     mean = sum(map(len, words)) / len(words)
     symbols = len(re.findall(r"[#*$%&|<>]", text)) / len(words)
     stops = sum(w.lower() in quality.STOP_WORDS for w in words) / len(words)
-    return 2 <= mean <= 15 and symbols <= 0.5 and stops >= 0.01 and (len(lines) - len(set(lines))) / len(lines) <= 0.5
+    return 2 <= mean <= 15 and symbols <= 0.2 and stops >= 0.01 and (len(lines) - len(set(lines))) / len(lines) <= 0.5
 
 
 def test_quality_stage(stages):
