@@ -10,6 +10,9 @@ A line is decoded only if some word of it could outweigh the all-outside path:
 with every word's best gain over "outside", plus the most that transitions can
 add, at or below zero, that path is optimal, so the screen changes no result.
 
+The cues are titles and phrases around names, not names: a name is known by
+its shape and place alone.
+
 Workers get the trained weights (a few hundred numbers) with the function;
 texts are read whole, one by one, and memory is bounded by the longest line.
 
@@ -103,10 +106,6 @@ CUES = {
     "title": "mr mrs ms dr prof professor herr frau monsieur madame mme señor señora",
     "called": "name named called signed contact regards sincerely dear attn nom heißt nombre llamo",
     "number": "ssn passport license licence social insurance taxpayer",
-    "given": (
-        "john mary james robert linda david susan michael karen maria anna peter paul laura thomas sarah "
-        "hans klaus ingrid jürgen sophie pierre jean claire luc marie carlos juan lucia pablo carmen elena"
-    ),
     "link": "is am are was the of and to a an number no nr id from by for in on le la el der die das",
 }
 _CUE = {w: group for group, text in CUES.items() for w in text.split()}
@@ -142,35 +141,50 @@ LABELLED = (
     "Attn: [Michael Ford]",
     # Running text without personal data, in which capitals and numbers mean nothing.
     "The house by the river was sold. They moved away in May.",
-    "Thonre was the Anhe. Ernt in thhe ation of Onlyti.",
-    "Is And Retitioning Ouen The Of Nterti Thorreou",
-    "Vièle aile mentoiier éanment. Le ououpament de onaié.",
-    "Der Einge erer. Das Achlich berber und Von der Heit.",
-    "Raasta escomente ja ci. Llraado esta ie que el Niño.",
-    "Of the Token and A. Ntea. And Heth In The Er.",
+    "In London the Museum of Natural History opens at nine on Sundays.",
+    "Chapter Four. The Return Of The Ships. It was late.",
+    "North America and Western Europe signed the treaty in Geneva.",
+    "On Monday the Supreme Court called the witness. The hearing was short.",
+    "We named the boat Sea Breeze and sailed to Crete.",
+    "The Old Bridge Is Closed. The New One Was Opened In Spring.",
+    "The Red Lion was a pub. The White Horse Is An Inn.",
+    "Contact Sales or Technical Support at any time.",
+    "The name of the town is Old Harbour, and nobody knows why.",
+    "Contact the office. Name the parts. Signed copies are here.",
+    "Please contact the nearest branch, or call the main number.",
+    "the name of the thing is not called for in the text",
+    "we called the office and signed the form for the order",
+    "Dear all, the meeting is moved to Tuesday.",
+    "Dear reader, thank you. Regards to everyone at home.",
+    "Signed. Sealed. Delivered. The end.",
+    "The doctor said so. Dr. is short for doctor, Mr. for mister.",
     "Total 1234 items, 56 units and 7890 parts in 2021.",
     "Version 10.2.3 of 12-04-2020 and 555-1234 or 12-345.",
-    "From reha reen to Thhe. For As On The Re.",
+    "Call 555-0100 before 10:30, room 12-B, code 77-4120-9.",
+    "The passport office is closed. Social insurance is a tax.",
+    "The license of the software and the passport of the ship are lost.",
     "NOTICE THE AND OF THE LICENSE. ALL RIGHTS ARE HERE.",
     "Copyright 2019 The Authors. All rights reserved.",
-    "the name of the thing is not called for in the text",
-    "we called the office and signed the form for the order",
-    "Contact the office. Name the parts. Signed copies are here.",
-    "dear the an is of to contact a named thing",
-    "ssn of the and passport to the license is lost",
-    "word | Other | thing | Next | more. | And | the",
-    "Signed. Thorst and the Ander was Called. The end.",
-    "Thou Thou Thou Thou Thou Thou tondingly",
-    "En En En En En En une un",
-    "Enbleen. Enbleen. Enbleen. Enbleen. Ednd Ednd Ednd erouble",
-    "eineren. eineren. Chvererheit Chvererheit Chvererheit geung",
-    "was Anhe Ernt of Raasta Llraado and Whenin, Whenin, Whenin, by",
     "is licensed under the GNU General Public License, Version 2",
-    "Ergeie Ergeie Ergeie von von von Ungverheit Ungverheit",
-    "by Anhe Ernt and from Thonre Was to Onlyti Ation",
-    "Of%%% Athe*** Erntwh.%%% Thntatwh&&& ndreea$$$ An%%% As%%%",
-    "Oningly Oningly Oningly. Stst. Tian Tian Tian eratonou",
-    "The Tian Is Reen. The Anhe Of The Ernt Was Sold.",
+    "Home | About Us | Contact | News And Events | Sign In",
+    "Red Apples Red Apples Red Apples Green Pears and Plums.",
+    "Very good. Very good. Very Good. VERY GOOD news today.",
+    "by Land and Sea, from East to West, for King and Country",
+    "*** Special Offer *** Buy One. Get One. Today %%% Only &&&",
+    "Als der Regen kam, gingen die Leute in das Haus am Markt.",
+    "Der Bericht über die Lage der Wirtschaft wurde in Berlin vorgestellt.",
+    "Die Stadt heißt Neustadt und liegt an der Donau.",
+    "Am Montag hat der Ausschuss die Entscheidung über den Antrag vertagt.",
+    "Unter dem Namen Alte Brücke kennt jeder das Bauwerk von Heidelberg.",
+    "Das Buch von der Reise nach Indien und der Weg des Wassers.",
+    "Le train de Paris est arrivé à Lyon avec une heure de retard.",
+    "La maison des Quatre Vents est au bord de la Loire.",
+    "Le nom de la rue est Grande Rue, près de la Place du Marché.",
+    "Selon le Journal Officiel, la loi est entrée en vigueur en Janvier.",
+    "El mercado de la Plaza Mayor abre los sábados por la mañana.",
+    "La ciudad de Granada y el río Guadalquivir están en el sur.",
+    "El nombre de la calle es Gran Vía y va de este a oeste.",
+    "Según el Banco Central, los precios de la energía bajaron en Abril.",
 )
 
 

@@ -245,6 +245,14 @@ def test_clean_prose_is_kept_and_junk_goes(spark):
     assert [r.doc_id for r in quality.keep_good(docs).collect()] == [1]
 
 
+def test_bar_separated_text_goes_and_prose_stays(spark):
+    rng = random.Random(13)
+    items = [f"{w}{i}" if i % 3 else w for i, w in enumerate(rng.choices(WORDS, k=120))]
+    prose_with_some = " ".join(f"{w} costs {i}%" if i % 15 == 0 else w for i, w in enumerate(items))
+    docs = spark.createDataFrame([(1, " | ".join(items)), (2, prose_with_some)], "doc_id long, text string")
+    assert {r.doc_id: (r.kept, r.failed_rules) for r in quality.query(docs).collect()} == {1: (False, "symbols_per_word"), 2: (True, "")}
+
+
 # --- op5 ------------------------------------------------------------------------
 
 
@@ -279,10 +287,62 @@ def test_names_numbers_and_clean_text():
     assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, field)] == [
         ("name", "Adam Smith"), ("name", "Jane Doe"), ("name", "Olga Petrov"), ("id", "999-12-3456")]
     assert pii.mask("mail a@b.co or +1 (487) 555-7209 now", pii.base_spans("mail a@b.co or +1 (487) 555-7209 now")) == "mail [EMAIL] or [PHONE] now"
-    for clean in ("The house by the river was sold. Nobody In Town knew why.", "Anhe Ernt Was The Onlyti. En En En En une"):
+    for clean in ("The house by the river was sold. Nobody In Town knew why.", "The Old Mill Was The Last. No No No No one"):
         assert pii.all_spans(clean, field) == []
 
 
+#: Prose that the labelled table doesn't hold.
+PROSE = """
+The first railway in the county ran from Bristol to Bath and was finished in 1840.
+When the Great Fire reached the Tower, the King ordered houses to be blown up.
+She studied at the University of Edinburgh before the War and later taught in Cairo.
+Every Tuesday the Farmers Market sells bread, cheese and Apples from Kent.
+The Treaty of Versailles was signed in the Hall of Mirrors in June 1919.
+Mount Everest was named after a surveyor; in Nepal it is called Sagarmatha.
+Please sign the form and return it to the Registry Office by Friday.
+To contact Customer Service, press Star and then the Pound key.
+Item 4711 weighs 12.5 kg and costs 99 dollars; order code 12-99-481.
+The Bank of England raised its rate, and Wall Street fell by Two percent.
+Yours sincerely, The Management. All visitors must report to Reception.
+In the name of the Law, open the door! Nobody answered the Officer.
+Part Two: How The West Was Won And Where It Got Us.
+Der Zug nach München fährt um acht Uhr von Gleis Sieben ab.
+Die Freie Hansestadt Bremen hat einen Hafen und viele alte Häuser.
+Im Namen des Volkes verkündet das Gericht folgendes Urteil.
+Das Deutsche Museum zeigt Schiffe, Flugzeuge und alte Uhren.
+Nach dem Abendessen gingen die Kinder mit dem Hund in den Garten.
+Die Firma liefert Maschinen und Werkzeuge nach Frankreich und Polen.
+La Tour Eiffel a été construite pour l'Exposition Universelle de 1889.
+Au nom de la loi, le Maire de Bordeaux a fermé le Pont Neuf.
+Les enfants jouent dans le jardin pendant que le chat dort au soleil.
+Le Conseil Municipal se réunit chaque Lundi à la Mairie.
+Il pleut souvent en Bretagne, mais la mer y est très belle.
+La Universidad de Salamanca es una de las más antiguas de Europa.
+El tren de Madrid a Sevilla sale de la Puerta de Atocha.
+En el nombre de la paz, los Reyes firmaron el Tratado de Tordesillas.
+Los niños comen pan con chocolate en la Plaza del Pueblo.
+El Museo del Prado abre todos los días menos el Lunes.
+La casa tiene dos ventanas, una puerta azul y un balcón.
+""".strip().splitlines()
+
+
+def test_held_out_prose_is_left_alone_and_held_out_names_are_found():
+    field = pii.train()
+    assert not set(PROSE) & set(pii.table())
+    hit = [x for x in PROSE if pii.all_spans(x, field)]
+    assert len(hit) <= 1, [(x, pii.all_spans(x, field)) for x in hit]
+    # English prose of the standard library's manual, paragraph by paragraph.
+    from pydoc_data.topics import topics
+
+    paragraphs = [x for t in topics.values() for x in t.split("\n\n") if len(x.split()) >= 5]
+    marked = [x for x in paragraphs if pii.field_spans(x, field)]
+    assert len(paragraphs) > 2000 and len(marked) <= 0.02 * len(paragraphs)
+    frames = ("Please contact [N] about it.", "My name is [N] and I am here.", "Dr. [N] left.", "Dear Ms. [N], thank you.", "Sincerely, [N]", "The form was signed by [N] today.")
+    names = ("Yusuf Aydin", "Grace Okafor", "Wei Zhang", "Priya Nair", "Tomasz Kowalski", "Aiko Mori")
+    found = sum(("name", name) in [(k, t[a:b]) for k, a, b in pii.all_spans(t, field)] for name in names for frame in frames for t in [frame.replace("[N]", name)])
+    assert found >= 0.9 * len(names) * len(frames)
+
+
 def test_decoder_and_screen_against_every_path():
     from itertools import product
 
@@ -321,6 +381,19 @@ def test_screen_keeps_lines_that_open_with_a_span():
             assert marked <= held
 
 
+def test_counts_and_digest_against_the_plain_patterns(spark, odd):
+    field = pii.train()
+    docs = odd.select("doc_id", "text").unionByName(table(spark, SF, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    texts = {r.doc_id: r.text or "" for r in docs.where("doc_id IS NOT NULL").collect()}
+    for r in pii.query(docs.where("doc_id IS NOT NULL")).collect():
+        base = slow_base(texts[r.doc_id])
+        spans = base + pii.field_spans(texts[r.doc_id], field)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.BASE_KINDS)
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert r.spans.startswith(said) and set(filter(None, r.spans.split(","))) <= {f"{k}:{a}:{b}" for k, a, b in spans}
+
+
 # --- op6 ------------------------------------------------------------------------
 
 
