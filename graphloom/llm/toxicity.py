@@ -5,6 +5,9 @@ toxic documents far more often than in others (by document counts, made by
 Spark), with a few fixed ones besides. A word of any length is a term if the
 Chernoff bound of its counts arising by chance, times the number of words
 tried, is below ``DOUBT``; the lexicon is as large as the evidence makes it.
+Words are cut in one place (``tokens``), for learning and for matching. Each
+labelled document is cut once, to its distinct words; misspellings are then
+sought in the table of words and their counts, not in the documents again.
 
 Matching. The terms form a trie. A Levenshtein automaton of the allowed
 distance runs along it: a state is the set of (trie node, edits) pairs that a
@@ -24,6 +27,13 @@ regression with weights of at least 0 that the driver fits. The weights are
 fitted on at most ``SAMPLE`` label rows, the first by a keyed hash of their ids;
 that bound is also what is broadcast to find their documents.
 
+Sizes. Up to ``BROADCAST`` label rows, which are counted first, are broadcast
+to the documents, so that texts without a label go nowhere; more are joined
+through a shuffle, with the same rows. The driver gets the lexicon and the
+words that only look like a misspelling of it: strings within two edits of a
+term that stand in ``CLEAN_DOCS`` or more documents. ``most`` bounds the terms
+for callers who want that; none is the default.
+
 Rows whose CRC-32 of the id is 0 modulo 5 are never learned from. Scores use
 the text alone.
 
@@ -49,6 +59,8 @@ from graphloom.session import cut
 
 #: Label rows that the fit may use.
 SAMPLE = 8000
+#: Label rows (an id and a flag) up to which they are broadcast.
+BROADCAST = 1_000_000
 WINDOW = 6
 #: A learned term's least number of toxic documents and least odds against others.
 LEAST_DOCS, LEAST_ODDS = 3, 12.0
@@ -70,6 +82,11 @@ FEATURES = ("evidence", "quoted", "aimed", "share")
 EDIT_WEIGHT = (1.0, 0.7, 0.5)
 
 
+def tokens(text: str) -> list[str]:
+    """Words and quotation marks in lower case; an apostrophe belongs to a word only within it."""
+    return _TOKEN.findall(text.lower())
+
+
 def edits_allowed(term: str) -> int:
     """Misspellings a term may have."""
     return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
@@ -178,28 +195,28 @@ class Reader:
 
     def hits(self, text: str) -> tuple[list[tuple[int, str, int]], list[str]]:
         """(token number, term, edits) of each match, and all tokens."""
-        tokens = _TOKEN.findall(text.lower())
+        found_words = tokens(text)
         match, known = self.match, self.known
         out = []
-        for i, w in enumerate(tokens):
+        for i, w in enumerate(found_words):
             found = known[w] if w in known else match(w)
             if found is not None:
                 out.append((i, *found))
-        return out, tokens
+        return out, found_words
 
     def features(self, text: str | None) -> list[float]:
         """The values of FEATURES."""
-        hits, tokens = self.hits(text or "")
+        hits, words = self.hits(text or "")
         if not hits:
             return [0.0] * len(FEATURES)
-        marks = [i for i, w in enumerate(tokens) if len(w) == 1 and w in _OPEN + _CLOSE + _BOTH]
-        inside = self._inside(tokens, marks)
+        marks = [i for i, w in enumerate(words) if len(w) == 1 and w in _OPEN + _CLOSE + _BOTH]
+        inside = self._inside(words, marks)
         at = [i for i, _, _ in hits]
         plain: dict[str, float] = {}
         cited: dict[str, float] = {}
         aim = total = 0.0
         for n, (i, term, edits) in enumerate(hits):
-            near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
+            near = words[max(0, i - WINDOW) : i + WINDOW + 1]
             quoted = i in inside or any(w in REPORTING for w in near)
             aimed = any(w in ADDRESS for w in near) or (n and i - at[n - 1] <= WINDOW) or (n + 1 < len(at) and at[n + 1] - i <= WINDOW)
             weight = EDIT_WEIGHT[edits]
@@ -207,21 +224,21 @@ class Reader:
             best[term] = max(best.get(term, 0.0), weight * self.odds[term])
             aim += weight * (bool(aimed) and not quoted)
             total += weight * (0.3 if quoted else 1.0)
-        share = 100 * total / len(tokens)
+        share = 100 * total / len(words)
         return [sum(plain.values()), sum(cited.values()), math.log1p(aim), math.log1p(share)]
 
     @staticmethod
-    def _inside(tokens: list[str], marks: list[int]) -> set[int]:
+    def _inside(words: list[str], marks: list[int]) -> set[int]:
         """The tokens between paired quotation marks at most 60 tokens apart."""
         out: set[int] = set()
         start = None
         for i in marks:
-            closes = start is not None and tokens[i] in _CLOSE + _BOTH and i - start <= 60
+            closes = start is not None and words[i] in _CLOSE + _BOTH and i - start <= 60
             if closes:
                 out.update(range(start + 1, i))
                 start = None
             else:
-                start = i if tokens[i] in _OPEN + _BOTH else None
+                start = i if words[i] in _OPEN + _BOTH else None
         return out
 
 
@@ -255,61 +272,72 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return cut(found.select("text", "toxic"), "toxic-sample")
 
 
-def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of all rows that may be learned from."""
+def learnable(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """(words, toxic) of all rows that may be learned from: the text's distinct words."""
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-    marked = labels.where(usable & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    found = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull()).join(marked, "doc_id")
-    return cut(found.select("text", "toxic"), "toxic-learnable")
+    marked = labels.where(usable & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    texts = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull())
+    few = marked.limit(broadcast + 1).count() <= broadcast
+    found = texts.join(F.broadcast(marked) if few else marked.hint("merge"), "doc_id")
+
+    @F.pandas_udf("array<string>")
+    def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([sorted(set(tokens(t))) for t in rows], dtype=object)
+
+    return cut(found.select(distinct(F.col("text")).alias("words"), "toxic"), "toxic-learnable")
 
 
-def learn_terms(rows: DataFrame) -> dict[str, float]:
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, bad, n): each word's toxic documents and all its documents."""
+    each = rows.select(F.explode("words").alias("word"), F.col("toxic").cast("long").alias("bad"))
+    each = each.where(~F.col("word").isin(*_OPEN, *_CLOSE, *_BOTH))
+    return cut(each.groupBy("word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")), "toxic-words")
+
+
+def learn_terms(rows: DataFrame, counts: DataFrame, most: int | None = None) -> dict[str, float]:
     """Words of far more toxic documents than others, with their log-odds.
 
     With a share ``p`` of toxic documents, chance puts ``bad`` or more of a
     word's ``n`` documents among them with a probability of at most
     ``exp(-n KL(bad / n, p))``.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'’]+"), lambda w: w != ""))
-    each = rows.select(F.explode(words).alias("word"), (F.col("toxic") > 0).cast("long").alias("bad"))
-    counts = each.groupBy("word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).where(F.col("bad") >= LEAST_DOCS)
-    totals = rows.agg(F.sum((F.col("toxic") > 0).cast("long")).alias("bad"), F.count("*").alias("n")).head()
+    totals = rows.agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n")).head()
     terms = dict.fromkeys(SEEDS, SEED_ODDS)
     if not totals["n"] or not totals["bad"] or totals["bad"] == totals["n"]:
         return terms
     bad, good = totals["bad"], totals["n"] - totals["bad"]
+    tried = counts.where(F.col("bad") >= LEAST_DOCS)
     odds = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (good + 1))
-    counts = cut(counts, "toxic-words")
     clean = F.col("n") - F.col("bad")
     base, share = bad / totals["n"], F.col("bad") / F.col("n")
     against = F.when(clean > 0, clean * F.log(clean / F.col("n") / (1 - base))).otherwise(0.0)
     evidence = F.col("bad") * F.log(share / base) + against
-    sure = (share > base) & (evidence >= math.log(max(1, counts.count()) / DOUBT))
-    found = counts.withColumn("odds", F.log(odds)).where((F.col("odds") >= math.log(LEAST_ODDS)) & sure)
+    sure = (share > base) & (evidence >= math.log(max(1, tried.count()) / DOUBT))
+    found = tried.withColumn("odds", F.log(odds)).where((F.col("odds") >= math.log(LEAST_ODDS)) & sure)
+    if most is not None:
+        found = found.orderBy(F.desc(evidence), "word").limit(most)
     return terms | {r["word"]: max(r["odds"], terms.get(r["word"], 0.0)) for r in found.collect()}
 
 
-def common_misspellings(rows: DataFrame, terms: dict[str, float]) -> tuple[list[str], list[str]]:
+def common_misspellings(counts: DataFrame, terms: dict[str, float]) -> tuple[list[str], list[str]]:
     """Learned terms whose misspelled matches are no sign of toxicity, and
     words that only look like a misspelling of another term."""
-    sent = rows.sparkSession.sparkContext.broadcast(terms)
+    sent = counts.sparkSession.sparkContext.broadcast(terms)
 
-    @F.pandas_udf("array<struct<term:string,word:string>>")
-    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(sent.value)
-        for texts in batches:
-            out = []
-            for x in texts:
-                hits, tokens = reader.hits(x)
-                out.append([{"term": t, "word": w} for t, w in sorted({(t, tokens[i]) for i, t, e in hits if e})])
-            yield pd.Series(out, dtype=object)
-
-    each = rows.select(F.inline(near(F.col("text"))), (F.col("toxic") > 0).cast("long").alias("bad"))
-    each = cut(each.groupBy("term", "word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")), "toxic-near")
+    @F.pandas_udf("string")
+    def misspelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(sent.value)
+        for words in batches:
+            hits = map(lexicon.match, words)
+            yield pd.Series([hit[0] if hit and hit[1] else None for hit in hits], dtype=object)
+
+    each = counts.select(misspelled(F.col("word")).alias("term"), "word", "bad", "n")
+    each = cut(each.where("term IS NOT NULL"), "toxic-near")
     clean = (2 * F.col("bad") < F.col("n")) & (F.col("n") - F.col("bad") >= CLEAN_DOCS)
     by_term = each.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(clean).collect()
     rigid = sorted(r["term"] for r in by_term if r["term"] not in SEEDS)
-    words = each.where(clean & ~F.col("term").isin(rigid)).select("word").distinct().collect()
+    words = each.where(clean & ~F.col("term").isin(rigid)).select("word").collect()
     return rigid, sorted(r["word"] for r in words)
 
 
@@ -330,8 +358,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[tuple, np.ndarray, float]
     """The lexicon (terms, those that allow no misspelling, words that are none),
     weights and bias."""
     every = learnable(docs, labels)
-    terms = learn_terms(every)
-    lexicon = (terms, *common_misspellings(every, terms))
+    counts = count_words(every)
+    terms = learn_terms(every, counts)
+    lexicon = (terms, *common_misspellings(counts, terms))
     seen = feature_rows(labelled(docs, labels), lexicon, ["toxic"]).collect()
     y = np.array([float(r["toxic"] > 0) for r in seen])
     if len(set(y)) < 2:

@@ -474,7 +474,12 @@ def test_rare_and_short_terms_are_learned(spark, monkeypatch):
     made += [(prose(rng, 60), 0) for _ in range(3200)]
     docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(made)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, toxic) for i, (_, toxic) in enumerate(made)], "doc_id long, toxic int")
-    assert set(toxicity.learn_terms(toxicity.learnable(docs, labels))) == set(terms)
+    every = toxicity.learnable(docs, labels)
+    counts = toxicity.count_words(every)
+    assert set(toxicity.learn_terms(every, counts)) == set(terms)
+    assert len(toxicity.learn_terms(every, counts, most=7)) == 7
+    shuffled = toxicity.learnable(docs, labels, broadcast=10)
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, every.collect()))
     rows = toxicity.query(docs, labels).collect()
     assert all(r.predicted == made[r.doc_id][1] for r in rows)
 
@@ -482,11 +487,58 @@ def test_rare_and_short_terms_are_learned(spark, monkeypatch):
 def test_four_letters_allow_an_edit_and_one_sighting_drops_nothing(spark):
     assert toxicity.Lexicon(["scum"]).match("scvm") == ("scum", 1)
     made = [("scvm idiott", 0), *[("the moran", 0)] * 3]
-    rows = spark.createDataFrame(made, "text string, toxic int")
-    rigid, ordinary = toxicity.common_misspellings(rows, dict.fromkeys(toxicity.SEEDS, 4.0))
+    rows = spark.createDataFrame([(toxicity.tokens(t), b) for t, b in made], "words array<string>, toxic int")
+    rigid, ordinary = toxicity.common_misspellings(toxicity.count_words(rows), dict.fromkeys(toxicity.SEEDS, 4.0))
     assert rigid == [] and ordinary == ["moran"]
 
 
+def test_one_tokeniser_learns_and_matches(spark):
+    assert toxicity.tokens("'Idiot', he said: don’t “fool'") == ["idiot", "he", "said", "don’t", "“", "fool"]
+    rng = random.Random(23)
+    docs = spark.createDataFrame([(i, prose(rng, 20) + (" 'zwonk' " if i % 2 else " ") + prose(rng, 20)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    every = toxicity.learnable(docs, labels)
+    assert set(toxicity.learn_terms(every, toxicity.count_words(every))) - set(toxicity.SEEDS) == {"zwonk"}
+
+
+def slow_features(text, odds, window=toxicity.WINDOW):
+    """Features from the definitions: nearest term by edit distance, context by plain loops."""
+    words, hits = toxicity.tokens(text), []
+    for i, w in enumerate(words):
+        near = [(distance(w, t), t) for t in odds if abs(len(w) - len(t)) < 3 and distance(w, t) <= toxicity.edits_allowed(t)]
+        if near:
+            hits.append((i, min(near)[1], min(near)[0]))
+    inside, start = set(), None
+    for i, w in enumerate(words):
+        if w in ("“", "«", "„", "‹", "”", "»", "›", '"'):
+            if start is not None and w in ("”", "»", "“", "›", '"') and i - start <= 60:
+                inside.update(range(start + 1, i))
+                start = None
+            else:
+                start = i if w in ("“", "«", "„", "‹", '"') else None
+    best, aim, total = {}, 0.0, 0.0
+    for i, term, edits in hits:
+        near = words[max(0, i - window) : i + window + 1]
+        quoted = i in inside or bool(set(near) & toxicity.REPORTING)
+        aimed = bool(set(near) & toxicity.ADDRESS) or any(j != i and abs(j - i) <= window for j, _, _ in hits)
+        weight = toxicity.EDIT_WEIGHT[edits]
+        best[(quoted, term)] = max(best.get((quoted, term), 0.0), weight * odds[term])
+        aim += weight * (aimed and not quoted)
+        total += weight * (0.3 if quoted else 1.0)
+    sums = [sum(v for (q, _), v in best.items() if q == which) for which in (False, True)]
+    return [*sums, np.log1p(aim), np.log1p(100 * total / len(words))] if hits else [0.0] * 4
+
+
+def test_features_against_plain_loops():
+    rng = random.Random(17)
+    odds = {"idiot": 4.0, "scum": 3.5, "worthless": 5.0, "abc": 2.0}
+    pool = [*WORDS, "idiot", "idiott", "scvm", "scum", "worthles", "abc", "abd", "you", "said", '"', "“", "”", "don't"]
+    reader = toxicity.Reader(odds)
+    for _ in range(400):
+        text = " ".join(rng.choices(pool, k=rng.randint(1, 40)))
+        assert np.allclose(reader.features(text), slow_features(text, odds)), text
+
+
 def test_held_out_scores_separate(spark):
     sf = SF.replace("0.001", "0.1")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
