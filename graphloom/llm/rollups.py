@@ -2,19 +2,24 @@
 
 A store below one folder holds
 
-* ``ledger/<batch>``: signed rows (doc_id, source, lang, version, docs, tokens),
-  +1 for a count that is added and -1 for one that is taken back;
+* ``ledger/<batch>/part=<k>``: signed rows (doc_id, source, lang, version, docs,
+  tokens), +1 for a count that is added and -1 for one that is taken back, in
+  ``parts`` buckets by a hash of doc_id;
 * ``totals/<batch>``: the rollup by source, language and tokenizer version as it
   stands after the batch;
 * ``commits/<n>-<batch>``: an empty file, made last, that makes the batch count.
 
 A batch of changes is turned into signed rows: an insert adds its count; a
 delete takes back what the ledger holds of the document; a revision does both.
-New totals are the old ones plus the batch's sums, so no text is counted again.
+Only the buckets of the ids that the batch takes back are read, and of those
+the rows of these ids, before anything is grouped. New totals are the old ones
+plus the batch's sums, so no text is counted again. ``fold`` is a batch without
+changes that writes what the ledger adds up to, once for each document that is
+left; earlier batches are not read after it. Every ``FOLD`` batches one is made.
 A batch that is already committed is left alone; one that was cut short left no
 commit file and is written over when it is run again. Batches have one writer.
 
-Defined results: repeated inserts of a row count each time; a delete or a
+Batches named ``fold-...`` are the store's own. Defined results: repeated inserts of a row count each time; a delete or a
 revision takes back all counts of its document and version, and a delete with
 a null version those of every version; one of an unknown document takes back
 nothing; null sources and languages are groups of their own; a null doc_id can
@@ -24,6 +29,7 @@ be inserted but not taken back; groups whose documents come to zero vanish.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,16 +41,19 @@ from graphloom.session import fresh_dir
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that cuts text before the merges of RANKS.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+NO_BREAK = "\u00a0"
 GROUP = ("source", "lang", "version")
 LEDGER = "doc_id long, source string, lang string, version string, docs long, tokens long"
+#: Buckets of a ledger, and batches between two folds.
+PARTS, FOLD = 32, 16
 TOTALS = "source string, lang string, version string, docs long, tokens long"
 
 
 class Rollup:
     """A store of rollups below ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS, fold_after: int = FOLD):
+        self.spark, self.path, self.parts, self.fold_after = spark, path, parts, fold_after
 
     def _fs(self, name: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -61,9 +70,17 @@ class Rollup:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{kind}/{b}" for b in batches))
 
+    def _live(self) -> list[str]:
+        """The committed batches from the last fold on."""
+        done = self.committed()
+        last = max((i for i, b in enumerate(done) if b.startswith("fold-")), default=0)
+        return done[last:]
+
     def ledger(self) -> DataFrame:
-        """All signed rows."""
-        return self._read("ledger", self.committed(), LEDGER)
+        """All signed rows that are still read, with their bucket ``part``."""
+        live = self._live()
+        found = [self.spark.read.schema(f"{LEDGER}, part int").parquet(f"{self.path}/ledger/{b}") for b in live]
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], f"{LEDGER}, part int")
 
     def totals(self) -> DataFrame:
         """The rollup after the last committed batch."""
@@ -73,26 +90,51 @@ class Rollup:
         added = changes.where(F.col("op").isin("insert", "revise")).select(
             "doc_id", *GROUP, F.lit(1).cast("long").alias("docs"), F.col("n_tokens").cast("long").alias("tokens")
         )
-        gone = changes.where(F.col("op").isin("delete", "revise")).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
-        held = self.ledger().groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        gone = changes.where(F.col("op").isin("delete", "revise") & F.col("doc_id").isNotNull())
+        gone = gone.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
+        touched = [r["part"] for r in gone.select(self._part(F.col("_doc")).alias("part")).distinct().collect()]
         match = (F.col("doc_id") == F.col("_doc")) & (F.col("_version").isNull() | (F.col("version") == F.col("_version")))
-        back = held.where("docs <> 0").join(gone, match, "left_semi")
+        held = self.ledger().where(F.col("part").isin(touched)).join(gone, match, "left_semi")
+        back = held.groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
         return added.unionByName(back.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
 
+    def _part(self, doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.parts)).cast("int")
+
+    def _write(self, rows: DataFrame, batch: str) -> None:
+        """The batch's part of the ledger: a file or two for each bucket."""
+        # Rows without an id can't be taken back; they go to buckets by their group and size.
+        spread = F.coalesce(self._part(F.col("doc_id")), F.pmod(F.xxhash64(*GROUP, "tokens"), F.lit(self.parts)).cast("int"))
+        rows = rows.withColumn("part", spread).repartition(self.parts, "part")
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/ledger/{batch}")
+
+    def _commit(self, batch: str, before: list[str], totals: DataFrame) -> None:
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/{batch}")
+        store, at = self._fs(f"commits/{len(before):09d}-{batch}")
+        store.create(at, True).close()
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply (op, doc_id, source, lang, version, n_tokens) once; False if done before."""
         before = self.committed()
         if batch in before:
             return False
-        self._signed(changes).write.mode("overwrite").parquet(f"{self.path}/ledger/{batch}")
+        self._write(self._signed(changes), batch)
         delta = self._read("ledger", [batch], LEDGER).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         both = self._read("totals", before[-1:], TOTALS).unionByName(delta)
         after = both.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
-        after.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/{batch}")
-        store, at = self._fs(f"commits/{len(before):09d}-{batch}")
-        store.create(at, True).close()
+        self._commit(batch, before, after)
+        if len(self._live()) > self.fold_after:
+            self.fold()
         return True
 
+    def fold(self) -> None:
+        """Write what the ledger adds up to as a batch of its own, after which no earlier one is read."""
+        before = self.committed()
+        whole = self.ledger().groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        batch = f"fold-{len(before)}"
+        self._write(whole.where("docs <> 0 OR tokens <> 0"), batch)
+        self._commit(batch, before, self._read("totals", before[-1:], TOTALS))
+
 
 def bpe_counts(text: Column, ranks: str = RANKS) -> Column:
     """Number of byte-pair tokens of a text; 0 for null."""
@@ -125,9 +167,10 @@ def query(docs: DataFrame) -> DataFrame:
     """The totals after a life of batches over all documents.
 
     Every document is inserted with provisional counts (a token for four bytes,
-    and its words); the byte-pair version is revised to exact counts; copies of
-    a text with a smaller id are deleted; then two batches are sent again, as
-    after a lost acknowledgement, and change nothing.
+    and its words); the byte-pair version is revised to exact counts; the words
+    of the few texts with a no-break space are revised, which then parts words;
+    copies of a text with a smaller id are deleted; then two batches are sent
+    again, as after a lost acknowledgement, and change nothing.
     """
     spark = docs.sparkSession
     rollup = Rollup(spark, fresh_dir(spark, "rollup"))
@@ -137,6 +180,8 @@ def query(docs: DataFrame) -> DataFrame:
     rollup.commit("load", first)
     exact = changes(docs, "revise", "byte_bpe_50k", bpe_counts(text))
     rollup.commit("recount", exact)
+    wide = docs.where(F.contains(text, F.lit(NO_BREAK)))
+    rollup.commit("no-break", changes(wide, "revise", "words", n_words(F.replace(text, F.lit(NO_BREAK), F.lit(" ")))))
     hashed = docs.select("doc_id", F.sha2(F.coalesce(text, F.lit("")), 256).alias("_hash"))
     kept = hashed.groupBy("_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     copies = docs.select("doc_id").distinct().join(kept, "doc_id", "left_anti")

@@ -408,11 +408,66 @@ def test_rollups_follow_changes_and_repeat_nothing(spark):
     want = [("a", "en", "v1", 1, 12), ("b", "en", "v1", 1, 3), ("c", "en", "v1", 1, 1)]
     assert totals() == want and store.committed() == ["one", "two", "three"]
     # A batch cut short before its commit file leaves the totals as they were.
-    change([("insert", 4, "d", "en", "v1", 9)]).select("doc_id", "source", "lang", "version", F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens")).write.parquet(f"{store.path}/ledger/four")
+    change([("insert", 4, "d", "en", "v1", 9)]).select("doc_id", "source", "lang", "version", F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), F.lit(0).alias("part")).write.partitionBy("part").parquet(f"{store.path}/ledger/four")
     assert totals() == want
     assert store.commit("four", change([("insert", 4, "d", "en", "v1", 9)])) and ("d", "en", "v1", 1, 9) in totals()
 
 
+def test_small_batches_read_their_buckets_and_folds_change_nothing(spark):
+    rng = random.Random(3)
+    store = rollups.Rollup(spark, fresh_dir(spark, "test-rollup"), parts=8, fold_after=4)
+    schema = "op string, doc_id long, source string, lang string, version string, n_tokens long"
+    held: dict = {}
+    for n in range(7):
+        rows, ids = [], rng.sample(range(40), 12)
+        for i in ids:
+            op = rng.choice(["insert", "revise", "delete"])
+            if op != "insert":
+                held.pop(i, None)
+            if op != "delete":
+                rows.append((op, i, rng.choice("ab"), None, "v", rng.randint(0, 9)))
+                held.setdefault(i, []).append(rows[-1][2:])
+            else:
+                rows.append((op, i, None, None, None, None))
+        rows.append(("insert", None, "a", "en", "v", 1))
+        held.setdefault(None, []).append(("a", "en", "v", 1))
+        assert store.commit(f"b{n}", spark.createDataFrame(rows, schema))
+        want: dict = {}
+        for source, lang, version, tokens in (x for xs in held.values() for x in xs):
+            k = (source, lang, version)
+            want[k] = (want.get(k, (0, 0))[0] + 1, want.get(k, (0, 0))[1] + tokens)
+        assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in store.totals().collect()} == want
+    assert [b for b in store.committed() if b.startswith("fold-")] and len(store._live()) < 7
+    one = store._signed(spark.createDataFrame([("delete", 5, None, None, None, None)], schema))
+    assert "part" in one._jdf.queryExecution().executedPlan().toString()  # a partition filter on the ledger's files
+
+
+def test_rollups_of_odd_rows(spark, odd):
+    import base64
+
+    import tiktoken
+
+    pairs = (x.split() for x in open(rollups.RANKS, "rb"))
+    enc = tiktoken.Encoding("t", pat_str=rollups.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+    rows = odd.select("doc_id", "text", "lang", "source").collect()
+    least: dict = {}
+    for r in rows:
+        if r.doc_id is not None:
+            least[r.text or ""] = min(r.doc_id, least.get(r.text or "", r.doc_id))
+    want: dict = {}
+    for r in rows:
+        text = r.text or ""
+        if r.doc_id is not None and r.doc_id not in {least[x.text or ""] for x in rows if x.doc_id is not None}:
+            continue
+        # A row without an id keeps its provisional count and gets the exact one beside it.
+        exact = [len(enc.encode_ordinary(text))] + ([-(-len(text.encode()) // 4)] if r.doc_id is None else [])
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        for version, counts in (("byte_bpe_50k", exact), ("words", [words])):
+            k = (r.source, r.lang, version)
+            want[k] = (want.get(k, (0, 0))[0] + len(counts), want.get(k, (0, 0))[1] + sum(counts))
+    assert {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in rollups.query(odd).collect()} == want
+
+
 def test_rollup_query_against_recounting(spark):
     import base64
 
