@@ -211,15 +211,60 @@ def test_items_stay_in_order_with_their_captions():
     assert media.parse_items(None) == []
 
 
+def slow_media(text):
+    """The contract's values, and the figures' places, of one text by plain Python."""
+    raw = (text or "").encode()
+    payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+    images = [media.encode_png(payload[i : i + media.PIECE]) for i in range(0, len(payload), media.PIECE)]
+    form, bins = b"".join(images), [0] * 256
+    for b in payload:
+        bins[b] += 1
+    counts = ",".join(str(sum(bins[i : i + 16])) for i in range(0, 256, 16))
+    look = f"24x{len(payload) // 24};{sum(payload)};{sum(b * b for b in payload)};{counts}"
+    lines, n, places, items = (text or "").split("\n"), len(images), [], 0
+    for k in range(n):
+        items += sum(bool(x.split()) for x in lines[k * len(lines) // n : (k + 1) * len(lines) // n])
+        places.append(items)
+        items += 1
+    return (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form),
+            hashlib.sha256(form).hexdigest(), look, ",".join(map(str, places)), items, f"grey samples, part {n} of {n}")
+
+
+def test_png_holds_samples():
+    from io import BytesIO
+
+    rng = np.random.default_rng(1)
+    for n in (24, 576, media.PIECE):
+        samples = rng.integers(0, 256, n, np.uint8).tobytes()
+        assert media.read_png(media.encode_png(samples)) == (24, n // 24, samples)
+    image = pytest.importorskip("PIL.Image", reason="no other PNG reader here").open(BytesIO(media.encode_png(samples)))
+    assert image.tobytes() == samples
+
+
 def test_stored_media_against_plain_python(spark, odd):
-    texts = {str(r.doc_id): r.text for r in odd.where("doc_id IS NOT NULL").collect()}
-    for r in media.query(odd.where("doc_id IS NOT NULL")).collect():
-        raw = (texts[str(r.doc_id)] or "").encode()
-        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
-        stored = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest())
-        assert media.read_samples(stored)[2] == payload and r.media_position == r.n_items - 1
+    more = table(spark, SF, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    docs = odd.where("doc_id IS NOT NULL").select("doc_id", "text").unionByName(more)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = media.query(docs).collect()
+    for r in rows:
+        assert tuple(r)[1:] == slow_media(texts[r.doc_id]), r.doc_id
+    several = [r for r in rows if "," in r.media_positions]
+    # Interleaved: figures stand between stretches of text.
+    assert len(several) > 20 and any(int(r.media_positions.split(",")[0]) < r.n_items - 2 for r in several)
+
+
+def test_a_digest_that_is_not_stored_and_order_of_items(spark):
+    a, b = b"a" * 576, b"b" * 576
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    places = media.store(spark.createDataFrame([([a, b],), ([b, a],)], "pieces array<binary>"), fresh_dir(spark, "test-media"))
+    assert sorted(r.digest for r in places.collect()) == sorted([digest(a), digest(b)])
+    refs = [("x", 0, digest(b)), ("x", 3, digest(a)), ("y", 1, digest(a)), ("y", 2, "00"), ("z", 5, None)]
+    refs = spark.createDataFrame([(k, p, 9, d, f"{k}{p}") for k, p, d in refs], "key string, pos int, n_items int, digest string, caption string")
+    located = media.locate(refs, places)
+    assert located.where("file IS NULL").count() == 2
+    got = {r.key: r for r in media.assemble(located, ["key"], 3).collect()}
+    assert got["x"].payload_sha256 == digest(b + a) and got["x"].media_positions == "0,3" and got["x"].caption == "x3"
+    assert got["y"].payload_sha256 is None and got["z"].payload_bytes is None
 
 
 # --- op4 ------------------------------------------------------------------------
