@@ -4,17 +4,24 @@ Fingerprints. A document's 3-word shingles are hashed with XXH64; a bit of the
 64-bit fingerprint is set if it is set in over half of the hashes. This is a
 map over the texts; only ids and fingerprints go on.
 
-Shard trees. Two fingerprints that differ in at most two bits agree on at
-least six of their eight bytes. Every distinct fingerprint is therefore sent to
-28 shards, one for each choice of six bytes, named by those bytes: all
-neighbours meet, and a shard holds at most 65,536 fingerprints by construction,
-which bounds a task's memory whatever the data. In each shard a BK-tree is
-built, with children keyed by their integer Hamming distance to the parent; a
-search with radius r at distance d follows only the edges from d - r to d + r.
+Shard trees. The bits are dealt into three blocks. Two fingerprints that differ
+in at most two bits agree on one block at least, so every distinct fingerprint
+is sent to three shards, one for each block, named by the first bits of that
+block: all neighbours meet. How many bits name a shard follows from the number
+of fingerprints, so that a shard has about ``SHARD`` members however large the
+corpus. A shard of over ``MOST`` members, which only many fingerprints alike can
+make, is dealt again by blocks of the bits that its members need not agree on,
+until none is larger; after at most five rounds fewer than 14 bits are left, so
+that a tree's size is bounded by construction.
+
+In each shard a BK-tree is built, with children keyed by their integer Hamming
+distance to the parent; a search with radius r at distance d follows only the
+edges from d - r to d + r. All members are searched for in their shard's tree,
+in batches, each step of which goes one edge down for all open searches.
 
 Trees are not broadcast: a fingerprint would then have to visit every tree,
-which grows with the square of the corpus. The shuffle takes each tree to the
-only members that can be near it. The radius and the edge rule are the same.
+which grows with the square of the corpus. The shuffle takes each tree's
+members, 8 bytes each and at most ``MOST`` of them, to the task that builds it.
 
 Classes. A shard reports links from its members to the least member they
 reach, so the links of a dense group grow with its size and not with its
@@ -30,6 +37,7 @@ its ids are null; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,10 +50,10 @@ from graphloom.session import cut
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-#: By shard kind: the bits that its members agree on, all but two bytes.
-MASKS = tuple(
-    ~((0xFF << 8 * a) | (0xFF << 8 * b)) & 0xFFFFFFFFFFFFFFFF for a in range(8) for b in range(a + 1, 8)
-)
+#: Members of a shard: about so many, and never more than so many.
+SHARD, MOST = 512, 16_384
+#: Searches that go down a tree together.
+TOGETHER = 256
 
 
 def fingerprint(text: str | None) -> int:
@@ -81,50 +89,47 @@ def fingerprints(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...]
     return docs.select(*carry, of(F.col(text_col)).alias("fp"))
 
 
-def build_tree(values: list[int]) -> list[dict[int, int]]:
-    """A BK-tree over distinct values: node i has its children by distance."""
-    children: list[dict[int, int]] = []
-    for i, value in enumerate(values):
-        children.append({})
-        if i:
-            node = 0
-            while True:
-                d = (values[node] ^ value).bit_count()
-                child = children[node].get(d)
-                if child is None:
-                    children[node][d] = i
-                    break
-                node = child
-    return children
-
-
-def search(values: list[int], children: list[dict[int, int]], value: int, radius: int) -> list[int]:
-    """The nodes within ``radius`` of ``value``."""
-    found, open_nodes = [], [0]
-    while open_nodes:
-        node = open_nodes.pop()
-        d = (values[node] ^ value).bit_count()
-        if d <= radius:
-            found.append(node)
-        below = children[node]
-        if below:
-            for k in range(max(0, d - radius), d + radius + 1):
-                child = below.get(k)
-                if child is not None:
-                    open_nodes.append(child)
-    return found
-
-
-def shard_links(values: np.ndarray, radius: int = RADIUS) -> tuple[list[int], list[int]]:
+class Tree:
+    """A BK-tree over distinct unsigned 64-bit values; the first is the root.
+
+    ``child[i, d]`` is the child of node i at distance d, or -1. It is built level
+    by level: of all values that reach an edge, the first becomes its child and
+    the others go on from there, as if they were inserted one after another.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.child = np.full((len(values), 65), -1, np.int32)
+        rest, at = np.arange(1, len(values)), np.zeros(max(len(values) - 1, 0), np.int64)
+        while len(rest):
+            d = np.bitwise_count(values[rest] ^ values[at]).astype(np.int64)
+            edge, first, of = np.unique(at * 65 + d, return_index=True, return_inverse=True)
+            made = rest[first]
+            self.child[edge // 65, edge % 65] = made
+            going = rest != made[of]
+            rest, at = rest[going], made[of][going]
+
+    def search(self, wanted: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(k, node): the nodes within ``radius`` of each wanted value k."""
+        k, node = np.arange(len(wanted)), np.zeros(len(wanted), np.int64)
+        ks, nodes = [], []
+        while len(k):
+            d = np.bitwise_count(self.values[node] ^ wanted[k]).astype(np.int64)
+            near = d <= radius
+            ks.append(k[near])
+            nodes.append(node[near])
+            edges = d[:, None] + np.arange(-radius, radius + 1)
+            below = np.where((edges >= 0) & (edges <= 64), self.child[node[:, None], np.clip(edges, 0, 64)], -1)
+            row, column = np.nonzero(below >= 0)
+            k, node = k[row], below[row, column].astype(np.int64)
+        return np.concatenate(ks), np.concatenate(nodes)
+
+
+def shard_links(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links from members to the least member they reach within the shard."""
-    members = [int(v) for v in np.unique(values.astype(np.int64)).astype(np.uint64)]
-    if len(members) == 2:
-        near = (members[0] ^ members[1]).bit_count() <= radius
-        pairs = [(1, 0)] if near else []
-    else:
-        tree = build_tree(members)
-        pairs = ((i, j) for i, v in enumerate(members) for j in search(members, tree, v, radius) if j < i)
-    parent = list(range(len(members)))
+    members = np.unique(values.astype(np.int64))
+    tree = Tree(members.view(np.uint64))
+    parent = np.arange(len(members))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -132,37 +137,68 @@ def shard_links(values: np.ndarray, radius: int = RADIUS) -> tuple[list[int], li
             i = parent[i]
         return i
 
-    signed = [_signed(v) for v in members]
-    for i, j in pairs:
-        a, b = root(i), root(j)
-        if a != b:
-            lo, hi = (a, b) if signed[a] < signed[b] else (b, a)
+    for at in range(0, len(members), TOGETHER):
+        k, node = tree.search(tree.values[at : at + TOGETHER], radius)
+        # Members that are joined already need no second look.
+        a, b = parent[k + at], parent[node]
+        for pair in np.unique((np.minimum(a, b) * len(members) + np.maximum(a, b))[a != b]).tolist():
+            lo, hi = sorted((root(pair // len(members)), root(pair % len(members))))
             parent[hi] = lo
-    links = [(signed[i], signed[root(i)]) for i in range(len(members)) if root(i) != i]
-    return [a for a, _ in links], [b for _, b in links]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    linked = np.flatnonzero(parent != np.arange(len(members)))
+    return members[linked], members[parent[linked]]
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v), v < u: links that connect all of ``distinct.fp`` within ``radius``."""
-    if radius > 2:
-        raise ValueError("six of eight bytes agree only up to two differing bits")
+def blocks(free: list[int], radius: int = RADIUS) -> list[list[int]]:
+    """The bits ``free`` dealt into one block more than bits may differ."""
+    return [free[k :: radius + 1] for k in range(radius + 1)]
+
+
+def _mask(bits: list[int]) -> int:
+    return sum(1 << b for b in bits)
+
+
+def _sharded(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, mask, key) for each of ``masks``: the bits that name a shard, and their values."""
     kinds = F.array(*[
-        F.struct(F.lit(n).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")).alias("key"))
-        for n, mask in enumerate(MASKS)
+        F.struct(F.lit(_signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key"))
+        for m in masks
     ])
-    shards = distinct.select("fp", F.inline(kinds)).groupBy("kind", "key").agg(F.collect_list("fp").alias("fps"))
+    return rows.select("fp", F.inline(kinds))
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS, size: int = SHARD, most: int = MOST) -> DataFrame:
+    """(mask, key, fps) of at most ``most`` members; all within ``radius`` of one another meet in one."""
+    width = max(0, int(np.ceil(np.log2(max(distinct.count(), 1) / size))))
+    masks = [_mask(block[:width]) for block in blocks(list(range(64)), radius)]
+    rows, done = _sharded(distinct, masks), []
+    while True:
+        counts = rows.groupBy("mask", "key").agg(F.count("*").alias("n"))
+        hot = cut(counts.where(F.col("n") > most).select("mask", "key"), "simhash-hot")
+        if hot.isEmpty():
+            break
+        rows = cut(rows, "simhash-shards")
+        done.append(rows.join(hot, ["mask", "key"], "left_anti"))
+        over, split = rows.join(hot, ["mask", "key"], "left_semi"), []
+        for mask in masks:
+            free = [b for b in range(64) if not mask >> b & 1]
+            finer = [mask | _mask(block) for block in blocks(free, radius)]
+            split.append((_sharded(over.where(F.col("mask") == _signed(mask)).select("fp"), finer), finer))
+        rows, masks = reduce(DataFrame.unionByName, [d for d, _ in split]), [m for _, ms in split for m in ms]
+    whole = reduce(DataFrame.unionByName, [*done, rows])
+    return whole.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+
 
+def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v), v < u: links that connect all of ``distinct.fp`` within ``radius``."""
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            us: list[int] = []
-            vs: list[int] = []
-            for fps in batch["fps"]:
-                u, v = shard_links(np.asarray(fps), radius)
-                us += u
-                vs += v
-            yield pd.DataFrame({"u": np.array(us, "int64"), "v": np.array(vs, "int64")})
-
-    return shards.where(F.size("fps") > 1).select("fps").mapInPandas(link, "u long, v long").distinct()
+            found = [shard_links(np.asarray(fps), radius) for fps in batch["fps"]]
+            us, vs = zip(*found) if found else ((), ())
+            yield pd.DataFrame({"u": np.concatenate([np.zeros(0, np.int64), *us]), "v": np.concatenate([np.zeros(0, np.int64), *vs])})
+
+    return shards(distinct, radius).select("fps").mapInPandas(link, "u long, v long").distinct()
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:

@@ -177,13 +177,29 @@ def test_classes_against_brute_force(spark):
     assert got == {d: (f"{p:016x}", find(d)) for d, p in prints.items()}
 
 
+def inserted(values):
+    """Children by distance of a BK-tree to which values are added one after another."""
+    children = []
+    for i, value in enumerate(values):
+        children.append({})
+        node = 0
+        while i:
+            d = (values[node] ^ value).bit_count()
+            if d not in children[node]:
+                children[node][d] = i
+                break
+            node = children[node][d]
+    return children
+
+
 def test_tree_search_and_chains(spark):
     rng = random.Random(6)
     base = rng.getrandbits(64)
     values = list({base ^ sum(1 << b for b in rng.sample(range(20), rng.randint(0, 4))) for _ in range(300)})
-    tree = simhash.build_tree(values)
-    for v in values[:40]:
-        assert sorted(simhash.search(values, tree, v, 2)) == [i for i, w in enumerate(values) if (v ^ w).bit_count() <= 2]
+    tree = simhash.Tree(np.array(values, np.uint64))
+    assert [{d: int(c) for d, c in enumerate(row) if c >= 0} for row in tree.child] == inserted(values)
+    k, node = tree.search(np.array(values[:40], np.uint64), 2)
+    assert sorted(zip(k.tolist(), node.tolist())) == [(i, j) for i, v in enumerate(values[:40]) for j, w in enumerate(values) if (v ^ w).bit_count() <= 2]
     chain = [0]
     for k in range(40):  # each link flips two other bits
         chain.append(chain[-1] ^ (1 << (k % 62)) ^ (1 << (k % 62 + 1)) if k % 2 else chain[-1] ^ (1 << (k % 64)))
@@ -192,6 +208,51 @@ def test_tree_search_and_chains(spark):
     assert [r.root for r in roots] == [min(simhash._signed(v) for v in chain)]
 
 
+def slow_groups(values, radius=2):
+    """The least signed value that each one reaches, by all pairs."""
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+    signed, least = values.view(np.int64), values.view(np.int64).copy()
+    while True:
+        lower = np.where(near, least[None, :], np.iinfo(np.int64).max).min(1)
+        if (lower == least).all():
+            return {int(a): int(b) for a, b in zip(signed, least)}
+        least = lower
+
+
+def test_hot_shards_are_dealt_again_and_lose_no_link(spark):
+    rng = np.random.default_rng(4)
+    dense = rng.integers(0, 2**63, dtype=np.uint64) ^ np.unique(rng.integers(0, 2**11, 900, np.uint64))
+    values = np.unique(np.concatenate([dense, rng.integers(0, 2**63, 600, np.uint64), dense[:200] ^ (np.uint64(1) << rng.integers(11, 64, 200).astype(np.uint64))]))
+    fps = spark.createDataFrame([(simhash._signed(int(v)),) for v in values], "fp long").repartition(6)
+    shards = simhash.shards(fps, size=64, most=100)
+    sizes = [r.n for r in shards.select(F.size("fps").alias("n")).collect()]
+    assert max(sizes) <= 100 and sum(n > 2 for n in sizes) > 5
+    links = shards.select("fps").collect()
+    made = [pair for r in links for pair in zip(*simhash.shard_links(np.array(r.fps)))]
+    least = {int(v): int(v) for v in values.view(np.int64)}
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in made], "u long, v long").distinct()
+    least |= {r.node: r.root for r in simhash.components(edges).collect()}
+    assert least == slow_groups(values)
+
+
+def test_links_come_from_trees(spark, monkeypatch):
+    """On 10,000 documents shards are trees of hundreds on average, and every link is one that a search found."""
+    prints = simhash.fingerprints(table(spark, SF.replace("0.001", "0.1"), "documents")).select("fp").distinct()
+    shards = [np.array(r.fps) for r in simhash.shards(prints).collect()]
+    found, plain = set(), simhash.Tree.search
+
+    def counted(tree, wanted, radius):
+        k, node = plain(tree, wanted, radius)
+        found.update((int(a), int(b)) for a, b in zip(wanted[k], tree.values[node]) if a != b)
+        return k, node
+
+    monkeypatch.setattr(simhash.Tree, "search", counted)
+    links = [pair for fps in shards for pair in zip(*simhash.shard_links(fps))]
+    values = np.unique(np.concatenate(shards)).view(np.uint64)
+    near = {(int(v), int(w)) for i in range(0, len(values), 500) for a, b in zip(*np.nonzero(np.bitwise_count(values[i : i + 500, None] ^ values) <= 2)) for v, w in [(values[i + a], values[b])] if v != w}
+    assert found == near and len(links) > 5 and np.mean([len(fps) for fps in shards]) > 200
+
+
 def test_one_of_each_class_stays(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
