@@ -184,7 +184,12 @@ def feature(width: int, height: int, bins: np.ndarray) -> str:
 
 # --- the store ----------------------------------------------------------------------
 
-PLACES = "digest string, file string, offset long, length long"
+#: ``file`` is the 16-byte name of a file of the store's folder; digests are raw bytes here.
+PLACES = "digest binary, file binary, offset long, length int"
+
+
+def _uri(folder: str, name: bytes) -> str:
+    return f"{folder}/{bytes(name).hex()}.media"
 
 
 class _File:
@@ -193,15 +198,15 @@ class _File:
     def __init__(self, folder: str):
         from pyarrow import fs
 
-        self.uri = f"{folder}/{uuid.uuid4().hex}.media"
-        store, path = fs.FileSystem.from_uri(self.uri)
+        self.name = uuid.uuid4().bytes
+        store, path = fs.FileSystem.from_uri(_uri(folder, self.name))
         store.create_dir(path.rpartition("/")[0], recursive=True)
         self.stream, self.at = store.open_output_stream(path), 0
 
-    def add(self, media: bytes) -> tuple[str, int, int]:
+    def add(self, media: bytes) -> tuple[bytes, int, int]:
         self.stream.write(media)
         self.at += len(media)
-        return self.uri, self.at - len(media), len(media)
+        return self.name, self.at - len(media), len(media)
 
 
 def store(payloads: DataFrame, folder: str) -> DataFrame:
@@ -213,7 +218,7 @@ def store(payloads: DataFrame, folder: str) -> DataFrame:
             rows = []
             for pieces in batch.column("pieces").to_pylist():
                 for piece in pieces:
-                    digest = hashlib.sha256(piece).hexdigest()
+                    digest = hashlib.sha256(piece).digest()
                     if digest in seen:
                         continue
                     file = file or _File(folder)
@@ -225,7 +230,7 @@ def store(payloads: DataFrame, folder: str) -> DataFrame:
                         file.stream.close()
                         file = None
             columns = list(zip(*rows)) if rows else [()] * 4
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["digest", "file", "offset", "length"])
         if file:
             file.stream.close()
@@ -236,14 +241,11 @@ def store(payloads: DataFrame, folder: str) -> DataFrame:
 
 
 def locate(refs: DataFrame, places: DataFrame) -> DataFrame:
-    """References with the places of the media that they name; null if there are none."""
+    """References (``digest`` as raw bytes) with the places of the media they name; null if there are none."""
     return refs.join(places.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left").drop("_digest")
 
 
-READ = (
-    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "media_positions string, n_items int, caption string"
-)
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_positions string"
 
 
 class _Reader:
@@ -283,32 +285,31 @@ class _Reader:
             self.file.close()
 
 
-def _read_back(reader: _Reader, items: list[dict]) -> tuple:
+def _read_back(reader: _Reader, folder: str, items: list[dict]) -> tuple:
     """The values of READ of a document's located items, in order of position."""
     whole, form, media_bytes, tail = hashlib.sha256(), hashlib.sha256(), 0, b""
     bins, size, height = np.zeros(256, np.int64), 0, 0
     for k, i in enumerate(items):
-        media = reader.bytes_of(i["file"], i["offset"], i["length"], k == 0)
+        media = reader.bytes_of(_uri(folder, i["file"]), i["offset"], i["length"], k == 0)
         _, rows, samples = read_png(media)
-        if hashlib.sha256(samples).hexdigest() != i["digest"]:
+        if hashlib.sha256(samples).digest() != bytes(i["digest"]):
             raise ValueError("stored media do not have the digest that names them")
         whole.update(samples)
         form.update(media)
         media_bytes, size, height, tail = media_bytes + len(media), size + len(samples), height + rows, samples[-TAIL:]
         bins += np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
     positions = ",".join(str(i["pos"]) for i in items)
-    return (size, whole.hexdigest(), zlib.crc32(tail), media_bytes, form.hexdigest(), feature(WIDTH, height, bins),
-            positions, items[0]["n_items"], items[-1]["caption"])
+    return size, whole.hexdigest(), zlib.crc32(tail), media_bytes, form.hexdigest(), feature(WIDTH, height, bins), positions
 
 
-def assemble(located: DataFrame, key: list[str], tasks: int) -> DataFrame:
+def assemble(located: DataFrame, key: list[str], folder: str, tasks: int) -> DataFrame:
     """``key`` and READ of each document: its items' media read back in order by ``tasks`` tasks.
 
     A document's items are gathered, which its own length bounds; documents are
     then dealt out by where their media begin, so that a task reads its files from
     front to back. The stored form of a document is its images one after another.
     """
-    item = F.struct("pos", "n_items", "digest", "caption", "file", "offset", "length")
+    item = F.struct("pos", "digest", "file", "offset", "length")
     rows = located.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("items"))
     whole = F.forall("items", lambda i: i["file"].isNotNull())
     rows = rows.select(*key, F.when(whole, F.col("items")).alias("items"), F.get("items", F.lit(0))["file"].alias("_file"), F.get("items", F.lit(0))["offset"].alias("_offset"))
@@ -318,9 +319,9 @@ def assemble(located: DataFrame, key: list[str], tasks: int) -> DataFrame:
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         reader, names = _Reader(), [c.split()[0] for c in READ.split(", ")]
         for batch in batches:
-            found = [(None,) * len(names) if items is None else _read_back(reader, list(items)) for items in batch]
+            found = [(None,) * len(names) if items is None else _read_back(reader, folder, list(items)) for items in batch]
             frame = pd.DataFrame(found, columns=names)
-            yield frame.astype(dict.fromkeys(("payload_bytes", "tail_crc32", "media_bytes"), "Int64") | {"n_items": "Int32"})
+            yield frame.astype(dict.fromkeys(("payload_bytes", "tail_crc32", "media_bytes"), "Int64"))
         reader.close()
 
     return rows.select(*key, read(F.col("items")).alias("m")).select(*key, "m.*")
@@ -335,13 +336,12 @@ def pieces_of(payload: Column) -> Column:
     return F.transform(starts, lambda k: F.substring(payload, k * PIECE + 1, F.lit(PIECE)))
 
 
-def page_of(text: Column, digests: Column) -> Column:
+def page_of(lines: Column, digests: Column) -> Column:
     """An HTML page of a document: a paragraph for each line, and its figures set evenly between them."""
-    safe = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    lines, n = F.split(safe, "\n"), F.size(digests)
+    n = F.size(digests)
     # Figure k follows the k-th of n shares of the lines.
     until = lambda k: F.floor(k.cast("long") * F.size(lines) / n).cast("int")
-    paragraphs = lambda k: F.array_join(F.transform(F.slice(lines, until(k) + 1, until(k + 1) - until(k)), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    paragraphs = lambda k: F.concat(F.lit("<p>"), F.array_join(F.slice(lines, until(k) + 1, until(k + 1) - until(k)), "</p><p>"), F.lit("</p>"))
     figure = lambda d, k: F.concat(
         F.lit('<figure><img src="sha256:'), d, F.lit('"><figcaption>grey samples, part '), k + 1, F.lit(" of "), n, F.lit("</figcaption></figure>"))
     return F.concat(F.lit("<article>"), F.array_join(F.transform(digests, lambda d, k: F.concat(paragraphs(k), figure(d, k))), ""), F.lit("</article>"))
@@ -351,18 +351,22 @@ def query(docs: DataFrame) -> DataFrame:
     """The contract's columns; the places of each document's figures among its items,
     the number of items and the last caption. Equal texts are shown by one page, which
     is read back once for all of them."""
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = docs.select("doc_id", "text", F.sha2(data, 256).alias("_page"), F.octet_length(data).cast("long").alias("n_bytes"), padded(data).alias("payload"))
-    base = base.select("doc_id", "text", "_page", "n_bytes", pieces_of(F.col("payload")).alias("pieces"))
-    places = store(base, fresh_dir(docs.sparkSession, "media"))
-    digests = F.transform("pieces", lambda p: F.sha2(p, 256))
-    shown = sequences(base.select("doc_id", "_page", "n_bytes", page_of(F.col("text"), digests).alias("html")), F.col("html"))
-    media = F.transform(F.filter("items", lambda i: i["kind"] == "media"), lambda i: F.struct(
-        i["pos"].alias("pos"), F.size("items").alias("n_items"), i["digest"].alias("digest"), i["caption"].alias("caption")))
-    shown = cut(shown.select("doc_id", "_page", "n_bytes", media.alias("media")), "media-refs")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = docs.select("doc_id", text.alias("text"), text.cast("binary").alias("data")).withColumn("payload", padded(F.col("data")))
+    base = base.select("doc_id", "text", "data", pieces_of(F.col("payload")).alias("pieces"))
+    folder = fresh_dir(docs.sparkSession, "media")
+    places = store(base, folder)
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page, n_bytes = F.unhex(F.sha2("data", 256)).alias("_page"), F.octet_length("data").cast("long").alias("n_bytes")
+    parts = base.select("doc_id", page, n_bytes, F.split(safe, "\n").alias("lines"), F.transform("pieces", lambda p: F.sha2(p, 256)).alias("digests"))
+    shown = sequences(parts.select("doc_id", "_page", "n_bytes", page_of(F.col("lines"), F.col("digests")).alias("html")), F.col("html"))
+    figures = F.filter("items", lambda i: i["kind"] == "media")
+    shown = shown.select("doc_id", "_page", "n_bytes", F.size("items").alias("n_items"), figures.alias("figures"))
+    refs = F.transform("figures", lambda i: F.struct(i["pos"].alias("pos"), F.unhex(i["digest"]).alias("digest")))
+    shown = cut(shown.select("doc_id", "_page", "n_bytes", "n_items", refs.alias("refs"), F.get("figures", F.size("figures") - 1)["caption"].alias("caption")), "media-refs")
     # Copies agree in every reference; they are one page from here on.
-    pages = shown.groupBy("_page").agg(F.any_value("media").alias("media"))
+    pages = shown.groupBy("_page").agg(F.any_value("refs").alias("refs"))
     stored = places.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).head()["n"]
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, stored // SHARE)
-    read = cut(assemble(locate(pages.select("_page", F.inline("media")), places), ["_page"], tasks), "media-read")
-    return shown.select("doc_id", "_page", "n_bytes").join(read, "_page").drop("_page")
+    read = cut(assemble(locate(pages.select("_page", F.inline("refs")), places), ["_page"], folder, tasks), "media-read")
+    return shown.select("doc_id", "_page", "n_bytes", "n_items", "caption").join(read, "_page").drop("_page")

@@ -326,7 +326,8 @@ def test_stored_media_against_plain_python(spark, odd):
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = media.query(docs).collect()
     for r in rows:
-        assert tuple(r)[1:] == slow_media(texts[r.doc_id]), r.doc_id
+        names = "n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature media_positions n_items caption".split()
+        assert tuple(r[c] for c in names) == slow_media(texts[r.doc_id]), r.doc_id
     several = [r for r in rows if "," in r.media_positions]
     # Interleaved: figures stand between stretches of text.
     assert len(several) > 20 and any(int(r.media_positions.split(",")[0]) < r.n_items - 2 for r in several)
@@ -334,15 +335,15 @@ def test_stored_media_against_plain_python(spark, odd):
 
 def test_a_digest_that_is_not_stored_and_order_of_items(spark):
     a, b = b"a" * 576, b"b" * 576
-    digest = lambda x: hashlib.sha256(x).hexdigest()
-    places = media.store(spark.createDataFrame([([a, b],), ([b, a],)], "pieces array<binary>"), fresh_dir(spark, "test-media"))
-    assert sorted(r.digest for r in places.collect()) == sorted([digest(a), digest(b)])
-    refs = [("x", 0, digest(b)), ("x", 3, digest(a)), ("y", 1, digest(a)), ("y", 2, "00"), ("z", 5, None)]
-    refs = spark.createDataFrame([(k, p, 9, d, f"{k}{p}") for k, p, d in refs], "key string, pos int, n_items int, digest string, caption string")
-    located = media.locate(refs, places)
+    digest = lambda x: hashlib.sha256(x).digest()
+    folder = fresh_dir(spark, "test-media")
+    places = media.store(spark.createDataFrame([([a, b],), ([b, a],)], "pieces array<binary>"), folder)
+    assert sorted(bytes(r.digest) for r in places.collect()) == sorted([digest(a), digest(b)])
+    refs = [("x", 0, digest(b)), ("x", 3, digest(a)), ("y", 1, digest(a)), ("y", 2, b"0"), ("z", 5, None)]
+    located = media.locate(spark.createDataFrame(refs, "key string, pos int, digest binary"), places)
     assert located.where("file IS NULL").count() == 2
-    got = {r.key: r for r in media.assemble(located, ["key"], 3).collect()}
-    assert got["x"].payload_sha256 == digest(b + a) and got["x"].media_positions == "0,3" and got["x"].caption == "x3"
+    got = {r.key: r for r in media.assemble(located, ["key"], folder, 3).collect()}
+    assert got["x"].payload_sha256 == hashlib.sha256(b + a).hexdigest() and got["x"].media_positions == "0,3"
     assert got["y"].payload_sha256 is None and got["z"].payload_bytes is None
 
 
