@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and
 returns a DataFrame that is written as Parquet and read again as the next
-stage's ``docs``. All but the last return the columns of ``documents``.
+stage's ``docs``. All but the last return the columns of ``documents``. What a
+stage writes on its way is deleted once its result stands.
+
+Defined results: a null or blank text is rejected by the first stage; rows
+without an id pass the second one; masking keeps nulls; a document of a null
+source is mixed as a source of its own, and one that the mix doesn't take is not
+in what follows; repeated rows are one document after the second stage; an empty
+table stays empty through all stages; columns that ``documents`` has beside its
+own pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, pieces, pii, quality, simhash
-from graphloom.session import cut, table
+from graphloom.session import settled, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents below ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(spark, f"pipeline-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

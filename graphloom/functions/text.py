@@ -14,8 +14,15 @@ def slug(name: Column) -> Column:
 
 
 def percent_decoded(value: Column) -> Column:
-    """Percent escapes decoded; a plus stays one, and a bad escape leaves the value as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+    """Percent escapes decoded; a plus stays one, and what is no whole escape stays as it is.
+
+    Every other byte is written as two hexadecimal digits and escapes give theirs, so
+    that escapes of one character's bytes come together before they are read as text.
+    """
+    parts = F.regexp_extract_all(value, F.lit("(?s)(%[0-9A-Fa-f]{2}|%|[^%]+)"), 1)
+    escape = lambda x: (F.length(x) == 3) & F.startswith(x, F.lit("%"))
+    digits = F.transform(parts, lambda x: F.when(escape(x), F.substring(x, 2, 2)).otherwise(F.hex(x)))
+    return F.make_valid_utf8(F.unhex(F.array_join(digits, "")).cast("string"))
 
 
 def caption(summary: Column) -> Column:

@@ -3,15 +3,26 @@
 Everything that must outlive an executor goes to the folder the cluster names
 in ``spark.checkpoint.dir``; only a local session without that setting gets a
 folder of its own.
+
+What is written there has an owner: ``scratch`` deletes what was made inside it,
+and what has no other owner is deleted when the driver's process ends. A query
+returns a plan that still reads such folders, so its result is to be written
+inside a ``scratch`` if they should go at once.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made so far, with the file systems that delete them, by owner; the last owner is the present one.
+_OWNED: list[list[tuple]] = [[]]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``, whatever file system that is on."""
@@ -34,9 +45,52 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def _delete(owned: list[tuple]) -> None:
+    for store, path in owned:
+        store.delete(path, True)
+    owned.clear()
+
+
+def _delete_rest() -> None:
+    try:
+        for owned in _OWNED:
+            _delete(owned)
+    except Exception:  # noqa: BLE001 - the process ends and Spark may be gone before it
+        pass
+
+
+atexit.register(_delete_rest)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, deleted with its owner."""
+    path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    _OWNED[-1].append(_file_system(spark, path))
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Own the folders made inside, and delete them at its end."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        _delete(_OWNED.pop())
+
+
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written and read back; the folders made on the way are deleted."""
+    path = fresh_dir(spark, label)
+    with scratch():
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -53,7 +107,6 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``fresh_dir`` named, through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete a folder through Hadoop's file system."""
+    store, at = _file_system(spark, path)
+    store.delete(at, True)

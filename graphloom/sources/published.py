@@ -3,7 +3,7 @@
 ``publish`` writes nodes and edges as Parquet, the edges partitioned by kind,
 so that a query over imports never reads calls. ``trade_map`` publishes the
 trade graph of a table folder to the shared folder once for each session; the
-tables are taken as they were then.
+tables are taken as they are then, and again when their files have changed.
 """
 
 from __future__ import annotations
@@ -14,7 +14,24 @@ from graphloom import model
 from graphloom.session import fresh_dir
 from graphloom.sources import bindings
 
-_published: dict[tuple[str, str], str] = {}
+#: By application and listing of the tables' files: the folder of the map.
+_published: dict[tuple, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Paths, sizes and times of the files of the tables that a trade map is made of."""
+    out = []
+    for name in TABLES:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in store.listStatus(at)] if store.exists(at) else []
+    return tuple(sorted(out))
+
+
+def _stands(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/edges/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def publish(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -32,8 +49,8 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def trade_map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The published trade graph of ``sf_dir``."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _published:
+    key = (spark.sparkContext.applicationId, _listing(spark, sf_dir))
+    if key not in _published or not _stands(spark, _published[key]):
         path = fresh_dir(spark, "map")
         publish(*bindings.trade(spark, sf_dir), path)
         _published[key] = path

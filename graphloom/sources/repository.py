@@ -18,9 +18,8 @@ from graphloom.model import edge, node_id, top_directory
 from graphloom.operators import calls as call_rules
 from graphloom.operators import extract, regions, resolve
 from graphloom.session import cut
+from graphloom.sources.tree import walk
 
-#: Directories that are never entered.
-PRUNED = ("node_modules", "target", ".git")
 #: Words before a bracket that are no calls.
 KEYWORDS = (
     "if elif else for while switch case return func function def class with catch except lambda await typeof new in not and or "
@@ -34,20 +33,6 @@ LANGUAGE = {
 PAIRS = ("c", "cc", "cpp", "cxx")
 
 
-def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of the files below ``root``; pruned directories are left out.
-
-    Bytes that are no UTF-8 are replaced, as a reader that must not fail does.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    path = F.substring_index("path", full.split(":", 1)[-1].lstrip("/"), -1)
-    inside = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    files = found.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return files.where(~F.exists(inside, lambda d: d.isin(*PRUNED))).select("path", "text")
-
-
 def language(path: Column) -> Column:
     """A key of DECLARATIONS by extension, case-sensitive; null for others."""
     extension = F.when(F.instr(path, ".") > 0, F.substring_index(path, ".", -1))
@@ -392,7 +377,8 @@ def resolved(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the source tree below ``root``."""
-    return graph_of(walk(spark, root))
+    # Texts are read once; the rules below read them several times.
+    return graph_of(cut(walk(spark, root), "facts-files"))
 
 
 def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:

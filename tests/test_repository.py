@@ -135,3 +135,24 @@ def test_declarations_end_with_their_last_line(spark):
     assert {(r.name, r.start_line, r.end_line) for r in found.collect()} == {("a", 1, 5), ("b", 2, 3), ("K", 9, 11), ("K.m", 10, 11)}
     called = repository.calls(code, found, nested)
     assert {(r.caller, r.callee) for r in called.collect()} == {("b", "c"), ("a", "b"), ("K.m", "b")}
+
+
+def test_walk_shows_hidden_names_and_honours_ignore_files(spark, tmp_path):
+    files = {
+        ".gitignore": "# build output\nbuild/\n*.log\n!keep.log\n/top.txt\ndocs/**/draft.md\n[ab].tmp\n",
+        "pkg/__init__.py": "", "pkg/_util.py": "def u():\n    pass\n", "pkg/m.py": "", "_private/z.py": "", ".github/ci.yml": "on: push\n",
+        "build/gen.py": "", "pkg/build/more.py": "", "debug.log": "", "pkg/keep.log": "", "top.txt": "", "pkg/top.txt": "", "docs/a/b/draft.md": "",
+        "docs/draft.md": "", "draft.md": "", "a.tmp": "", "c.tmp": "", "pkg/.gitignore": "m.py\n!/build/\n", "sub/m.py": "", "sub/.ignore": "*.md\n", "sub/x.md": "",
+        "node_modules/x.js": "", "lib/target/y.rs": "", ".graphloom/map.json": "{}", "target.md": "a", "odd name é.txt": "é",
+    }
+    for path, text in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "raw.bin").write_bytes(b"ok \xff\xfe")
+    (tmp_path / "link").symlink_to(tmp_path / "pkg")
+    got = {r.path: r.text for r in repository.walk(spark, str(tmp_path)).collect()}
+    want = {
+        ".gitignore", "pkg/.gitignore", "pkg/__init__.py", "pkg/_util.py", "_private/z.py", ".github/ci.yml", "pkg/build/more.py", "pkg/keep.log",
+        "pkg/top.txt", "draft.md", "c.tmp", "sub/m.py", "sub/.ignore", "target.md", "odd name é.txt", "raw.bin"}
+    assert set(got) == want
+    assert got["pkg/_util.py"] == files["pkg/_util.py"] and got["raw.bin"] == "ok ��"

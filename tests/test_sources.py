@@ -115,6 +115,12 @@ def test_ask_refuses_and_verifies(spark):
     assert said[0]["citations"] == ["function:lib/util.ts:help"]
 
 
+def test_percent_escapes_are_decoded_one_by_one(spark):
+    cases = {"%41%zz": "A%zz", "100%": "100%", "a%2": "a%2", "%%41": "%A", "%E2%82%ACx": "€x", "é%20\n+": "é \n+", "": "", "%ff": "\ufffd"}
+    got = spark.createDataFrame([(k,) for k in cases], "v string").select("v", text.percent_decoded(F.col("v")).alias("d")).collect()
+    assert {r.v: r.d for r in got} == cases
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.slug(F.lit(" my repo/name! ")).alias("a"), text.slug(F.lit("//")).alias("b"), text.percent_decoded(F.lit("a%20b+c")).alias("c"),
