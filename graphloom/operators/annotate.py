@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import numbered
+
 BATCH = 25
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
@@ -28,22 +31,9 @@ def slots(nodes: DataFrame, layers: DataFrame, flows: DataFrame, tour: DataFrame
 
 
 def batches(slot_rows: DataFrame, size: int = BATCH) -> DataFrame:
-    """(slot_key, batch_id): slots in order of family and key, ``size`` to a batch.
-
-    The running number is made of two parts: rows before a slot's bucket, from
-    a small table of bucket sizes, and its rank within the bucket. Buckets are
-    ranges of the order, so no task sees all rows.
-    """
-    from graphloom.session import cut
-
-    n = max(1, slot_rows.sparkSession.sparkContext.defaultParallelism * 4)
-    ranged = slot_rows.select("family", "slot_key").repartitionByRange(n, "family", "slot_key")
-    numbered = cut(ranged.select("family", "slot_key", F.spark_partition_id().alias("bucket")), "slots")
-    sizes = numbered.groupBy("bucket").agg(F.count("*").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("family", "slot_key"))
-    joined = numbered.withColumn("_r", rank).join(sizes.select("bucket", before.alias("_b")), "bucket")
-    return joined.select("slot_key", F.floor((F.col("_b") + F.col("_r") - 1) / size).cast("long").alias("batch_id"))
+    """(slot_key, batch_id): slots in order of family and key, ``size`` to a batch."""
+    rows = numbered(slot_rows.select("family", "slot_key"), "family", "slot_key")
+    return rows.select("slot_key", F.floor(F.col("number") / size).cast("long").alias("batch_id"))
 
 
 def cost_estimate(slot_rows: DataFrame) -> DataFrame:
@@ -61,20 +51,31 @@ def content_hash(data: Column) -> Column:
     @F.pandas_udf("string")
     def fnv(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in rows:
-            out = []
-            for text in batch:
-                if text is None:
-                    out.append(None)
-                    continue
-                h = FNV_OFFSET
-                for b in text.encode():
-                    h = ((h ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
-                out.append(f"fnv1a64:{h:016x}")
+            out = np.full(len(batch), None, object)
+            some = np.flatnonzero(batch.notna())
+            hashes = fnv_hashes([batch.iloc[i].encode() for i in some])
+            out[some] = [f"fnv1a64:{h:016x}" for h in hashes.tolist()]
             yield pd.Series(out, dtype=object)
 
     return fnv(data)
 
 
+def fnv_hashes(rows: list[bytes]) -> np.ndarray:
+    """FNV-1a of each row: all rows step together, byte by byte, the longest first, so
+    that those still going are the head of the arrays."""
+    size = np.array([len(r) for r in rows], np.int64)
+    order = np.argsort(-size, kind="stable")
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    first = (np.cumsum(size) - size)[order]
+    hashes = np.full(len(rows), FNV_OFFSET, np.uint64)
+    alive = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")
+    for at, n in enumerate(alive.tolist()):
+        hashes[:n] = (hashes[:n] ^ data[first[:n] + at]) * np.uint64(FNV_PRIME)
+    out = np.zeros(len(rows), np.uint64)
+    out[order] = hashes
+    return out
+
+
 def layer_inputs(nodes: DataFrame) -> DataFrame:
     """(layer_id, digest, n_files): an order-free digest of each layer's member paths.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import files, relating
-from graphloom.session import cut
+from graphloom.session import cut, numbered
 
 DRAWN = 40
 
@@ -94,18 +96,18 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> D
         return spark.createDataFrame([], "pos int, node_id string")
     around = _both_ways(edges)
     levels = [spark.createDataFrame([(start, None, 0)], "node_id string, parent string, ord long")]
-    seen = levels[0].select("node_id")
     found = start == end
     while not found:
+        # A neighbour of the frontier is on the level before it, on its own or on the next one.
+        near = levels[-1].select("node_id") if len(levels) < 2 else levels[-1].select("node_id").unionByName(levels[-2].select("node_id"))
         front = levels[-1]
-        reach = front.join(around, front["node_id"] == around["a"]).join(seen.withColumnRenamed("node_id", "b"), "b", "left_anti")
+        reach = front.join(around, front["node_id"] == around["a"]).join(near.withColumnRenamed("node_id", "b"), "b", "left_anti")
         best = reach.groupBy("b").agg(F.min(F.struct("ord", "edge_seq", "node_id")).alias("by"))
-        place = F.row_number().over(Window.orderBy("by.ord", "by.edge_seq", "b"))
-        level = cut(best.select(F.col("b").alias("node_id"), F.col("by.node_id").alias("parent"), place.cast("long").alias("ord")), "bfs")
+        best = best.select(F.col("b").alias("node_id"), F.col("by.node_id").alias("parent"), F.col("by.ord").alias("of"), F.col("by.edge_seq").alias("seq"))
+        level = cut(numbered(best, "of", "seq", "node_id").select("node_id", "parent", F.col("number").alias("ord")), "bfs")
         if level.isEmpty():
             return spark.createDataFrame([], "pos int, node_id string")
         levels.append(level)
-        seen = cut(seen.unionByName(level.select("node_id")), "bfs-seen")
         found = not level.where(F.col("node_id") == end).isEmpty()
     way = [end]
     for level in reversed(levels[1:]):
@@ -118,33 +120,42 @@ def distances(edges: DataFrame, start: DataFrame) -> DataFrame:
     around = cut(edges.select(F.inline(F.array(
         F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b"))
     ))).distinct(), "adjacency")
-    seen = front = cut(start.select("node_id").distinct().withColumn("depth", F.lit(0)), "bfs")
+    levels = [cut(start.select("node_id").distinct().withColumn("depth", F.lit(0)), "bfs")]
     while True:
-        depth = front.select("node_id", "depth")
-        reach = depth.join(around, depth["node_id"] == around["a"]).select(F.col("b").alias("node_id"), (F.col("depth") + 1).alias("depth"))
-        front = cut(reach.distinct().join(seen.select("node_id"), "node_id", "left_anti"), "bfs")
-        if front.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(front), "bfs-seen")
+        front = levels[-1]
+        # What is reached again is on the frontier or on the level before it.
+        near = reduce(DataFrame.unionByName, levels[-2:]).select("node_id")
+        reach = front.join(around, front["node_id"] == around["a"]).select(F.col("b").alias("node_id")).distinct()
+        fresh = cut(reach.join(near, "node_id", "left_anti").withColumn("depth", F.lit(len(levels))), "bfs")
+        if fresh.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(fresh)
 
 
 def dependency_depth(links: DataFrame) -> DataFrame:
     """(node_id, depth): the longest way down to a node from a node nothing links to.
 
-    ``links`` (source, target) must hold no cycle; every round settles a level
-    and there are as many rounds as levels. More rounds than nodes mean a cycle.
+    ``links`` (source, target) must hold no cycle. Nodes are peeled: one is settled
+    in the round in which the last of its links arrives, and that round is its depth;
+    each link is followed once. What is waiting for more links is all that a round
+    carries on. Nodes that are never settled lie on a cycle or below one.
     """
     links = cut(links.select("source", "target").distinct(), "links")
-    heads = links.select(F.col("source").alias("node_id")).distinct().join(links.select(F.col("target").alias("node_id")), "node_id", "left_anti")
-    depth = front = cut(heads.withColumn("depth", F.lit(0)), "depth")
-    most = links.select(F.explode(F.array("source", "target")).alias("n")).distinct().count()
-    for _ in range(most + 1):
-        step = front.join(links, front["node_id"] == links["source"]).select(F.col("target").alias("node_id"), (F.col("depth") + 1).alias("depth"))
-        front = cut(step.distinct(), "depth-front")
-        if front.isEmpty():
-            return depth
-        depth = cut(depth.unionByName(front).groupBy("node_id").agg(F.max("depth").alias("depth")), "depth")
-    raise ValueError("the links hold a cycle; cut its back links first")
+    due = cut(links.groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("due")), "links-due")
+    heads = links.select(F.col("source").alias("node_id")).distinct().join(due, "node_id", "left_anti")
+    levels, waiting = [cut(heads.withColumn("depth", F.lit(0)), "depth")], None
+    while not levels[-1].isEmpty():
+        front = levels[-1]
+        came = front.join(links, front["node_id"] == links["source"]).groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("n"))
+        if waiting is not None:
+            came = came.unionByName(waiting).groupBy("node_id").agg(F.sum("n").alias("n"))
+        here = cut(came.join(due, "node_id"), "depth-came")
+        levels.append(here.where("n = due").select("node_id", F.lit(len(levels)).alias("depth")))
+        waiting = here.where("n < due").select("node_id", "n")
+    depth = reduce(DataFrame.unionByName, levels)
+    if depth.count() < links.select(F.explode(F.array("source", "target"))).distinct().count():
+        raise ValueError("the links hold a cycle; cut its back links first")
+    return depth
 
 
 def bands(depth: DataFrame) -> DataFrame:

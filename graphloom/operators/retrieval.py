@@ -113,35 +113,38 @@ def _listed(first: Column, n: Column) -> Column:
     return F.when(n > 3, more).when(shown <= 1, F.get(first, F.lit(0))).otherwise(both)
 
 
-def first_names(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, n, first): number of distinct names and the first three of them.
+def first_names(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, first): number of distinct names and the first three of them.
 
     Names are ordered by the least ``seq`` at which each appears. Only three
     leave the window, however many a key has.
     """
-    distinct = pairs.groupBy(key, "name").agg(F.min("seq").alias("seq"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("seq", "name"))
+    distinct = pairs.groupBy(*keys, "name").agg(F.min("seq").alias("seq"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "name"))
     top = distinct.withColumn("_r", rank).where("_r <= 3")
-    head = top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_r", "name"))).alias("_h")).select(key, F.col("_h.name").alias("first"))
-    return distinct.groupBy(key).agg(F.count("*").alias("n")).join(head, key)
+    head = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_r", "name"))).alias("_h")).select(*keys, F.col("_h.name").alias("first"))
+    return distinct.groupBy(*keys).agg(F.count("*").alias("n")).join(head, list(keys))
 
 
 def narratives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, narrative): what each file holds, is reached by and reaches.
 
-    Names come imports first, then calls, each by the other end's id.
+    Names come imports first, then calls, each by the other end's id. The three
+    ways are one table, keyed by node and way, and its names are joined once.
     """
     names = nodes.select(F.col("node_id").alias("other"), "name")
-    place = F.struct(F.when(F.col("kind") == "imports", 0).otherwise(1).alias("k"), F.col("other").alias("o"))
-    ways = {
-        "inbound": edges.where("kind IN ('imports', 'calls')").select(F.col("target").alias("node_id"), F.col("source").alias("other"), "kind"),
-        "outbound": edges.where("kind IN ('imports', 'calls')").select(F.col("source").alias("node_id"), F.col("target").alias("other"), "kind"),
-        "held": edges.where("kind = 'contains'").select(F.col("source").alias("node_id"), F.col("target").alias("other"), "kind"),
-    }
-    out = nodes.where("kind = 'file'").select("node_id")
-    for way, pairs in ways.items():
-        found = first_names(pairs.join(names, "other").withColumn("seq", place), "node_id")
-        out = out.join(found.select("node_id", F.col("n").alias(f"{way}_n"), F.col("first").alias(f"{way}_first")), "node_id", "left")
+    ways = ("inbound", "outbound", "held")
+    end = lambda way, node, other: F.struct(F.lit(way).alias("way"), F.col(node).alias("node_id"), F.col(other).alias("other"))
+    both = F.array(end("inbound", "target", "source"), end("outbound", "source", "target"))
+    ends = F.when(F.col("kind") == "contains", F.array(end("held", "source", "target"))).otherwise(both)
+    k = F.when(F.col("kind").isin("contains", "imports"), 0).otherwise(1)
+    pairs = edges.where("kind IN ('imports', 'calls', 'contains')").select(k.alias("k"), F.inline(ends))
+    of_files = nodes.where("kind = 'file'").select("node_id")
+    pairs = pairs.join(of_files, "node_id", "left_semi").join(names, "other").withColumn("seq", F.struct("k", F.col("other").alias("o")))
+    found = first_names(pairs, "node_id", "way")
+    by_way = found.groupBy("node_id").agg(*(
+        F.max(F.when(F.col("way") == way, F.col(c))).alias(f"{way}_{c}") for way in ways for c in ("n", "first")))
+    out = of_files.join(by_way, "node_id", "left")
     lists = {way: _listed(F.col(f"{way}_first"), F.col(f"{way}_n")) for way in ways}
     n = F.col("held_n")
     holds = F.when(n > 0, F.concat(F.lit("Holds "), n, F.when(n == 1, " definition: ").otherwise(" definitions: "), lists["held"], F.lit(".")))

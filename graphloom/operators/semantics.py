@@ -79,20 +79,21 @@ def flow_steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     cycles, and each beginning of such a path is itself least. Least paths are
     relaxed level by level over (root, node) pairs until nothing changes, so a
     large flow is shared by many tasks, and rounds are at most the walk's depth.
+    A round is one aggregation of all pairs and those just reached.
     """
     calls = cut(edges.where("kind = 'calls'").select("source", "target").distinct(), "calls")
     roots = entry_functions(nodes, edges).select(F.col("node_id").alias("root"), F.col("node_id"), F.array("node_id").alias("way"))
-    best = fresh = cut(roots, "flow")
+    best = cut(roots.withColumn("fresh", F.lit(True)), "flow")
     while True:
-        reach = fresh.join(calls, fresh["node_id"] == calls["source"]).where(~F.array_contains("way", F.col("target")))
-        reach = reach.select("root", F.col("target").alias("node_id"), F.concat("way", F.array("target")).alias("way"))
-        reach = cut(reach.groupBy("root", "node_id").agg(F.min("way").alias("new")), "flow-step")
-        better = reach.join(best, ["root", "node_id"], "left").where("way IS NULL OR new < way")
-        fresh = cut(better.select("root", "node_id", F.col("new").alias("way")), "flow-new")
-        if fresh.isEmpty():
+        front = best.where("fresh")
+        reach = front.join(calls, front["node_id"] == calls["source"]).where(~F.array_contains("way", F.col("target")))
+        if reach.isEmpty():
             break
-        both = best.unionByName(fresh)
-        best = cut(both.groupBy("root", "node_id").agg(F.min("way").alias("way")), "flow")
+        reach = reach.select("root", F.col("target").alias("node_id"), F.concat("way", F.array("target")).alias("way"), F.lit(True).alias("fresh"))
+        both = best.withColumn("fresh", F.lit(False)).unionByName(reach)
+        # Of equal ways the one that was there before is taken, which is not followed again.
+        least = both.groupBy("root", "node_id").agg(F.min(F.struct("way", "fresh")).alias("m"))
+        best = cut(least.select("root", "node_id", "m.way", "m.fresh"), "flow")
     pos = F.row_number().over(Window.partitionBy("root").orderBy("way")) - 1
     return best.select("root", "node_id", pos.cast("int").alias("pos"))
 

@@ -18,7 +18,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Folders made so far, with the file systems that delete them, by owner; the last owner is the present one.
 _OWNED: list[list[tuple]] = [[]]
@@ -106,6 +107,23 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``number``, from 0 in the given order, which must leave no ties.
+
+    The number is made of two parts: rows before a row's bucket, from a small
+    table of bucket sizes, and its rank within the bucket. Buckets are ranges of
+    the order, so no task sees all rows.
+    """
+    n = max(1, rows.sparkSession.sparkContext.defaultParallelism * 4)
+    ranged = cut(rows.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most n rows
+    before = sizes.select("_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    joined = ranged.withColumn("_rank", rank).join(F.broadcast(before), "_bucket")
+    return joined.withColumn("number", F.col("_before") + F.col("_rank") - 1).select(*rows.columns, "number")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system."""
     store, at = _file_system(spark, path)
