@@ -86,6 +86,21 @@ def layer_inputs(nodes: DataFrame) -> DataFrame:
     return members.agg(F.sum(F.xxhash64("path").cast("decimal(38,0)")).alias("digest"), F.count("*").alias("n_files"))
 
 
+def flow_inputs(steps: DataFrame) -> DataFrame:
+    """(root, digest, n_steps): a digest of each flow's steps in their order.
+
+    A step's hash holds its place, so that the sum over steps adds up in any order.
+    """
+    placed = F.xxhash64("pos", "node_id").cast("decimal(38,0)")
+    return steps.groupBy("root").agg(F.sum(placed).alias("digest"), F.count("*").alias("n_steps"))
+
+
+def tour_inputs(stops: DataFrame, scored: DataFrame) -> DataFrame:
+    """(node_id, digest): what a stop's label says, its place and the file's degrees."""
+    seen = stops.select("node_id", "pos").join(scored.select("node_id", "path", "fan_in", "fan_out", "is_entry"), "node_id")
+    return seen.select("node_id", F.xxhash64("pos", "path", "fan_in", "fan_out", "is_entry").alias("digest"))
+
+
 def apply_answers(slot_rows: DataFrame, answers: DataFrame) -> DataFrame:
     """(slot_key, text, provenance): a non-blank answer replaces the mechanical text."""
     joined = slot_rows.join(answers.select("slot_key", "answer"), "slot_key", "left")

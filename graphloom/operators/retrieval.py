@@ -145,6 +145,7 @@ def narratives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by_way = found.groupBy("node_id").agg(*(
         F.max(F.when(F.col("way") == way, F.col(c))).alias(f"{way}_{c}") for way in ways for c in ("n", "first")))
     out = of_files.join(by_way, "node_id", "left")
+    # The sentences.
     lists = {way: _listed(F.col(f"{way}_first"), F.col(f"{way}_n")) for way in ways}
     n = F.col("held_n")
     holds = F.when(n > 0, F.concat(F.lit("Holds "), n, F.when(n == 1, " definition: ").otherwise(" definitions: "), lists["held"], F.lit(".")))

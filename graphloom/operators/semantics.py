@@ -14,6 +14,7 @@ TOUR_STOPS = 12
 def layers(nodes: DataFrame) -> DataFrame:
     """The distinct top directories of files, with a mechanical description."""
     top = files(nodes).select(top_directory(F.col("path")).alias("layer_id")).distinct()
+    # The sentences.
     text = F.when(F.col("layer_id") == "root", F.lit("Files at the repository root")).otherwise(F.concat(F.lit("Files under "), "layer_id", F.lit("/")))
     return top.select("layer_id", F.col("layer_id").alias("name"), text.alias("description"), F.lit("structural").alias("provenance"))
 
@@ -64,6 +65,7 @@ def tour(scored: DataFrame, stops: int = TOUR_STOPS) -> DataFrame:
     order = F.col("fan_out") - F.col("fan_in") + F.col("is_entry").cast("long")
     chosen = tour_selection(scored, stops).withColumn("reading_order", order)
     pos = F.row_number().over(Window.orderBy(F.desc("reading_order"), "path"))  # over at most ``stops`` rows
+    # The label's words.
     label = F.concat(
         F.when(F.col("is_entry"), F.lit("Entry point: ")).otherwise(F.lit("")),
         F.col("path"), F.lit(" — fan-in "), F.col("fan_in"), F.lit(", fan-out "), F.col("fan_out"),

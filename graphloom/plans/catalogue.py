@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,6 +119,25 @@ def domain_flows(spark, sf_dir):
     return semantics.flows(nodes, semantics.flow_steps(nodes, edges))
 
 
+_SUPPLY = """calls AS (SELECT DISTINCT 'customer:' || o_custkey AS source, 'order:' || o_orderkey AS target FROM orders
+ UNION SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem
+ UNION SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem WHERE l_linenumber = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_SUPPLY}, root AS (SELECT DISTINCT source AS root FROM calls WHERE source LIKE 'customer:%'),
+w(root, node_id, way) AS (SELECT root, root, [root] FROM root UNION ALL SELECT root, target, list_append(way, target) FROM w JOIN calls ON source = node_id),
+best AS (SELECT root, node_id, min(way) AS way FROM w GROUP BY 1, 2)
+SELECT root, node_id, (row_number() OVER (PARTITION BY root ORDER BY way) - 1)::INT AS pos FROM best""")
+def supply_flow_steps(spark, sf_dir):
+    """Customers to orders to parts to suppliers: three calls deep, with many ways to one node."""
+    edges = bindings.supply(spark, sf_dir)
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    nodes = nodes.select("node_id", F.lit("function").alias("kind"), F.col("node_id").alias("path"))
+    # Orders without an entry above them begin no flow of this query.
+    steps = semantics.flow_steps(nodes, edges.withColumn("kind", F.lit("calls")))
+    return steps.where(F.startswith("root", F.lit("customer:")))
+
+
 @query(f"WITH {T} SELECT kind, count(*)::BIGINT AS n, sum(weight * 10)::BIGINT AS tenths FROM edges GROUP BY 1")
 def edge_weights(spark, sf_dir):
     edges = _trade(spark, sf_dir)[1]
@@ -363,9 +383,16 @@ _SCORES = f"""sc AS (SELECT node_id, kind, list_sum(list_transform({_TERMS_SQL},
  WHEN contains(lower({_CLAMPED}), t) THEN 1 ELSE 0 END))::INT AS score FROM docs)"""
 
 
-@query(f"WITH {D} SELECT node_id, name FROM docs WHERE contains(lower(name), 'thition') OR contains(lower(path), 'thition') OR contains(lower(summary), 'thition')")
+_HIT = "contains(lower(name), needle) OR contains(lower(path), needle) OR contains(lower(summary), needle)"
+#: One that names hold, one that paths hold, one of texts, and one that nothing holds.
+NEEDLES = ("D12", " eN/SRC3 ", "  TioN ", "no such words here, at all")
+
+
+@query(f"WITH {D}, n AS (SELECT lower(trim(unnest({list(NEEDLES)}))) AS needle) SELECT needle, node_id, name FROM docs, n WHERE {_HIT}")
 def search(spark, sf_dir):
-    return retrieval.search(bindings.documents(spark, sf_dir), "  ThiTion ")
+    docs = bindings.documents(spark, sf_dir)
+    found = [retrieval.search(docs, n).select(F.lit(n.strip().lower()).alias("needle"), "node_id", "name") for n in NEEDLES]
+    return reduce(DataFrame.unionByName, found)
 
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOPWORDS)
@@ -489,7 +516,7 @@ def apply_answers(spark, sf_dir):
 
 @query()
 def content_hash(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", annotate.content_hash(F.col("text")).alias("content_hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", annotate.content_hash(F.col("text")).alias("content_hash"))
 
 
 # --- redaction ----------------------------------------------------------------------
@@ -539,7 +566,7 @@ def file_summary(spark, sf_dir):
     return docs.select("doc_id", extract.file_summary(F.lit("Markdown"), extract.line_count(F.col("text")), zero, zero).alias("summary"))
 
 
-_LINKED = """lk AS (SELECT lang || '/' || source || '/d' || doc_id || '.md' AS path,
+_LINKED = """lk AS (SELECT lang || '/' || source || '/d' || doc_id || '.md' AS path, coalesce(text, '') || chr(10) ||
  'See [the next](../src' || ((doc_id + 1) % 20) || '/d' || (doc_id + 1) || '.md#top "t") and [x](https://e.org/a).' || chr(10) || '```' || chr(10) || '[no](no.md)' || chr(10) || '```' || chr(10) || '[r]: <./d' || doc_id || '.md?q>' AS text FROM documents)"""
 
 
@@ -548,7 +575,7 @@ def _linked(spark, sf_dir):
     path = F.concat("lang", F.lit("/"), "source", F.lit("/d"), "doc_id", F.lit(".md"))
     after = F.col("doc_id") + 1
     text = F.concat(
-        F.lit("See [the next](../src"), after % 20, F.lit("/d"), after, F.lit('.md#top "t") and [x](https://e.org/a).\n```\n[no](no.md)\n```\n[r]: <./d'),
+        F.coalesce("text", F.lit("")), F.lit("\nSee [the next](../src"), after % 20, F.lit("/d"), after, F.lit('.md#top "t") and [x](https://e.org/a).\n```\n[no](no.md)\n```\n[r]: <./d'),
         "doc_id", F.lit(".md?q>"))
     return docs.select(path.alias("path"), text.alias("text"))
 

@@ -107,6 +107,16 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.unionByName(nation).unionByName(customer).unionByName(orders)
 
 
+def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls from customers to orders to parts to suppliers, as (source, target)."""
+    name = lambda kind, key: F.concat(F.lit(f"{kind}:"), key)
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").select(name("customer", "o_custkey").alias("source"), name("order", "o_orderkey").alias("target"))
+    parts = lines.select(name("order", "l_orderkey").alias("source"), name("part", "l_partkey").alias("target"))
+    suppliers = lines.where("l_linenumber = 1").select(name("part", "l_partkey").alias("source"), name("supplier", "l_suppkey").alias("target"))
+    return orders.unionByName(parts).unionByName(suppliers).distinct()
+
+
 CHAIN_SQL = """
 calls AS (
   SELECT 'world:0' AS source, 'region:' || r_regionkey AS target FROM region

@@ -36,27 +36,63 @@ def read_map(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def write_map(nodes: DataFrame, edges: DataFrame, layers: DataFrame, path: str, project: str, version: str = "0.5.0") -> None:
-    """One JSON document a file is for; the lines of each list are sorted by id.
-
-    The contract file is a single document, so it is put together in one place:
-    a map of over ``MOST`` rows is refused and stays tables (``published``).
-    """
+def _create(spark: SparkSession, path: str, document: dict) -> None:
     import json
 
-    spark = nodes.sparkSession
-    if nodes.count() + edges.count() > MOST:
-        raise ValueError(f"a map file holds at most {MOST} nodes and edges; publish the map as tables")
-    n = [{k: v for k, v in r.asDict().items() if v is not None} for r in nodes.withColumnRenamed("node_id", "id").orderBy("path", "id").toLocalIterator()]
-    e = [r.asDict() for r in edges.orderBy("source", "target", "kind").toLocalIterator()]
-    ls = [{"id": r.layer_id, "name": r.name, "description": {"text": r.description, "provenance": r.provenance}, "provenance": r.provenance} for r in layers.orderBy("layer_id").toLocalIterator()]
-    text = json.dumps({"version": version, "project": {"name": project}, "nodes": n, "edges": e, "layers": ls}, indent=2, ensure_ascii=False) + "\n"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
-    stream.write(bytearray(text.encode()))
+    stream.write(bytearray((json.dumps(document, indent=2, ensure_ascii=False) + "\n").encode()))
     stream.close()
 
 
+def _plain(row) -> dict:
+    """A row as JSON objects; absent values are left out."""
+    return {k: _plain(v) if hasattr(v, "asDict") else v for k, v in row.asDict().items() if v is not None}
+
+
+def write_map(
+    nodes: DataFrame, edges: DataFrame, layers: DataFrame, path: str, project: str, version: str = "0.5.0",
+    flows: DataFrame | None = None, tour: DataFrame | None = None,
+) -> None:
+    """One JSON document, whose lists are sorted by id; the tour keeps its order.
+
+    ``nodes`` may carry ``range`` and ``significance``; ``flows`` are (flow_id, name,
+    domain, steps, provenance) and ``tour`` (pos, node_id, label). The contract file is a
+    single document, so it is put together in one place: a map of over ``MOST`` rows is
+    refused and stays tables (``published``).
+    """
+    spark = nodes.sparkSession
+    if nodes.count() + edges.count() > MOST:
+        raise ValueError(f"a map file holds at most {MOST} nodes and edges; publish the map as tables")
+    told = F.struct(F.col("description").alias("text"), "provenance")
+    lists = {
+        "nodes": nodes.withColumnRenamed("node_id", "id").orderBy("path", "id"),
+        "edges": edges.orderBy("source", "target", "kind"),
+        "layers": layers.select(F.col("layer_id").alias("id"), "name", told.alias("description"), "provenance").orderBy("id"),
+    }
+    if flows is not None:
+        lists["domain_flows"] = flows.select(F.col("flow_id").alias("id"), "name", "domain", "steps", "provenance").orderBy("id")
+    if tour is not None:
+        lists["tour"] = tour.orderBy("pos").select(F.col("node_id").alias("node"), "label", F.lit("structural").alias("provenance"))
+    _create(spark, path, {"version": version, "project": {"name": project}} | {k: [_plain(r) for r in df.toLocalIterator()] for k, df in lists.items()})
+
+
+SECTIONS = ("annotations", "layers", "layer_descriptions", "flows", "tour")
+
+
+def write_store(annotations: DataFrame, path: str, provider: str | None = None, date: str | None = None) -> None:
+    """The annotation store of (section, key, hash, text), keys sorted; the inverse of ``read_store``."""
+    spark = annotations.sparkSession
+    if annotations.count() > MOST:
+        raise ValueError(f"a store holds at most {MOST} texts")
+    document: dict = {"version": STORE_VERSION} | ({"produced_by": {"provider": provider, "date": date}} if provider else {})
+    document |= {section: {} for section in SECTIONS}
+    for r in annotations.where(F.col("section").isin(*SECTIONS)).orderBy("section", "key").toLocalIterator():
+        names = ("content_hash", "summary") if r.section == "annotations" else ("inputs_hash", "text")
+        document[r.section][r.key] = {names[0]: r["hash"], names[1]: r["text"]}
+    _create(spark, path, document)
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(section, key, hash, text) of an annotation store.
 
@@ -68,7 +104,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         return empty
     whole = spark.read.schema(STORE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where(F.col("version") == STORE_VERSION)
     out = empty
-    for section in ("annotations", "layers", "layer_descriptions", "flows", "tour"):
+    for section in SECTIONS:
         names = ("content_hash", "summary") if section == "annotations" else ("inputs_hash", "text")
         rows = whole.select(F.lit(section).alias("section"), F.explode(section).alias("key", "v"))
         out = out.unionByName(rows.select("section", "key", F.col(f"v.{names[0]}").alias("hash"), F.col(f"v.{names[1]}").alias("text")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.codemap import CodeMap
 from graphloom.functions import text
 from graphloom.operators import layout, overlay
+from graphloom.operators import annotate
 from graphloom.sources import git, mapfile
 from graphloom.streaming.changes import stream_overlays
 from test_operators import file, fn, make_edges, make_nodes
@@ -178,3 +179,35 @@ def test_edge_ends_fan_out(spark):
     assert not [k for k in at if k[0] == "gone"]
     one = next(r for r in rows if r.edge_id == "e1" and r.node_id == "hub")
     assert (one.handle_x, one.handle_y) == (35.0, 52.0)
+
+
+def test_a_whole_map_and_a_store_go_out_and_come_back(spark, tmp_path):
+    nodes = spark.createDataFrame(
+        [("file:a.py", "file", "a.py", "a.py", "sum", None, "root", 3, "structural"), ("function:a.py:f", "function", "f", "a.py", "fn", (1, 2), None, None, "llm")],
+        "node_id string, kind string, name string, path string, summary string, range struct<start_line:int,end_line:int>, layer string, significance int, provenance string")
+    edges = spark.createDataFrame([("file:a.py", "function:a.py:f", "contains", 1.0)], "source string, target string, kind string, weight double")
+    layers = spark.createDataFrame([("root", "root", "Files", "structural")], "layer_id string, name string, description string, provenance string")
+    flows = spark.createDataFrame([("flow:x", "X", "root", ["function:a.py:f", "b"], "structural")], "flow_id string, name string, domain string, steps array<string>, provenance string")
+    tour = spark.createDataFrame([(1, "file:a.py", "second"), (0, "file:a.py", "first")], "pos int, node_id string, label string")
+    mapfile.write_map(nodes, edges, layers, f"{tmp_path}/m.json", "demo", flows=flows, tour=tour)
+    back = mapfile.read_map(spark, f"{tmp_path}/m.json")
+    assert sorted(map(str, back["nodes"].select(nodes.columns).collect())) == sorted(map(str, nodes.collect()))
+    assert back["edges"].drop("seq").collect() == edges.collect() and back["project"].head().name == "demo"
+    assert [tuple(r) for r in back["domain_flows"].select("id", "steps").collect()] == [("flow:x", ["function:a.py:f", "b"])]
+    assert [r.label for r in back["tour"].orderBy("seq").collect()] == ["first", "second"] and back["layers"].head().description.text == "Files"
+    texts = spark.createDataFrame([("annotations", "k é", "h1", "said"), ("flows", "flow:x", "h2", "named"), ("tour", "t", None, "x")], "section string, key string, hash string, text string")
+    mapfile.write_store(texts, f"{tmp_path}/s.json", "provider", "2026-01-31")
+    read = mapfile.read_store(spark, f"{tmp_path}/s.json")
+    assert sorted(map(str, read.collect())) == sorted(map(str, texts.collect()))
+
+
+def test_carry_over_from_a_store_holds_for_what_did_not_change(spark, tmp_path):
+    steps = spark.createDataFrame([("r", "r", 0), ("r", "a", 1), ("r", "b", 2), ("q", "q", 0)], "root string, node_id string, pos int")
+    keyed = lambda df: annotate.flow_inputs(df).select(F.col("root").alias("key"), F.col("digest").cast("string").alias("hash"), F.lit("mechanical").alias("text"))
+    mapfile.write_store(keyed(steps).select(F.lit("flows").alias("section"), "key", "hash", F.lit("told").alias("text")), f"{tmp_path}/s.json")
+    moved = spark.createDataFrame([("r", "r", 0), ("r", "b", 1), ("r", "a", 2), ("q", "q", 0)], "root string, node_id string, pos int")
+    got = annotate.reattach(keyed(moved), mapfile.read_store(spark, f"{tmp_path}/s.json"))
+    assert {r.key: r.text for r in got.collect()} == {"r": "mechanical", "q": "told"}
+    scored = spark.createDataFrame([("file:a", "a", 1, 2, True)], "node_id string, path string, fan_in long, fan_out long, is_entry boolean")
+    one = lambda pos: annotate.tour_inputs(spark.createDataFrame([("file:a", pos)], "node_id string, pos int"), scored).head().digest
+    assert one(0) != one(1)
