@@ -81,6 +81,16 @@ def package_anchors(paths: DataFrame) -> DataFrame:
     return go.groupBy("dir").agg(F.min(F.struct(other.alias("other"), "path")).alias("best")).select("dir", F.col("best.path").alias("anchor"))
 
 
+def only_package(imports: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(path, import_seq, target) of Go imports without a module file: the package that the
+    specifier names without its first segments, if only one does."""
+    parts = F.split("specifier", "/")
+    tails = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, k + 1, F.size(parts) - k), "/")))
+    tried = imports.select("path", "import_seq", F.explode(tails).alias("dir")).join(anchors, "dir")
+    one = tried.groupBy("path", "import_seq").agg(F.min("anchor").alias("target"), F.max("anchor").alias("other"))
+    return one.where("target = other").select("path", "import_seq", "target")
+
+
 def nearest(wanted: DataFrame, named: DataFrame) -> DataFrame:
     """(path, name, src_dir): of the named directories, the one that shares most leading
     segments with the path, ties to the first directory."""

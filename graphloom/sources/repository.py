@@ -178,6 +178,21 @@ def symbols(marked: DataFrame, nested: DataFrame) -> DataFrame:
         name.alias("name"), F.col("line").alias("start_line"), "end_line", exported.alias("exported"))
 
 
+_NAMES = r"\w+(?:\s*,\s*\w+)*"
+
+
+def go_locals(code: DataFrame, nested: DataFrame) -> DataFrame:
+    """(path, function_line, ident): the names that a Go function declares anywhere in it, its
+    parameters, closures and receiver included. They are values there and no packages or
+    functions, wherever in the function they stand."""
+    go = code.where("lang = 'go'").join(nested.where("function_line IS NOT NULL").select("path", "line", "function_line"), ["path", "line"])
+    every = lambda pattern: F.regexp_extract_all("bare", F.lit(pattern), 1)
+    params = F.when(F.col("bare").rlike(r"\bfunc\b"), every(rf"[(,]\s*({_NAMES})\s+(?:\.\.\.)?[\w*\[\].]")).otherwise(F.array().cast("array<string>"))
+    lists = F.concat(every(rf"({_NAMES})\s*:="), every(rf"^\s*(?:var|const)\s+({_NAMES})"), params)
+    names = go.select("path", "function_line", F.explode(lists).alias("names"))
+    return names.select("path", "function_line", F.explode(F.split("names", r"\s*,\s*")).alias("ident")).distinct()
+
+
 def calls(code: DataFrame, declared: DataFrame, nested: DataFrame) -> DataFrame:
     """(path, caller, callee, receiver) of calls inside functions; the innermost one calls.
 
@@ -199,6 +214,8 @@ def calls(code: DataFrame, declared: DataFrame, nested: DataFrame) -> DataFrame:
     rows = rows.withColumn("tail", F.substring_index("callee", "::", -1))
     rows = rows.join(own.withColumnRenamed("callee", "tail"), ["path", "line", "tail"], "left_anti")
     held = rows.join(nested.where("function_line IS NOT NULL").select("path", "line", "function_line"), ["path", "line"])
+    held = held.withColumn("ident", F.when(F.col("receiver") != "", F.col("receiver")).otherwise(F.col("callee")))
+    held = held.join(go_locals(code, nested), ["path", "function_line", "ident"], "left_anti")
     named = functions.select("path", F.col("start_line").alias("function_line"), F.col("name").alias("caller"))
     made = held.join(named, ["path", "function_line"]).select("path", "lang", "caller", "callee", "receiver").distinct()
     # Namespaces from the caller's own outwards, then none.
@@ -213,6 +230,44 @@ def calls(code: DataFrame, declared: DataFrame, nested: DataFrame) -> DataFrame:
     return made.select("path", "caller", F.coalesce("full", "callee").alias("callee"), "receiver").distinct()
 
 
+def used_paths(statement: Column) -> Column:
+    """(full, local) of each name that a Rust ``use`` or ``mod`` statement binds."""
+    @F.pandas_udf("array<struct<full:string,local:string>>")
+    def expand(statements: pd.Series) -> pd.Series:
+        return pd.Series([[{"full": f, "local": n} for f, n in expand_use(s)] for s in statements], dtype=object)
+
+    return expand(statement)
+
+
+def expand_use(statement: str) -> list[tuple[str, str]]:
+    """The paths of a statement, lists within lists opened, wildcards left out; ``self`` names its list's path."""
+    word, _, rest = statement.partition(" ")
+    if word == "mod":
+        return [(f"self::{rest.strip()}", rest.strip())]
+    out: list[tuple[str, str]] = []
+    todo = [("", rest)]
+    while todo:
+        above, text = todo.pop()
+        depth, part, parts = 0, "", []
+        for c in text:
+            depth += (c == "{") - (c == "}")
+            if c == "," and not depth:
+                parts.append(part)
+                part = ""
+            else:
+                part += c
+        for part in [*parts, part]:
+            head, brace, inner = part.partition("{")
+            path, _, alias = head.strip().partition(" as ")
+            whole = "::".join(x for x in (above, *(y.strip() for y in path.split("::"))) if x)
+            if brace:
+                todo.append((whole, inner[: inner.rfind("}")] if "}" in inner else inner))
+            elif whole and not whole.endswith("*"):
+                whole = whole.removesuffix("::self")
+                out.append((whole, alias.strip() or whole.rpartition("::")[2]))
+    return out
+
+
 def imports(files: DataFrame) -> DataFrame:
     """(path, import_seq, specifier, local, imported, is_namespace): a row for each bound
     name, and one without a name for an import that binds none."""
@@ -244,9 +299,9 @@ def imports(files: DataFrame) -> DataFrame:
         F.when(F.col("module") != "", whole).alias("imported"), (F.col("module") == "").alias("is_namespace"))
 
     go = files.where(lang == "go").select("path", F.posexplode(F.regexp_extract_all(
-        "text", F.lit(r'(?m)^(?:import\s+|\s+)((?:[\w.]+\s+)?"[^"\n]+")\s*$'), 1)).alias("import_seq", "s"))
+        "text", F.lit(r'(?m)^(?:import[ \t]+|[ \t]+)((?:[\w.]+[ \t]+)?"[^"\n]+")[ \t]*(?://.*)?\r?$'), 1)).alias("import_seq", "s"))
     specifier = F.regexp_extract("s", r'"([^"]+)"', 1)
-    alias = F.regexp_extract("s", r"^(\w+)\s", 1)
+    alias = F.regexp_extract("s", r"^(\w+|\.)\s", 1)  # a dot binds every exported name
     go = go.select("path", "import_seq", specifier.alias("specifier"), F.when(alias != "", alias).otherwise(F.substring_index(specifier, "/", -1)).alias("local"),
                    F.lit(None).cast("string").alias("imported"), F.lit(True).alias("is_namespace"))
     include = files.where(lang == "c").select("path", F.posexplode(F.regexp_extract_all("text", F.lit(r'(?m)^\s*#\s*include\s*"([^"\n]+)"'), 1)).alias("import_seq", "specifier"))
@@ -255,13 +310,7 @@ def imports(files: DataFrame) -> DataFrame:
     rust = files.where(lang == "rust").select("path", F.posexplode(F.regexp_extract_all(
         "text", F.lit(r"(?m)^\s*((?:pub(?:\([^)]*\))?\s+)?(?:use\s+[^;]+|mod\s+\w+));"), 1)).alias("import_seq", "s"))
     rust = rust.withColumn("s", F.btrim(F.regexp_replace(F.regexp_replace("s", r"^pub(\([^)]*\))?\s+", ""), r"\s+", " ")))
-    prefix = F.regexp_extract("s", r"^use ([\w:]*?)(?:::)?\{", 1)
-    inner = F.when(F.instr("s", "{") > 0, F.split(F.regexp_extract("s", r"\{([^{}]*)\}", 1), ",")).otherwise(F.array(F.regexp_replace("s", r"^(use|mod) ", "")))
-    leaves = F.filter(F.transform(inner, lambda x: F.btrim(x)), lambda x: (x != "") & ~x.endswith("*"))
-    rust = rust.select("path", "import_seq", F.startswith("s", F.lit("mod ")).alias("is_mod"), prefix.alias("prefix"), F.explode(leaves).alias("n"))
-    full = F.concat_ws("::", F.nullif("prefix", F.lit("")), F.regexp_extract("n", r"^([\w:]+)", 1))
-    bound = F.regexp_extract("n", r"(\w+)$", 1)
-    rust = rust.withColumn("full", F.when(F.col("is_mod"), F.concat(F.lit("self::"), "n")).otherwise(F.regexp_replace(full, r"::self$", ""))).withColumn("local", bound)
+    rust = rust.select("path", "import_seq", F.startswith("s", F.lit("mod ")).alias("is_mod"), F.inline(used_paths(F.col("s"))))
     leaf = F.when(~F.col("is_mod"), F.regexp_extract("full", r"(\w+)$", 1))
     as_name = rust.where("NOT is_mod").select("path", "import_seq", "full", "local", leaf.alias("imported"), F.lit(False).alias("is_namespace"))
     as_space = rust.select("path", "import_seq", "full", "local", F.lit(None).cast("string").alias("imported"), F.lit(True).alias("is_namespace"))
@@ -277,7 +326,7 @@ def reexports(files: DataFrame) -> DataFrame:
     specifier = F.regexp_extract("s", r"""['"]([^'"]+)['"]$""", 1)
     rows = rows.select("path", "k", specifier.alias("specifier"), F.posexplode(names).alias("j", "n"))
     return rows.select(
-        "path", (F.col("k").cast("long") * 10_000 + F.col("j")).alias("seq"), F.regexp_extract("n", r"(\w+)$", 1).alias("exported"),
+        "path", (F.col("k").cast("long") * 2**31 + F.col("j")).alias("seq"), F.regexp_extract("n", r"(\w+)$", 1).alias("exported"),
         F.regexp_extract("n", r"^(\w+)", 1).alias("local"), (F.col("specifier") != "").alias("has_specifier"), "specifier")
 
 
@@ -348,7 +397,8 @@ def rust_candidates(path: Column, specifier: Column, crate_src: Column) -> Colum
 def _candidates(path: Column, specifier: Column, go_module: Column, crate_src: Column) -> Column:
     lang = language(path)
     none = F.array().cast("array<string>")
-    inner = F.when(F.startswith(specifier, F.concat(go_module, F.lit("/"))), F.substring(specifier, F.length(go_module) + 2, F.length(specifier)))
+    inner = F.when(specifier.rlike(r"^\.\.?/"), resolve.joined(resolve.directory(path), specifier)).when(
+        F.startswith(specifier, F.concat(go_module, F.lit("/"))), F.substring(specifier, F.length(go_module) + 2, F.length(specifier)))
     return F.coalesce(
         F.when(lang == "es", resolve.es_candidates(path, specifier)).when(lang == "python", resolve.python_candidates(path, specifier))
         .when(lang == "go", F.array(inner)).when(lang == "c", resolve.include_candidates(path, specifier))
@@ -372,6 +422,8 @@ def resolved(files: DataFrame, wanted: DataFrame) -> DataFrame:
     targets = paths.unionByName(anchors.select(F.col("dir").alias("path")))
     hit = resolve.first_match(pairs, _candidates(F.col("path"), F.col("specifier"), F.col("go_module"), F.col("crate_src")), targets)
     hit = hit.join(anchors.select(F.col("dir").alias("target"), "anchor"), "target", "left").select("path", "import_seq", F.coalesce("anchor", "target").alias("target"))
+    legacy = pairs.where((language(F.col("path")) == "go") & F.col("go_module").isNull() & ~F.col("specifier").rlike(r"^\.\.?/"))
+    hit = hit.unionByName(resolve.only_package(legacy, anchors))
     return pairs.join(hit, ["path", "import_seq"]).select("path", "specifier", "target")
 
 
@@ -427,9 +479,11 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = stated.where("imported IS NULL OR is_namespace").join(found, ["path", "specifier"]).select("path", "target")
     by_name = with_modules.select("path", F.coalesce("module_target", "target").alias("target")).where("target IS NOT NULL")
     imported = whole.unionByName(by_name).where("path <> target").distinct()
-    # In C every callee that a file does not define is offered to each of its includes.
-    included = stated.where(language(F.col("path")) == "c").join(found, ["path", "specifier"])
-    loose = made.where((language(F.col("path")) == "c") & (F.col("receiver") == "")).select("path", "callee").distinct()
+    # Every bare callee that a file does not define is offered to each of its includes in C,
+    # and to each of its dot imports in Go.
+    lang = language(F.col("path"))
+    included = stated.where((lang == "c") | ((lang == "go") & (F.col("local") == "."))).join(found, ["path", "specifier"])
+    loose = made.where(lang.isin("c", "go") & (F.col("receiver") == "")).select("path", "callee").distinct()
     offers = included.join(loose, "path").select("path", F.col("callee").alias("local"), F.col("callee").alias("imported"), "target", order(0).alias("ord"))
     bindings = bindings.unionByName(offers)
     functions = declared.where("kind = 'function'").select("path", "name", "exported")

@@ -156,3 +156,42 @@ def test_walk_shows_hidden_names_and_honours_ignore_files(spark, tmp_path):
         "pkg/top.txt", "draft.md", "c.tmp", "sub/m.py", "sub/.ignore", "target.md", "odd name é.txt", "raw.bin"}
     assert set(got) == want
     assert got["pkg/_util.py"] == files["pkg/_util.py"] and got["raw.bin"] == "ok ��"
+
+
+def mapped(spark, tmp_path, files):
+    for path, body in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(body)
+    return cut(repository.scan(spark, str(tmp_path))[1], "test-edges")
+
+
+def test_go_dot_imports_and_values_that_hide_packages(spark, tmp_path):
+    edges = mapped(spark, tmp_path, {
+        "go.mod": "module ex.org/m\n",
+        "store/store.go": "package store\n\nfunc Open() {\n}\n\nfunc Close() {\n}\n\nfunc quiet() {\n}\n",
+        "a/dot.go": 'package a\n\nimport . "ex.org/m/store"\n\nfunc Run() {\n\tOpen()\n\tquiet()\n}\n',
+        "b/hide.go": (
+            'package b\n\nimport "ex.org/m/store"\n\nfunc Param(store Thing) {\n\tstore.Open()\n}\n\nfunc Late() {\n\tstore.Open()\n\tx, store := two()\n\t_ = x\n}\n\n'
+            "func Loop() {\n\tfor _, store := range all() {\n\t\tstore.Open()\n\t}\n}\n\nfunc Plain(n int) {\n\tstore.Close()\n}\n"),
+    })
+    assert pairs(edges, "calls") == {("a/dot.go:Run", "store/store.go:Open"), ("b/hide.go:Plain", "store/store.go:Close")}
+
+
+def test_go_without_a_module_file(spark, tmp_path):
+    edges = mapped(spark, tmp_path, {
+        "lib/util/util.go": "package util\n\nfunc Help() {\n}\n", "x/same/s.go": "package same\n", "same/s.go": "package same\n",
+        "cmd/main.go": 'package main\n\nimport (\n\t"old.org/me/lib/util"\n\t"other.org/x/same"\n\t"../same"\n\t"fmt"\n)\n\nfunc main() {\n\tutil.Help()\n}\n',
+    })
+    assert pairs(edges, "imports") == {("cmd/main.go", "lib/util/util.go"), ("cmd/main.go", "same/s.go")}
+    assert pairs(edges, "calls") == {("cmd/main.go:main", "lib/util/util.go:Help")}
+
+
+def test_rust_lists_within_lists(spark, tmp_path):
+    assert sorted(repository.expand_use("use a::{b::{c, d as e}, f::{self, g::*}, h}")) == [
+        ("a::b::c", "c"), ("a::b::d", "e"), ("a::f", "f"), ("a::h", "h")]
+    assert repository.expand_use("mod util") == [("self::util", "util")] and repository.expand_use("use x as y") == [("x", "y")]
+    edges = mapped(spark, tmp_path, {
+        "src/lib.rs": "pub mod deep;\n\nuse crate::{\n    deep::{one::{first, second as other}, two},\n};\n\npub fn go() {\n    first();\n    other();\n    two::third();\n}\n",
+        "src/deep/mod.rs": "pub mod one;\npub mod two;\n", "src/deep/one.rs": "pub fn first() {\n}\n\npub fn second() {\n}\n", "src/deep/two.rs": "pub fn third() {\n}\n",
+    })
+    assert pairs(edges, "calls") == {("src/lib.rs:go", "src/deep/one.rs:first"), ("src/lib.rs:go", "src/deep/one.rs:second"), ("src/lib.rs:go", "src/deep/two.rs:third")}
