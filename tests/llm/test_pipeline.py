@@ -102,3 +102,54 @@ def test_last_stage_round_trips(stages):
         assert r.lossless and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
         if ids is not None:
             assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest())
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_documents(spark):
+    good_text = "The house by the river is old and the garden of the mill is in the shade of a hill , so that it was cold there on most days of the year . " \
+        "They went to town by boat with bread , wine , salt and a letter for the mayor ; she read it at noon and gave no answer to anyone at all ."
+    mail = good_text.replace("a letter", "a.b@c.org")
+    rows = [(1, good_text, "en", None, 3), (1, good_text, "en", None, 3), (None, mail, None, "s", None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, mail, "en", "s", None),
+            (5, ("Long day . " + mail + " ") * 1 + " ".join(f"w{i} of the" for i in range(9000)), "en", "t", 1), (None, None, None, None, None)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("row", "_row", "_text", "fp", "key", "size", "position", "spans", "hash", "id", "kept"):
+        df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+def test_stages_on_odd_rows(spark):
+    docs = [odd_documents(spark)]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs.append(cut(stage(spark, docs[-1], SF), "test-stage"))
+        assert docs[-1].columns == docs[0].columns
+    ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    assert ids(docs[1]) == ["1", "1", "4", "5", "None"]
+    assert ids(docs[2]) == ["1", "4", "5", "None"]
+    masked = {str(r.doc_id): (r.text, r.n_chars) for r in docs[3].collect()}
+    assert all("[EMAIL]" in masked[k][0] for k in ("4", "5", "None")) and all(len(t) == n for t, n in masked.values())
+    assert set(ids(docs[4])) <= set(ids(docs[3]))
+    last = corpus_pipeline.STAGES[-1][1](spark, docs[4], SF).collect()
+    assert len(last) == docs[4].count() and all(r.lossless for r in last)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = odd_documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, SF), "test-stage")
+        assert docs.count() == 0
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, tmp_path):
+    import pathlib
+
+    from graphloom.session import scratch, shared_dir
+
+    at = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "graphloom"
+    before = set(at.iterdir())
+    with scratch():
+        corpus_pipeline.run(spark, SF).write.parquet(f"{tmp_path}/out")
+    assert set(at.iterdir()) == before and spark.read.parquet(f"{tmp_path}/out").count() > 50
