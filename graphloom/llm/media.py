@@ -12,7 +12,7 @@ located references of each document in order of position and reads their bytes
 by ranges that many neighbouring documents share. Media bytes are
 written once and read once and never shuffled; only digests and places are.
 
-Media are stored losslessly as 8-bit grey samples, 24 to a row, in PNG files of
+Media are stored losslessly as 8-bit grey samples, 576 to a row, in PNG files of
 their own; a payload is cut into several of them. ``encode_png`` and
 ``read_png`` are inverse.
 
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from graphloom.session import cut, fresh_dir
 
-WIDTH, BLOCK, TAIL = 24, 576, 32
+WIDTH, BLOCK, TAIL = 576, 576, 32
 #: Payload bytes of one image, and bytes of media after which a task begins another file.
 PIECE, FILE = 4 * BLOCK, 64 << 20
 #: Bytes of a range read along a file, and of media for each reading task.

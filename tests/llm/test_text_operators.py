@@ -299,7 +299,7 @@ def slow_media(text):
     for b in payload:
         bins[b] += 1
     counts = ",".join(str(sum(bins[i : i + 16])) for i in range(0, 256, 16))
-    look = f"24x{len(payload) // 24};{sum(payload)};{sum(b * b for b in payload)};{counts}"
+    look = f"576x{len(payload) // 576};{sum(payload)};{sum(b * b for b in payload)};{counts}"
     lines, n, places, items = (text or "").split("\n"), len(images), [], 0
     for k in range(n):
         items += sum(bool(x.split()) for x in lines[k * len(lines) // n : (k + 1) * len(lines) // n])
@@ -313,9 +313,9 @@ def test_png_holds_samples():
     from io import BytesIO
 
     rng = np.random.default_rng(1)
-    for n in (24, 576, media.PIECE):
+    for n in (576, 1152, media.PIECE):
         samples = rng.integers(0, 256, n, np.uint8).tobytes()
-        assert media.read_png(media.encode_png(samples)) == (24, n // 24, samples)
+        assert media.read_png(media.encode_png(samples)) == (576, n // 576, samples)
     image = pytest.importorskip("PIL.Image", reason="no other PNG reader here").open(BytesIO(media.encode_png(samples)))
     assert image.tobytes() == samples
 
