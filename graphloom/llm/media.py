@@ -368,5 +368,5 @@ def query(docs: DataFrame) -> DataFrame:
     pages = shown.groupBy("_page").agg(F.any_value("refs").alias("refs"))
     stored = places.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).head()["n"]
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, stored // SHARE)
-    read = cut(assemble(locate(pages.select("_page", F.inline("refs")), places), ["_page"], folder, tasks), "media-read")
+    read = assemble(locate(pages.select("_page", F.inline("refs")), places), ["_page"], folder, tasks)
     return shown.select("doc_id", "_page", "n_bytes", "n_items", "caption").join(read, "_page").drop("_page")
