@@ -43,3 +43,13 @@ def usage(envelope: Column) -> Column:
     get = lambda k: F.get_json_object(envelope, f"$.usage.{k}").try_cast("long")
     both = F.struct(get("input_tokens").alias("input_tokens"), get("output_tokens").alias("output_tokens"))
     return F.when(get("input_tokens").isNotNull() & get("output_tokens").isNotNull(), both)
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def civil_date(days: Column) -> Column:
+    """Days since 1970-01-01 as ``yyyy-MM-dd``."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "yyyy-MM-dd")

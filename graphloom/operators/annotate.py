@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import numbered
+from graphloom.session import cut, exists, numbered
 
 BATCH = 25
+#: Names of a flow's steps that its payload shows.
+STEP_NAMES = 10
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 
@@ -30,6 +33,54 @@ def slots(nodes: DataFrame, layers: DataFrame, flows: DataFrame, tour: DataFrame
     )
 
 
+def slot_payloads(nodes: DataFrame, layers: DataFrame, flows: DataFrame, steps: DataFrame, tour: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(slot_key, family, payload): the slots with what a provider is told of each, as JSON.
+
+    ``steps`` is (root, node_id, pos) and ``degrees`` (node_id, path, fan_in, fan_out).
+    Layers tell how many files they hold; flows their entry, their first ten steps and how
+    many there are; stops their imports. Of a flow only those steps are gathered.
+    """
+    still = lambda df: df.where("provenance = 'structural'") if "provenance" in df.columns else df
+
+    def told(df: DataFrame, family: int, slot: str, key: str, **fields: Column) -> DataFrame:
+        slot_key = F.concat(F.lit(f"{slot}:"), key)
+        said = F.struct(F.lit(slot).alias("slot"), slot_key.alias("key"), *(c.alias(k) for k, c in fields.items()))
+        return df.select(slot_key.alias("slot_key"), F.lit(family).cast("int").alias("family"), F.to_json(said, {"ignoreNullFields": "false"}).alias("payload"))
+
+    held = nodes.where("kind = 'file'").groupBy(F.col("layer").alias("layer_id")).agg(F.count("*").alias("n"))
+    sized = still(layers).join(held, "layer_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    count = steps.groupBy("root").agg(F.count("*").alias("step_count"))
+    near = steps.where(F.col("pos") < STEP_NAMES).join(nodes.select("node_id", "name"), "node_id", "left")
+    first = near.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("name", "node_id").alias("name")))).alias("s"))
+    walked = still(flows).withColumn("root", F.substring_index("flow_id", "flow:", -1) if "root" not in flows.columns else F.col("root"))
+    walked = walked.join(first, "root").join(count, "root").withColumn("names", F.col("s.name"))
+    stops = still(tour).join(degrees.select("node_id", "path", "fan_in", "fan_out"), "node_id")
+    of_layer = {"directory": F.col("layer_id"), "member_files": F.col("n")}
+    c = F.col
+    return (
+        told(still(nodes), 0, "summary", "node_id", kind=c("kind"), name=c("name"), path=c("path"), mechanical_summary=c("summary"))
+        .unionByName(told(sized, 1, "layer-name", "layer_id", **of_layer))
+        .unionByName(told(sized, 2, "layer-description", "layer_id", **of_layer))
+        .unionByName(told(walked, 3, "flow-name", "flow_id", domain=c("domain"), entry_point=F.get("names", F.lit(0)), steps=c("names"), step_count=c("step_count")))
+        .unionByName(told(stops, 4, "tour-label", "node_id", path=c("path"), fan_in=c("fan_in"), fan_out=c("fan_out"), mechanical_label=c("label")))
+    )
+
+
+def parse_answers(reply: str) -> dict[str, str]:
+    """Texts by slot key from ``{"answers": [{"key": ..., "text": ...}]}``.
+
+    There is no repair: a reply of any other shape raises ``ValueError``.
+    """
+    try:
+        rows = json.loads(reply)["answers"]
+        out = {r["key"]: r["text"] for r in rows}
+    except (KeyError, TypeError, json.JSONDecodeError) as why:
+        raise ValueError("the reply is not of the requested shape") from why
+    if not isinstance(rows, list) or not all(isinstance(x, str) for pair in out.items() for x in pair):
+        raise ValueError("the reply is not of the requested shape")
+    return out
+
+
 def batches(slot_rows: DataFrame, size: int = BATCH) -> DataFrame:
     """(slot_key, batch_id): slots in order of family and key, ``size`` to a batch."""
     rows = numbered(slot_rows.select("family", "slot_key"), "family", "slot_key")
@@ -124,12 +175,59 @@ def reattach(current: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(group: pd.DataFrame) -> list[tuple[str, str]]:
+    """A batch's keys and payloads in the slots' order."""
+    group = group.sort_values(["family", "slot_key"])
+    return list(zip(group["slot_key"], group["payload"]))
+
+
+def file_hashes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node_id, hash) of every node by its file's content.
+
+    Each of ``texts`` (path, text) is hashed once, before the join; a file that is
+    missing or could not be read (null) has no hash, which matches nothing.
+    """
+    hashed = texts.select("path", content_hash(F.col("text")).alias("hash"))
+    return nodes.select("node_id", "path").join(hashed, "path", "left").select("node_id", "hash")
+
+
+def fill_saved(slot_rows: DataFrame, provider: Callable[[list[tuple[str, str]]], dict[str, str]], path: str, workers: int = 4) -> DataFrame:
+    """(slot_key, answer) as ``fill``, saved below ``path`` as the batches come in.
+
+    ``workers`` batches run at a time. A batch that raises stops the run after those beside
+    it, whose answers are kept: what was answered is never asked again, by this or a later
+    call with the same ``path``. Without open slots the provider isn't called.
+    """
+    spark = slot_rows.sparkSession
+    saved = "slot_key string, answer string"
+    done = lambda: spark.read.schema(saved).parquet(path)
+    left = slot_rows.join(done(), "slot_key", "left_anti") if exists(spark, path) else slot_rows
+    todo = cut(left.join(batches(left), "slot_key"), "to-fill")
+
+    def ask(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            answers = provider(_pairs(group))
+        except Exception as why:  # noqa: BLE001 - told to the driver, which raises it
+            return pd.DataFrame({"slot_key": [None], "answer": [None], "failure": [repr(why)]}, dtype=object)
+        return pd.DataFrame({"slot_key": list(answers), "answer": list(answers.values()), "failure": None}, dtype=object)
+
+    total = (todo.agg(F.max("batch_id")).head()[0] + 1) if not todo.isEmpty() else 0
+    for first in range(0, total, workers):
+        wave = todo.where(F.col("batch_id").between(first, first + workers - 1)).repartition(workers, "batch_id")
+        came = cut(wave.groupBy("batch_id").applyInPandas(ask, saved + ", failure string"), "filled")
+        came.where("failure IS NULL").select("slot_key", "answer").write.mode("append").parquet(path)
+        failed = came.where("failure IS NOT NULL").head()
+        if failed:
+            raise RuntimeError(f"{done().count()} slots were answered and saved before this: {failed.failure}")
+    return done() if exists(spark, path) else spark.createDataFrame([], saved)
+
+
 def fill(slot_rows: DataFrame, provider: Callable[[list[tuple[str, str]]], dict[str, str]], workers: int = 4) -> DataFrame:
     """(slot_key, answer) from a provider that is called once for each batch."""
     numbered = slot_rows.join(batches(slot_rows), "slot_key")
 
     def ask(group: pd.DataFrame) -> pd.DataFrame:
-        answers = provider(list(zip(group["slot_key"], group["payload"])))
+        answers = provider(_pairs(group))
         return pd.DataFrame({"slot_key": list(answers), "answer": list(answers.values())}, dtype=object)
 
     return numbered.repartition(workers, "batch_id").groupBy("batch_id").applyInPandas(ask, "slot_key string, answer string")

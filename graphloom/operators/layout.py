@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import graph
+from graphloom.session import cut
+
 COLUMNS = 4
 #: Pixels of cards and gaps, and cards in a row of the standalone block.
 CARD_WIDTH, CARD_HEIGHT, GAP, LAYER_GAP, STANDALONE_COLUMNS = 200, 58, 18, 72, 8
@@ -56,6 +59,20 @@ def back_links(links: DataFrame) -> DataFrame:
     return links.groupBy("view").applyInPandas(walk, "view string, source string, target string")
 
 
+def view_depths(links: DataFrame) -> DataFrame:
+    """(view, node_id, depth): how deep each card of a view lies, its back links left out.
+
+    Links that close a cycle sit the depths out, and so do links of a card to itself;
+    cards with no others have depth 0.
+    """
+    links = cut(links.select("view", "source", "target").distinct(), "view-links")
+    ends = links.select("view", F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    forward = links.join(back_links(links), ["view", "source", "target"], "left_anti")
+    placed = lambda c: F.struct("view", F.col(c).alias("node_id")).alias(c)
+    deep = graph.dependency_depth(forward.select(placed("source"), placed("target"))).select("node_id.*", "depth")
+    return ends.join(deep, ["view", "node_id"], "left").select("view", "node_id", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
 def grid(depth: DataFrame, columns: int = COLUMNS) -> DataFrame:
     """(node_id, band, row, column): bands of equal depth, stacked by the rows they take."""
     banded = depth.select("node_id", "depth")

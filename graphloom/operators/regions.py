@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import files, relating, top_directory
+from graphloom.session import numbered
 
 UNROUTED = "no-call-flow"
 TOP = 6
@@ -173,6 +174,13 @@ def contained_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def file_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file_id, node_id, kind, name): the symbols under each file, a row each, for files of any size."""
+    symbols = nodes.where("kind <> 'file'").select("node_id", F.col("kind").alias("symbol_kind"), "name")
+    held = edges.where("kind = 'contains'").select(F.col("source").alias("file_id"), F.col("target").alias("node_id")).distinct()
+    return held.join(symbols, "node_id").select("file_id", "node_id", F.col("symbol_kind").alias("kind"), "name")
+
+
 def files_filter(nodes: DataFrame, needle: str) -> DataFrame:
     """(region, n_match, n_files) of regions with files whose path holds ``needle``."""
     hit = F.contains(F.lower("path"), F.lit(needle.strip().lower()))
@@ -185,6 +193,44 @@ def flows_by_domain(flows: DataFrame) -> DataFrame:
     return flows.groupBy("domain").agg(F.count("*").alias("n_flows"), F.min("flow_id").alias("first_flow"))
 
 
+def domain_flow_list(flows: DataFrame) -> DataFrame:
+    """(domain, domain_seq, seq, flow_id, name): flows in id order, under domains in order of first appearance.
+
+    ``domain_seq`` is the place of the domain's first flow; rows stay rows, so that
+    a domain with most of the flows isn't gathered.
+    """
+    placed = numbered(flows.select("flow_id", "domain", "name"), "flow_id")
+    first = placed.groupBy("domain").agg(F.min("number").alias("domain_seq"))
+    return placed.join(first, "domain").select("domain", "domain_seq", F.col("number").alias("seq"), "flow_id", "name")
+
+
+def publishes_significance(nodes: DataFrame) -> DataFrame:
+    """One row: whether any file of the map has a significance at all, be it 0."""
+    if "significance" not in nodes.columns:
+        return nodes.sparkSession.range(1).select(F.lit(False).alias("published"))
+    return files(nodes).agg(F.coalesce(F.bool_or(F.col("significance").isNotNull()), F.lit(False)).alias("published"))
+
+
+def known_stops(tour: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The tour's stops whose node is in the map."""
+    return tour.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+
+
+def flow_entries(nodes: DataFrame, edges: DataFrame, flows: DataFrame | None = None, top: int = TOP) -> DataFrame:
+    """(rank, node_id): the first distinct roots of a map's flows, in the flows' order.
+
+    ``flows`` is (seq, steps). A map without flows shows, in map order, nodes of any
+    kind that call something and are called by nothing.
+    """
+    if flows is not None and not flows.isEmpty():
+        roots = flows.select("seq", F.get("steps", F.lit(0)).alias("node_id")).groupBy("node_id").agg(F.min("seq").alias("seq"))
+        best = roots.join(nodes.select("node_id").distinct(), "node_id", "left_semi").orderBy("seq").limit(top)
+        return best.select(F.row_number().over(Window.orderBy("seq")).alias("rank"), "node_id")
+    calls = edges.where("kind = 'calls'")
+    callers = calls.select(F.col("source").alias("node_id")).distinct()
+    return entry_points(nodes, callers.join(calls.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_anti"), top)
+
+
 def entry_points(nodes: DataFrame, entries: DataFrame, top: int = TOP) -> DataFrame:
     """(rank, node_id): the first entry functions in map order."""
     best = nodes.join(entries.select("node_id"), "node_id", "left_semi").orderBy("path", "node_id").limit(top)

@@ -12,7 +12,7 @@ STOPWORDS = (
     "and any are but can did does for from get has have how into its not the that them then there these they this was "
     "were what when where which who why will with you your"
 ).split()
-SLICE, SUMMARY, QUESTION, ANSWER, TURNS = 40, 400, 1000, 2000, 6
+SLICE, SUMMARY, QUESTION, ANSWER, TURNS, CITATION = 40, 400, 1000, 2000, 6, 500
 MIN_TERM = 3
 
 
@@ -75,10 +75,14 @@ def turns(messages: DataFrame) -> DataFrame:
 
 
 def clamped_turns(talk: DataFrame, most: int = TURNS) -> DataFrame:
-    """The newest turns of each conversation, question and answer clamped."""
+    """The newest turns of each conversation, question and answer clamped.
+
+    A column ``citations``, if there, keeps its first ``SLICE`` ids, each clamped.
+    """
     newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     kept = talk.withColumn("_newest", newest).where(F.col("_newest") <= most)
-    return kept.select("conv_id", "turn", clamp(F.col("question"), QUESTION).alias("question"), clamp(F.col("answer"), ANSWER).alias("answer"))
+    cited = [F.transform(F.slice("citations", 1, SLICE), lambda c: clamp(c, CITATION)).alias("citations")] if "citations" in talk.columns else []
+    return kept.select("conv_id", "turn", clamp(F.col("question"), QUESTION).alias("question"), clamp(F.col("answer"), ANSWER).alias("answer"), *cited)
 
 
 def validated(questions: DataFrame) -> DataFrame:
@@ -170,8 +174,24 @@ def source_lines(texts: DataFrame, key: str, first: int, last: int) -> DataFrame
     return rows.select(key, line.alias("line"), "text", line.between(first, last).alias("lit"))
 
 
+def context_slices(nodes: DataFrame, questions: dict[int, str], cited: DataFrame | None = None) -> DataFrame:
+    """(item_id, rank, node_id, score): the slice of each question, in one job.
+
+    Questions are few and given by id; ``cited`` is (item_id, node_id, cite_rank).
+    """
+    out = nodes.sparkSession.createDataFrame([], "item_id long, rank int, node_id string, score int")
+    for item_id, text in questions.items():
+        own = None if cited is None else cited.where(F.col("item_id") == item_id).select("node_id", "cite_rank")
+        out = out.unionByName(context_slice(nodes, text, own).withColumn("item_id", F.lit(item_id).cast("long")))
+    return out
+
+
+#: Questions whose slices are taken in one job.
+BLOCK = 32
+
+
 def ask(nodes: DataFrame, questions: DataFrame, talk: DataFrame | None = None, provider=None) -> list[dict]:
-    """Answers to a few questions, one request each.
+    """Answers to a few questions, ``BLOCK`` of them to a Spark job.
 
     A question that is blank or too long is refused. The context slice takes the
     clamped turns' citations first. ``provider`` is a function of (question,
@@ -179,13 +199,19 @@ def ask(nodes: DataFrame, questions: DataFrame, talk: DataFrame | None = None, p
     answer. Citations of nodes that were not shown are dropped.
     """
     out = []
-    for row in validated(questions).join(questions.select("item_id", "text"), "item_id").orderBy("item_id").toLocalIterator():
-        if row.status != "ok":
-            out.append({"item_id": row.item_id, "status": row.status, "answer": None, "citations": []})
-            continue
-        cited = None if talk is None else talk.where(F.col("item_id") == row.item_id).select("node_id", "cite_rank")
-        shown = [r.node_id for r in context_slice(nodes, row.text, cited).orderBy("rank").collect()]
-        text, citations = provider(row.text, shown) if provider else ("", shown)
-        kept = list(dict.fromkeys(c for c in citations if c in shown))
-        out.append({"item_id": row.item_id, "status": "ok", "answer": text, "citations": kept})
+    rows = validated(questions).join(questions.select("item_id", "text"), "item_id").orderBy("item_id").collect()
+    for at in range(0, len(rows), BLOCK):
+        block = rows[at : at + BLOCK]
+        slices: dict[int, list[str]] = {r.item_id: [] for r in block}
+        good = {r.item_id: r.text for r in block if r.status == "ok"}
+        for r in context_slices(nodes, good, talk).orderBy("item_id", "rank").collect() if good else ():
+            slices[r.item_id].append(r.node_id)
+        for row in block:
+            if row.status != "ok":
+                out.append({"item_id": row.item_id, "status": row.status, "answer": None, "citations": []})
+                continue
+            shown = slices[row.item_id]
+            text, citations = provider(row.text, shown) if provider else ("", shown)
+            kept = list(dict.fromkeys(c for c in citations if c in shown))
+            out.append({"item_id": row.item_id, "status": "ok", "answer": text, "citations": kept})
     return out

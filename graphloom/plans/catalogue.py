@@ -279,6 +279,17 @@ def flows_by_domain(spark, sf_dir):
     return regions.flows_by_domain(semantics.flows(nodes, semantics.flow_steps(nodes, edges)))
 
 
+@query(f"WITH {T},{STEPS}, k AS (SELECT *, row_number() OVER (ORDER BY flow_id) - 1 AS seq FROM flows) SELECT domain, min(seq) OVER (PARTITION BY domain)::BIGINT AS domain_seq, seq::BIGINT AS seq, flow_id, name FROM k")
+def domain_flow_list(spark, sf_dir):
+    nodes, edges = _trade(spark, sf_dir)
+    return regions.domain_flow_list(semantics.flows(nodes, semantics.flow_steps(nodes, edges)))
+
+
+@query(f"WITH {T} SELECT DISTINCT source AS file_id, node_id, nodes.kind, name FROM edges JOIN nodes ON node_id = target WHERE edges.kind = 'contains' AND nodes.kind <> 'file'")
+def file_symbols(spark, sf_dir):
+    return regions.file_symbols(*_trade(spark, sf_dir))
+
+
 # --- graph --------------------------------------------------------------------------
 
 
@@ -428,6 +439,13 @@ def turn_clamp(spark, sf_dir):
     return retrieval.clamped_turns(retrieval.turns(table(spark, sf_dir, "conversations")))
 
 
+@query(f"""WITH {_TURNS} SELECT conv_id, turn, array_to_string(list_transform(string_split(answer, ' ')[:40], lambda x: CASE WHEN length(x) > 500 THEN substr(x, 1, 500) || '…' ELSE x END), '|') AS citations
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM tn) WHERE r <= 6""")
+def turn_citations(spark, sf_dir):
+    talk = retrieval.turns(table(spark, sf_dir, "conversations")).withColumn("citations", F.split("answer", " "))
+    return retrieval.clamped_turns(talk).select("conv_id", "turn", F.array_join("citations", "|").alias("citations"))
+
+
 @query(f"WITH {_TURNS} SELECT conv_id, sum(length(question))::BIGINT AS input_tokens, sum(length(answer))::BIGINT AS output_tokens FROM tn GROUP BY 1 HAVING count(*) > 1 AND count(*) = count(question) AND count(*) = count(answer)")
 def usage_total(spark, sf_dir):
     talk = retrieval.turns(table(spark, sf_dir, "conversations"))
@@ -484,6 +502,18 @@ def slots(spark, sf_dir):
     return _slots(spark, sf_dir)
 
 
+@query(f"""WITH {T},{SLOTS}, lf AS (SELECT layer_id, (SELECT count(*) FROM nodes WHERE kind = 'file' AND layer = layer_id) AS n FROM layers),
+fl AS (SELECT f.flow_id, f.domain, f.n_steps, list(n.name ORDER BY p.pos) FILTER (p.pos < 10) AS names FROM flows f JOIN pos p USING (root) JOIN nodes n ON n.node_id = p.node_id GROUP BY ALL)
+SELECT 'summary:' || node_id AS slot_key, 0::INT AS family, json_object('slot', 'summary', 'key', 'summary:' || node_id, 'kind', kind, 'name', name, 'path', path, 'mechanical_summary', summary)::VARCHAR AS payload FROM nodes
+UNION ALL SELECT k || ':' || layer_id, i, json_object('slot', k, 'key', k || ':' || layer_id, 'directory', layer_id, 'member_files', n)::VARCHAR FROM lf, (VALUES ('layer-name', 1), ('layer-description', 2)) v(k, i)
+UNION ALL SELECT 'flow-name:' || flow_id, 3, json_object('slot', 'flow-name', 'key', 'flow-name:' || flow_id, 'domain', domain, 'entry_point', names[1], 'steps', names, 'step_count', n_steps)::VARCHAR FROM fl
+UNION ALL SELECT 'tour-label:' || t.node_id, 4, json_object('slot', 'tour-label', 'key', 'tour-label:' || t.node_id, 'path', path, 'fan_in', fan_in, 'fan_out', fan_out, 'mechanical_label', label)::VARCHAR FROM tour t JOIN sig USING (node_id)""")
+def slot_payloads(spark, sf_dir):
+    nodes, edges = _trade(spark, sf_dir)
+    scored, steps = semantics.significance(nodes, edges), semantics.flow_steps(nodes, edges)
+    return annotate.slot_payloads(nodes, semantics.layers(nodes), semantics.flows(nodes, steps), steps, semantics.tour(scored), scored)
+
+
 @query(f"WITH {T},{SLOTS} SELECT slot_key, floor((row_number() OVER (ORDER BY family, slot_key) - 1) / 25)::BIGINT AS batch_id FROM slots")
 def batches(spark, sf_dir):
     return annotate.batches(_slots(spark, sf_dir))

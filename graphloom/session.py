@@ -124,6 +124,12 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return joined.withColumn("number", F.col("_before") + F.col("_rank") - 1).select(*rows.columns, "number")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, through Hadoop's file system."""
+    store, at = _file_system(spark, path)
+    return store.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system."""
     store, at = _file_system(spark, path)
