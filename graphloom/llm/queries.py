@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import langid, media, mixing, pieces, pii, quality, rollups, simhash, toxicity, warc
+from graphloom.llm import audit, langid, media, mixing, pieces, pii, quality, rollups, simhash, toxicity, warc
 from graphloom.session import table
 
 
@@ -21,9 +21,11 @@ QUERIES = {
     "op8_source_mixing": _over(mixing, "documents"),
     "op9_language_codewords": _over(langid, "documents"),
     "op10_warc_packages": _over(warc, "pages"),
+    "op11_filter_audit": _over(audit, "documents", "labels"),
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality.SQL,
     "op8_source_mixing": mixing.SQL,
+    "op11_filter_audit": audit.SQL,
 }
