@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import audit, langid, media, mixing, pieces, pii, quality, rollups, simhash, toxicity, warc
+from graphloom.llm import audit, langid, media, mixing, pieces, pii, quality, resample, rollups, simhash, toxicity, warc
 from graphloom.session import table
 
 
@@ -22,10 +22,12 @@ QUERIES = {
     "op9_language_codewords": _over(langid, "documents"),
     "op10_warc_packages": _over(warc, "pages"),
     "op11_filter_audit": _over(audit, "documents", "labels"),
+    "op12_target_resampling": _over(resample, "documents", "benchmark"),
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality.SQL,
     "op8_source_mixing": mixing.SQL,
     "op11_filter_audit": audit.SQL,
+    "op12_target_resampling": resample.SQL,
 }
