@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import audit, langid, media, mixing, pieces, pii, quality, resample, rollups, simhash, toxicity, warc
+from graphloom.llm import audit, langid, media, mixing, pieces, pii, quality, resample, rollups, simhash, substrings, toxicity, warc
 from graphloom.session import table
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_warc_packages": _over(warc, "pages"),
     "op11_filter_audit": _over(audit, "documents", "labels"),
     "op12_target_resampling": _over(resample, "documents", "benchmark"),
+    "op13_substring_dedup": _over(substrings, "documents"),
 }
 
 ORACLE_SQL = {
@@ -30,4 +31,5 @@ ORACLE_SQL = {
     "op8_source_mixing": mixing.SQL,
     "op11_filter_audit": audit.SQL,
     "op12_target_resampling": resample.SQL,
+    "op13_substring_dedup": substrings.SQL,
 }
