@@ -1,30 +1,27 @@
 """A source tree as tables: files, symbols, imports and calls.
 
-Texts are cut into numbered lines and read with regular expressions and windows
-over each file's lines; a symbol's end is where its indentation (Python) or its
-brace depth (TypeScript, JavaScript, Go, Rust, C, C++) closes. This reads the forms that
-code uses day to day and recovers from broken files by construction, but it is
-no full parser: strings over several lines, macros and nested generics are
-beyond it.
+Each file is lexed and cut into statements in one pass (``statements``), and the
+facts of all files are one table. What statements say - names, calls, imports, bindings - is read
+with Spark's expressions and resolved by joins. This reads the forms that code uses day to day
+and recovers from broken files; macros aren't expanded and types aren't followed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import edge, node_id, top_directory
 from graphloom.operators import calls as call_rules
 from graphloom.operators import extract, regions, resolve
 from graphloom.session import cut
+from graphloom.sources.statements import KEYWORDS, statements
 from graphloom.sources.tree import walk
 
-#: Words before a bracket that are no calls.
-KEYWORDS = (
-    "if elif else for while switch case return func function def class with catch except lambda await typeof new in not and or "
-    "print range len super constructor make append panic string int import export assert del yield raise"
-).split()
 LANGUAGE = {
     "py": "python", "ts": "es", "tsx": "es", "js": "es", "jsx": "es", "mjs": "es", "cjs": "es", "go": "go", "rs": "rust",
     "c": "c", "h": "c", "cpp": "c", "cc": "c", "cxx": "c", "hpp": "c", "hh": "c", "hxx": "c",
@@ -39,185 +36,96 @@ def language(path: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in LANGUAGE.items() for x in pair)), extension)
 
 
-def _bare(line: Column, lang: Column) -> Column:
-    """A line without the contents of strings and without its comment."""
-    quoted = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', '""')
-    # An apostrophe is also a lifetime in Rust; only single characters are emptied there.
-    single = F.when(lang == "rust", F.regexp_replace(quoted, r"'(?:[^'\\]|\\.)'", "''")).otherwise(
-        F.regexp_replace(quoted, r"'(?:[^'\\]|\\.)*'|`[^`]*`", "''"))
-    return F.when(lang == "python", F.regexp_replace(single, r"#.*$", "")).otherwise(F.regexp_replace(single, r"//.*$|/\*.*?\*/", ""))
-
-
-def lines(files: DataFrame) -> DataFrame:
-    """(path, lang, line, text, bare, indent, depth): depth of braces before each line."""
-    rows = files.select("path", language(F.col("path")).alias("lang"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where("lang IS NOT NULL")
-    rows = rows.withColumn("line", F.col("line") + 1).withColumn("bare", _bare(F.col("text"), F.col("lang")))
-    count = lambda c: F.length("bare") - F.length(F.replace("bare", F.lit(c), F.lit("")))
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.coalesce(F.sum(count("{") - count("}")).over(before), F.lit(0))
-    indent = F.length(F.regexp_extract("text", r"^(\s*)", 1))
-    after = F.lead("bare").over(Window.partitionBy("path").orderBy("line"))
-    return rows.withColumn("depth", depth.cast("int")).withColumn("indent", indent).withColumn("next_bare", after)
-
-
-#: By language: (kind, pattern, group of the name, group of a receiver type or 0).
-DECLARATIONS = {
-    "python": [("function", r"^\s*(?:async\s+)?def\s+(\w+)\s*\(", 1, 0), ("class", r"^\s*class\s+(\w+)", 1, 0)],
-    "es": [
-        ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", 1, 0),
-        ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>", 1, 0),
-        ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", 1, 0),
-        ("method", r"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*(\w+)\s*\([^)]*\)\s*(?::[^{]+)?\{", 1, 0),
-    ],
-    "rust": [
-        ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern \"\")\s+)*fn\s+(\w+)", 1, 0),
-        ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)", 1, 0),
-        ("scope", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?&?(\w+)", 1, 0),
-        ("scope", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)", 1, 0),
-    ],
-    "c": [
-        ("namespace", r"^\s*(?:inline\s+)?namespace\s+([\w:]+)\s*\{", 1, 0),
-        ("function", r"^\s*(?:[A-Za-z_][\w:<>,]*[\s*&]+)+((?:\w+::)*~?\w+)\s*\([^;{}]*\)\s*(?:const\s*|noexcept\s*|override\s*)*\{", 1, 0),
-        ("class", r"^\s*(?:typedef\s+)?(?:struct|class)\s+(\w+)[^;()]*\{", 1, 0),
-    ],
-    "go": [("function", r"^func\s+(?:\(\s*\w*\s*\*?(\w+)[^)]*\)\s*)?(\w+)\s*[(\[]", 2, 1), ("class", r"^type\s+(\w+)\s+struct\b", 1, 0)],
-}
+FACTS = (
+    "path string, lang string, seq long, line int, end_line int, kind string, name string, of string, owner string, space string, "
+    "outer boolean, function_seq long, text string"
+)
 
 
-def marked(code: DataFrame) -> DataFrame:
-    """Lines with the declaration that each may hold, and how it bears on nesting."""
-    kind = name = receiver = F.lit(None).cast("string")
-    for lang, rules in DECLARATIONS.items():
-        for k, pattern, group, of in reversed(rules):
-            hit = (F.col("lang") == lang) & F.col("bare").rlike(pattern)
-            if k == "method" or lang == "c":
-                hit = hit & ~F.regexp_extract("bare", pattern, group).isin(*KEYWORDS)
-            kind = F.when(hit, F.lit(k)).otherwise(kind)
-            name = F.when(hit, F.regexp_extract("bare", pattern, group)).otherwise(name)
-            receiver = F.when(hit, F.regexp_extract("bare", pattern, of) if of else F.lit("")).otherwise(receiver)
-    level = F.when(F.col("lang") == "python", F.col("indent")).otherwise(F.col("depth"))
-    rows = code.withColumn("level", level)
-    # In C a body may open on the line after its head.
-    head = (F.col("lang") == "c") & F.col("next_bare").rlike(r"^\s*\{") & ~F.col("bare").rlike(r"[;{}]")
-    rows = rows.withColumn("shown", F.col("bare")).withColumn("bare", F.when(head, F.concat("bare", F.lit(" {"))).otherwise(F.col("bare")))
-    rows = rows.withColumn("kind", kind).withColumn("name", name).withColumn("of", receiver)
-    opens = (F.col("lang") == "c") & F.col("shown").rlike(r"^\s*\{")
-    return rows.select(
-        "path", "line", "lang", "level", "depth", "indent", "bare", "kind", "name", "of",
-        (F.btrim("shown") != "").alias("solid"), ((F.btrim("shown") != "") & ~opens).alias("closes"), _is_prototype().alias("promises"))
+def facts(files: DataFrame) -> DataFrame:
+    """A row for each declaration and each statement within a function, and one of kind ``code`` with
+    each file's text without comments.
 
+    ``seq`` is the place in the file, ``function_seq`` that of the innermost function, which for a function is
+    itself; ``outer`` tells that no function, class or scope is around. A file is one row of the
+    input, so memory is bounded by the longest one.
+    """
+    columns = [c.split()[0] for c in FACTS.split(", ")]
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in FACTS.split(", ")])
 
-NESTED = "path string, line int, end_line int, owner string, space string, n_spaces int, function_line int"
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, lang, text in zip(*(batch.column(c).to_pylist() for c in ("path", "lang", "text"))):
+                found, code = statements(path, text or "", lang)
+                rows = [(path, lang, s.seq, s.line, s.end_line, s.kind, s.name, s.of, s.owner, s.space, s.outer, s.function_seq, s.text) for s in found]
+                rows.append((path, lang, -1, 0, 0, "code", None, None, None, None, None, None, code))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], names=columns)
 
+    known = files.select("path", language(F.col("path")).alias("lang"), "text").where("lang IS NOT NULL")
+    return known.mapInArrow(read, FACTS)
 
-def nesting(marked: DataFrame) -> DataFrame:
-    """A row for each declaration, prototype and line within a function: where the
-    declaration ends, the class or scope that holds it, the namespaces around it, and the
-    line of the innermost function.
 
-    One pass over a file's lines with a stack of open declarations, which grows with
-    the file's length; a file's text was one row already, so a task's memory is bounded
-    by it. A declaration ends with the last line of code before the next one at its level
-    or above it; a closing brace at its level still belongs to it.
-    """
-    columns = [c.split()[0] for c in NESTED.split(", ")]
-
-    def read(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line")
-        out: list[list] = []
-        stack: list[tuple[int, str, str, int, list]] = []  # level, kind, name, line, output row
-        last = 0
-        wanted = ("line", "level", "kind", "name", "solid", "closes", "promises")
-        for line, level, kind, name, solid, closes, promises in zip(*(rows[c].tolist() for c in wanted)):
-            while closes and stack and stack[-1][0] >= level:
-                done = stack.pop()
-                done[4][2] = max(done[3], last)
-            holder = next((s for s in reversed(stack) if s[1] in ("class", "scope") and s[0] < level), None)
-            spaces = [s[2] for s in stack if s[1] == "namespace"]
-            inside = next((s[3] for s in reversed(stack) if s[1] in ("function", "method")), None)
-            row = [rows["path"].iloc[0], line, None, holder and holder[2], "::".join(spaces), len(spaces), inside]
-            if kind is not None:
-                out.append(row)
-                stack.append((level, kind, name, line, row))
-                if kind in ("function", "method"):
-                    row[6] = line
-            elif promises or (inside is not None and solid):
-                out.append(row)
-            last = line if solid else last
-        for done in stack:
-            done[4][2] = max(done[3], last)
-        frame = pd.DataFrame(out, columns=columns)
-        return frame.astype({"line": "int32", "n_spaces": "int32", "end_line": "Int32", "function_line": "Int32"})
-
-    slim = marked.select("path", "line", "level", "kind", "name", "solid", "closes", "promises")
-    return slim.groupBy("path").applyInPandas(read, NESTED)
-
-
-def symbols(marked: DataFrame, nested: DataFrame) -> DataFrame:
-    """(path, seq, kind, name, start_line, end_line, exported), in order of lines."""
-    found = marked.where("kind IS NOT NULL AND kind <> 'namespace'").join(nested.where("end_line IS NOT NULL"), ["path", "line"])
+def symbols(facts: DataFrame) -> DataFrame:
+    """(path, seq, kind, name, start_line, end_line, exported), in order of places."""
+    found = facts.where("kind IN ('function', 'class')")
     # Members carry their class's name.
-    found = found.where("kind <> 'scope' AND (kind <> 'method' OR owner IS NOT NULL)")
     owner = F.coalesce(F.nullif("of", F.lit("")), F.when(F.col("kind") != "class", F.col("owner")))
     # C++: a name within a namespace carries its path; a member defined outside its
     # class carries the class's.
     plain = F.concat_ws(".", owner, F.when(F.col("lang") == "c", F.replace("name", F.lit("::"), F.lit("."))).otherwise(F.col("name")))
     name = F.concat_ws("::", F.nullif("space", F.lit("")), plain)
-    member = owner.isNotNull() | ((F.col("lang") == "c") & (F.instr("name", "::") > 0))
-    top = F.when(F.col("lang") == "python", F.col("indent") == 0).when(F.col("lang") == "c", F.col("depth") == F.col("n_spaces")).otherwise(F.col("depth") == 0)
-    outer = top & ~member
+    outer = F.col("outer") & owner.isNull() & ~((F.col("lang") == "c") & (F.instr("name", "::") > 0))
     exported = (
         F.when(F.col("lang") == "python", outer & ~F.col("name").startswith("_"))
         .when(F.col("lang") == "go", outer & F.col("name").rlike("^[A-Z]"))
-        .when(F.col("lang") == "rust", outer & F.col("bare").rlike(r"^\s*pub\b"))
-        .when(F.col("lang") == "c", outer & ~F.col("bare").rlike(r"^\s*static\b"))
-        .otherwise(outer & F.col("bare").rlike(r"^\s*export\b"))
+        .when(F.col("lang") == "rust", outer & F.col("text").rlike(r"^pub\b"))
+        .when(F.col("lang") == "c", outer & ~F.col("text").rlike(r"^[^(]*\bstatic\b"))
+        .otherwise(outer & F.col("text").rlike(r"^(?:@.*\s)?export\b"))
     )
-    return found.select(
-        "path", F.col("line").alias("seq"), F.when(F.col("kind") == "class", "class").otherwise("function").alias("kind"),
-        name.alias("name"), F.col("line").alias("start_line"), "end_line", exported.alias("exported"))
+    return found.select("path", "seq", "kind", name.alias("name"), F.col("line").alias("start_line"), "end_line", exported.alias("exported"))
 
 
 _NAMES = r"\w+(?:\s*,\s*\w+)*"
 
 
-def go_locals(code: DataFrame, nested: DataFrame) -> DataFrame:
-    """(path, function_line, ident): the names that a Go function declares anywhere in it, its
+def go_locals(facts: DataFrame) -> DataFrame:
+    """(path, function_seq, ident): the names that a Go function declares anywhere in it, its
     parameters, closures and receiver included. They are values there and no packages or
     functions, wherever in the function they stand."""
-    go = code.where("lang = 'go'").join(nested.where("function_line IS NOT NULL").select("path", "line", "function_line"), ["path", "line"])
-    every = lambda pattern: F.regexp_extract_all("bare", F.lit(pattern), 1)
-    params = F.when(F.col("bare").rlike(r"\bfunc\b"), every(rf"[(,]\s*({_NAMES})\s+(?:\.\.\.)?[\w*\[\].]")).otherwise(F.array().cast("array<string>"))
-    lists = F.concat(every(rf"({_NAMES})\s*:="), every(rf"^\s*(?:var|const)\s+({_NAMES})"), params)
-    names = go.select("path", "function_line", F.explode(lists).alias("names"))
-    return names.select("path", "function_line", F.explode(F.split("names", r"\s*,\s*")).alias("ident")).distinct()
+    go = facts.where("lang = 'go' AND function_seq IS NOT NULL")
+    every = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), 1)
+    params = F.when(F.col("text").rlike(r"\bfunc\b"), every(rf"[(,]\s*({_NAMES})\s+(?:\.\.\.)?[\w*\[\].]")).otherwise(F.array().cast("array<string>"))
+    lists = F.concat(every(rf"({_NAMES})\s*:="), every(rf"^(?:var|const)\s+({_NAMES})"), params)
+    names = go.select("path", "function_seq", F.explode(lists).alias("names"))
+    return names.select("path", "function_seq", F.explode(F.split("names", r"\s*,\s*")).alias("ident")).distinct()
+
 
+#: A name or path before a bracket that is no member of a call's result no constructor and no
+#: name of a function expression; in ES with type arguments between.
+_CALL = r"(?<![\w.~])(?<!::)(?<!->)(?<!\bnew )(?<!\bfunction )((?:\w+(?:\.|::|->))*\w+)%s\s*\("
 
-def calls(code: DataFrame, declared: DataFrame, nested: DataFrame) -> DataFrame:
-    """(path, caller, callee, receiver) of calls inside functions; the innermost one calls.
 
-    A name that a line declares is no call there. In C++ a ``::`` names a namespace and
-    not a module: the callee keeps its path, and a bare one means the nearest namespace
-    around the caller in which its file defines it.
+def calls(facts: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, lang, caller, callee, receiver) of calls inside functions; the innermost one calls.
+
+    In C++ a ``::`` names a namespace and not a module: the callee keeps its path, and a
+    bare one means the nearest namespace around the caller in which its file defines it.
     """
-    pattern = r"((?:\w+(?:\.|::|->))*\w+)\s*\("
-    rows = code.select("path", "line", "lang", F.explode(F.regexp_extract_all("bare", F.lit(pattern), 1)).alias("callee_path"))
+    found = F.when(F.col("lang") == "es", F.regexp_extract_all("text", F.lit(_CALL % r"(?:<[\w\s,.|\[\]]*>)?"), 1)).otherwise(
+        F.regexp_extract_all("text", F.lit(_CALL % ""), 1))
+    rows = facts.where("function_seq IS NOT NULL AND coalesce(kind, 'function') = 'function'").select("path", "function_seq", "lang", F.explode(found).alias("callee_path"))
     rows = rows.withColumn("callee_path", F.replace("callee_path", F.lit("->"), F.lit(".")))
     # A value's method is no function of a module in Rust and C++; only paths are followed.
     rows = rows.where(~F.col("lang").isin("rust", "c") | (F.instr("callee_path", ".") == 0))
     rows = rows.withColumn("callee_path", F.when(F.col("lang") == "c", F.col("callee_path")).otherwise(F.replace("callee_path", F.lit("::"), F.lit("."))))
     receiver = F.when(F.instr("callee_path", ".") > 0, F.regexp_replace("callee_path", r"\.\w+$", "")).otherwise(F.lit(""))
-    rows = rows.select("path", "line", "lang", F.substring_index("callee_path", ".", -1).alias("callee"), receiver.alias("receiver"))
-    rows = rows.where(~F.col("callee").isin(*KEYWORDS) & (F.col("lang").isin("python", "rust") | (F.instr("receiver", ".") == 0)))
-    functions = declared.where("kind = 'function'")
-    own = functions.select("path", F.col("start_line").alias("line"), F.regexp_extract("name", r"(~?\w+)$", 1).alias("callee"))
-    rows = rows.withColumn("tail", F.substring_index("callee", "::", -1))
-    rows = rows.join(own.withColumnRenamed("callee", "tail"), ["path", "line", "tail"], "left_anti")
-    held = rows.join(nested.where("function_line IS NOT NULL").select("path", "line", "function_line"), ["path", "line"])
-    held = held.withColumn("ident", F.when(F.col("receiver") != "", F.col("receiver")).otherwise(F.col("callee")))
-    held = held.join(go_locals(code, nested), ["path", "function_line", "ident"], "left_anti")
-    named = functions.select("path", F.col("start_line").alias("function_line"), F.col("name").alias("caller"))
-    made = held.join(named, ["path", "function_line"]).select("path", "lang", "caller", "callee", "receiver").distinct()
+    rows = rows.select("path", "function_seq", "lang", F.substring_index("callee_path", ".", -1).alias("callee"), receiver.alias("receiver"))
+    rows = rows.where(~F.col("callee").isin(*sorted(KEYWORDS)) & (F.col("lang").isin("python", "rust") | (F.instr("receiver", ".") == 0)))
+    rows = rows.withColumn("ident", F.when(F.col("receiver") != "", F.col("receiver")).otherwise(F.col("callee")))
+    held = rows.join(go_locals(facts), ["path", "function_seq", "ident"], "left_anti")
+    named = declared.where("kind = 'function'").select("path", F.col("seq").alias("function_seq"), F.col("name").alias("caller"))
+    made = held.join(named, ["path", "function_seq"]).select("path", "lang", "caller", "callee", "receiver").distinct()
     # Namespaces from the caller's own outwards, then none.
     space = F.split(F.regexp_extract("caller", r"^((?:\w+::)*)", 1), "::")
     depth = F.size(space) - 1
@@ -227,7 +135,7 @@ def calls(code: DataFrame, declared: DataFrame, nested: DataFrame) -> DataFrame:
     near = bare.select("path", "caller", "callee", F.posexplode(tries).alias("k", "full")).join(known, ["path", "full"])
     near = near.groupBy("path", "caller", "callee").agg(F.min_by("full", "k").alias("full"))
     made = made.join(near, ["path", "caller", "callee"], "left")
-    return made.select("path", "caller", F.coalesce("full", "callee").alias("callee"), "receiver").distinct()
+    return made.select("path", "lang", "caller", F.coalesce("full", "callee").alias("callee"), "receiver").distinct()
 
 
 def used_paths(statement: Column) -> Column:
@@ -330,22 +238,13 @@ def reexports(files: DataFrame) -> DataFrame:
         F.regexp_extract("n", r"^(\w+)", 1).alias("local"), (F.col("specifier") != "").alias("has_specifier"), "specifier")
 
 
-PROTOTYPE = r"^\s*(?:extern\s+)?(?:[A-Za-z_][\w:]*[\s*&]+)+(\w+)\s*\([^;{}()]*\)\s*;"
-
-
-def _is_prototype() -> Column:
-    """Whether a line of a header may declare a function."""
-    header = F.col("path").rlike(r"\.(h|hpp|hh|hxx)$") & F.col("bare").rlike(PROTOTYPE)
-    return header & ~F.col("bare").rlike(r"^\s*(return|typedef|static|else|new|delete|throw)\b")
-
-
-def prototypes(marked: DataFrame, nested: DataFrame, files: DataFrame) -> DataFrame:
+def prototypes(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Re-exports (path, seq, exported, local, has_specifier, target) of functions that a
     header declares at the level of a file or a namespace: they live in the source file of
     the same stem beside it."""
-    heads = marked.where("promises AND kind IS NULL").join(nested.select("path", "line", "space", "n_spaces"), ["path", "line"]).where("depth = n_spaces")
-    name = F.concat_ws("::", F.nullif("space", F.lit("")), F.regexp_extract("bare", PROTOTYPE, 1))
-    heads = heads.select("path", F.col("line").cast("long").alias("seq"), name.alias("exported"), name.alias("local"))
+    heads = facts.where("kind = 'prototype'")
+    name = F.concat_ws("::", F.nullif("space", F.lit("")), "name")
+    heads = heads.select("path", "seq", name.alias("exported"), name.alias("local"))
     stem = F.regexp_replace("path", r"\.\w+$", "")
     pairs = F.array(*(F.concat(stem, F.lit(f".{e}")) for e in PAIRS))
     mates = resolve.first_match(heads.select("path").distinct().withColumn("import_seq", F.lit(0)), pairs, files).select("path", "target")
@@ -436,9 +335,9 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of ``files`` (path, text)."""
     # Facts are written once; five branches read them.
-    code = cut(marked(lines(files)), "facts-lines")
-    nested = cut(nesting(code), "facts-nesting")
-    declared = cut(extract.symbol_ids(symbols(code, nested)), "facts-symbols")
+    found_facts = cut(facts(files), "facts")
+    code = found_facts.where("kind = 'code'").select("path", "text")
+    declared = cut(extract.symbol_ids(symbols(found_facts)), "facts-symbols")
     counts = declared.groupBy("path").agg(F.count_if(F.col("kind") == "function").alias("f"), F.count_if(F.col("kind") == "class").alias("c"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     known = files.join(counts, "path", "left")
@@ -452,11 +351,11 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.unionByName(declared.select(
         symbol_id.alias("node_id"), "kind", F.col("name"), "path", said.alias("summary"), F.lit(None).cast("string").alias("layer"), F.lit("structural").alias("provenance")))
 
-    stated, offered = cut(imports(files), "facts-imports"), reexports(files)
+    stated, offered = cut(imports(code), "facts-imports"), reexports(code)
     names = stated.where("imported IS NOT NULL AND NOT is_namespace")
     deep = F.concat(F.col("specifier"), F.when(F.col("specifier").endswith("."), "").otherwise("."), F.col("imported"))
     as_module = names.where(language(F.col("path")) == "python").select("path", "import_seq", "local", "imported", "specifier", deep.alias("module"))
-    made = cut(calls(code, declared, nested), "facts-calls")
+    made = cut(calls(found_facts, declared), "facts-calls")
     # A Rust path before a call may name a module that no ``use`` binds.
     reached = made.where((language(F.col("path")) == "rust") & (F.col("receiver") != "")).select("path", "receiver").distinct()
     reached = reached.withColumn("specifier", F.replace("receiver", F.lit("."), F.lit("::")))
@@ -488,7 +387,7 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     bindings = bindings.unionByName(offers)
     functions = declared.where("kind = 'function'").select("path", "name", "exported")
     offered = offered.join(found, ["path", "specifier"], "left").select("path", "seq", "exported", "local", "has_specifier", "target")
-    offered = offered.unionByName(prototypes(code, nested, files.select("path")))
+    offered = offered.unionByName(prototypes(found_facts, files.select("path")))
     # A local name in an export clause is exported by it.
     listed = offered.where("NOT has_specifier").select("path", F.col("local").alias("name")).distinct().withColumn("listed", F.lit(True))
     functions = functions.join(listed, ["path", "name"], "left").select("path", "name", (F.col("exported") | F.coalesce("listed", F.lit(False))).alias("exported"))

@@ -129,11 +129,10 @@ def test_namespaces_do_not_change_linkage(tree):
 
 def test_declarations_end_with_their_last_line(spark):
     text = "def a():\n    def b():\n        c()\n\n    b()\n\n\n# end\nclass K:\n    def m(self):\n        b()\n"
-    code = repository.marked(repository.lines(spark.createDataFrame([("x.py", text)], "path string, text string")))
-    nested = repository.nesting(code)
-    found = repository.symbols(code, nested)
+    facts = repository.facts(spark.createDataFrame([("x.py", text)], "path string, text string"))
+    found = repository.symbols(facts)
     assert {(r.name, r.start_line, r.end_line) for r in found.collect()} == {("a", 1, 5), ("b", 2, 3), ("K", 9, 11), ("K.m", 10, 11)}
-    called = repository.calls(code, found, nested)
+    called = repository.calls(facts, found)
     assert {(r.caller, r.callee) for r in called.collect()} == {("b", "c"), ("a", "b"), ("K.m", "b")}
 
 
