@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.model import weight
 from graphloom.operators import annotate, calls, extract, graph, overlay, redact, regions, resolve, retrieval, semantics
 from graphloom.session import cut, table
-from graphloom.sources import bindings, published
+from graphloom.sources import bindings, published, repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -711,3 +711,59 @@ def call_edges(spark, sf_dir):
     bound = used.select("path", F.col("callee").alias("local"), F.col("callee").alias("imported"), "target", "ord")
     modules = spark.createDataFrame([], "path string, local string, target string, ord long")
     return calls.resolve_calls(made, functions.unionByName(mains).unionByName(helpers), again.distinct(), bound, modules)
+
+
+# --- source files made of documents ---------------------------------------------------
+
+#: Characters that would end a string or a comment, and what stands for them.
+_UNSAFE = "\"`\\$*", "''/S+"
+#: By the id's remainder: extension, text before and after the document's, lines before ``f`` and of ``f`` beside
+#: the text's (which are in the one or the other), and how far below its end ``h`` stands. ``#`` is the id.
+_SOURCES = (
+    ("py", 'def f#(\n    a,\n    b=1,\n):\n    """', '\n    def ghost():\n        h#()\n    """\n    return h#(\n        a,\n    )\n\n\ndef h#(a): return a\n', 0, 11, True, 3, True),
+    ("ts", "export function f#<T>(\n  a: T,\n): T {\n  const t = `", "\n function ghost() { h#() }`;\n  return h#(\n    a,\n  );\n}\n\nconst h# = (a) => a;\n", 0, 9, True, 2, False),
+    ("go", "package p\n\nvar t = `", "\nfunc ghost() {\n\th#()\n}\n`\n\nfunc f#(\n\ta int,\n) int {\n\treturn h#(\n\t\ta,\n\t)\n}\n\nfunc h#(a int) int { return a }\n", 8, 7, False, 2, None),
+    ("rs", "/* /* ", " */ fn ghost() { h#() } */\npub fn f#(\n    a: u8,\n) -> u8\nwhere\n    u8: Copy,\n{\n    h#(\n        a,\n    )\n}\n\nfn h#(a: u8) -> u8 { a }\n", 1, 10, False, 2, False),
+    ("c", "/* ", "\nint ghost(int a) {\n  return h#(a);\n} */\nint f#(\n  int a)\n{\n  return h#(\n    a);\n}\n\nstatic int h#(int a) { return a; }\n", 4, 6, False, 2, False),
+)
+
+
+def _source_files(spark, sf_dir):
+    """A source file for each document, its language by the id; the text is a string or a comment within."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.translate(F.coalesce("text", F.lit("")), *_UNSAFE)
+    path = body = F.lit(None).cast("string")
+    for i, (extension, before, after, *_) in enumerate(_SOURCES):
+        mine = F.col("doc_id") % len(_SOURCES) == i
+        named = lambda s: F.replace(F.lit(s), F.lit("#"), F.col("doc_id").cast("string"))
+        path = F.when(mine, F.concat(F.lit("src/d"), "doc_id", F.lit(f"/m.{extension}"))).otherwise(path)
+        body = F.when(mine, F.concat(named(before), text, named(after))).otherwise(body)
+    return docs.select(path.alias("path"), body.alias("text"))
+
+
+def _source_symbols() -> str:
+    """What each file's two functions are, from the lines of its text alone."""
+    parts = []
+    for i, (extension, _, _, before, lines, inside, gap, h_exported) in enumerate(_SOURCES):
+        start, end = (f"{before + 1}", f"{before + lines} + n") if inside else (f"{before + 1} + n", f"{before + lines} + n")
+        f_exported = "true" if h_exported is not None else "false"
+        mine = f"FROM lined WHERE doc_id % {len(_SOURCES)} = {i}"
+        path = f"'src/d' || doc_id || '/m.{extension}'"
+        parts.append(f"SELECT {path} AS path, 'f' || doc_id AS name, {start} AS start_line, {end} AS end_line, {f_exported} AS exported {mine}")
+        parts.append(f"SELECT {path}, 'h' || doc_id, {end} + {gap}, {end} + {gap}, {'true' if h_exported else 'false'} {mine}")
+    return "lined AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), sym AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query(f"WITH {_source_symbols()} SELECT path, name, start_line::INT AS start_line, end_line::INT AS end_line, exported FROM sym")
+def source_symbols(spark, sf_dir):
+    """Functions with heads of several lines, beside ghosts in comments and strings that hold whole documents."""
+    found = repository.symbols(repository.facts(_source_files(spark, sf_dir)))
+    return found.select("path", "name", "start_line", "end_line", "exported")
+
+
+@query(f"""WITH {_source_symbols()} SELECT 'contains' AS kind, 'file:' || path AS source, 'function:' || path || ':' || name AS target FROM sym
+UNION ALL SELECT 'exports', 'file:' || path, 'function:' || path || ':' || name FROM sym WHERE exported
+UNION ALL SELECT 'calls', 'function:' || path || ':' || name, 'function:' || path || ':h' || substr(name, 2) FROM sym WHERE name LIKE 'f%'""")
+def source_edges(spark, sf_dir):
+    """The map of those files: each ``f`` calls its file's ``h``."""
+    return repository.graph_of(_source_files(spark, sf_dir))[1].select("kind", "source", "target")
