@@ -1,8 +1,9 @@
 """Toxicity: misspelling-tolerant lexicon matches, weighed by their context.
 
 Lexicon. Terms are learned from all labelled documents: words that stand in
-toxic documents far more often than in others (by document counts, made by
-Spark), with a few fixed ones besides. A word of any length is a term if the
+toxic texts far more often than in others (by counts of distinct texts, made by
+Spark, as copies are no evidence of their own). Callers without labels can give
+terms. A word of any length is a term if the
 Chernoff bound of its counts arising by chance, times the number of words
 tried, is below ``DOUBT``; the lexicon is as large as the evidence makes it.
 Words are cut in one place (``tokens``), for learning and for matching. Each
@@ -14,7 +15,7 @@ distance runs along it: a state is the set of (trie node, edits) pairs that a
 word's letters so far can reach. States are made when first met and kept, so
 that a worker turns the product of automaton and trie into a plain table and a
 word costs one step for each letter until its state is empty. Terms of four
-letters allow one edit, of nine two; shorter ones none, and neither do learned
+letters allow one edit, of nine two; shorter ones none, and neither do
 terms whose misspellings turn out to be common in other documents. A word that
 only looks like a misspelling is dropped after ``CLEAN_DOCS`` other documents.
 
@@ -67,11 +68,8 @@ LEAST_DOCS, LEAST_ODDS = 3, 12.0
 #: The chance that any learned term is one by chance, and the least number of
 #: other documents that speak against a misspelling.
 DOUBT, CLEAN_DOCS = 0.05, 3
-#: The log-odds of a fixed term, and the weights used without labels.
-SEED_ODDS = 4.0
+#: The weights used without labels.
 FALLBACK = (1.0, 0.2, 0.5, 0.3)
-#: A few common insults.
-SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown")
 #: Cues of reporting and of address.
 REPORTING = frozenset("said says wrote quoted quote called cited reported stated according term word phrase".split())
 ADDRESS = frozenset("you your youre yourself u du dich ihr vous toi tu ustedes".split())
@@ -273,12 +271,18 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def learnable(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
-    """(words, toxic) of all rows that may be learned from: the text's distinct words."""
+    """(words, toxic): the distinct words of each distinct text that may be learned from, once for each mark.
+
+    Of documents with one text and mark the least id stands for all, so a first pass digests the labelled
+    texts and a second one cuts those that are left; texts themselves go nowhere.
+    """
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-    marked = labels.where(usable & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    marked = labels.where(usable & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
     texts = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull())
     few = marked.limit(broadcast + 1).count() <= broadcast
-    found = texts.join(F.broadcast(marked) if few else marked.hint("merge"), "doc_id")
+    met = lambda rows: texts.join(F.broadcast(rows) if few else rows.hint("merge"), "doc_id")
+    digests = met(marked).groupBy(F.unhex(F.sha2("text", 256)).alias("digest"), "toxic").agg(F.min("doc_id").alias("doc_id"))
+    found = met(cut(digests.select("doc_id", "toxic").distinct(), "toxic-distinct"))
 
     @F.pandas_udf("array<string>")
     def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -296,16 +300,15 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def learn_terms(rows: DataFrame, counts: DataFrame, most: int | None = None) -> dict[str, float]:
-    """Words of far more toxic documents than others, with their log-odds.
+    """Words of far more toxic texts than others, with their log-odds.
 
     With a share ``p`` of toxic documents, chance puts ``bad`` or more of a
     word's ``n`` documents among them with a probability of at most
     ``exp(-n KL(bad / n, p))``.
     """
     totals = rows.agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n")).head()
-    terms = dict.fromkeys(SEEDS, SEED_ODDS)
     if not totals["n"] or not totals["bad"] or totals["bad"] == totals["n"]:
-        return terms
+        return {}
     bad, good = totals["bad"], totals["n"] - totals["bad"]
     tried = counts.where(F.col("bad") >= LEAST_DOCS)
     odds = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (good + 1))
@@ -317,7 +320,7 @@ def learn_terms(rows: DataFrame, counts: DataFrame, most: int | None = None) ->
     found = tried.withColumn("odds", F.log(odds)).where((F.col("odds") >= math.log(LEAST_ODDS)) & sure)
     if most is not None:
         found = found.orderBy(F.desc(evidence), "word").limit(most)
-    return terms | {r["word"]: max(r["odds"], terms.get(r["word"], 0.0)) for r in found.collect()}
+    return {r["word"]: r["odds"] for r in found.collect()}
 
 
 def common_misspellings(counts: DataFrame, terms: dict[str, float]) -> tuple[list[str], list[str]]:
@@ -336,7 +339,7 @@ def common_misspellings(counts: DataFrame, terms: dict[str, float]) -> tuple[lis
     each = cut(each.where("term IS NOT NULL"), "toxic-near")
     clean = (2 * F.col("bad") < F.col("n")) & (F.col("n") - F.col("bad") >= CLEAN_DOCS)
     by_term = each.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(clean).collect()
-    rigid = sorted(r["term"] for r in by_term if r["term"] not in SEEDS)
+    rigid = sorted(r["term"] for r in by_term)
     words = each.where(clean & ~F.col("term").isin(rigid)).select("word").collect()
     return rigid, sorted(r["word"] for r in words)
 
@@ -354,12 +357,12 @@ def feature_rows(df: DataFrame, lexicon: tuple, carry: list[str]) -> DataFrame:
     return df.select(*carry, read(F.col("text")).alias("x"))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[tuple, np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, known: dict[str, float] | None = None) -> tuple[tuple, np.ndarray, float]:
     """The lexicon (terms, those that allow no misspelling, words that are none),
-    weights and bias."""
+    weights and bias. ``known`` gives terms and log-odds beside those learned."""
     every = learnable(docs, labels)
     counts = count_words(every)
-    terms = learn_terms(every, counts)
+    terms = (known or {}) | learn_terms(every, counts)
     lexicon = (terms, *common_misspellings(counts, terms))
     seen = feature_rows(labelled(docs, labels), lexicon, ["toxic"]).collect()
     y = np.array([float(r["toxic"] > 0) for r in seen])

@@ -16,7 +16,8 @@ one response record, that of the largest page_id; the others are revisit
 records without a payload, which the reader resolves through the response.
 
 Defined results: a null html is an empty payload; a null url is written as
-``urn:page:<id>``; repeated rows of a response's page_id are responses all; a
+``urn:page:<id>``; repeated rows of a response's page_id and payload are responses
+all, and a page_id may have several payloads; a
 null page_id never is the one that others refer to; an empty table gives no
 rows and no packages. Other columns are not read.
 """
@@ -278,14 +279,16 @@ def read(packages: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """``records`` with the payload size and digest of revisits taken from the
-    response that they refer to."""
+    """``records`` with the payload size of revisits taken from the response that they refer to.
+
+    A revisit names its response's page and carries its digest; a page_id may stand for
+    responses of several payloads, so both are compared.
+    """
     known = cut(records, "warc-records")
-    responses = known.where("record_type = 'response' AND page_id IS NOT NULL").groupBy("page_id")
-    responses = cut(responses.agg(F.max("payload_bytes").alias("_bytes"), F.max("payload_digest").alias("_digest")), "warc-responses")
-    responses = responses.withColumnRenamed("page_id", "_page")
-    joined = known.where("refers_to IS NOT NULL").join(responses, F.col("refers_to") == F.col("_page"), "left")
-    revisits = joined.withColumn("payload_bytes", F.col("_bytes")).withColumn("payload_digest", F.col("_digest"))
+    responses = known.where("record_type = 'response' AND page_id IS NOT NULL").groupBy("page_id", "payload_digest")
+    responses = cut(responses.agg(F.max("payload_bytes").alias("_bytes")).withColumnsRenamed({"page_id": "_page", "payload_digest": "_digest"}), "warc-responses")
+    same = (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+    revisits = known.where("refers_to IS NOT NULL").join(responses, same, "left").withColumn("payload_bytes", F.col("_bytes"))
     return known.where("refers_to IS NULL").unionByName(revisits.select(*known.columns))
 
 

@@ -616,6 +616,10 @@ def test_rollup_query_against_recounting(spark):
 # --- op7 ------------------------------------------------------------------------
 
 
+#: The tests' own terms.
+INSULTS = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic")
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -626,7 +630,7 @@ def distance(a, b):
 
 
 def test_automaton_against_edit_distance():
-    terms = [*toxicity.SEEDS, "abc", "abcdefghij"]
+    terms = [*INSULTS, "abc", "abcdefghij"]
     lexicon, rng = toxicity.Lexicon(terms), random.Random(1)
     for _ in range(3000):
         word = list(rng.choice(terms))
@@ -639,14 +643,13 @@ def test_automaton_against_edit_distance():
 
 
 def test_quotation_scores_below_abuse():
-    reader = toxicity.Reader(dict.fromkeys(toxicity.SEEDS, 4.0))
+    reader = toxicity.Reader(dict.fromkeys(INSULTS, 4.0))
     aimed, cited = reader.features("you are a stupid id1ot"), reader.features('he wrote the word "idiot" here')
     assert aimed[0] > 0 and aimed[2] > 0 and cited[0] == 0 and cited[1] > 0
     assert reader.features(None) == reader.features("") == [0.0] * 4
 
 
-def test_rare_and_short_terms_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SEEDS", ())
+def test_rare_and_short_terms_are_learned(spark):
     rng = random.Random(21)
     terms = sorted({"".join(rng.choice("bcdfgkmpqvxz") for _ in range(3 + i % 5)) for i in range(80)})
     # Each term stands in 10 of the labelled documents, about 1.3 % of the toxic ones.
@@ -668,7 +671,7 @@ def test_four_letters_allow_an_edit_and_one_sighting_drops_nothing(spark):
     assert toxicity.Lexicon(["scum"]).match("scvm") == ("scum", 1)
     made = [("scvm idiott", 0), *[("the moran", 0)] * 3]
     rows = spark.createDataFrame([(toxicity.tokens(t), b) for t, b in made], "words array<string>, toxic int")
-    rigid, ordinary = toxicity.common_misspellings(toxicity.count_words(rows), dict.fromkeys(toxicity.SEEDS, 4.0))
+    rigid, ordinary = toxicity.common_misspellings(toxicity.count_words(rows), dict.fromkeys(INSULTS, 4.0))
     assert rigid == [] and ordinary == ["moran"]
 
 
@@ -678,7 +681,22 @@ def test_one_tokeniser_learns_and_matches(spark):
     docs = spark.createDataFrame([(i, prose(rng, 20) + (" 'zwonk' " if i % 2 else " ") + prose(rng, 20)) for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     every = toxicity.learnable(docs, labels)
-    assert set(toxicity.learn_terms(every, toxicity.count_words(every))) - set(toxicity.SEEDS) == {"zwonk"}
+    assert set(toxicity.learn_terms(every, toxicity.count_words(every))) == {"zwonk"}
+
+
+def test_copies_are_one_piece_of_evidence_and_terms_can_be_given(spark):
+    rng = random.Random(31)
+    made = [("copied zwonk " + "of one text " * 5, 1)] * 40 + [(prose(rng, 40) + " grelk", 1) for _ in range(40)] + [(prose(rng, 40), 0) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(made)], "doc_id long, toxic int")
+    every = toxicity.learnable(docs, labels)
+    assert set(toxicity.learn_terms(every, toxicity.count_words(every))) == {"grelk"}
+    none = labels.where("false")
+    rows = toxicity.query(docs, none).collect()
+    assert len({r.score for r in rows}) == 1
+    given = toxicity.score(docs, toxicity.learn(docs, none, {"zwonk": 4.0})).collect()
+    assert {r.score > 0.5 for r in given if made[r.doc_id][0].startswith("copied")} == {True}
+    assert {r.score > 0.5 for r in given if not made[r.doc_id][0].startswith("copied")} == {False}
 
 
 def slow_features(text, odds, window=toxicity.WINDOW):
@@ -946,6 +964,16 @@ def test_ids_of_64_bits_beside_nulls(spark):
     assert sorted(map(tuple, warc.query(pages).collect()), key=str) == slow_records(rows)
 
 
+def test_one_id_with_several_payloads(spark):
+    """A revisit gets the size and digest of the payload that it repeats, whatever else its response's id stands for."""
+    a, b, c = "A" * 1500, "B" * 2500, "C" * 1500
+    rows = [(7, a), (7, b), (3, a), (4, b), (7, c), (7, c), (5, c), (None, b), (7, "short"), (2, "short")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    got = sorted(map(tuple, warc.query(pages).collect()), key=str)
+    assert got == slow_records(rows)
+    assert {g[0]: g[1] for g in got if g[3] == "revisit"} == {3: 1500, 4: 2500, 5: 1500, None: 2500}
+
+
 def test_whole_page_table_against_plain_python(spark):
     pages = table(spark, SF.replace("0.001", "0.01"), "pages")
     rows = [(r.page_id, r.html) for r in pages.select("page_id", "html").collect()]
