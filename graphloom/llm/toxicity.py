@@ -15,7 +15,7 @@ distance runs along it: a state is the set of (trie node, edits) pairs that a
 word's letters so far can reach. States are made when first met and kept, so
 that a worker turns the product of automaton and trie into a plain table and a
 word costs one step for each letter until its state is empty. Terms of four
-letters allow one edit, of nine two; shorter ones none, and neither do
+letters allow one edit, of nine two; shorter ones none, and neither do learned
 terms whose misspellings turn out to be common in other documents. A word that
 only looks like a misspelling is dropped after ``CLEAN_DOCS`` other documents.
 
@@ -323,9 +323,9 @@ def learn_terms(rows: DataFrame, counts: DataFrame, most: int | None = None) ->
     return {r["word"]: r["odds"] for r in found.collect()}
 
 
-def common_misspellings(counts: DataFrame, terms: dict[str, float]) -> tuple[list[str], list[str]]:
+def common_misspellings(counts: DataFrame, terms: dict[str, float], known=()) -> tuple[list[str], list[str]]:
     """Learned terms whose misspelled matches are no sign of toxicity, and
-    words that only look like a misspelling of another term."""
+    words that only look like a misspelling of another term. ``known`` terms stay open to misspellings."""
     sent = counts.sparkSession.sparkContext.broadcast(terms)
 
     @F.pandas_udf("string")
@@ -339,7 +339,7 @@ def common_misspellings(counts: DataFrame, terms: dict[str, float]) -> tuple[lis
     each = cut(each.where("term IS NOT NULL"), "toxic-near")
     clean = (2 * F.col("bad") < F.col("n")) & (F.col("n") - F.col("bad") >= CLEAN_DOCS)
     by_term = each.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(clean).collect()
-    rigid = sorted(r["term"] for r in by_term)
+    rigid = sorted(r["term"] for r in by_term if r["term"] not in known)
     words = each.where(clean & ~F.col("term").isin(rigid)).select("word").collect()
     return rigid, sorted(r["word"] for r in words)
 
@@ -363,7 +363,7 @@ def learn(docs: DataFrame, labels: DataFrame, known: dict[str, float] | None = N
     every = learnable(docs, labels)
     counts = count_words(every)
     terms = (known or {}) | learn_terms(every, counts)
-    lexicon = (terms, *common_misspellings(counts, terms))
+    lexicon = (terms, *common_misspellings(counts, terms, known or ()))
     seen = feature_rows(labelled(docs, labels), lexicon, ["toxic"]).collect()
     y = np.array([float(r["toxic"] > 0) for r in seen])
     if len(set(y)) < 2:

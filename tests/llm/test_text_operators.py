@@ -671,7 +671,7 @@ def test_four_letters_allow_an_edit_and_one_sighting_drops_nothing(spark):
     assert toxicity.Lexicon(["scum"]).match("scvm") == ("scum", 1)
     made = [("scvm idiott", 0), *[("the moran", 0)] * 3]
     rows = spark.createDataFrame([(toxicity.tokens(t), b) for t, b in made], "words array<string>, toxic int")
-    rigid, ordinary = toxicity.common_misspellings(toxicity.count_words(rows), dict.fromkeys(INSULTS, 4.0))
+    rigid, ordinary = toxicity.common_misspellings(toxicity.count_words(rows), dict.fromkeys(INSULTS, 4.0), INSULTS)
     assert rigid == [] and ordinary == ["moran"]
 
 
