@@ -533,7 +533,7 @@ def test_rollups_follow_changes_and_repeat_nothing(spark):
     want = [("a", "en", "v1", 1, 12), ("b", "en", "v1", 1, 3), ("c", "en", "v1", 1, 1)]
     assert totals() == want and store.committed() == ["one", "two", "three"]
     # A batch cut short before its commit file leaves the totals as they were.
-    change([("insert", 4, "d", "en", "v1", 9)]).select("doc_id", "source", "lang", "version", F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), F.lit(0).alias("part")).write.partitionBy("part").parquet(f"{store.path}/ledger/four")
+    change([("insert", 4, "d", "en", "v1", 9)]).select("doc_id", "source", "lang", "version", F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), F.lit(32).alias("of"), F.lit(0).alias("part")).write.partitionBy("of", "part").parquet(f"{store.path}/ledger/four")
     assert totals() == want
     assert store.commit("four", change([("insert", 4, "d", "en", "v1", 9)])) and ("d", "en", "v1", 1, 9) in totals()
 
@@ -563,10 +563,35 @@ def test_small_batches_read_their_buckets_and_folds_change_nothing(spark):
             want[k] = (want.get(k, (0, 0))[0] + 1, want.get(k, (0, 0))[1] + tokens)
         assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in store.totals().collect()} == want
     assert [b for b in store.committed() if b.startswith("fold-")] and len(store._live()) < 7
+    with pytest.raises(ValueError):
+        store.commit("fold-x", spark.createDataFrame([], schema))
     one = store._signed(spark.createDataFrame([("delete", 5, None, None, None, None)], schema))
     assert "part" in one._jdf.queryExecution().executedPlan().toString()  # a partition filter on the ledger's files
 
 
+def test_buckets_follow_the_size_and_folds_reclaim(spark, monkeypatch):
+    monkeypatch.setattr(rollups, "ROWS", 50)
+    store = rollups.Rollup(spark, fresh_dir(spark, "test-rollup"), parts=2, fold_after=2)
+    rows = spark.range(400).select(
+        F.lit("insert").alias("op"), F.when(F.col("id") < 100, F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.lit(None).cast("string").alias("lang"),
+        F.lit("v").alias("version"), F.lit(1).cast("long").alias("n_tokens"))
+    assert [store.width(n) for n in (0, 100, 101, 800)] == [2, 2, 4, 16]
+    store.commit("load", rows)
+    # Rows without an id and of one group are spread over the buckets.
+    parts = [r["n"] for r in store.ledger().where("doc_id IS NULL").groupBy("of", "part").agg(F.count("*").alias("n")).collect()]
+    assert store._widths() == [16] and len(parts) == 16 and max(parts) < 60
+    few = rows.where("doc_id < 3").withColumn("n_tokens", F.lit(5).cast("long")).withColumn("op", F.lit("revise"))
+    for n in range(6):
+        store.commit(f"b{n}", few)
+        assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(400, 412)]
+    assert store._widths()[-1] == 4
+    names = store.committed()
+    last = [b for b in names if b.startswith("fold-")]
+    gone = names[: names.index(last[-2])]
+    there = lambda b: store._fs(f"ledger/{b}")[0].exists(store._fs(f"ledger/{b}")[1])
+    assert len(last) > 1 and not any(map(there, gone)) and all(map(there, names[names.index(last[-2]) :]))
+
+
 def test_rollups_of_odd_rows(spark, odd):
     import base64
 
@@ -584,8 +609,7 @@ def test_rollups_of_odd_rows(spark, odd):
         text = r.text or ""
         if r.doc_id is not None and r.doc_id not in {least[x.text or ""] for x in rows if x.doc_id is not None}:
             continue
-        # A row without an id keeps its provisional count and gets the exact one beside it.
-        exact = [len(enc.encode_ordinary(text))] + ([-(-len(text.encode()) // 4)] if r.doc_id is None else [])
+        exact = [len(enc.encode_ordinary(text))]
         words = len(re.findall(r"[^\x20\x09-\x0D]+", text))
         for version, counts in (("byte_bpe_50k", exact), ("words", [words])):
             k = (r.source, r.lang, version)
