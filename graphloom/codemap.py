@@ -21,13 +21,14 @@ class CodeMap:
         return cls(*repository.scan(spark, root))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> CodeMap:
-        return cls(*published.load(spark, path))
+    def load(cls, spark: SparkSession, path: str, version: str | None = None) -> CodeMap:
+        """The map that is published now; it stays that one, whatever is published later."""
+        return cls(*published.load(spark, path, version))
 
     def publish(self, path: str) -> CodeMap:
-        """Write the map; the one returned reads what was written."""
-        published.publish(self.nodes, self.edges, path)
-        return CodeMap.load(self.nodes.sparkSession, path)
+        """Write the map and make it the one that readers find; the one returned reads what was written."""
+        version = published.publish(self.nodes, self.edges, path)
+        return CodeMap.load(self.nodes.sparkSession, path, version)
 
     @cached_property
     def significance(self) -> DataFrame:

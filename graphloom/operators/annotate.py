@@ -113,43 +113,101 @@ def content_hash(data: Column) -> Column:
 
 def fnv_hashes(rows: list[bytes]) -> np.ndarray:
     """FNV-1a of each row: all rows step together, byte by byte, the longest first, so
-    that those still going are the head of the arrays."""
+    that those still going are the head of the arrays. The few that are much longer than the
+    rest go on one by one."""
     size = np.array([len(r) for r in rows], np.int64)
     order = np.argsort(-size, kind="stable")
     data = np.frombuffer(b"".join(rows), np.uint8)
     first = (np.cumsum(size) - size)[order]
     hashes = np.full(len(rows), FNV_OFFSET, np.uint64)
-    alive = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")
+    # An array's step costs as much as some eight bytes of a plain loop.
+    together = int(np.sort(size)[-9]) if len(rows) > 8 else 0
+    alive = np.searchsorted(-size[order], -np.arange(together), side="left")
     for at, n in enumerate(alive.tolist()):
         hashes[:n] = (hashes[:n] ^ data[first[:n] + at]) * np.uint64(FNV_PRIME)
+    for i in range(int(np.searchsorted(-size[order], -together, side="left"))):
+        h = int(hashes[i])
+        for byte in rows[order[i]][together:]:
+            h = (h ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+        hashes[i] = h
     out = np.zeros(len(rows), np.uint64)
     out[order] = hashes
     return out
 
 
-def layer_inputs(nodes: DataFrame) -> DataFrame:
-    """(layer_id, digest, n_files): an order-free digest of each layer's member paths.
+def fnv_effect(data: bytes) -> np.ndarray:
+    """What FNV-1a makes of ``data`` from each of the 256 states of a lowest byte.
 
-    A layer may hold most files of a map, so members are not gathered: the sum
-    of their 64-bit hashes stands for the set and adds up in any order.
+    ``h ^ byte`` only changes the lowest byte, and how that goes on depends on itself alone.
+    So from any state ``h`` the hash is that from its lowest byte plus ``(h - lowest) * PRIME ** len``:
+    256 numbers and a length stand for a piece of a text, and pieces can be put together.
     """
-    members = nodes.where("kind = 'file'").groupBy(F.col("layer").alias("layer_id"))
-    return members.agg(F.sum(F.xxhash64("path").cast("decimal(38,0)")).alias("digest"), F.count("*").alias("n_files"))
+    h = np.arange(256, dtype=np.uint64)
+    prime = np.uint64(FNV_PRIME)
+    for byte in np.frombuffer(data, np.uint8).astype(np.uint64):
+        h = (h ^ byte) * prime
+    return h
 
 
-def flow_inputs(steps: DataFrame) -> DataFrame:
-    """(root, digest, n_steps): a digest of each flow's steps in their order.
+def fnv_after(h: int, effect: np.ndarray, length: int) -> int:
+    """The state after a piece that has ``effect``."""
+    low = h & 255
+    return (int(effect[low]) + (h - low) * pow(FNV_PRIME, length, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
+
 
-    A step's hash holds its place, so that the sum over steps adds up in any order.
+def joined_hash(rows: DataFrame, key: str, text: str, *order: str) -> DataFrame:
+    """(key, hash): the content hash of each key's texts in the given order, a line break between them.
+
+    Rows are range-sorted by key and order, so a key may span many tasks; each task makes one
+    effect for each of its keys, and a key's effects, a row a task, are put together in their order.
     """
-    placed = F.xxhash64("pos", "node_id").cast("decimal(38,0)")
-    return steps.groupBy("root").agg(F.sum(placed).alias("digest"), F.count("*").alias("n_steps"))
+    spark = rows.sparkSession
+    n = max(1, spark.sparkContext.defaultParallelism * 4)
+    given = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
+    by = ["key", *(f"_{i}" for i in range(len(order)))]
+    ranged = cut(given.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), "hash-ranges")
+
+    def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            for part, name, said in zip(batch["part"], batch["key"], batch["text"]):
+                if held and (part, name) != now:
+                    data = b"\n".join(held)
+                    yield pd.DataFrame({"key": [now[1]], "part": [now[0]], "length": [len(data)], "effect": [fnv_effect(data).tobytes()]})
+                    held = []
+                now = (part, name)
+                held.append(said.encode())
+        if held:
+            data = b"\n".join(held)
+            yield pd.DataFrame({"key": [now[1]], "part": [now[0]], "length": [len(data)], "effect": [fnv_effect(data).tobytes()]})
+
+    def together(pieces: pd.DataFrame) -> pd.DataFrame:
+        h, first = FNV_OFFSET, True
+        for length, effect in pieces.sort_values("part")[["length", "effect"]].itertuples(index=False):
+            h = h if first else (h ^ 10) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+            h, first = fnv_after(h, np.frombuffer(effect, np.uint64), int(length)), False
+        return pd.DataFrame({"key": pieces["key"].iloc[:1], "hash": [f"fnv1a64:{h:016x}"]})
+
+    # A part's rows come back in one or more files; sorting by part and order puts them in their places again.
+    placed = ranged.repartition(n, "part").sortWithinPartitions("part", *by)
+    made = placed.select("part", "key", "text").mapInPandas(effects, "key string, part int, length long, effect binary")
+    return made.groupBy("key").applyInPandas(together, "key string, hash string").withColumnRenamed("key", key)
+
+
+def layer_inputs(nodes: DataFrame) -> DataFrame:
+    """(layer_id, hash) of the sorted paths of each layer's files."""
+    files = nodes.where("kind = 'file' AND layer IS NOT NULL").select(F.col("layer").alias("layer_id"), "path")
+    return joined_hash(files, "layer_id", "path", "path")
+
+
+def flow_inputs(steps: DataFrame) -> DataFrame:
+    """(root, hash) of the node ids of each flow's steps in their order."""
+    return joined_hash(steps.select("root", "node_id", "pos"), "root", "node_id", "pos")
 
 
-def tour_inputs(stops: DataFrame, scored: DataFrame) -> DataFrame:
-    """(node_id, digest): what a stop's label says, its place and the file's degrees."""
-    seen = stops.select("node_id", "pos").join(scored.select("node_id", "path", "fan_in", "fan_out", "is_entry"), "node_id")
-    return seen.select("node_id", F.xxhash64("pos", "path", "fan_in", "fan_out", "is_entry").alias("digest"))
+def tour_inputs(tour: DataFrame) -> DataFrame:
+    """(node_id, hash) of the mechanical label of each stop."""
+    return tour.select("node_id", content_hash(F.col("label")).alias("hash"))
 
 
 def apply_answers(slot_rows: DataFrame, answers: DataFrame) -> DataFrame:

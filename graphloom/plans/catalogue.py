@@ -530,9 +530,9 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def reattach(spark, sf_dir):
     key = lambda c: F.concat(F.lit("d"), c).alias("key")
     docs = table(spark, sf_dir, "documents")
-    now = docs.select(key("doc_id"), F.sha2("text", 256).alias("hash"), F.col("source").alias("text"))
+    now = docs.select(key("doc_id"), annotate.content_hash(F.col("text")).alias("hash"), F.col("source").alias("text"))
     then = docs.join(table(spark, sf_dir, "labels"), "doc_id")
-    hashed = F.when(F.col("quality") == 1, F.sha2("text", 256)).otherwise(F.lit("stale"))
+    hashed = F.when(F.col("quality") == 1, annotate.content_hash(F.col("text"))).otherwise(F.lit("stale"))
     return annotate.reattach(now, then.select(key("doc_id"), hashed.alias("hash"), F.concat(F.lit("kept "), "doc_id").alias("text")))
 
 
@@ -544,11 +544,33 @@ def apply_answers(spark, sf_dir):
     return annotate.apply_answers(docs, said)
 
 
-@query()
+#: FNV-1a as a fold over bytes, in DuckDB: of column ``t``.
+_FNV = """'fnv1a64:' || lpad(lower(to_hex((list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(range(1, octet_length(encode(t)) + 1),
+ lambda j: ('0x' || substr(hex(encode(t)), 2 * j - 1, 2))::UBIGINT)),
+ lambda h, b: ((xor(h, b)::HUGEINT * 1099511628211) % 18446744073709551616::HUGEINT)::UBIGINT)))), 16, '0')"""
+
+
+@query(f"SELECT doc_id, {_FNV} AS content_hash FROM (SELECT doc_id, text AS t FROM documents)")
 def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", annotate.content_hash(F.col("text")).alias("content_hash"))
 
 
+@query(f"""WITH {T}, m AS (SELECT layer AS key, string_agg(path, chr(10) ORDER BY path) AS t FROM nodes WHERE kind = 'file' GROUP BY 1) SELECT key AS layer_id, {_FNV} AS hash FROM m""")
+def layer_hashes(spark, sf_dir):
+    return annotate.layer_inputs(_trade(spark, sf_dir)[0])
+
+
+@query(f"""WITH {T},{STEPS}, m AS (SELECT root AS key, string_agg(node_id, chr(10) ORDER BY pos) AS t FROM pos GROUP BY 1) SELECT key AS root, {_FNV} AS hash FROM m""")
+def flow_hashes(spark, sf_dir):
+    nodes, edges = _trade(spark, sf_dir)
+    return annotate.flow_inputs(semantics.flow_steps(nodes, edges))
+
+
+@query(f"""WITH {T},{SCORED},{TOUR}, m AS (SELECT node_id, label AS t FROM tour) SELECT node_id, {_FNV} AS hash FROM m""")
+def tour_hashes(spark, sf_dir):
+    return annotate.tour_inputs(semantics.tour(_scored(spark, sf_dir)))
+
+
 # --- redaction ----------------------------------------------------------------------
 
 _ENRICHED = """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom import model
+from graphloom.session import exists
 
 MAP = (
     "version string, project struct<name: string>, "
@@ -80,9 +81,32 @@ def write_map(
 SECTIONS = ("annotations", "layers", "layer_descriptions", "flows", "tour")
 
 
+def unknown_sections(spark: SparkSession, path: str) -> dict:
+    """Top-level sections of an existing store of our version that this module does not know.
+
+    A store is one JSON document of at most ``MOST`` texts, so it is read as one.
+    """
+    import json
+
+    if not exists(spark, path):
+        return {}
+    lines = spark.read.text(path, wholetext=True).head()
+    try:
+        document = json.loads(lines[0]) if lines else {}
+    except ValueError:
+        return {}
+    if not isinstance(document, dict) or document.get("version") != STORE_VERSION:
+        return {}
+    return {k: v for k, v in document.items() if k not in ("version", "produced_by", *SECTIONS)}
+
+
 def write_store(annotations: DataFrame, path: str, provider: str | None = None, date: str | None = None) -> None:
-    """The annotation store of (section, key, hash, text), keys sorted; the inverse of ``read_store``."""
+    """The annotation store of (section, key, hash, text), keys sorted; the inverse of ``read_store``.
+
+    What the store at ``path`` has beside the known sections, as a newer writer left it, is kept.
+    """
     spark = annotations.sparkSession
+    kept = unknown_sections(spark, path)
     if annotations.count() > MOST:
         raise ValueError(f"a store holds at most {MOST} texts")
     document: dict = {"version": STORE_VERSION} | ({"produced_by": {"provider": provider, "date": date}} if provider else {})
@@ -90,7 +114,7 @@ def write_store(annotations: DataFrame, path: str, provider: str | None = None,
     for r in annotations.where(F.col("section").isin(*SECTIONS)).orderBy("section", "key").toLocalIterator():
         names = ("content_hash", "summary") if r.section == "annotations" else ("inputs_hash", "text")
         document[r.section][r.key] = {names[0]: r["hash"], names[1]: r["text"]}
-    _create(spark, path, document)
+    _create(spark, path, document | kept)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

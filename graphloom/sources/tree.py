@@ -1,8 +1,9 @@
 """The files of a source tree, hidden ones included, ignored ones left out.
 
-Folders are listed level by level, each folder in a task: a level's rows carry
-the ignore rules of the folders above them. Files are then read by tasks of
-their own. Names and bytes come through Arrow's file systems, as Spark's own
+Folders are listed in rounds: a task lists a folder and what is below it until it has
+``QUOTA`` names, and leaves the folders that it has not entered, with the ignore rules above
+them, to a round in which they are dealt out anew. A small tree takes one round, a large one as
+many as its folders must be dealt. Files are then read by tasks of their own. Names and bytes come through Arrow's file systems, as Spark's own
 file sources never show names that begin with ``_`` or ``.``.
 
 Ignore rules are those of ``.gitignore`` and ``.ignore`` files at every level
@@ -21,6 +22,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.session import cut
 
@@ -28,8 +30,8 @@ from graphloom.session import cut
 PRUNED = ("node_modules", "target", ".git", ".graphloom")
 #: Files of ignore rules, later ones over earlier ones.
 RULE_FILES = (".gitignore", ".ignore")
-#: Files that a task reads at most, if there are enough tasks.
-READ = 200
+#: Names that a task lists in a round, and files that a task reads, at most but for one folder.
+QUOTA, READ = 20_000, 200
 
 
 def pattern_regex(pattern: str) -> str:
@@ -95,9 +97,9 @@ def walk(spark: SparkSession, root: str, pruned: tuple[str, ...] = PRUNED) -> Da
         store, base = fs.FileSystem.from_uri(root)
         local = isinstance(store, fs.LocalFileSystem)
         for batch in batches:
-            rows = []
-            for folder, said in zip(batch["path"], batch["rules"]):
-                rules = json.loads(said)
+            rows, todo = [], [(folder, json.loads(said)) for folder, said in zip(batch["path"], batch["rules"])]
+            while todo and len(rows) < QUOTA:
+                folder, rules = todo.pop()
                 try:
                     found = store.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{folder}".rstrip("/") or "/"))
                 except OSError:
@@ -106,11 +108,15 @@ def walk(spark: SparkSession, root: str, pruned: tuple[str, ...] = PRUNED) -> Da
                 for name in RULE_FILES:
                     if name in by_name and by_name[name].is_file:
                         with store.open_input_file(by_name[name].path) as file:
-                            rules += parse_rules(file.read().decode("utf-8", "replace"), folder)
+                            rules = rules + parse_rules(file.read().decode("utf-8", "replace"), folder)
                 for name, info in by_name.items():
                     path, is_dir = f"{folder}/{name}".lstrip("/"), info.type == fs.FileType.Directory
                     if (is_dir or info.is_file) and not (is_dir and name in pruned) and not ignored(path, is_dir, rules):
-                        rows.append((path, is_dir, json.dumps(rules) if is_dir else None))
+                        if is_dir:
+                            todo.append((path, rules))
+                        else:
+                            rows.append((path, False, None))
+            rows += [(path, True, json.dumps(rules)) for path, rules in todo]
             yield pd.DataFrame(rows, columns=["path", "is_dir", "rules"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,12 +134,13 @@ def walk(spark: SparkSession, root: str, pruned: tuple[str, ...] = PRUNED) -> Da
             yield pd.DataFrame(rows, columns=["path", "text"])
 
     tasks = 4 * spark.sparkContext.defaultParallelism
-    folders, found, n = spark.createDataFrame([("", "[]")], "path string, rules string"), [], 1
+    folders, found, n, files = spark.createDataFrame([("", "[]")], "path string, rules string"), [], 1, 0
     while n:
         seen = folders.repartition(min(n, tasks)).mapInPandas(list_folders, "path string, is_dir boolean, rules string")
         seen = cut(seen, "walk")
         found.append(seen.where("NOT is_dir").select("path"))
         folders = seen.where("is_dir").select("path", "rules")
-        n = folders.count()
+        counts = seen.agg(F.count_if("is_dir").alias("folders"), F.count("*").alias("all")).head()
+        n, files = counts["folders"], files + counts["all"] - counts["folders"]
     names = reduce(DataFrame.unionByName, found)
-    return names.repartition(max(1, -(-names.count() // READ))).mapInPandas(read, "path string, text string")
+    return names.repartition(max(1, -(-files // READ))).mapInPandas(read, "path string, text string")

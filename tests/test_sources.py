@@ -1,16 +1,18 @@
 """Files, streams and the public face."""
 
 import json
+import random
 import subprocess
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.codemap import CodeMap
 from graphloom.functions import text
 from graphloom.operators import layout, overlay
 from graphloom.operators import annotate
-from graphloom.sources import git, mapfile
+from graphloom.sources import git, mapfile, published
 from graphloom.streaming.changes import stream_overlays
 from test_operators import file, fn, make_edges, make_nodes
 
@@ -203,11 +205,77 @@ def test_a_whole_map_and_a_store_go_out_and_come_back(spark, tmp_path):
 
 def test_carry_over_from_a_store_holds_for_what_did_not_change(spark, tmp_path):
     steps = spark.createDataFrame([("r", "r", 0), ("r", "a", 1), ("r", "b", 2), ("q", "q", 0)], "root string, node_id string, pos int")
-    keyed = lambda df: annotate.flow_inputs(df).select(F.col("root").alias("key"), F.col("digest").cast("string").alias("hash"), F.lit("mechanical").alias("text"))
+    keyed = lambda df: annotate.flow_inputs(df).select(F.col("root").alias("key"), "hash", F.lit("mechanical").alias("text"))
     mapfile.write_store(keyed(steps).select(F.lit("flows").alias("section"), "key", "hash", F.lit("told").alias("text")), f"{tmp_path}/s.json")
     moved = spark.createDataFrame([("r", "r", 0), ("r", "b", 1), ("r", "a", 2), ("q", "q", 0)], "root string, node_id string, pos int")
     got = annotate.reattach(keyed(moved), mapfile.read_store(spark, f"{tmp_path}/s.json"))
     assert {r.key: r.text for r in got.collect()} == {"r": "mechanical", "q": "told"}
-    scored = spark.createDataFrame([("file:a", "a", 1, 2, True)], "node_id string, path string, fan_in long, fan_out long, is_entry boolean")
-    one = lambda pos: annotate.tour_inputs(spark.createDataFrame([("file:a", pos)], "node_id string, pos int"), scored).head().digest
-    assert one(0) != one(1)
+    one = lambda label: annotate.tour_inputs(spark.createDataFrame([("file:a", label)], "node_id string, label string")).head()["hash"]
+    assert one("a — fan-in 1") != one("a — fan-in 2") and one("foobar") == "fnv1a64:85944171f73967e8"
+
+
+def plain_fnv(data):
+    h = annotate.FNV_OFFSET
+    for byte in data:
+        h = (h ^ byte) * annotate.FNV_PRIME % 2**64
+    return f"fnv1a64:{h:016x}"
+
+
+def test_readers_find_whole_versions_and_keep_theirs(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/map"
+    made = lambda n: CodeMap(make_nodes(spark, [file(f"m{n}/f{k}.ts") for k in range(n)]), make_edges(spark, [(f"file:m{n}/f0.ts", f"file:m{n}/f{n - 1}.ts", "imports")]))
+    told = lambda m: (m.nodes.count(), [r.target for r in m.edges.collect()])
+    with pytest.raises(FileNotFoundError):
+        CodeMap.load(spark, path)
+    made(2).publish(path)
+    first = CodeMap.load(spark, path)
+    # A writer that dies before its rename leaves the map as it was, whatever it has written.
+    made(9).nodes.write.parquet(f"{path}/versions/dead/nodes")
+    assert told(CodeMap.load(spark, path)) == (2, ["file:m2/f1.ts"])
+    made(3).publish(path)
+    assert told(first) == (2, ["file:m2/f1.ts"]) and told(CodeMap.load(spark, path)) == (3, ["file:m3/f2.ts"])
+    # Readers beside writers see one version or another, never a part of two.
+    with ThreadPoolExecutor(4) as pool:
+        writers = [pool.submit(lambda n=n: made(n).publish(path)) for n in (4, 5, 6)]
+        seen = [told(CodeMap.load(spark, path)) for _ in range(6)]
+        [w.result() for w in writers]
+    assert all(target == [f"file:m{n}/f{n - 1}.ts"] for n, target in seen)
+    found = published.versions(spark, path)
+    assert [n for n, _, _ in found] == sorted({n for n, _, _ in found}) and len(found) == 5
+    assert published.reclaim(spark, path) == [] and len(published.reclaim(spark, path, 0)) == 4
+    assert [v for _, v, _ in published.versions(spark, path)] == [found[-1][1]] and told(CodeMap.load(spark, path))[0] in (4, 5, 6)
+    assert not (tmp_path / "map/versions" / found[0][1]).exists()
+
+
+def test_input_hashes_are_those_of_the_joined_texts(spark):
+    """Over keys that span many tasks, that share one, of one text and of empty ones."""
+    rng = random.Random(4)
+    rows = [(k, n, "".join(rng.choice("abcé/.漢") for _ in range(rng.randrange(30)))) for k, size in (("big", 900), ("b", 40), ("one", 1), ("é", 7)) for n in range(size)]
+    rng.shuffle(rows)
+    rows.append(("empty", 0, ""))
+    got = annotate.joined_hash(spark.createDataFrame(rows, "k string, n int, said string").repartition(7), "k", "said", "n")
+    want = {k: plain_fnv("\n".join(t for key, _, t in sorted(rows) if key == k).encode()) for k in {r[0] for r in rows}}
+    assert {r.k: r["hash"] for r in got.collect()} == want
+    data = bytes(rng.randrange(256) for _ in range(500))
+    for cut_at in (0, 1, 77, 500):
+        h = annotate.fnv_after(annotate.FNV_OFFSET, annotate.fnv_effect(data[:cut_at]), cut_at)
+        assert f"fnv1a64:{annotate.fnv_after(h, annotate.fnv_effect(data[cut_at:]), 500 - cut_at):016x}" == plain_fnv(data)
+    texts = [b"", b"x", *(bytes(rng.randrange(256) for _ in range(rng.randrange(60))) for _ in range(30)), data * 3]
+    assert [f"fnv1a64:{h:016x}" for h in annotate.fnv_hashes(texts).tolist()] == list(map(plain_fnv, texts))
+
+
+def test_a_store_keeps_what_a_newer_writer_left(spark, tmp_path):
+    path = tmp_path / "s.json"
+    path.write_text('{"version": 2, "annotations": {"old": {"content_hash": "h", "summary": "s"}}, "notes": {"a": [1, {"b": null}]}, "extra": 3}')
+    texts = spark.createDataFrame([("annotations", "k", "h1", "said")], "section string, key string, hash string, text string")
+    mapfile.write_store(texts, str(path))
+    held = json.loads(path.read_text())
+    assert held["notes"] == {"a": [1, {"b": None}]} and held["extra"] == 3 and list(held["annotations"]) == ["k"]
+    assert [r.key for r in mapfile.read_store(spark, str(path)).collect()] == ["k"]
+    for name, text in (("other", '{"version": 1, "notes": 1}'), ("broken", "not json"), ("list", "[1]"), ("empty", "")):
+        path = tmp_path / name
+        path.write_text(text)
+        mapfile.write_store(texts, str(path))
+        assert set(json.loads(path.read_text())) == {"version", *mapfile.SECTIONS}
