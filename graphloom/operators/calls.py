@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import edge, node_id
 from graphloom.operators.resolve import directory
+from graphloom.session import cut
 
 
 def shares_scope(path: Column) -> Column:
@@ -49,12 +50,15 @@ def offered_by_directory(exported: DataFrame) -> DataFrame:
     return first.select("dir", "name", F.col("f.def_path").alias("dir_path"), F.col("f.def_name").alias("dir_name"))
 
 
-def in_module(wanted: DataFrame, exported: DataFrame) -> DataFrame:
+def in_module(wanted: DataFrame, exported: DataFrame, scopes: bool = True) -> DataFrame:
     """``wanted`` (…, target, name) with the function that the module offers, if any.
 
     A target in a shared scope stands for its whole directory.
     """
     near = exported.select(F.col("path").alias("target"), "name", "def_path", "def_name")
+    if not scopes:
+        out = wanted.join(near, ["target", "name"])
+        return out.withColumn("found", F.struct(F.col("def_path").alias("path"), F.col("def_name").alias("name"))).drop("def_path", "def_name")
     wide = offered_by_directory(exported)
     out = wanted.join(near, ["target", "name"], "left").withColumn("dir", F.when(shares_scope(F.col("target")), directory(F.col("target"))))
     out = out.join(wide, ["dir", "name"], "left")
@@ -62,8 +66,10 @@ def in_module(wanted: DataFrame, exported: DataFrame) -> DataFrame:
     return out.withColumn("found", found).where("found.path IS NOT NULL").drop("dir", "def_path", "def_name", "dir_path", "dir_name")
 
 
-def resolve_calls(calls: DataFrame, functions: DataFrame, reexports: DataFrame, bindings: DataFrame, modules: DataFrame) -> DataFrame:
-    """Call edges between functions, each once.
+def resolve_calls(
+    calls: DataFrame, functions: DataFrame, reexports: DataFrame, bindings: DataFrame, modules: DataFrame, scopes: bool = True,
+) -> DataFrame:
+    """Call edges between functions, each once; without ``scopes`` no directory shares its functions.
 
     A qualified call goes through its module alone. A bare one goes to the same
     file, exported or not; then, in a shared scope, to the first sibling file
@@ -71,12 +77,12 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, reexports: DataFrame,
     """
     named = functions.select("path", "name").distinct()
     calls = calls.join(named.select("path", F.col("name").alias("caller")), ["path", "caller"], "left_semi").distinct()
-    exported = exported_names(functions, reexports)
+    exported = cut(exported_names(functions, reexports), "exported")  # several branches read it
 
     qualified = calls.where("receiver <> ''").join(
         modules.groupBy("path", F.col("local").alias("receiver")).agg(F.max_by("target", "ord").alias("target")), ["path", "receiver"]
     )
-    qualified = in_module(qualified.select("path", "caller", "target", F.col("callee").alias("name")), exported)
+    qualified = in_module(qualified.select("path", "caller", "target", F.col("callee").alias("name")), exported, scopes)
     qualified = qualified.select("path", "caller", F.col("found.path").alias("to_path"), F.col("found.name").alias("to_name"))
 
     bare = calls.where("receiver = ''").select("path", "caller", "callee")
@@ -84,13 +90,14 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, reexports: DataFrame,
     local = local.select("path", "caller", F.col("path").alias("to_path"), F.col("callee").alias("to_name"))
 
     rest = bare.join(named.select("path", F.col("name").alias("callee")), ["path", "callee"], "left_anti")
-    scoped = named.where(shares_scope(F.col("path"))).groupBy(directory(F.col("path")).alias("dir"), F.col("name").alias("callee")).agg(F.min("path").alias("to_path"))
-    placed = rest.withColumn("dir", F.when(shares_scope(F.col("path")), directory(F.col("path"))))
-    siblings = placed.join(scoped, ["dir", "callee"]).select("path", "caller", "to_path", F.col("callee").alias("to_name"))
-
-    unbound = placed.join(scoped, ["dir", "callee"], "left_anti").select("path", "caller", "callee")
+    unbound, siblings = rest, local.where("false")
+    if scopes:
+        scoped = named.where(shares_scope(F.col("path"))).groupBy(directory(F.col("path")).alias("dir"), F.col("name").alias("callee")).agg(F.min("path").alias("to_path"))
+        placed = rest.withColumn("dir", F.when(shares_scope(F.col("path")), directory(F.col("path"))))
+        siblings = placed.join(scoped, ["dir", "callee"]).select("path", "caller", "to_path", F.col("callee").alias("to_name"))
+        unbound = placed.join(scoped, ["dir", "callee"], "left_anti").select("path", "caller", "callee")
     tried = unbound.join(bindings.select("path", F.col("local").alias("callee"), F.col("imported").alias("name"), "target", "ord"), ["path", "callee"])
-    bound = in_module(tried, exported).groupBy("path", "caller", "callee").agg(F.max_by("found", "ord").alias("found"))
+    bound = in_module(tried, exported, scopes).groupBy("path", "caller", "callee").agg(F.max_by("found", "ord").alias("found"))
     bound = bound.select("path", "caller", F.col("found.path").alias("to_path"), F.col("found.name").alias("to_name"))
 
     all_calls = qualified.unionByName(local).unionByName(siblings).unionByName(bound)

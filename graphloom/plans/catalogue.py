@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import weight
-from graphloom.operators import annotate, calls, extract, graph, overlay, redact, regions, resolve, retrieval, semantics
+from graphloom.operators import annotate, calls, extract, graph, overlay, redact, regions, resolve, retrieval, semantics, trigrams
 from graphloom.session import cut, table
 from graphloom.sources import bindings, published, repository
 
@@ -406,6 +406,19 @@ def search(spark, sf_dir):
     return reduce(DataFrame.unionByName, found)
 
 
+#: Beside these, needles of one and two letters, some beyond ASCII, and a blank one.
+MORE_NEEDLES = (*NEEDLES, "q", " Z", "é", "ch", "ße", "…", "…x", "d1", ".md", "", " ", "en/src3/d7.md", "the of")
+
+
+@query(f"WITH {D}, n AS (SELECT DISTINCT lower(trim(unnest({list(MORE_NEEDLES)}))) AS needle) SELECT needle, node_id, name FROM docs, n WHERE needle <> '' AND ({_HIT})")
+def indexed_search(spark, sf_dir):
+    """A table of needles, answered by the trigram index."""
+    index = trigrams.build(bindings.documents(spark, sf_dir))
+    words = spark.createDataFrame([(n.strip().lower(),) for n in MORE_NEEDLES], "word string")
+    hits = trigrams.found(index, words).select("word", "number").distinct()
+    return hits.join(index.nodes, "number").select(F.col("word").alias("needle"), "node_id", "name")
+
+
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOPWORDS)
 
 
@@ -428,6 +441,19 @@ def context_slice(spark, sf_dir):
     return retrieval.context_slice(docs, QUESTION, cited.join(docs.select("name", "node_id"), "name"))
 
 
+@query(rf"""WITH {D}, q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})))) AS t FROM benchmark),
+f AS (SELECT node_id, lower(name) AS n, lower(path) AS p, lower({_CLAMPED}) AS s FROM docs),
+h AS (SELECT t, node_id, CASE WHEN contains(n, t) THEN 3 WHEN contains(p, t) THEN 2 WHEN contains(s, t) THEN 1 ELSE 0 END AS c FROM (SELECT DISTINCT t FROM q) JOIN f ON contains(n, t) OR contains(p, t) OR contains(s, t)),
+sc AS (SELECT item_id, node_id, sum(c) AS score FROM q JOIN h USING (t) GROUP BY 1, 2),
+every AS (SELECT b.item_id, d.node_id, coalesce(score, 0)::INT AS score FROM benchmark b CROSS JOIN docs d LEFT JOIN sc ON sc.item_id = b.item_id AND sc.node_id = d.node_id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, node_id))::INT AS rank FROM every)
+SELECT item_id, rank, node_id, score FROM r WHERE rank <= 40""")
+def question_slices(spark, sf_dir):
+    """The context slice of every row of ``benchmark`` at once."""
+    index = trigrams.build(bindings.documents(spark, sf_dir))
+    return trigrams.slices(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 _TURNS = """w AS (SELECT conv_id, turn, role, text AS question, lead(role) OVER c AS nr, lead(text) OVER c AS answer FROM conversations WINDOW c AS (PARTITION BY conv_id ORDER BY turn)),
 tn AS (SELECT conv_id, turn, question, answer FROM w WHERE role = 'user' AND nr = 'assistant')"""
 

@@ -124,6 +124,24 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return joined.withColumn("number", F.col("_before") + F.col("_rank") - 1).select(*rows.columns, "number")
 
 
+@contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """Run what is executed inside as it was planned, a query to a job.
+
+    Adaptive execution makes a job of each shuffle and plans again after it, which is most of the
+    time when tables have a few thousand rows and many joins. Only for tables counted to be small.
+    """
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(max(1, min(8, spark.sparkContext.defaultParallelism)))}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, through Hadoop's file system."""
     store, at = _file_system(spark, path)

@@ -9,6 +9,7 @@ and recovers from broken files; macros aren't expanded and types aren't followed
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from graphloom.model import edge, node_id, top_directory
 from graphloom.operators import calls as call_rules
 from graphloom.operators import extract, regions, resolve
-from graphloom.session import cut
+from graphloom.session import cut, planned_once
 from graphloom.sources.statements import KEYWORDS, statements
 from graphloom.sources.tree import walk
 
@@ -106,14 +107,19 @@ def go_locals(facts: DataFrame) -> DataFrame:
 _CALL = r"(?<![\w.~])(?<!::)(?<!->)(?<!\bnew )(?<!\bfunction )((?:\w+(?:\.|::|->))*\w+)%s\s*\("
 
 
-def calls(facts: DataFrame, declared: DataFrame) -> DataFrame:
+#: The languages that a tree may have. Functions that get those it has leave out what only others need.
+LANGUAGES = frozenset(LANGUAGE.values())
+
+
+def calls(facts: DataFrame, declared: DataFrame, langs: frozenset[str] = LANGUAGES) -> DataFrame:
     """(path, lang, caller, callee, receiver) of calls inside functions; the innermost one calls.
 
     In C++ a ``::`` names a namespace and not a module: the callee keeps its path, and a
     bare one means the nearest namespace around the caller in which its file defines it.
     """
-    found = F.when(F.col("lang") == "es", F.regexp_extract_all("text", F.lit(_CALL % r"(?:<[\w\s,.|\[\]]*>)?"), 1)).otherwise(
-        F.regexp_extract_all("text", F.lit(_CALL % ""), 1))
+    found = F.regexp_extract_all("text", F.lit(_CALL % ""), 1)
+    if "es" in langs:
+        found = F.when(F.col("lang") == "es", F.regexp_extract_all("text", F.lit(_CALL % r"(?:<[\w\s,.|\[\]]*>)?"), 1)).otherwise(found)
     rows = facts.where("function_seq IS NOT NULL AND coalesce(kind, 'function') = 'function'").select("path", "function_seq", "lang", F.explode(found).alias("callee_path"))
     rows = rows.withColumn("callee_path", F.replace("callee_path", F.lit("->"), F.lit(".")))
     # A value's method is no function of a module in Rust and C++; only paths are followed.
@@ -123,9 +129,11 @@ def calls(facts: DataFrame, declared: DataFrame) -> DataFrame:
     rows = rows.select("path", "function_seq", "lang", F.substring_index("callee_path", ".", -1).alias("callee"), receiver.alias("receiver"))
     rows = rows.where(~F.col("callee").isin(*sorted(KEYWORDS)) & (F.col("lang").isin("python", "rust") | (F.instr("receiver", ".") == 0)))
     rows = rows.withColumn("ident", F.when(F.col("receiver") != "", F.col("receiver")).otherwise(F.col("callee")))
-    held = rows.join(go_locals(facts), ["path", "function_seq", "ident"], "left_anti")
+    held = rows.join(go_locals(facts), ["path", "function_seq", "ident"], "left_anti") if "go" in langs else rows
     named = declared.where("kind = 'function'").select("path", F.col("seq").alias("function_seq"), F.col("name").alias("caller"))
     made = held.join(named, ["path", "function_seq"]).select("path", "lang", "caller", "callee", "receiver").distinct()
+    if "c" not in langs:
+        return made
     # Namespaces from the caller's own outwards, then none.
     space = F.split(F.regexp_extract("caller", r"^((?:\w+::)*)", 1), "::")
     depth = F.size(space) - 1
@@ -176,7 +184,7 @@ def expand_use(statement: str) -> list[tuple[str, str]]:
     return out
 
 
-def imports(files: DataFrame) -> DataFrame:
+def imports(files: DataFrame, langs: frozenset[str] = LANGUAGES) -> DataFrame:
     """(path, import_seq, specifier, local, imported, is_namespace): a row for each bound
     name, and one without a name for an import that binds none."""
     lang = language(F.col("path"))
@@ -223,7 +231,8 @@ def imports(files: DataFrame) -> DataFrame:
     as_name = rust.where("NOT is_mod").select("path", "import_seq", "full", "local", leaf.alias("imported"), F.lit(False).alias("is_namespace"))
     as_space = rust.select("path", "import_seq", "full", "local", F.lit(None).cast("string").alias("imported"), F.lit(True).alias("is_namespace"))
     rust = as_name.unionByName(as_space).select("path", "import_seq", F.col("full").alias("specifier"), "local", "imported", "is_namespace")
-    return es.unionByName(python).unionByName(go).unionByName(include).unionByName(rust)
+    parts = [part for name, part in (("es", es), ("python", python), ("go", go), ("c", include), ("rust", rust)) if name in langs]
+    return reduce(DataFrame.unionByName, parts) if parts else es.where("false")
 
 
 def reexports(files: DataFrame) -> DataFrame:
@@ -293,36 +302,41 @@ def rust_candidates(path: Column, specifier: Column, crate_src: Column) -> Colum
     return F.concat(modules, F.when(named, roots).otherwise(F.array().cast("array<string>")))
 
 
-def _candidates(path: Column, specifier: Column, go_module: Column, crate_src: Column) -> Column:
+def _candidates(path: Column, specifier: Column, go_module: Column, crate_src: Column, langs: frozenset[str]) -> Column:
     lang = language(path)
-    none = F.array().cast("array<string>")
     inner = F.when(specifier.rlike(r"^\.\.?/"), resolve.joined(resolve.directory(path), specifier)).when(
         F.startswith(specifier, F.concat(go_module, F.lit("/"))), F.substring(specifier, F.length(go_module) + 2, F.length(specifier)))
-    return F.coalesce(
-        F.when(lang == "es", resolve.es_candidates(path, specifier)).when(lang == "python", resolve.python_candidates(path, specifier))
-        .when(lang == "go", F.array(inner)).when(lang == "c", resolve.include_candidates(path, specifier))
-        .when(lang == "rust", rust_candidates(path, specifier, crate_src)), none)
+    rules = {
+        "es": resolve.es_candidates, "python": resolve.python_candidates, "go": lambda *_: F.array(inner), "c": resolve.include_candidates,
+        "rust": lambda p, x: rust_candidates(p, x, crate_src),
+    }
+    return F.coalesce(*(F.when(lang == name, rule(path, specifier)) for name, rule in rules.items() if name in langs), F.array().cast("array<string>"))
 
 
-def resolved(files: DataFrame, wanted: DataFrame) -> DataFrame:
+def resolved(files: DataFrame, wanted: DataFrame, langs: frozenset[str] = LANGUAGES) -> DataFrame:
     """(path, specifier, target) of distinct (path, specifier) pairs that resolve."""
     paths = files.select("path")
-    anchors = resolve.package_anchors(paths)
-    mods = files.where("path = 'go.mod'").select(F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("go_module"))
-    # One row at most: the module line of the root's go.mod.
     pairs = wanted.select("path", "specifier").distinct().withColumn("import_seq", F.xxhash64("path", "specifier"))
-    pairs = pairs.withColumn("one", F.lit(1)).join(F.broadcast(mods.limit(1).withColumn("one", F.lit(1))), "one", "left").drop("one")
-    # The crate of the tree that a Rust path may begin with.
-    first = F.when(language(F.col("path")) == "rust", F.regexp_extract("specifier", r"^(\w+)", 1))
-    pairs = pairs.withColumn("name", first)
-    asked = pairs.where(~F.col("name").isin("crate", "self", "super")).select("path", "name").distinct()
-    near = resolve.nearest(asked, crates(files)).select("path", "name", F.col("src_dir").alias("crate_src"))
-    pairs = pairs.join(near, ["path", "name"], "left")
-    targets = paths.unionByName(anchors.select(F.col("dir").alias("path")))
-    hit = resolve.first_match(pairs, _candidates(F.col("path"), F.col("specifier"), F.col("go_module"), F.col("crate_src")), targets)
-    hit = hit.join(anchors.select(F.col("dir").alias("target"), "anchor"), "target", "left").select("path", "import_seq", F.coalesce("anchor", "target").alias("target"))
-    legacy = pairs.where((language(F.col("path")) == "go") & F.col("go_module").isNull() & ~F.col("specifier").rlike(r"^\.\.?/"))
-    hit = hit.unionByName(resolve.only_package(legacy, anchors))
+    pairs = pairs.withColumn("go_module", F.lit(None).cast("string")).withColumn("crate_src", F.lit(None).cast("string"))
+    targets = paths
+    if "go" in langs:
+        mods = files.where("path = 'go.mod'").select(F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("go_module"))
+        # One row at most: the module line of the root's go.mod.
+        pairs = pairs.drop("go_module").withColumn("one", F.lit(1)).join(F.broadcast(mods.limit(1).withColumn("one", F.lit(1))), "one", "left").drop("one")
+        anchors = resolve.package_anchors(paths)
+        targets = paths.unionByName(anchors.select(F.col("dir").alias("path")))
+    if "rust" in langs:
+        # The crate of the tree that a path may begin with.
+        first = F.when(language(F.col("path")) == "rust", F.regexp_extract("specifier", r"^(\w+)", 1))
+        pairs = pairs.drop("crate_src").withColumn("name", first)
+        asked = pairs.where(~F.col("name").isin("crate", "self", "super")).select("path", "name").distinct()
+        near = resolve.nearest(asked, crates(files)).select("path", "name", F.col("src_dir").alias("crate_src"))
+        pairs = pairs.join(near, ["path", "name"], "left")
+    hit = resolve.first_match(pairs, _candidates(F.col("path"), F.col("specifier"), F.col("go_module"), F.col("crate_src"), langs), targets)
+    if "go" in langs:
+        hit = hit.join(anchors.select(F.col("dir").alias("target"), "anchor"), "target", "left").select("path", "import_seq", F.coalesce("anchor", "target").alias("target"))
+        legacy = pairs.where((language(F.col("path")) == "go") & F.col("go_module").isNull() & ~F.col("specifier").rlike(r"^\.\.?/"))
+        hit = hit.unionByName(resolve.only_package(legacy, anchors))
     return pairs.join(hit, ["path", "import_seq"]).select("path", "specifier", "target")
 
 
@@ -332,10 +346,25 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return graph_of(cut(walk(spark, root), "facts-files"))
 
 
+#: Rows of facts up to which a tree's names are resolved as planned, without adaptive stages.
+FEW = 200_000
+
+
 def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of ``files`` (path, text)."""
     # Facts are written once; five branches read them.
-    found_facts = cut(facts(files), "facts")
+    found = cut(facts(files), "facts")
+    rows = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    langs = frozenset(rows)
+    if sum(rows.values()) > FEW:
+        return _graph(files, found, langs)
+    with planned_once(files.sparkSession):
+        nodes, edges = _graph(files, found, langs)
+        return cut(nodes, "map-nodes"), cut(edges, "map-edges")
+
+
+def _graph(files: DataFrame, found_facts: DataFrame, langs: frozenset[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of files and their facts, of the given languages."""
     code = found_facts.where("kind = 'code'").select("path", "text")
     declared = cut(extract.symbol_ids(symbols(found_facts)), "facts-symbols")
     counts = declared.groupBy("path").agg(F.count_if(F.col("kind") == "function").alias("f"), F.count_if(F.col("kind") == "class").alias("c"))
@@ -351,20 +380,25 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.unionByName(declared.select(
         symbol_id.alias("node_id"), "kind", F.col("name"), "path", said.alias("summary"), F.lit(None).cast("string").alias("layer"), F.lit("structural").alias("provenance")))
 
-    stated, offered = cut(imports(code), "facts-imports"), reexports(code)
+    stated, offered = cut(imports(code, langs), "facts-imports"), reexports(code)
+    offered = offered if "es" in langs else offered.where("false")
     names = stated.where("imported IS NOT NULL AND NOT is_namespace")
     deep = F.concat(F.col("specifier"), F.when(F.col("specifier").endswith("."), "").otherwise("."), F.col("imported"))
     as_module = names.where(language(F.col("path")) == "python").select("path", "import_seq", "local", "imported", "specifier", deep.alias("module"))
-    made = cut(calls(found_facts, declared), "facts-calls")
+    made = cut(calls(found_facts, declared, langs), "facts-calls")
     # A Rust path before a call may name a module that no ``use`` binds.
     reached = made.where((language(F.col("path")) == "rust") & (F.col("receiver") != "")).select("path", "receiver").distinct()
     reached = reached.withColumn("specifier", F.replace("receiver", F.lit("."), F.lit("::")))
-    wanted = stated.select("path", "specifier").unionByName(reached.select("path", "specifier")).unionByName(as_module.select("path", F.col("module").alias("specifier"))).unionByName(
-        offered.where("has_specifier").select("path", "specifier"))
-    found = cut(resolved(files, wanted), "facts-resolved")
+    wanted = [stated.select("path", "specifier")]
+    wanted += [reached.select("path", "specifier")] if "rust" in langs else []
+    wanted += [as_module.select("path", F.col("module").alias("specifier"))] if "python" in langs else []
+    wanted += [offered.where("has_specifier").select("path", "specifier")] if "es" in langs else []
+    found = cut(resolved(files, reduce(DataFrame.unionByName, wanted), langs), "facts-resolved")
     module_of = found.select("path", F.col("specifier").alias("module"), F.col("target").alias("module_target"))
-    with_modules = names.join(as_module.select("path", "import_seq", "local", "imported", "module"), ["path", "import_seq", "local", "imported"], "left")
-    with_modules = with_modules.join(module_of, ["path", "module"], "left").join(found, ["path", "specifier"], "left")
+    with_modules = names.withColumn("module", F.lit(None).cast("string")).withColumn("module_target", F.lit(None).cast("string"))
+    if "python" in langs:
+        with_modules = names.withColumn("module", F.when(language(F.col("path")) == "python", deep)).join(module_of, ["path", "module"], "left")
+    with_modules = cut(with_modules.join(found, ["path", "specifier"], "left"), "facts-bound")
 
     order = lambda part: F.struct(F.col("import_seq"), F.lit(part).alias("part"))
     bindings = with_modules.select("path", "local", "imported", F.col("module_target").alias("target"), order(0).alias("ord")).unionByName(
@@ -372,26 +406,32 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     spaces = stated.where("is_namespace").join(found, ["path", "specifier"]).select("path", "local", "target", order(0).alias("ord"))
     modules = spaces.unionByName(with_modules.where("module_target IS NOT NULL").select("path", "local", F.col("module_target").alias("target"), order(1).alias("ord")))
 
-    unbound = reached.join(found, ["path", "specifier"])
-    modules = modules.unionByName(unbound.select("path", F.col("receiver").alias("local"), "target", F.struct(F.lit(-1).alias("import_seq"), F.lit(0).alias("part")).alias("ord")))
+    if "rust" in langs:
+        unbound = reached.join(found, ["path", "specifier"])
+        modules = modules.unionByName(unbound.select("path", F.col("receiver").alias("local"), "target", F.struct(F.lit(-1).alias("import_seq"), F.lit(0).alias("part")).alias("ord")))
 
     whole = stated.where("imported IS NULL OR is_namespace").join(found, ["path", "specifier"]).select("path", "target")
     by_name = with_modules.select("path", F.coalesce("module_target", "target").alias("target")).where("target IS NOT NULL")
     imported = whole.unionByName(by_name).where("path <> target").distinct()
     # Every bare callee that a file does not define is offered to each of its includes in C,
     # and to each of its dot imports in Go.
-    lang = language(F.col("path"))
-    included = stated.where((lang == "c") | ((lang == "go") & (F.col("local") == "."))).join(found, ["path", "specifier"])
-    loose = made.where(lang.isin("c", "go") & (F.col("receiver") == "")).select("path", "callee").distinct()
-    offers = included.join(loose, "path").select("path", F.col("callee").alias("local"), F.col("callee").alias("imported"), "target", order(0).alias("ord"))
-    bindings = bindings.unionByName(offers)
+    if langs & {"c", "go"}:
+        lang = language(F.col("path"))
+        included = stated.where((lang == "c") | ((lang == "go") & (F.col("local") == "."))).join(found, ["path", "specifier"])
+        loose = made.where(lang.isin("c", "go") & (F.col("receiver") == "")).select("path", "callee").distinct()
+        offers = included.join(loose, "path").select("path", F.col("callee").alias("local"), F.col("callee").alias("imported"), "target", order(0).alias("ord"))
+        bindings = bindings.unionByName(offers)
     functions = declared.where("kind = 'function'").select("path", "name", "exported")
-    offered = offered.join(found, ["path", "specifier"], "left").select("path", "seq", "exported", "local", "has_specifier", "target")
-    offered = offered.unionByName(prototypes(found_facts, files.select("path")))
-    # A local name in an export clause is exported by it.
-    listed = offered.where("NOT has_specifier").select("path", F.col("local").alias("name")).distinct().withColumn("listed", F.lit(True))
-    functions = functions.join(listed, ["path", "name"], "left").select("path", "name", (F.col("exported") | F.coalesce("listed", F.lit(False))).alias("exported"))
-    called = call_rules.resolve_calls(made, functions, offered, bindings, modules)
+    if "es" in langs:
+        offered = offered.join(found, ["path", "specifier"], "left").select("path", "seq", "exported", "local", "has_specifier", "target")
+        # A local name in an export clause is exported by it.
+        listed = offered.where("NOT has_specifier").select("path", F.col("local").alias("name")).distinct().withColumn("listed", F.lit(True))
+        functions = functions.join(listed, ["path", "name"], "left").select("path", "name", (F.col("exported") | F.coalesce("listed", F.lit(False))).alias("exported"))
+    else:
+        offered = files.sparkSession.createDataFrame([], "path string, seq long, exported string, local string, has_specifier boolean, target string")
+    if "c" in langs:
+        offered = offered.unionByName(prototypes(found_facts, files.select("path")))
+    called = call_rules.resolve_calls(made, functions, offered, bindings, modules, "go" in langs)
     file_id = node_id("file", F.col("path"))
     edges = (
         declared.select(*edge(file_id, symbol_id, "contains"))
