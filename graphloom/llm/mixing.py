@@ -7,9 +7,12 @@
    with windows over the table of sources. Sources are the rows of a table of
    weights: one task sorts them (with spilling), some ten million at most.
 2. Order. Each source's documents are put in a keyed random order (the MD5 of
-   the id; equal ids by size and the MD5 of the text). A source's running word count comes from two windows, one within
-   4,096 buckets of the order and one over the bucket totals, so that a source
-   with a third of all rows is spread over as many tasks as others.
+   the id and the text's MD5, so that rows of one id, or of none, are spread too). A source's
+   running word count comes from two windows, one within buckets of the order and
+   one over the bucket totals. There are 4,096 buckets a source, and 16 times as many for each
+   16 times as many rows, so that a bucket of a source that holds all rows has about ``ROWS``.
+   Only rows that repeat one id and text can fill a bucket: those of a key with more than ``HOT`` rows are one
+   row of their bucket's window and are numbered among themselves in ``SALTS`` parts.
 3. Amount. A source whose target is k and a fraction times its size is passed
    over k times and then up to the exact word where the target is met.
 4. Curriculum. A source's weight at time t in [0, 1] is ``a + (b - a) t``. Its
@@ -36,8 +39,8 @@ CAP = 3
 #: By weight: the weight schedule's value at the start and at the end.
 #: Each pair sums to 2, so that every schedule's integral over [0, 1] is 1.
 SCHEDULES = {1: (1.5, 0.5), 2: (1.0, 1.0), 3: (0.5, 1.5)}
-#: Hexadecimal digits of the order key that name a bucket.
-BUCKET_DIGITS = 3
+#: Least hexadecimal digits of the order key that name a bucket, rows that more digits aim at, and rows of a key that are dealt out.
+BUCKET_DIGITS, ROWS, HOT, SALTS = 3, 250_000, 1_000_000, 256
 
 
 def _schedule(weight: Column, end: int) -> Column:
@@ -94,6 +97,45 @@ def _position(at: Column) -> Column:
     return F.floor(F.col("linear") * t + F.col("square") / 2 * t * t).cast("long")
 
 
+def bucket_digits(rows: int) -> int:
+    """Digits of the key that part so many rows into buckets of about ``ROWS``, if one source has them all."""
+    digits = BUCKET_DIGITS
+    while 16**digits * ROWS < rows and digits < 8:
+        digits += 1
+    return digits
+
+
+def _running(sized: DataFrame, words: str = "size") -> DataFrame:
+    """``sized`` with ``_ahead``, the words before a row in its bucket."""
+    tie = [F.xxhash64("row")] if "row" in sized.columns else []
+    within = Window.partitionBy("_source", "_bucket").orderBy("_key", *tie).rowsBetween(Window.unboundedPreceding, -1)
+    return sized.withColumn("_ahead", F.coalesce(F.sum(words).over(within), F.lit(0)))
+
+
+def _running_around(sized: DataFrame, full: DataFrame) -> DataFrame:
+    """The same where some buckets (``full``, at most a row for each ``HOT`` rows) may hold a key of very many rows.
+
+    Such a key's rows have one size: together they are one row of their bucket's window, and the words before each
+    are those before its part, and its number within it, times that size.
+    """
+    of = ["_source", "_key"]
+    counted = sized.join(F.broadcast(full), ["_source", "_bucket"], "left_semi").groupBy("_source", "_bucket", "_key").agg(F.max("size").alias("size"), F.count("*").alias("_n"))
+    hot = cut(counted.where(F.col("_n") > HOT), "mix-hot")
+    names = F.broadcast(hot.select(*of))
+    group = hot.select(*of, "_bucket", "size", (F.col("size") * F.col("_n")).alias("_words"), F.lit(True).alias("_group"))
+    plain = sized.join(names, of, "left_anti").withColumn("_words", F.col("size")).withColumn("_group", F.lit(False))
+    run = _running(plain.unionByName(group, allowMissingColumns=True), "_words")
+    begun = run.where("_group").select(*of, F.col("_ahead").alias("_begin"))
+    dealt = cut(sized.join(names, of, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "mix-dealt")
+    parts = dealt.groupBy(*of, "_salt").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*of).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # over at most SALTS rows
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    number = F.row_number().over(Window.partitionBy(*of, "_salt").orderBy("size")) - 1
+    rows = dealt.withColumn("_number", number).join(F.broadcast(parts), [*of, "_salt"]).join(F.broadcast(begun), of)
+    rows = rows.withColumn("_ahead", F.col("_begin") + (F.col("_before") + F.col("_number")) * F.col("size"))
+    return run.where("NOT _group").select(*sized.columns, "_ahead").unionByName(rows.select(*sized.columns, "_ahead"))
+
+
 def mix(docs: DataFrame, text_col: str = "text", keep_rows: bool = False) -> DataFrame:
     """A row for each document: what the mix takes of it and when it is first due.
 
@@ -103,23 +145,23 @@ def mix(docs: DataFrame, text_col: str = "text", keep_rows: bool = False) -> Dat
     for each copy, null if there is none), and with ``keep_rows`` the input row
     as a struct ``row``.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), digest))
     sized = docs.select(
         "doc_id", "source", n_words(F.col(text_col)).alias("size"), key.alias("_key"),
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
-        F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), F.substring(key, 1, bucket_digits(docs.count())).alias("_bucket"),
         *([F.struct(*docs.columns).alias("row")] if keep_rows else []),
     )
     sized = sized if keep_rows else cut(sized, "mix-sizes")
-    buckets = sized.groupBy("source", "_source", "_bucket").agg(F.sum("size").alias("_bucket_size"))
+    buckets = sized.groupBy("source", "_source", "_bucket").agg(F.sum("size").alias("_bucket_size"), F.count("*").alias("_rows"))
     buckets = cut(buckets, "mix-buckets")
     sources = source_targets(buckets.groupBy("source").agg(F.sum("_bucket_size").alias("source_size")))
     sources = sources.withColumn("_of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("_start", F.coalesce(F.sum("_bucket_size").over(ahead), F.lit(0)))
-    starts = starts.join(sources, F.col("_source") == F.col("_of")).drop("source", "_of", "_bucket_size")
-    within = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    starts = starts.join(sources, F.col("_source") == F.col("_of")).drop("source", "_of", "_bucket_size", "_rows")
+    full = buckets.where(F.col("_rows") > HOT).select("_source", "_bucket")
+    placed = _running(sized) if full.isEmpty() else _running_around(sized, full)
     joined = placed.join(starts, ["_source", "_bucket"])
     joined = joined.withColumn("_at", F.col("_start") + F.col("_ahead"))
     full = F.coalesce(F.floor(F.col("whole") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
@@ -155,7 +197,7 @@ def query(docs: DataFrame) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k, md5(coalesce(text, '')) AS tie
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -177,7 +219,7 @@ plan AS (
   FROM tgt),
 placed AS (
   SELECT row_number() OVER () AS rid, doc_id, s.source, size, source_size, target, whole, a, b, linear, square,
-         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id, size, tie
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS beg
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
 -- Every pass over a source, laid end to end: what of the document lies before the target is taken.

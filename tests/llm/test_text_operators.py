@@ -861,6 +861,31 @@ def test_copies_of_a_document_lie_apart_and_ties_are_decided(spark):
     assert first == mixing.mixed(tied.repartition(5, "text")).collect() == mixing.mixed(tied.orderBy(F.desc("text"))).collect()
 
 
+@pytest.mark.parametrize("keep", [False, True])
+def test_rows_of_one_id_and_text_are_dealt_out(spark, monkeypatch, keep):
+    """Rows without an id, and many of one text: the mix is that of one window, whatever is dealt out."""
+    rows = [(None, "one two three", "a", n % 3) for n in range(700)] + [(None, f"w{n} x", "a", 0) for n in range(300)] + [(7, "seven", "b", 0)] * 400
+    rows += [(n, "some words here " * (n % 4), "bc"[n % 2], 0) for n in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(9)
+    shown = lambda plan: sorted(str([r[c] for c in ("doc_id", "source", "size", "taken", "copies", "position", "positions")]) for r in plan.collect())
+    want = shown(mixing.mix(docs, keep_rows=keep))
+    monkeypatch.setattr(mixing, "HOT", 100)
+    monkeypatch.setattr(mixing, "SALTS", 8)
+    assert shown(mixing.mix(docs, keep_rows=keep)) == want
+    # No window of the whole key: its rows come to each task in parts.
+    plan = mixing.mix(docs, keep_rows=keep)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+
+
+def test_many_rows_without_an_id_are_spread_over_buckets(spark):
+    assert [mixing.bucket_digits(n) for n in (0, 10**6, 10**9, 10**10, 3 * 10**11)] == [3, 3, 3, 4, 6]
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source"))
+    key = F.md5(F.concat(F.lit(":"), F.md5("text")))
+    most = docs.groupBy(F.substring(key, 1, 3).alias("b")).count().agg(F.max("count")).head()[0]
+    assert most < 70
+    assert mixing.mix(docs).agg(F.sum("taken")).head()[0] == 200_000
+
+
 def test_due_inverts_the_integral(spark):
     for a, b in mixing.SCHEDULES.values():
         for t in (0.0, 0.25, 0.9, 1.0):
