@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.model import weight
 from graphloom.operators import annotate, calls, extract, graph, overlay, redact, regions, resolve, retrieval, semantics, trigrams
 from graphloom.session import cut, table
-from graphloom.sources import bindings, published, repository
+from graphloom.sources import bindings, published, repository, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -815,3 +815,23 @@ UNION ALL SELECT 'calls', 'function:' || path || ':' || name, 'function:' || pat
 def source_edges(spark, sf_dir):
     """The map of those files: each ``f`` calls its file's ``h``."""
     return repository.graph_of(_source_files(spark, sf_dir))[1].select("kind", "source", "target")
+
+
+def _source_literals() -> str:
+    """The one comment or string of each file, from its first to its last sign."""
+    parts = []
+    for i, ((extension, before, after, *_), (opening, closing)) in enumerate(zip(_SOURCES, (('"""', '"""'), ("`", "`"), ("`", "`"), ("/*", "*/"), ("/*", "*/")))):
+        begin = before.index(opening)
+        end = after.rindex(closing) + len(closing) if extension == "rs" else after.index(closing) + len(closing)
+        said = lambda s: "replace('" + s.replace("'", "''") + "', '#', doc_id::VARCHAR)"
+        start = f"length({said(before[:begin])})"
+        length = f"length({said(before[begin:])}) + length(text) + length({said(after[:end])})"
+        parts.append(f"SELECT 'src/d' || doc_id || '/m.{extension}' AS path, {start} AS start, {start} + {length} AS \"end\", "
+                     f"'{'comment' if opening == '/*' else 'string'}' AS class FROM d WHERE doc_id % {len(_SOURCES)} = {i}")
+    return "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), lit AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query(f'WITH {_source_literals()} SELECT path, start::INT AS start, "end"::INT AS "end", class FROM lit')
+def source_literals(spark, sf_dir):
+    """The comments and strings among the tokens of those files."""
+    return tokens.token_rows(_source_files(spark, sf_dir)).where("class IN ('comment', 'string')")

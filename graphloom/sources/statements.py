@@ -66,12 +66,18 @@ def _fields(text: str) -> str:
     return '"' + code.replace("\n", " ") + '"'
 
 
-def blanked(text: str, lang: str) -> tuple[str, str]:
+def blanked(text: str, lang: str, marks: list[tuple[int, int, str]] | None = None) -> tuple[str, str]:
     """(code without comments and with empty strings, each on one line; code without
-    comments and strings of several lines, with its lines as they are). Both are as long as ``text``."""
+    comments and strings of several lines, with its lines as they are). Both are as long as ``text``.
+    ``marks`` gets (start, end, class) of each comment, string, directive and attribute."""
     start = _STARTS[lang]
     bare, code = [], []
     at, open_braces = 0, []  # of the template strings that are open: braces within their code
+    kind = ""
+
+    def mark(end: int, name: str) -> None:
+        if marks is not None and end > at:
+            marks.append((at, end, name))
 
     def keep(end: int) -> None:
         nonlocal at
@@ -82,6 +88,7 @@ def blanked(text: str, lang: str) -> tuple[str, str]:
     def drop(end: int) -> None:
         """A comment goes."""
         nonlocal at
+        mark(end, "attribute" if kind == "attribute" else "comment")
         bare.append(_empty(text[at:end]))
         code.append(bare[-1])
         at = end
@@ -89,6 +96,7 @@ def blanked(text: str, lang: str) -> tuple[str, str]:
     def string(end: int, said: str | None = None) -> None:
         """A string is emptied, but for code in it; the second result keeps one that is on one line."""
         nonlocal at
+        mark(end, "string")
         bare.append(_string(end - at) if said is None else said)
         code.append(_empty(text[at:end]) if "\n" in text[at:end] or lang == "rust" else text[at:end])
         at = end
@@ -163,6 +171,7 @@ def blanked(text: str, lang: str) -> tuple[str, str]:
         elif kind == "char":
             string(m.end())
         elif kind == "directive":
+            mark(m.end(), "keyword")
             bare.append(_empty(m[0]))
             code.append(m[0])
             at = m.end()
