@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.operators import graph, overlay, regions, retrieval, semantics
-from graphloom.sources import published, repository
+from graphloom.functions import text
+from graphloom.operators import graph, overlay, regions, retrieval, semantics, trigrams
+from graphloom.sources import mapfile, published, repository
 
 
 class CodeMap:
@@ -52,8 +54,10 @@ class CodeMap:
     def blast_radius(self, changed: DataFrame) -> DataFrame:
         return overlay.overlay(self.nodes, self.edges, changed)
 
-    def regions(self) -> DataFrame:
-        return regions.structural_regions(self.nodes, self.edges, self.layers)
+    def regions(self, grouping: str = "structural") -> DataFrame:
+        """Regions by directory, or by ``domain``."""
+        steps = self.flow_steps if grouping == "domain" else self.nodes
+        return regions.regions_of(self.nodes, self.edges, self.layers, steps, grouping)
 
     def region_links(self) -> DataFrame:
         return regions.region_links(self.nodes, self.edges, regions.file_regions(self.nodes))
@@ -67,6 +71,17 @@ class CodeMap:
     def context(self, question: str, cited: DataFrame | None = None) -> DataFrame:
         return retrieval.context_slice(self.nodes, question, cited)
 
+    def index(self, path: str | None = None) -> trigrams.Index:
+        """An index for searches, and for the slices and answers of many questions."""
+        return trigrams.build(self.nodes, path)
+
+    def export(self, folder: str, project: str) -> str:
+        """Write the map as one JSON document below ``folder``, named after the project; its path."""
+        spark = self.nodes.sparkSession
+        name = spark.range(1).select(text.slug(F.lit(project)).alias("name")).head()["name"]
+        mapfile.write_map(self.nodes, self.edges, self.layers, f"{folder}/{name}-map.json", project)
+        return f"{folder}/{name}-map.json"
+
     def register_views(self) -> None:
         """``nodes``, ``edges``, ``layers``, ``significance`` and ``flows`` for SQL."""
         for name in ("nodes", "edges", "layers", "significance", "flows"):

@@ -30,6 +30,22 @@ def caption(summary: Column) -> Column:
     return F.nullif(summary, F.lit(""))
 
 
+def counted(n: Column, noun: str) -> Column:
+    """A number and what it counts: 1 file, 2 files."""
+    return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))
+
+
+def subject(n: Column, noun: str, singular: str, plural: str) -> Column:
+    """A counted subject with the verb that goes with it."""
+    return F.concat(counted(n, noun), F.lit(" "), F.when(n == 1, singular).otherwise(plural))
+
+
+def enrichment_hint(provenance: Column) -> Column:
+    """What a reader of a summary that no provider wrote is told; null for one that a provider wrote."""
+    told = "This is read off the structure. Fill the map's open slots for a written explanation of what it does."
+    return F.when(provenance.eqNullSafe(F.lit("llm")), F.lit(None).cast("string")).otherwise(told)
+
+
 def escaped(text: Column) -> Column:
     """HTML text with its five special characters escaped."""
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import files, relating
-from graphloom.session import cut, numbered
+from graphloom.session import Levels, cut, numbered
 
 DRAWN = 40
 
@@ -115,21 +113,31 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> D
     return spark.createDataFrame(list(enumerate(reversed(way))), "pos int, node_id string")
 
 
+def path_steps(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
+    """(pos, node_id, name, path) of ``shortest_path`` between two picked nodes."""
+    way = cut(shortest_path(nodes, edges, start, end), "path")  # as many rows as the path has nodes
+    return nodes.select("node_id", "name", "path").join(F.broadcast(way), "node_id").select("pos", "node_id", "name", "path")
+
+
+def highlighted(nodes: DataFrame, way: DataFrame) -> DataFrame:
+    """``nodes`` with ``on_path``: whether each is on a path (node_id); on none if there is no path."""
+    marked = way.select("node_id").distinct().withColumn("_on", F.lit(True))
+    return nodes.join(marked, "node_id", "left").withColumn("on_path", F.coalesce("_on", F.lit(False))).drop("_on")
+
+
 def distances(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node_id, depth): least number of undirected edges from the nearest start node."""
     around = cut(edges.select(F.inline(F.array(
         F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b"))
     ))).distinct(), "adjacency")
-    levels = [cut(start.select("node_id").distinct().withColumn("depth", F.lit(0)), "bfs")]
-    while True:
-        front = levels[-1]
+    levels = Levels(edges.sparkSession, "bfs", "node_id string")
+    before, front = None, levels.append(start.select("node_id").distinct())
+    while not front.isEmpty():
         # What is reached again is on the frontier or on the level before it.
-        near = reduce(DataFrame.unionByName, levels[-2:]).select("node_id")
+        near = front if before is None else front.unionByName(before)
         reach = front.join(around, front["node_id"] == around["a"]).select(F.col("b").alias("node_id")).distinct()
-        fresh = cut(reach.join(near, "node_id", "left_anti").withColumn("depth", F.lit(len(levels))), "bfs")
-        if fresh.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(fresh)
+        before, front = front, levels.append(reach.join(near, "node_id", "left_anti"))
+    return levels.all().select("node_id", F.col("level").alias("depth"))
 
 
 def dependency_depth(links: DataFrame) -> DataFrame:
@@ -143,16 +151,16 @@ def dependency_depth(links: DataFrame) -> DataFrame:
     links = cut(links.select("source", "target").distinct(), "links")
     due = cut(links.groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("due")), "links-due")
     heads = links.select(F.col("source").alias("node_id")).distinct().join(due, "node_id", "left_anti")
-    levels, waiting = [cut(heads.withColumn("depth", F.lit(0)), "depth")], None
-    while not levels[-1].isEmpty():
-        front = levels[-1]
+    levels, waiting = Levels(links.sparkSession, "depth", f"node_id {links.schema['source'].dataType.simpleString()}"), None
+    front = levels.append(heads)
+    while not front.isEmpty():
         came = front.join(links, front["node_id"] == links["source"]).groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("n"))
         if waiting is not None:
             came = came.unionByName(waiting).groupBy("node_id").agg(F.sum("n").alias("n"))
         here = cut(came.join(due, "node_id"), "depth-came")
-        levels.append(here.where("n = due").select("node_id", F.lit(len(levels)).alias("depth")))
+        front = levels.append(here.where("n = due").select("node_id"))
         waiting = here.where("n < due").select("node_id", "n")
-    depth = reduce(DataFrame.unionByName, levels)
+    depth = levels.all().select("node_id", F.col("level").alias("depth"))
     if depth.count() < links.select(F.explode(F.array("source", "target"))).distinct().count():
         raise ValueError("the links hold a cycle; cut its back links first")
     return depth

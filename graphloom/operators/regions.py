@@ -102,6 +102,13 @@ def domain_regions(nodes: DataFrame, edges: DataFrame, steps: DataFrame) -> Data
     return _described(sizes, region_weight(edges, node_regions(nodes, owners)))
 
 
+def regions_of(nodes: DataFrame, edges: DataFrame, layers: DataFrame, steps: DataFrame, grouping: str = "structural") -> DataFrame:
+    """The regions of a map by its directories or by its domains (``steps`` of flows)."""
+    if grouping not in ("structural", "domain"):
+        raise ValueError(f"regions are structural or domain, not {grouping}")
+    return structural_regions(nodes, edges, layers) if grouping == "structural" else domain_regions(nodes, edges, steps)
+
+
 def region_links(nodes: DataFrame, edges: DataFrame, regions: DataFrame) -> DataFrame:
     """(source, target, n, label): relating edges between two regions."""
     member = node_regions(nodes, regions)

@@ -85,6 +85,19 @@ def clamped_turns(talk: DataFrame, most: int = TURNS) -> DataFrame:
     return kept.select("conv_id", "turn", clamp(F.col("question"), QUESTION).alias("question"), clamp(F.col("answer"), ANSWER).alias("answer"), *cited)
 
 
+def carried(messages: DataFrame, most: int = TURNS) -> DataFrame:
+    """(conv_id, turns, in_flight): what a conversation sends along with its next question.
+
+    ``turns`` are the newest completed exchanges, clamped, the oldest of them first; a user
+    message that is the last one and has no answer is in flight, and no other is sent before it has.
+    """
+    done = clamped_turns(turns(messages), most).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("turns"))
+    last = messages.groupBy("conv_id").agg(F.max_by("role", "turn").alias("_role"))
+    none = F.array().cast("array<struct<turn:" + messages.schema["turn"].dataType.simpleString() + ",question:string,answer:string>>")
+    joined = last.join(done, "conv_id", "left")
+    return joined.select("conv_id", F.coalesce("turns", none).alias("turns"), (F.col("_role") == "user").alias("in_flight"))
+
+
 def validated(questions: DataFrame) -> DataFrame:
     """(item_id, status): blank and over-long questions are refused."""
     text = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r\x0b\f"))

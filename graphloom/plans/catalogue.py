@@ -121,7 +121,7 @@ def domain_flows(spark, sf_dir):
 
 _SUPPLY = """calls AS (SELECT DISTINCT 'customer:' || o_custkey AS source, 'order:' || o_orderkey AS target FROM orders
  UNION SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem
- UNION SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem WHERE l_linenumber = 1)"""
+ UNION SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem)"""
 
 
 @query(f"""WITH RECURSIVE {_SUPPLY}, root AS (SELECT DISTINCT source AS root FROM calls WHERE source LIKE 'customer:%'),
@@ -454,6 +454,18 @@ def question_slices(spark, sf_dir):
     return trigrams.slices(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+@query("""WITH w AS (SELECT conv_id, turn, role, text AS question, lead(role) OVER c AS nr, lead(text) OVER c AS answer FROM conversations WINDOW c AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM w WHERE role = 'user' AND nr = 'assistant'),
+d AS (SELECT conv_id, string_agg(turn || ':' || length(CASE WHEN length(question) > 1000 THEN substr(question, 1, 1000) || '…' ELSE question END) || ':' || length(CASE WHEN length(answer) > 2000 THEN substr(answer, 1, 2000) || '…' ELSE answer END), ',' ORDER BY turn) AS turns FROM t WHERE k <= 6 GROUP BY 1),
+l AS (SELECT conv_id, arg_max(role, turn) = 'user' AS in_flight FROM conversations GROUP BY 1)
+SELECT conv_id, coalesce(turns, '') AS turns, in_flight FROM l LEFT JOIN d USING (conv_id)""")
+def turn_carry(spark, sf_dir):
+    """The newest exchanges of each conversation as turn, length of question and of answer."""
+    told = retrieval.carried(table(spark, sf_dir, "conversations"))
+    shown = F.transform("turns", lambda t: F.concat_ws(":", t["turn"].cast("string"), F.length(t["question"]).cast("string"), F.length(t["answer"]).cast("string")))
+    return told.select("conv_id", F.array_join(shown, ",").alias("turns"), "in_flight")
+
+
 _TURNS = """w AS (SELECT conv_id, turn, role, text AS question, lead(role) OVER c AS nr, lead(text) OVER c AS answer FROM conversations WINDOW c AS (PARTITION BY conv_id ORDER BY turn)),
 tn AS (SELECT conv_id, turn, question, answer FROM w WHERE role = 'user' AND nr = 'assistant')"""
 

@@ -107,6 +107,27 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Levels:
+    """Rounds of a search, each written to a folder of its own below one that is read as a whole.
+
+    However many rounds there are, reading them all is one scan, whose partition column is ``level``.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, schema: str):
+        self.spark, self.schema, self.path, self.n = spark, schema, fresh_dir(spark, label), 0
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Write the next round; its rows as they can be read again."""
+        at = f"{self.path}/level={self.n}"
+        rows.write.parquet(at)
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds, with ``level``."""
+        return self.spark.read.schema(f"{self.schema}, level int").parquet(self.path)
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``number``, from 0 in the given order, which must leave no ties.
 

@@ -113,7 +113,7 @@ def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select(name("customer", "o_custkey").alias("source"), name("order", "o_orderkey").alias("target"))
     parts = lines.select(name("order", "l_orderkey").alias("source"), name("part", "l_partkey").alias("target"))
-    suppliers = lines.where("l_linenumber = 1").select(name("part", "l_partkey").alias("source"), name("supplier", "l_suppkey").alias("target"))
+    suppliers = lines.select(name("part", "l_partkey").alias("source"), name("supplier", "l_suppkey").alias("target"))
     return orders.unionByName(parts).unionByName(suppliers).distinct()
 
 

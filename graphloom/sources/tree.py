@@ -18,13 +18,12 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.session import Levels
 
 #: Directories that are never entered, and that of our own output.
 PRUNED = ("node_modules", "target", ".git", ".graphloom")
@@ -134,13 +133,12 @@ def walk(spark: SparkSession, root: str, pruned: tuple[str, ...] = PRUNED) -> Da
             yield pd.DataFrame(rows, columns=["path", "text"])
 
     tasks = 4 * spark.sparkContext.defaultParallelism
-    folders, found, n, files = spark.createDataFrame([("", "[]")], "path string, rules string"), [], 1, 0
+    folders, n, files = spark.createDataFrame([("", "[]")], "path string, rules string"), 1, 0
+    rounds = Levels(spark, "walk", "path string, is_dir boolean, rules string")
     while n:
-        seen = folders.repartition(min(n, tasks)).mapInPandas(list_folders, "path string, is_dir boolean, rules string")
-        seen = cut(seen, "walk")
-        found.append(seen.where("NOT is_dir").select("path"))
+        seen = rounds.append(folders.repartition(min(n, tasks)).mapInPandas(list_folders, rounds.schema))
         folders = seen.where("is_dir").select("path", "rules")
         counts = seen.agg(F.count_if("is_dir").alias("folders"), F.count("*").alias("all")).head()
         n, files = counts["folders"], files + counts["all"] - counts["folders"]
-    names = reduce(DataFrame.unionByName, found)
+    names = rounds.all().where("NOT is_dir").select("path")
     return names.repartition(max(1, -(-files // READ))).mapInPandas(read, "path string, text string")

@@ -160,3 +160,31 @@ def test_numbers_and_dates(spark):
     days = spark.createDataFrame([(0, 1234567), (11016, 999), (-1, 0), (19782, -1000)], "d int, n long")
     got = [tuple(r) for r in days.select(text.civil_date(F.col("d")), text.thousands(F.col("n"))).collect()]
     assert got == [("1970-01-01", "1,234,567"), ("2000-02-29", "999"), ("1969-12-31", "0"), ("2024-02-29", "-1,000")]
+
+
+def test_small_views(spark, tmp_path):
+    from graphloom.codemap import CodeMap
+    from graphloom.functions import text
+    from graphloom.operators import graph, retrieval
+    from test_sources import sample
+
+    made = sample(spark)
+    assert {r.region for r in made.regions().collect()} == {"root", "lib"} and made.regions("domain").count() >= 1
+    with pytest.raises(ValueError):
+        made.regions("other")
+    edges = made.edges.withColumn("edge_seq", F.monotonically_increasing_id())
+    way = graph.path_steps(made.nodes, edges, "file:app.ts", "file:lib/util.ts")
+    assert [(r.pos, r.node_id, r.path) for r in way.orderBy("pos").collect()] == [(0, "file:app.ts", "app.ts"), (1, "file:lib/util.ts", "lib/util.ts")]
+    assert {r.node_id for r in graph.highlighted(made.nodes, way).where("on_path").collect()} == {"file:app.ts", "file:lib/util.ts"}
+    none = graph.path_steps(made.nodes, edges, "file:app.ts", "file:gone")
+    assert none.count() == 0 and graph.highlighted(made.nodes, none).where("on_path").count() == 0
+    at = made.export(str(tmp_path), "  My projéct / x ")
+    assert at.endswith("/My-proj-ct-x-map.json") and json.loads(open(at).read())["project"]["name"] == "  My projéct / x "
+    said = spark.range(3).select(text.counted(F.col("id"), "file").alias("c"), text.subject(F.col("id"), "region", "leans", "lean").alias("s")).collect()
+    assert [tuple(r) for r in said] == [("0 files", "0 regions lean"), ("1 file", "1 region leans"), ("2 files", "2 regions lean")]
+    hints = spark.createDataFrame([("llm",), ("structural",), (None,)], "p string").select(text.enrichment_hint(F.col("p")).alias("h")).collect()
+    assert [r.h is None for r in hints] == [True, False, False]
+    rows = [("a", n, "user" if n % 2 == 0 else "assistant", f"t{n}") for n in range(17)] + [("b", 0, "user", "q"), ("c", 0, "assistant", "x")]
+    told = {r.conv_id: r for r in retrieval.carried(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    assert [t.turn for t in told["a"].turns] == [4, 6, 8, 10, 12, 14] and told["a"].in_flight
+    assert told["b"].turns == [] and told["b"].in_flight and not told["c"].in_flight
