@@ -385,6 +385,41 @@ def shortest_path(spark, sf_dir):
     return graph.shortest_path(nodes, edges, f"order:{ends['a']}", f"order:{ends['b']}")
 
 
+_MOST_LEVELS = 8
+_BOUGHT = """e AS (SELECT 'customer:' || o_custkey AS source, 'order:' || o_orderkey AS target, o_orderkey AS seq FROM orders
+ UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey, 1000000000000 + l_orderkey * 1000000 + l_partkey FROM lineitem),
+adj AS (SELECT source AS a, target AS b, seq FROM e UNION ALL SELECT target, source, seq FROM e),
+ends AS (SELECT 'customer:' || min(o_custkey) AS a, 'customer:' || max(o_custkey) AS b FROM orders)"""
+
+
+def _levels_sql() -> str:
+    """Breadth-first levels of ``adj`` from one end: each node with the parent that found it first, and its place."""
+    parts = ["v0 AS (SELECT a AS node, NULL::VARCHAR AS parent, 0::BIGINT AS ord FROM ends)"]
+    for k in range(1, _MOST_LEVELS + 1):
+        seen = f"SELECT node FROM v{k - 1}" + (f" UNION ALL SELECT node FROM v{k - 2}" if k > 1 else "")
+        parts.append(f"""v{k} AS (SELECT node, parent, row_number() OVER (ORDER BY o, seq, parent, node) - 1 AS ord FROM (
+ SELECT b AS node, a AS parent, ord AS o, seq FROM v{k - 1} JOIN adj ON adj.a = v{k - 1}.node WHERE b NOT IN ({seen})
+ QUALIFY row_number() OVER (PARTITION BY b ORDER BY ord, seq, a) = 1))""")
+    ways = []
+    for k in range(1, _MOST_LEVELS + 1):
+        joined = f"v{k} x{k} " + " ".join(f"JOIN v{j} x{j} ON x{j}.node = x{j + 1}.parent" for j in reversed(range(k)))
+        ways.append(f"SELECT [{', '.join(f'x{j}.node' for j in range(k + 1))}] AS way FROM {joined} WHERE x{k}.node = (SELECT b FROM ends)")
+    return ", ".join(parts) + ", w AS (" + " UNION ALL ".join(ways) + ")"
+
+
+@query(f"WITH {_BOUGHT}, {_levels_sql()} SELECT (unnest(range(len(way))))::INT AS pos, unnest(way) AS node_id FROM w")
+def tied_path(spark, sf_dir):
+    """From the first customer to the last over orders and parts they share, where many ways are of one length."""
+    name = lambda kind, key: F.concat(F.lit(f"{kind}:"), key)
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    bought = orders.select(name("customer", "o_custkey").alias("source"), name("order", "o_orderkey").alias("target"), F.col("o_orderkey").alias("edge_seq"))
+    parts = lines.select(name("order", "l_orderkey").alias("source"), name("part", "l_partkey").alias("target"), (F.lit(10**12) + F.col("l_orderkey") * 10**6 + F.col("l_partkey")).alias("edge_seq"))
+    edges = bought.unionByName(parts)
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    ends = orders.agg(F.min("o_custkey").alias("a"), F.max("o_custkey").alias("b")).head()
+    return graph.shortest_path(nodes, edges, f"customer:{ends['a']}", f"customer:{ends['b']}")
+
+
 # --- retrieval ----------------------------------------------------------------------
 
 QUESTION = "How does the tion handle the Src3 into?"
@@ -676,9 +711,9 @@ def markdown_links(spark, sf_dir):
     return extract.markdown_links(_linked(spark, sf_dir))
 
 
-@query("""WITH d AS (SELECT doc_id, lang, source, lang || '/' || source || '/d' || doc_id || '.md' AS path FROM documents),
-t AS (SELECT path, 0 AS import_seq, lang || '/src' || ((doc_id + 1) % 20) || '/d' || (doc_id + 1) || '.md' AS target FROM d UNION ALL SELECT path, 2, path FROM d)
-SELECT path, import_seq, target FROM t WHERE target IN (SELECT path FROM d)""")
+@query(f"""WITH {_LINKED}, ln AS (SELECT path, regexp_extract(text, '\\]\\(([^)#\\s]+)', 1) AS a, regexp_extract(text, ': <([^?>]+)', 1) AS b FROM lk),
+t AS (SELECT path, 0 AS import_seq, split_part(path, '/', 1) || substr(a, 3) AS target FROM ln WHERE a LIKE '../%' UNION ALL SELECT path, 2, regexp_replace(path, '/[^/]*$', '') || substr(b, 2) FROM ln WHERE b LIKE './%')
+SELECT path, import_seq, target FROM t WHERE target IN (SELECT path FROM lk)""")
 def md_import_edges(spark, sf_dir):
     links = extract.markdown_links(_linked(spark, sf_dir)).withColumnRenamed("pos", "import_seq")
     paths = bindings.documents(spark, sf_dir).select("path")
