@@ -200,7 +200,7 @@ def write_blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = batch.column(1)
             for begin, end in blocks(texts, BLOCK):
                 part = batch.slice(begin, end - begin)
-                bytes_ = part.column(1).get_total_buffer_size()
+                bytes_ = part.column(1).nbytes
                 if held and size + bytes_ > BLOCK:
                     yield close()
                 held.append(part)
