@@ -283,7 +283,8 @@ WITH crc_table AS (
         FROM range(256) AS r(i))),
 doc_words AS (
   SELECT row_number() OVER () AS rid, doc_id,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS n_words
+         len(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS n_words
   FROM documents),
 have AS ({_features("documents")}),
 want AS ({_features("benchmark")}),

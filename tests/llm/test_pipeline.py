@@ -83,11 +83,12 @@ def test_mixing_stage(stages, spark):
     for r in docs:
         total[r[3]] = total.get(r[3], 0) + size[r[0]]
     targets = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(total.items()), "source string, source_size long")).collect()}
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     want = []
     for source in total:
         whole, at = int(targets[source]), 0
         full = whole // total[source]
-        for r in sorted((r for r in docs if r[3] == source), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])):
+        for r in sorted((r for r in docs if r[3] == source), key=lambda r: md5(f"{r[0]}:{md5(r[1])}")):
             part = max(0, min(size[r[0]], whole - full * total[source] - at))
             want += [r] * (full + (part > 0 and 2 * part >= size[r[0]]))
             at += size[r[0]]
