@@ -158,28 +158,40 @@ def fnv_after(h: int, effect: np.ndarray, length: int) -> int:
 def joined_hash(rows: DataFrame, key: str, text: str, *order: str) -> DataFrame:
     """(key, hash): the content hash of each key's texts in the given order, a line break between them.
 
-    Rows are range-sorted by key and order, so a key may span many tasks; each task makes one
-    effect for each of its keys, and a key's effects, a row a task, are put together in their order.
+    Rows are range-sorted by key and order, so a key may span many tasks. A key that is neither the first nor the
+    last of a task is whole there and is hashed with the others of its batch. Of those two each task
+    makes an effect, and a key's effects, a row a task, are put together in their order.
     """
     spark = rows.sparkSession
     n = max(1, spark.sparkContext.defaultParallelism * 4)
     given = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
     by = ["key", *(f"_{i}" for i in range(len(order)))]
-    ranged = cut(given.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), "hash-ranges")
+    # A given number of ranges is kept as it is, and they are in the order of their numbers.
+    ranged = given.repartitionByRange(n, *by).sortWithinPartitions(*by).select("key", "text", F.spark_partition_id().alias("part"))
 
     def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+        def piece(name, said: list[bytes]) -> pd.DataFrame:
+            data = b"\n".join(said)
+            return pd.DataFrame({"key": [name], "hash": pd.Series([None], dtype=object), "part": [part], "length": [len(data)], "effect": [fnv_effect(data).tobytes()]})
+
+        # The key that goes on in the next batch, and its texts so far.
+        part, now, held, first = 0, None, [], True
         for batch in batches:
-            for part, name, said in zip(batch["part"], batch["key"], batch["text"]):
-                if held and (part, name) != now:
-                    data = b"\n".join(held)
-                    yield pd.DataFrame({"key": [now[1]], "part": [now[0]], "length": [len(data)], "effect": [fnv_effect(data).tobytes()]})
-                    held = []
-                now = (part, name)
+            part, whole = int(batch["part"].iloc[0]), []
+            for name, said in zip(batch["key"], batch["text"]):
+                if held and name != now:
+                    if first:
+                        yield piece(now, held)
+                    else:
+                        whole.append((now, b"\n".join(held)))
+                    held, first = [], False
+                now = name
                 held.append(said.encode())
+            if whole:
+                hashes = [f"fnv1a64:{h:016x}" for h in fnv_hashes([data for _, data in whole]).tolist()]
+                yield pd.DataFrame({"key": [name for name, _ in whole], "hash": hashes, "part": part, "length": 0, "effect": None})
         if held:
-            data = b"\n".join(held)
-            yield pd.DataFrame({"key": [now[1]], "part": [now[0]], "length": [len(data)], "effect": [fnv_effect(data).tobytes()]})
+            yield piece(now, held)
 
     def together(pieces: pd.DataFrame) -> pd.DataFrame:
         h, first = FNV_OFFSET, True
@@ -188,10 +200,9 @@ def joined_hash(rows: DataFrame, key: str, text: str, *order: str) -> DataFrame:
             h, first = fnv_after(h, np.frombuffer(effect, np.uint64), int(length)), False
         return pd.DataFrame({"key": pieces["key"].iloc[:1], "hash": [f"fnv1a64:{h:016x}"]})
 
-    # A part's rows come back in one or more files; sorting by part and order puts them in their places again.
-    placed = ranged.repartition(n, "part").sortWithinPartitions("part", *by)
-    made = placed.select("part", "key", "text").mapInPandas(effects, "key string, part int, length long, effect binary")
-    return made.groupBy("key").applyInPandas(together, "key string, hash string").withColumnRenamed("key", key)
+    made = cut(ranged.mapInPandas(effects, "key string, hash string, part int, length long, effect binary"), "hash-pieces")
+    parted = made.where("hash IS NULL").groupBy("key").applyInPandas(together, "key string, hash string")
+    return made.where("hash IS NOT NULL").select("key", "hash").unionByName(parted).withColumnRenamed("key", key)
 
 
 def layer_inputs(nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import session
 from graphloom.codemap import CodeMap
 from graphloom.functions import text
 from graphloom.operators import layout, overlay
@@ -266,6 +267,18 @@ def test_input_hashes_are_those_of_the_joined_texts(spark):
     assert [f"fnv1a64:{h:016x}" for h in annotate.fnv_hashes(texts).tolist()] == list(map(plain_fnv, texts))
 
 
+def test_only_keys_at_the_ends_of_a_task_are_put_together(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(annotate, "cut", lambda df, label="cut": made.append(session.cut(df, label)) or made[-1])
+    rows = [(f"k{k:04d}", n, f"t{k}.{n}") for k in range(900) for n in range(k % 4 + 1)]
+    got = annotate.joined_hash(spark.createDataFrame(rows, "k string, n int, said string").repartition(5), "k", "said", "n").collect()
+    said: dict[str, list[str]] = {}
+    for key, _, text in rows:
+        said.setdefault(key, []).append(text)
+    assert {r.k: r["hash"] for r in got} == {k: plain_fnv("\n".join(texts).encode()) for k, texts in said.items()}
+    assert made[-1].where("effect IS NOT NULL").count() <= 2 * 4 * spark.sparkContext.defaultParallelism
+
+
 def test_a_store_keeps_what_a_newer_writer_left(spark, tmp_path):
     path = tmp_path / "s.json"
     path.write_text('{"version": 2, "annotations": {"old": {"content_hash": "h", "summary": "s"}}, "notes": {"a": [1, {"b": null}]}, "extra": 3}')
