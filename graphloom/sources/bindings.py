@@ -37,34 +37,41 @@ def _customer_path(key, segment):
 
 
 def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the trade graph."""
+    """(nodes, edges) of the trade graph.
+
+    Lines are joined by their keys and with what their ends' ids are made of; the ids themselves
+    are made from the joined rows, so that no shuffle carries them. Lines are dealt out once for a
+    key, by which they are made distinct and joined.
+    """
     t = lambda name: table(spark, sf_dir, name)
     nation = t("nation").select("n_nationkey", "n_name")
-    supplier = t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    supplier = supplier.select("s_suppkey", "s_name", _supplier_path(F.col("s_suppkey"), F.col("n_name")).alias("s_path"))
-    part = t("part").select("p_partkey", "p_name", _part_path(F.col("p_partkey"), F.col("p_brand")).alias("p_path"))
-    customer = t("customer").select("c_custkey", "c_name", _customer_path(F.col("c_custkey"), F.col("c_mktsegment")).alias("c_path"))
-    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    supplier = t("supplier").select("s_suppkey", "s_name", "s_nationkey")
+    part = t("part").select("p_partkey", "p_name", "p_brand")
+    customer = t("customer").select("c_custkey", "c_name", "c_mktsegment")
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(customer.drop("c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    s_path, p_path = _supplier_path(F.col("s_suppkey"), F.col("n_name")), _part_path(F.col("p_partkey"), F.col("p_brand"))
+    c_path = _customer_path(F.col("c_custkey"), F.col("c_mktsegment"))
     make, order = F.concat(F.lit("make"), "p_partkey"), F.concat(F.lit("order"), "o_orderkey")
     nodes = (
-        supplier.select(*_node("file", F.concat(F.lit("s"), "s_suppkey", F.lit(".ts")), F.col("s_path"), F.col("s_name")))
-        .unionByName(part.select(*_node("file", F.concat(F.lit("p"), "p_partkey", F.lit(".py")), F.col("p_path"), F.col("p_name"))))
-        .unionByName(customer.select(*_node("file", F.concat(F.lit("c"), "c_custkey", F.lit(".go")), F.col("c_path"), F.col("c_name"))))
-        .unionByName(part.select(*_node("function", make, F.col("p_path"), F.concat(F.lit("Function "), make), make)))
-        .unionByName(orders.select(*_node("function", order, F.col("c_path"), F.concat(F.lit("Order "), "o_orderstatus"), order)))
+        supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(*_node("file", F.concat(F.lit("s"), "s_suppkey", F.lit(".ts")), s_path, F.col("s_name")))
+        .unionByName(part.select(*_node("file", F.concat(F.lit("p"), "p_partkey", F.lit(".py")), p_path, F.col("p_name"))))
+        .unionByName(customer.select(*_node("file", F.concat(F.lit("c"), "c_custkey", F.lit(".go")), c_path, F.col("c_name"))))
+        .unionByName(part.select(*_node("function", make, p_path, F.concat(F.lit("Function "), make), make)))
+        .unionByName(orders.select(*_node("function", order, c_path, F.concat(F.lit("Order "), "o_orderstatus"), order)))
     )
-    make_id = node_id("function", F.col("p_path"), make)
-    order_id = node_id("function", F.col("c_path"), order)
+    make_id, order_id = node_id("function", p_path, make), node_id("function", c_path, order)
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    bought = lines.select("l_suppkey", "l_partkey").distinct()
-    bought = bought.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    ordered = lines.select("l_orderkey", "l_partkey").distinct()
-    ordered = ordered.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    of_part = lambda key: lines.select("l_partkey", key).repartition("l_partkey").distinct().join(
+        part.drop("p_name"), F.col("l_partkey") == F.col("p_partkey")).select(key, "p_partkey", "p_brand")
+    bought = of_part("l_suppkey").join(supplier.drop("s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    bought = bought.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    ordered = of_part("l_orderkey").join(orders.drop("o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
     edges = (
-        bought.select(*edge(node_id("file", F.col("s_path")), node_id("file", F.col("p_path")), "imports"))
-        .unionByName(part.select(*edge(node_id("file", F.col("p_path")), make_id, "contains")))
-        .unionByName(part.select(*edge(node_id("file", F.col("p_path")), make_id, "exports")))
-        .unionByName(orders.select(*edge(node_id("file", F.col("c_path")), order_id, "contains")))
+        bought.select(*edge(node_id("file", s_path), node_id("file", p_path), "imports"))
+        .unionByName(part.select(*edge(node_id("file", p_path), make_id, "contains")))
+        .unionByName(part.select(*edge(node_id("file", p_path), make_id, "exports")))
+        .unionByName(orders.select(*edge(node_id("file", c_path), order_id, "contains")))
         .unionByName(ordered.select(*edge(order_id, make_id, "calls")))
     )
     return nodes, edges

@@ -60,11 +60,14 @@ def current(spark: SparkSession, path: str) -> str | None:
 
 
 def publish(nodes: DataFrame, edges: DataFrame, path: str) -> str:
-    """Write a map below ``path`` and make it the one that readers find; its version."""
+    """Write a map below ``path`` and make it the one that readers find; its version.
+
+    Each task writes the edges that it has, a file for each of their kinds: nothing is shuffled for that.
+    """
     spark, version = nodes.sparkSession, uuid.uuid4().hex
     folder = f"{path}/versions/{version}"
-    nodes.write.parquet(f"{folder}/nodes")
-    edges.repartition("kind", "source").write.partitionBy("kind").parquet(f"{folder}/edges")
+    nodes.write.parquet(f"{folder}/nodes", compression="zstd")
+    edges.write.partitionBy("kind").parquet(f"{folder}/edges", compression="zstd")
     switch(spark, path, version)
     return version
 
