@@ -134,13 +134,14 @@ def first_names(pairs: DataFrame, *keys: str) -> DataFrame:
     """(keys, n, first): number of distinct names and the first three of them.
 
     Names are ordered by the least ``seq`` at which each appears. Only three
-    leave the window, however many a key has.
+    leave the window, however many a key has. Rows are dealt out by the keys once,
+    and names are made distinct, ranked and counted where they are.
     """
-    distinct = pairs.groupBy(*keys, "name").agg(F.min("seq").alias("seq"))
+    distinct = pairs.repartition(*keys).groupBy(*keys, "name").agg(F.min("seq").alias("seq"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "name"))
-    top = distinct.withColumn("_r", rank).where("_r <= 3")
-    head = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_r", "name"))).alias("_h")).select(*keys, F.col("_h.name").alias("first"))
-    return distinct.groupBy(*keys).agg(F.count("*").alias("n")).join(head, list(keys))
+    shown = F.when(F.col("_r") <= 3, F.struct("_r", "name"))
+    counted = distinct.withColumn("_r", rank).groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(shown)).alias("_h"))
+    return counted.select(*keys, "n", F.col("_h.name").alias("first"))
 
 
 def narratives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,8 +157,10 @@ def narratives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = F.when(F.col("kind") == "contains", F.array(end("held", "source", "target"))).otherwise(both)
     k = F.when(F.col("kind").isin("contains", "imports"), 0).otherwise(1)
     pairs = edges.where("kind IN ('imports', 'calls', 'contains')").select(k.alias("k"), F.inline(ends))
+    # An id begins with its kind (``model.node_id``), so ends that are symbols go before anything is shuffled.
+    pairs = pairs.where(~F.startswith("node_id", F.lit("function:")) & ~F.startswith("node_id", F.lit("class:")))
     of_files = nodes.where("kind = 'file'").select("node_id")
-    pairs = pairs.join(of_files, "node_id", "left_semi").join(names, "other").withColumn("seq", F.struct("k", F.col("other").alias("o")))
+    pairs = pairs.join(names, "other").withColumn("seq", F.struct("k", F.col("other").alias("o")))
     found = first_names(pairs, "node_id", "way")
     by_way = found.groupBy("node_id").agg(*(
         F.max(F.when(F.col("way") == way, F.col(c))).alias(f"{way}_{c}") for way in ways for c in ("n", "first")))
