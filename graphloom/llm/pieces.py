@@ -11,13 +11,15 @@ is fixed before any merge is done: retried tasks and other machines give the
 same pieces. With a rate of 0 the pieces are those of the library.
 
 No piece joins a blank to text before it, so a text is cut before each run of
-blanks, which changes no merge. With ``variants=None`` each occurrence of a word
-has a key of its own: if it skips none of the candidates that the word's agenda
-comes to, it has the word's pieces, else it is merged for itself. Any
-segmentation that dropout can give then occurs. With a number, each occurrence
+blanks, which changes no merge. With ``variants=None``, the default of the functions on
+documents, each occurrence of a word has a key of its own, and any segmentation that dropout can give
+occurs. If it skips none of the candidates that the word's agenda comes to, it has the word's pieces.
+If it skips some, what the agenda makes without these is worked out once for the word, a fork, with
+the candidates that it comes to; an occurrence that skips none of them has the fork's
+pieces, and others are merged for themselves. With a number, each occurrence
 is given one of so many variants by a hash of its text and place, and each
 variant of a word has merges of its own; a worker merges a (word, variant) once
-and looks it up from then on. That is the default for its cost (README). Merging runs over many words at once in numpy; words of over
+and looks it up from then on. Merging runs over many words at once in numpy; words of over
 ``LONG`` characters, such as texts without blanks, go through a heap of
 candidates, in time n log n.
 
@@ -55,6 +57,8 @@ BLANK = 0x2581
 LONG = 192
 #: Slots of a worker's word table, and characters handled at once.
 SLOTS, GROUP = 350_000, 600_000
+#: Forks that a worker keeps, and how many of a word's candidates they tell apart; what is beyond is merged for itself.
+FORKS, TOLD = 700_000, 43
 _NONE = np.int32(2**31 - 1)
 _WORDS = re.compile(r" *[^ \n]+|\n| +")
 
@@ -74,6 +78,11 @@ def candidate_hash(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end:
     return mix64(np.asarray(key, np.uint64) ^ mix64(place + np.uint64(1)))
 
 
+def _place(row: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row and a candidate of a word of at most LONG characters as one number."""
+    return np.asarray(row, np.int64) << 24 | np.asarray(start, np.int64) << 16 | np.asarray(middle, np.int64) << 8 | np.asarray(end, np.int64)
+
+
 class _Slots(dict):
     """Word to slot; an unseen word gets the next one."""
 
@@ -156,6 +165,9 @@ class Segmenter:
         self.count, self.met_start, self.met_count = (np.zeros(1024 * self.width, np.int64) for _ in range(3))
         self.met_place, self.met_used = np.zeros((1 << 16, 3), np.int32), 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.forks: dict[int, int] = {}
+        #: Of each fork: where its pieces begin and their number, then the same of its candidates.
+        self.fork = np.zeros((4, 1024), np.int64)
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of joined symbols; rank _NONE if they make no piece."""
@@ -171,10 +183,11 @@ class Segmenter:
             rank = np.where(candidate_hash(key, start, middle, end) < self.limit, _NONE, rank)
         return rank, piece
 
-    def _merge(self, symbols: np.ndarray, size: np.ndarray, keys: np.ndarray | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _merge(self, symbols: np.ndarray, size: np.ndarray, keys: np.ndarray | None, met: list | None = None, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Run the agenda of each row of padded symbols; symbols left and their number.
 
-        ``met`` gets (row, start, middle, end) of the candidates that the agenda comes to.
+        ``met`` gets (row, start, middle, end) of the candidates that the agenda comes to;
+        those of ``skip``, four in a number and sorted, are skipped.
         """
         rows, width = symbols.shape
         out, left = symbols.copy(), size.copy()
@@ -185,6 +198,9 @@ class Segmenter:
 
         def look(row, left, right, start, middle, end):
             rank, piece = self._candidates(left, right, None if keys is None else key[row], start, middle, end)
+            if skip is not None:
+                code = _place(live[row], start, middle, end)
+                rank = np.where(skip[np.minimum(np.searchsorted(skip, code), len(skip) - 1)] == code, _NONE, rank)
             if met is not None:
                 hit = rank != _NONE
                 met.append((live[row][hit], start[hit], middle[hit], end[hit]))
@@ -306,38 +322,82 @@ class Segmenter:
             left_over, n = self._merge(padded, size[group], None if keys is None else keys[group], met)
             self._pool(wanted[group], left_over, n)
             if each:
-                self._note(wanted[group], met)
+                self.met_start[wanted[group]], self.met_count[wanted[group]] = self._note(len(group), met)
 
-    def _note(self, codes: np.ndarray, met: list) -> None:
-        """Keep the candidates that the words' agendas come to if nothing is skipped."""
+    def _note(self, rows: int, met: list) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the candidates that the agendas of so many rows come to: where each row's begin, and their number."""
         row, *place = (np.concatenate(x) if met else np.zeros(0, np.int64) for x in (zip(*met) if met else [()] * 4))
         order = np.argsort(row, kind="stable")
-        counts = np.bincount(row, minlength=len(codes))
-        self.met_start[codes], self.met_count[codes] = self.met_used + np.cumsum(counts) - counts, counts
+        counts = np.bincount(row, minlength=rows)
+        starts = self.met_used + np.cumsum(counts) - counts
         while self.met_used + len(row) > len(self.met_place):
             self.met_place = np.concatenate([self.met_place, np.zeros_like(self.met_place)])
         self.met_place[self.met_used : self.met_used + len(row)] = np.stack([p[order] for p in place], 1)
         self.met_used += len(row)
+        return starts, counts
+
+    def _hits(self, start: np.ndarray, counts: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number, place among its candidates) of what each occurrence skips, some occurrences at a time."""
+        upto = np.cumsum(counts)
+        for a in range(0, len(start), 1 << 17):
+            b = min(len(start), a + (1 << 17))
+            n = counts[a:b]
+            place = np.arange(int(n.sum())) - np.repeat(upto[a:b] - n - (upto[a] - n[0]), n)
+            hit = candidate_hash(np.repeat(key[a:b], n), *self.met_place[np.repeat(start[a:b], n) + place].T) < self.limit
+            yield np.repeat(np.arange(a, b), n)[hit], place[hit]
+
+    def _fork(self, codes: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        """Numbers of new forks: words whose candidates of a mask are skipped and no others."""
+        words = [self.slots.words[k] for k in codes.tolist()]
+        flat, size = self._spelled_out(words)
+        base = len(self.forks)
+        while base + len(codes) > self.fork.shape[1]:
+            self.fork = np.concatenate([self.fork, np.zeros_like(self.fork)], 1)
+        i, bit = np.nonzero(masks[:, None] >> np.arange(TOLD) & 1)
+        place = self.met_place[self.met_start[codes[i]] + bit].T
+        row = np.zeros(len(codes), np.int64)
+        for group, padded in self._groups(flat, size):
+            row[:] = -1
+            row[group] = np.arange(len(group))
+            mine = row[i] >= 0
+            met: list = []
+            merged, n = self._merge(padded, size[group], None, met, np.sort(_place(row[i[mine]], *place[:, mine])))
+            self.fork[:2, base + group] = self._append(merged, n)
+            self.fork[2:, base + group] = self._note(len(group), met)
+        return base + np.arange(len(codes))
 
     def _each(self, code: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of occurrences with a key each.
 
-        One of which no candidate is skipped has the pieces of its word; the others
-        are merged for themselves.
+        One of which no candidate is skipped has the pieces of its word; one of which no more are skipped
+        than its fork has those of the fork; the others are merged for themselves.
         """
-        counts = self.met_count[code]
-        upto = np.cumsum(counts)
-        skipped = np.zeros(len(code), bool)
-        for a in range(0, len(code), 1 << 17):
-            b = min(len(code), a + (1 << 17))
-            n = counts[a:b]
-            at = np.repeat(self.met_start[code[a:b]] - (upto[a:b] - n - (upto[a] - n[0])), n) + np.arange(int(n.sum()))
-            hit = candidate_hash(np.repeat(key[a:b], n), *self.met_place[at].T) < self.limit
-            skipped[a + np.repeat(np.arange(b - a), n)[hit]] = True
-        words = self.slots.words
-        skipped |= np.fromiter((len(words[k]) > LONG for k in code.tolist()), bool, len(code))
-        own = np.flatnonzero(skipped)
+        mask, words = np.zeros(len(code), np.int64), self.slots.words
+        skipped = np.fromiter((len(words[k]) > LONG for k in code.tolist()), bool, len(code))
+        for row, place in self._hits(self.met_start[code], self.met_count[code], key):
+            skipped[row[place >= TOLD]] = True
+            told = place < TOLD
+            if told.any():
+                first = int(row[0])
+                bits = np.bincount(row[told] - first, weights=np.ldexp(1.0, place[told])).astype(np.int64)
+                mask[first : first + len(bits)] += bits
         start, size = self.start[code], self.count[code]
+        forked = np.flatnonzero((mask > 0) & ~skipped & (code < 1 << (63 - TOLD)))
+        skipped |= mask > 0
+        if len(forked):
+            wanted, which = np.unique(code[forked] << TOLD | mask[forked], return_inverse=True)
+            number = np.fromiter((self.forks.get(w, -1) for w in wanted.tolist()), np.int64, len(wanted))
+            new = np.flatnonzero(number < 0)[: max(0, FORKS - len(self.forks))]
+            if len(new):
+                number[new] = self._fork(wanted[new] >> TOLD, wanted[new] & (1 << TOLD) - 1)
+                self.forks.update(zip(wanted[new].tolist(), number[new].tolist()))
+            fork = number[which]
+            forked, fork = forked[fork >= 0], fork[fork >= 0]
+            skipped[forked] = False
+            start[forked], size[forked], met_start, met_count = self.fork[:, fork]
+            for row, _ in self._hits(met_start, met_count, key[forked]):
+                skipped[forked[row]] = True
+        own = np.flatnonzero(skipped)
         if len(own):
             base = self.used
             flat, length = self._spelled_out([words[k] for k in code[own].tolist()])
@@ -382,7 +442,7 @@ class Segmenter:
         return start, counts
 
     def _encode_group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.slots) > SLOTS or self.used > 64 * SLOTS:
+        if len(self.slots) > SLOTS or self.used > 64 * SLOTS or self.met_used > 48 * SLOTS:
             self._reset()
         cut = [_WORDS.findall(" " + t if self.prefix else t) if t else [] for t in texts]
         sizes = np.array([len(c) for c in cut], np.int64)
@@ -447,7 +507,7 @@ def model_bytes(spark: SparkSession, path: str = MODEL) -> bytes:
         return f.read()
 
 
-def _lazy(spark: SparkSession, path: str, rate: float, seed: int, variants: int | None = VARIANTS):
+def _lazy(spark: SparkSession, path: str, rate: float, seed: int, variants: int | None = None):
     """A function that gives a worker's segmenter, made once for each process."""
     model = spark.sparkContext.broadcast(model_bytes(spark, path))
     made: dict[str, Segmenter] = {}
@@ -460,7 +520,7 @@ def _lazy(spark: SparkSession, path: str, rate: float, seed: int, variants: int
     return get
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int | None = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int | None = None) -> DataFrame:
     """``docs`` with ``ids``, the pieces of the text as array<int>."""
     segmenter = _lazy(docs.sparkSession, path, rate, seed, variants)
 
@@ -495,7 +555,7 @@ def decode(docs: DataFrame, ids_col: str = "ids", path: str = MODEL) -> DataFram
 DIGEST = "n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean"
 
 
-def digest(docs: DataFrame, text_col: str = "text", path: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int | None = VARIANTS) -> DataFrame:
+def digest(docs: DataFrame, text_col: str = "text", path: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int | None = None) -> DataFrame:
     """doc_id and, for its pieces and for the text decoded from them: sizes,
     SHA-256 (of the ids as little-endian 32-bit integers; of the UTF-8 bytes)
     and whether the decoded bytes are those of the text."""

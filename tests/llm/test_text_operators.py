@@ -157,6 +157,24 @@ def test_a_key_for_each_occurrence_against_a_plain_agenda():
     assert len({tuple(x) for x in np.split(houses, np.flatnonzero(own.piece_bytes[own.piece_start[houses]] == 32)[1:])}) > pieces.VARIANTS
 
 
+def test_documents_get_a_key_for_each_occurrence(spark, monkeypatch):
+    text = " house" * 800
+    ids = pieces.encode(spark.createDataFrame([(text,)], "text string"), rate=0.2).head()["ids"]
+    own, want = pieces.Segmenter(open(pieces.MODEL, "rb").read(), 0.2, variants=None), []
+    seed = xxhash.xxh64_intdigest(text.encode(), pieces.SEED)
+    words = pieces._WORDS.findall(" " + text if own.prefix else text)
+    several = set()
+    for place, word in enumerate(words):
+        got = [i for symbol in plain_agenda(own, word, pieces.mix64(np.uint64((seed + place * 0x9E3779B97F4A7C15) % 2**64))) for i in own.spelled[symbol]]
+        several.add(tuple(got))
+        want += got
+    assert ids == want and len(several) > pieces.VARIANTS + 2
+    # The same with few forks, or with candidates beyond those that forks tell apart.
+    for name, value in (("FORKS", 3), ("TOLD", 2)):
+        monkeypatch.setattr(pieces, name, value)
+        assert next(pieces.Segmenter(open(pieces.MODEL, "rb").read(), 0.2, variants=None).encode([text]))[0].tolist() == want
+
+
 @pytest.mark.parametrize("variants", [pieces.VARIANTS, None])
 def test_round_trip_through_spark(spark, odd, variants):
     out = pieces.decode(pieces.encode(odd.select("doc_id", "text"), rate=0.2, variants=variants)).collect()
