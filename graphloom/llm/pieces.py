@@ -15,8 +15,9 @@ blanks, which changes no merge. With ``variants=None``, the default of the funct
 documents, each occurrence of a word has a key of its own, and any segmentation that dropout can give
 occurs. If it skips none of the candidates that the word's agenda comes to, it has the word's pieces.
 If it skips some, what the agenda makes without these is worked out once for the word, a fork, with
-the candidates that it comes to; an occurrence that skips none of them has the fork's
-pieces, and others are merged for themselves. With a number, each occurrence
+the candidates that only it comes to; an occurrence that skips none of them has the fork's
+pieces, and others are merged for themselves. So are words and forks that are met once; only what is
+met again is kept, as most are not. With a number, each occurrence
 is given one of so many variants by a hash of its text and place, and each
 variant of a word has merges of its own; a worker merges a (word, variant) once
 and looks it up from then on. Merging runs over many words at once in numpy; words of over
@@ -41,6 +42,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -56,9 +58,13 @@ BLANK = 0x2581
 #: Words of more characters are merged one by one, with a heap.
 LONG = 192
 #: Slots of a worker's word table, and characters handled at once.
-SLOTS, GROUP = 350_000, 600_000
+SLOTS, GROUP = 150_000, 600_000
 #: Forks that a worker keeps, and how many of a word's candidates they tell apart; what is beyond is merged for itself.
-FORKS, TOLD = 700_000, 43
+FORKS, TOLD = 200_000, 43
+#: Pieces and candidates that a worker keeps for its words and forks.
+PIECES, MET = 6_000_000, 3_000_000
+#: Bits of a hash by which words and forks are known to have been met before; others that share them are kept too.
+BEFORE = 22
 _NONE = np.int32(2**31 - 1)
 _WORDS = re.compile(r" *[^ \n]+|\n| +")
 
@@ -150,8 +156,26 @@ class Segmenter:
         self.piece_size = np.array([len(d) for d in data], np.int64)
         self.piece_start = np.concatenate([[0], np.cumsum(self.piece_size)[:-1]])
         self.prefix = bool(sp.encode("a", out_type=str)[0].startswith(blank))
+        self._hash_pairs()
         self._reset()
 
+    def _hash_pairs(self) -> None:
+        """The pairs in an open table at most a quarter full, where most looks end at once; -1 is an empty place."""
+        self.shift = np.uint64(64 - max(4, (4 * len(self.pairs)).bit_length()))
+        self.place_pair = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.place_rank = np.full(len(self.place_pair), _NONE)
+        self.place_joined = np.zeros(len(self.place_pair), np.int32)
+        todo, at = np.arange(len(self.pairs)), self._first_place(self.pairs)
+        while len(todo):
+            free = self.place_pair[at] < 0
+            self.place_pair[at[free]] = self.pairs[todo[free]]
+            put = self.place_pair[at] == self.pairs[todo]
+            self.place_rank[at[put]], self.place_joined[at[put]] = self.rank[todo[put]], self.joined[todo[put]]
+            todo, at = todo[~put], (at[~put] + 1) % len(self.place_pair)
+
+    def _first_place(self, pair: np.ndarray) -> np.ndarray:
+        return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
     def _spell(self, char: int) -> int:
         """A new symbol for a character that is no piece: its bytes' pieces."""
         symbol = len(self.spelled)
@@ -163,18 +187,24 @@ class Segmenter:
         self.slots = _Slots()
         self.start = np.full(1024 * self.width, -1, np.int64)
         self.count, self.met_start, self.met_count = (np.zeros(1024 * self.width, np.int64) for _ in range(3))
-        self.met_place, self.met_used = np.zeros((1 << 16, 3), np.int32), 0
+        self.met_place, self.met_used = np.zeros((1 << 16, 3), np.uint8), 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.forks: dict[int, int] = {}
         #: Of each fork: where its pieces begin and their number, then the same of its candidates.
         self.fork = np.zeros((4, 1024), np.int64)
+        self.word_before, self.fork_before = (np.zeros(1 << BEFORE, bool) for _ in range(2))
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of joined symbols; rank _NONE if they make no piece."""
         want = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
-        hit = self.pairs[at] == want
-        return np.where(hit, self.rank[at], _NONE), self.joined[at]
+        at = self._first_place(want)
+        there = self.place_pair[at]
+        other = np.flatnonzero((there != want) & (there >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) % len(self.place_pair)
+            there = self.place_pair[at[other]]
+            other = other[(there != want[other]) & (there >= 0)]
+        return self.place_rank[at], self.place_joined[at]
 
     def _candidates(self, left, right, key, start, middle, end):
         """Rank and piece; a key decides which candidates are skipped, None skips none."""
@@ -190,60 +220,55 @@ class Segmenter:
         those of ``skip``, four in a number and sorted, are skipped.
         """
         rows, width = symbols.shape
-        out, left = symbols.copy(), size.copy()
         if width < 2:
-            return out, left
-        live = np.arange(rows)
-        sym, key, n = symbols.copy(), np.zeros(rows, np.uint64) if keys is None else keys, size.copy()
+            return symbols.copy(), size.copy()
+        # Symbols are a list linked by columns: that which is merged into the one before it is -1.
+        sym = symbols.flatten()
+        after, before = (np.broadcast_to(np.arange(width) + k, (rows, width)).flatten() for k in (1, -1))
 
         def look(row, left, right, start, middle, end):
-            rank, piece = self._candidates(left, right, None if keys is None else key[row], start, middle, end)
+            rank, piece = self._candidates(left, right, None if keys is None else keys[row], start, middle, end)
             if skip is not None:
-                code = _place(live[row], start, middle, end)
+                code = _place(row, start, middle, end)
                 rank = np.where(skip[np.minimum(np.searchsorted(skip, code), len(skip) - 1)] == code, _NONE, rank)
             if met is not None:
                 hit = rank != _NONE
-                met.append((live[row][hit], start[hit], middle[hit], end[hit]))
+                met.append((row[hit], start[hit], middle[hit], end[hit]))
             return rank, piece
 
-        edge = np.broadcast_to(np.arange(width + 1), (rows, width + 1)).copy()
-        inside = np.arange(width - 1) < (n - 1)[:, None]
-        rank, piece = np.full((rows, width - 1), _NONE), np.zeros((rows, width - 1), np.int32)
-        r, c = np.nonzero(inside)
-        rank[r, c], piece[r, c] = look(r, sym[r, c], sym[r, c + 1], c, c + 1, c + 2)
-        columns = np.arange(width + 1)
+        rank, piece = np.full((rows, width), _NONE), np.zeros(rows * width, np.int32)
+        r, c = np.nonzero(np.arange(width) < (size - 1)[:, None])
+        at = r * width + c
+        rank[r, c], piece[at] = look(r, sym[at], sym[at + 1], c, c + 1, c + 2)
+        live = np.arange(rows)
         while True:
             best = rank.argmin(1)
-            every = np.arange(len(live))
-            going = rank[every, best] != _NONE
-            if not going.all():
-                ended = live[~going]
-                out[ended, : sym.shape[1]], left[ended] = sym[~going], n[~going]
-                live, sym, key, n, edge, rank, piece, best = (a[going] for a in (live, sym, key, n, edge, rank, piece, best))
-                every = np.arange(len(live))
-            if not len(live):
-                return out, left
-            sym[every, best] = piece[every, best]
-            take = columns[None, :] + (columns[None, :] > best[:, None])
-            sym = np.take_along_axis(sym, np.minimum(take[:, :-1], sym.shape[1] - 1), 1)[:, : max(sym.shape[1] - 1, 1)]
-            edge = np.take_along_axis(edge, np.minimum(take, edge.shape[1] - 1), 1)[:, : edge.shape[1] - 1]
-            n = n - 1
-            gone = np.minimum(columns[None, : rank.shape[1]] + (columns[None, : rank.shape[1]] >= best[:, None]), rank.shape[1] - 1)
-            rank = np.take_along_axis(rank, gone, 1)
-            piece = np.take_along_axis(piece, gone, 1)
-            if rank.shape[1] > 1:
-                rank, piece = rank[:, :-1].copy(), piece[:, :-1].copy()
-            else:
-                rank[:] = _NONE
-            for side in (-1, 0):
-                at = best + side
-                ok = (at >= 0) & (at + 1 < n)
-                i, k = every[ok], at[ok]
-                if len(i):
-                    rank[i, k], piece[i, k] = look(i, sym[i, k], sym[i, k + 1], edge[i, k], edge[i, k + 1], edge[i, k + 2])
-            columns = np.arange(edge.shape[1])
-            # Past a row's end nothing may be merged.
-            rank[np.arange(rank.shape[1])[None, :] >= (n - 1)[:, None]] = _NONE
+            i = np.flatnonzero(rank[np.arange(len(live)), best] != _NONE)
+            if not len(i):
+                break
+            if 4 * len(i) < 3 * len(live):
+                rank, live, best = rank[i], live[i], best[i]
+                i = np.arange(len(live))
+            row, start = live[i], best[i]
+            first = row * width
+            at = first + start
+            middle = after[at]
+            end = after[first + middle]
+            sym[at], sym[first + middle], after[at] = piece[at], -1, end
+            rank[i, start] = rank[i, middle] = _NONE
+            right = np.flatnonzero(end < size[row])
+            left = np.flatnonzero(before[at] >= 0)
+            before[first[right] + end[right]] = start[right]
+            ahead, behind = before[at[left]], first[right] + end[right]
+            who, begin = np.concatenate([left, right]), np.concatenate([ahead, start[right]])
+            rank[i[who], begin], piece[first[who] + begin] = look(
+                row[who], np.concatenate([sym[first[left] + ahead], sym[at[right]]]), np.concatenate([sym[at[left]], sym[behind]]),
+                begin, np.concatenate([start[left], end[right]]), np.concatenate([end[left], after[behind]]))
+        sym = sym.reshape(rows, width)
+        real = (sym >= 0) & (np.arange(width) < size[:, None])
+        n, out = real.sum(1), np.full((rows, width), -1, np.int32)
+        out[np.arange(width) < n[:, None]] = sym[real]
+        return out, n
 
     def _merge_long(self, symbols: np.ndarray, key: int | None) -> np.ndarray:
         """The agenda of one long word: a heap over a linked list of symbols."""
@@ -312,9 +337,6 @@ class Segmenter:
         each = self.rate > 0 and not self.variants
         for group, padded in self._groups(flat, size):
             if padded.shape[1] > LONG:
-                if each:  # its occurrences are always merged for themselves
-                    self.start[wanted[group]] = 0
-                    continue
                 merged = self._merge_long(padded[0], None if keys is None else int(keys[group[0]]))
                 self._pool(wanted[group], merged[None, :], np.array([len(merged)]))
                 continue
@@ -324,9 +346,13 @@ class Segmenter:
             if each:
                 self.met_start[wanted[group]], self.met_count[wanted[group]] = self._note(len(group), met)
 
-    def _note(self, rows: int, met: list) -> tuple[np.ndarray, np.ndarray]:
-        """Keep the candidates that the agendas of so many rows come to: where each row's begin, and their number."""
+    def _note(self, rows: int, met: list, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the candidates that the agendas of so many rows come to, but known ones: where each row's begin, and their number."""
         row, *place = (np.concatenate(x) if met else np.zeros(0, np.int64) for x in (zip(*met) if met else [()] * 4))
+        if known is not None and len(known):
+            code = _place(row, *place)
+            new = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] != code
+            row, *place = (x[new] for x in (row, *place))
         order = np.argsort(row, kind="stable")
         counts = np.bincount(row, minlength=rows)
         starts = self.met_used + np.cumsum(counts) - counts
@@ -353,41 +379,49 @@ class Segmenter:
         base = len(self.forks)
         while base + len(codes) > self.fork.shape[1]:
             self.fork = np.concatenate([self.fork, np.zeros_like(self.fork)], 1)
-        i, bit = np.nonzero(masks[:, None] >> np.arange(TOLD) & 1)
+        counts = self.met_count[codes]
+        i = np.repeat(np.arange(len(codes)), counts)
+        bit = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
         place = self.met_place[self.met_start[codes[i]] + bit].T
+        without = (masks[i] >> bit & 1).astype(bool)
         row = np.zeros(len(codes), np.int64)
         for group, padded in self._groups(flat, size):
             row[:] = -1
             row[group] = np.arange(len(group))
             mine = row[i] >= 0
+            known = _place(row[i[mine]], *place[:, mine])
             met: list = []
-            merged, n = self._merge(padded, size[group], None, met, np.sort(_place(row[i[mine]], *place[:, mine])))
+            merged, n = self._merge(padded, size[group], None, met, np.sort(known[without[mine]]))
             self.fork[:2, base + group] = self._append(merged, n)
-            self.fork[2:, base + group] = self._note(len(group), met)
+            # Of what the word comes to too, it is known that it isn't skipped.
+            self.fork[2:, base + group] = self._note(len(group), met, np.sort(known))
         return base + np.arange(len(codes))
 
-    def _each(self, code: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of occurrences with a key each.
+    def _each(self, code: np.ndarray, key: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of occurrences with a key each; words are kept up to that slot.
 
         One of which no candidate is skipped has the pieces of its word; one of which no more are skipped
         than its fork has those of the fork; the others are merged for themselves.
         """
         mask, words = np.zeros(len(code), np.int64), self.slots.words
-        skipped = np.fromiter((len(words[k]) > LONG for k in code.tolist()), bool, len(code))
-        for row, place in self._hits(self.met_start[code], self.met_count[code], key):
+        skipped = code >= kept
+        code_of = np.where(skipped, 0, code)
+        met_count = np.where(skipped, 0, self.met_count[code_of])
+        for row, place in self._hits(self.met_start[code_of], met_count, key):
             skipped[row[place >= TOLD]] = True
             told = place < TOLD
             if told.any():
                 first = int(row[0])
                 bits = np.bincount(row[told] - first, weights=np.ldexp(1.0, place[told])).astype(np.int64)
                 mask[first : first + len(bits)] += bits
-        start, size = self.start[code], self.count[code]
+        start, size = self.start[code_of], self.count[code_of]
         forked = np.flatnonzero((mask > 0) & ~skipped & (code < 1 << (63 - TOLD)))
         skipped |= mask > 0
         if len(forked):
-            wanted, which = np.unique(code[forked] << TOLD | mask[forked], return_inverse=True)
-            number = np.fromiter((self.forks.get(w, -1) for w in wanted.tolist()), np.int64, len(wanted))
-            new = np.flatnonzero(number < 0)[: max(0, FORKS - len(self.forks))]
+            wanted, which, times = np.unique(code[forked] << TOLD | mask[forked], return_inverse=True, return_counts=True)
+            number = np.fromiter(map(self.forks.get, wanted.tolist(), repeat(-1)), np.int64, len(wanted))
+            again = self._again(self.fork_before, mix64(wanted), times)
+            new = np.flatnonzero((number < 0) & again)[: max(0, FORKS - len(self.forks))]
             if len(new):
                 number[new] = self._fork(wanted[new] >> TOLD, wanted[new] & (1 << TOLD) - 1)
                 self.forks.update(zip(wanted[new].tolist(), number[new].tolist()))
@@ -414,6 +448,32 @@ class Segmenter:
         upto = np.cumsum(size)
         return self.pool[np.repeat(start - (upto - size), size) + np.arange(int(size.sum()))], size
 
+    @staticmethod
+    def _again(before: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Which are met more than once, here or before; all have been met from now on."""
+        at = (hashes >> np.uint64(64 - BEFORE)).astype(np.int64)
+        again = before[at] | (times > 1)
+        before[at] = True
+        return again
+
+    def _keep(self, code: np.ndarray, old: int) -> int:
+        """Number the words from slot ``old`` on so that those met again come first; the others go from the table. Where they begin."""
+        fresh = self.slots.words[old:]
+        new = code >= old
+        hashes = mix64(np.fromiter(map(hash, fresh), np.int64, len(fresh)).view(np.uint64))
+        again = self._again(self.word_before, hashes, np.bincount(code[new] - old, minlength=len(fresh)))
+        again &= np.fromiter(map(len, fresh), np.int64, len(fresh)) <= LONG  # occurrences of longer ones are always merged for themselves
+        order = np.argsort(~again, kind="stable")
+        rank = np.zeros(len(fresh), np.int64)
+        rank[order] = np.arange(len(fresh))
+        code[new] = old + rank[code[new] - old]
+        words = self.slots.words[old:] = [fresh[k] for k in order.tolist()]
+        kept = int(again.sum())
+        self.slots.update(zip(words[:kept], range(old, old + kept)))
+        for w in words[kept:]:
+            del self.slots[w]
+        return old + kept
+
     def _pool(self, codes: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> None:
         self.start[codes], self.count[codes] = self._append(symbols, n)
 
@@ -442,12 +502,13 @@ class Segmenter:
         return start, counts
 
     def _encode_group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.slots) > SLOTS or self.used > 64 * SLOTS or self.met_used > 48 * SLOTS:
+        if len(self.slots) > SLOTS or self.used > PIECES or self.met_used > MET:
             self._reset()
         cut = [_WORDS.findall(" " + t if self.prefix else t) if t else [] for t in texts]
         sizes = np.array([len(c) for c in cut], np.int64)
-        look = self.slots.__getitem__
-        code = np.fromiter((look(w) for c in cut for w in c), np.int64, int(sizes.sum()))
+        old, each = len(self.slots.words), self.rate > 0 and not self.variants
+        code = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        kept = self._keep(code, old) if each else 0
         draw = None
         if self.rate > 0:
             seeds = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), self.seed) for t in texts), np.uint64, len(texts))
@@ -460,11 +521,12 @@ class Segmenter:
             grow = max(need, 2 * len(self.start)) - len(self.start)
             self.start = np.concatenate([self.start, np.full(grow, -1, np.int64)])
             self.count, self.met_start, self.met_count = (np.concatenate([x, np.zeros(grow, np.int64)]) for x in (self.count, self.met_start, self.met_count))
-        new = np.unique(code[self.start[code] < 0])
+        new = np.arange(old, kept) if each else np.unique(code[self.start[code] < 0])
         if len(new):
             self._learn(new)
-        if self.rate > 0 and not self.variants:
-            ids, counts = self._each(code, draw)
+        if each:
+            ids, counts = self._each(code, draw, kept)
+            del self.slots.words[kept:]
             upto = np.cumsum(counts)
         else:
             counts = self.count[code]

@@ -175,6 +175,22 @@ def test_documents_get_a_key_for_each_occurrence(spark, monkeypatch):
         assert next(pieces.Segmenter(open(pieces.MODEL, "rb").read(), 0.2, variants=None).encode([text]))[0].tolist() == want
 
 
+def test_only_words_and_forks_met_again_are_kept():
+    own, rng = pieces.Segmenter(open(pieces.MODEL, "rb").read(), 0.2, variants=None), random.Random(15)
+    words = sorted({" " + "".join(rng.choice("abcdefghiklmnorst") for _ in range(rng.randint(7, 14))) for _ in range(300)})
+    text = "".join(words)
+    seed, want = xxhash.xxh64_intdigest(text.encode(), pieces.SEED), []
+    for place, word in enumerate(pieces._WORDS.findall(" " + text if own.prefix else text)):
+        key = pieces.mix64(np.uint64((seed + place * 0x9E3779B97F4A7C15) % 2**64))
+        want += [i for symbol in plain_agenda(own, word, key) for i in own.spelled[symbol]]
+    kept = []
+    for _ in range(4):
+        ids, _ = next(own.encode([text]))
+        assert ids.tolist() == want and len(own.slots) == len(own.slots.words)
+        kept.append((len(own.slots) > len(words) // 2, bool(own.forks)))
+    assert kept == [(False, False), (True, False), (True, True), (True, True)]
+
+
 @pytest.mark.parametrize("variants", [pieces.VARIANTS, None])
 def test_round_trip_through_spark(spark, odd, variants):
     out = pieces.decode(pieces.encode(odd.select("doc_id", "text"), rate=0.2, variants=variants)).collect()
