@@ -2,7 +2,9 @@
 
 ``build`` numbers the nodes and writes, for each field, in which nodes each three
 letters in a row stand: rows (gram, field, block, numbers), a block being ``WIDTH`` node numbers
-and so the most that a row holds, sorted by gram, so that a filter on grams reads few row groups. Fields are
+and so the most that a row holds, counted from the block's first. Nodes are kept in
+order of their numbers, so a task gathers most of a row by itself, and only what it has gathered
+is shuffled. Each file is sorted by gram, so that a filter on grams reads few row groups. Fields are
 taken in lower case, and each ends with two ``END`` letters, so that what is shorter than three
 letters is the beginning of some gram.
 
@@ -13,19 +15,21 @@ one needle, whose grams are a filter on the files; ``slices`` are the context sl
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import kind_rank
 from graphloom.operators import retrieval
-from graphloom.session import cut, fresh_dir, numbered
+from graphloom.session import cut, fresh_dir, read_numbered, write_numbered
 
-#: Node numbers of a block.
-WIDTH = 1 << 14
+#: Node numbers of a block, and numbers that a task gathers before it passes them on.
+WIDTH, GATHERED = 1 << 14, 1_000_000
 END = "\u0000"
 #: Fields: name, path, a summary that isn't clamped, and of one that is its head, for questions, and the whole, for searches.
 NAME, PATH, SHORT, HEAD, WHOLE = range(5)
@@ -34,17 +38,46 @@ SEARCHED, ASKED = (NAME, PATH, SHORT, WHOLE), (NAME, PATH, SHORT, HEAD)
 COUNTS = {NAME: 3, PATH: 2, SHORT: 1, HEAD: 1}
 
 
+def _grams(text: str) -> set[str]:
+    padded = text + 2 * END
+    return {padded[i : i + 3] for i in range(len(padded) - 2)}
+
+
 def grams(text: Column) -> Column:
     """The distinct three letters in a row of a text that ends with two END letters; none for null."""
     @F.pandas_udf("array<string>")
     def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            padded = [None if t is None else t + 2 * END for t in texts]
-            yield pd.Series([[] if t is None else sorted({t[i : i + 3] for i in range(len(t) - 2)}) for t in padded], dtype=object)
+            yield pd.Series([[] if t is None else sorted(_grams(t)) for t in texts], dtype=object)
 
     return cut_up(text)
 
 
+def _gathered(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """Rows (gram, field, block, numbers) of the texts (field, number, text) that come one after the other, ``GATHERED`` numbers at a time."""
+    held: dict[tuple, array] = {}
+    n = 0
+
+    def rows() -> pd.DataFrame:
+        gram, field, block = zip(*held)
+        return pd.DataFrame({"gram": gram, "field": field, "block": block, "numbers": pd.Series([np.frombuffer(p, np.int16) for p in held.values()], dtype=object)})
+
+    for batch in batches:
+        for field, number, text in zip(batch["field"].tolist(), batch["number"].tolist(), batch["text"].tolist()):
+            block, place = divmod(number, width)
+            for gram in _grams(text):
+                key = gram, field, block
+                if key not in held:
+                    held[key] = array("h")
+                held[key].append(place)
+                n += 1
+            if n >= GATHERED:
+                yield rows()
+                held, n = {}, 0
+    if held:
+        yield rows()
+
+
 def needle_grams(word: str) -> list[str]:
     """The grams that hold every text with ``word`` in it; a short word is the beginning of one."""
     return sorted({word[i : i + 3] for i in range(len(word) - 2)})
@@ -67,7 +100,7 @@ class Index:
 
     @property
     def nodes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/nodes")
+        return read_numbered(self.spark, f"{self.path}/nodes")
 
     @property
     def postings(self) -> DataFrame:
@@ -78,16 +111,20 @@ def build(nodes: DataFrame, path: str | None = None) -> Index:
     """Index the names, paths and summaries of ``nodes``, whose ids must be distinct."""
     spark = nodes.sparkSession
     path = path or fresh_dir(spark, "trigrams")
-    numbered(field_texts(nodes.select("node_id", "kind", "name", "path", "summary")).drop("path", "summary"), "node_id").write.parquet(f"{path}/nodes")
-    each = Index(spark, path).nodes.select("number", F.inline("texts")).where("text IS NOT NULL")
-    each = each.select("field", "number", F.explode(grams(F.col("text"))).alias("gram"))
-    block = F.floor(F.col("number") / WIDTH).cast("long")
-    lists = each.groupBy("gram", "field", block.alias("block")).agg(F.array_sort(F.collect_list("number")).alias("numbers"))
-    n = max(1, spark.sparkContext.defaultParallelism * 2)
-    lists.repartitionByRange(n, "gram", "field", "block").sortWithinPartitions("gram", "field", "block").write.parquet(f"{path}/postings")
+    write_numbered(field_texts(nodes.select("node_id", "kind", "name", "path", "summary")).drop("path", "summary"), f"{path}/nodes", "node_id")
+    each = Index(spark, path).nodes.select("number", F.inline("texts")).where("text IS NOT NULL").select("field", "number", "text")
+    width = WIDTH
+    lists = each.mapInPandas(lambda batches: _gathered(batches, width), "gram string, field int, block long, numbers array<smallint>")
+    # A gram stands in a field of a node once, so its lists are short beside the whole.
+    lists = lists.groupBy("gram", "field", "block").agg(F.array_sort(F.flatten(F.collect_list("numbers"))).alias("numbers"))
+    lists.sortWithinPartitions("gram", "field", "block").write.parquet(f"{path}/postings")
     return Index(spark, path)
 
 
+def _number(place: str) -> Column:
+    return F.col("block") * WIDTH + F.col(place)
+
+
 def _both(lists: Column) -> Column:
     """The numbers that all lists have."""
     return F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(1))), F.get(lists, F.lit(0)), lambda a, b: F.array_intersect(a, b))
@@ -106,11 +143,12 @@ def found(index: Index, words: DataFrame, fields: tuple[int, ...] = SEARCHED) ->
     inner = F.filter(grams(F.col("word")), lambda g: F.instr(g, END) == 0)
     asked = words.where(F.length("word") >= 3).select("word", inner.alias("_grams")).select("word", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
     met = asked.join(postings, "gram").groupBy("word", "field", "block").agg(F.first("_n").alias("_n"), F.collect_list("numbers").alias("_lists"))
-    tried = met.where(F.size("_lists") == F.col("_n")).select("word", "field", F.explode(_both(F.col("_lists"))).alias("number"))
+    tried = met.where(F.size("_lists") == F.col("_n")).select("word", "field", "block", F.explode(_both(F.col("_lists"))).alias("_place"))
+    tried = tried.select("word", "field", _number("_place").alias("number"))
     for size in (1, 2):
         short = words.where(F.length("word") == size).withColumn("_begin", F.col("word"))
         begun = postings.withColumn("_begin", F.substring("gram", 1, size)).join(F.broadcast(short.limit(100_000)) if size == 1 else short, "_begin")
-        tried = tried.unionByName(begun.select("word", "field", F.explode("numbers").alias("number")).distinct())
+        tried = tried.unionByName(begun.select("word", "field", "block", F.explode("numbers").alias("_place")).select("word", "field", _number("_place").alias("number")).distinct())
     return _verified(index, tried)
 
 
@@ -124,9 +162,10 @@ def search(index: Index, needle: str) -> DataFrame:
     if len(want) >= 3:
         asked = needle_grams(want)
         met = postings.where(F.col("gram").isin(asked)).groupBy("field", "block").agg(F.collect_list("numbers").alias("_lists"))
-        tried = met.where(F.size("_lists") == len(asked)).select("field", F.explode(_both(F.col("_lists"))).alias("number"))
+        tried = met.where(F.size("_lists") == len(asked)).select("field", "block", F.explode(_both(F.col("_lists"))).alias("_place"))
     else:
-        tried = postings.where(F.col("gram").startswith(want) & F.lit(want != "")).select("field", F.explode("numbers").alias("number")).distinct()
+        tried = postings.where(F.col("gram").startswith(want) & F.lit(want != "")).select("field", "block", F.explode("numbers").alias("_place")).distinct()
+    tried = tried.select("field", _number("_place").alias("number"))
     hits = _verified(index, tried.withColumn("word", F.lit(want))).select("number").distinct()
     return index.nodes.join(hits, "number", "left_semi").select("node_id", "name")
 

@@ -128,21 +128,35 @@ class Levels:
         return self.spark.read.schema(f"{self.schema}, level int").parquet(self.path)
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ``number``, from 0 in the given order, which must leave no ties.
+def write_numbered(rows: DataFrame, path: str, *order: str) -> None:
+    """Write ``rows`` in the given order, which must leave no ties, for ``read_numbered``.
 
-    The number is made of two parts: rows before a row's bucket, from a small
-    table of bucket sizes, and its rank within the bucket. Buckets are ranges of
-    the order, so no task sees all rows.
+    Rows are dealt out once, to ranges of the order, so that no task sees all of them. Each is written with its
+    range and its place there; how many rows are before each range is a small table beside them.
     """
-    n = max(1, rows.sparkSession.sparkContext.defaultParallelism * 4)
-    ranged = cut(rows.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id()), "numbered")
-    sizes = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most n rows
-    before = sizes.select("_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    joined = ranged.withColumn("_rank", rank).join(F.broadcast(before), "_bucket")
-    return joined.withColumn("number", F.col("_before") + F.col("_rank") - 1).select(*rows.columns, "number")
+    spark = rows.sparkSession
+    n = max(1, spark.sparkContext.defaultParallelism * 4)
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged.withColumn("_place", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+    sizes = spark.read.parquet(f"{path}/rows").groupBy(F.shiftright("_place", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over at most n rows
+    sizes.select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before")).write.parquet(f"{path}/ranges")
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``write_numbered`` with ``number``, from 0."""
+    ranges = spark.read.schema("_range long, _before long").parquet(f"{path}/ranges")
+    rows = spark.read.parquet(f"{path}/rows")
+    kept = [c for c in rows.columns if c != "_place"]
+    rows = rows.join(F.broadcast(ranges), F.shiftright("_place", 33) == F.col("_range"))
+    return rows.select(*kept, (F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"))
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``number``, from 0 in the given order, which must leave no ties."""
+    path = fresh_dir(rows.sparkSession, "numbered")
+    write_numbered(rows, path, *order)
+    return read_numbered(rows.sparkSession, path)
 
 
 @contextmanager

@@ -73,3 +73,24 @@ def test_answers_are_those_of_ask(spark, nodes, index):
         got = {r.item_id: (r.status, r.answer, list(r.citations)) for r in trigrams.answers(index, table, provider=given).collect()}
         want = {r["item_id"]: (r["status"], r["answer"], r["citations"]) for r in retrieval.ask(nodes, table, provider=given)}
         assert got == want
+
+
+def test_numbers_are_gathered_before_they_are_shuffled():
+    """A task passes on one row for all texts of a block that hold a gram."""
+    import pandas as pd
+
+    batch = pd.DataFrame({"field": [0] * 40, "number": range(40), "text": ["abcd"] * 40})
+    rows = pd.concat(trigrams._gathered(iter([batch[:25], batch[25:]]), 16))
+    got = {(r.gram, r.block): list(r.numbers) for r in rows.itertuples()}
+    assert len(rows) == len(got) == 3 * len(trigrams._grams("abcd"))
+    assert got["bcd", 2] == list(range(8)) and got["abc", 0] == list(range(16))
+
+
+def test_numbers_follow_the_order_over_all_ranges(spark):
+    from graphloom.session import numbered
+
+    rows = spark.range(5000).selectExpr("(id * 7919) % 5000 AS k", "concat('t', id) AS t").repartition(7)
+    out = numbered(rows, "k")
+    assert out.columns == ["k", "t", "number"] and {(r.k, r.number) for r in out.collect()} == {(k, k) for k in range(5000)}
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
+    assert numbered(rows.limit(0), "k").count() == 0
