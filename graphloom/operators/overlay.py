@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import cut
+
 
 def changed_nodes(nodes: DataFrame, changed: DataFrame) -> DataFrame:
-    """All nodes, symbols included, whose path changed."""
-    return nodes.join(changed.select("path").distinct(), "path", "left_semi").select("node_id")
+    """All nodes, symbols included, whose path changed.
+
+    Changed paths are written first: Spark then knows their size, and the map is only shuffled for many of them.
+    """
+    paths = cut(changed.select("path").distinct(), "changed")
+    return nodes.join(paths, "path", "left_semi").select("node_id")
 
 
 def unmapped_paths(nodes: DataFrame, changed: DataFrame) -> DataFrame:
@@ -17,8 +23,11 @@ def unmapped_paths(nodes: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def blast_radius(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """Nodes one edge of any kind away from a changed node, in either direction."""
-    ids = changed.select("node_id")
+    """Nodes one edge of any kind away from a changed node, in either direction.
+
+    The changed nodes are written first, as in ``changed_nodes``.
+    """
+    ids = cut(changed.select("node_id"), "changed-nodes")
     out = edges.join(ids, edges["source"] == ids["node_id"], "left_semi").select(F.col("target").alias("node_id"))
     back = edges.join(ids, edges["target"] == ids["node_id"], "left_semi").select(F.col("source").alias("node_id"))
     return out.unionByName(back).distinct().join(ids, "node_id", "left_anti")

@@ -250,3 +250,25 @@ def test_plural_and_summary(spark):
         extract.plural(F.lit("class"), F.lit(2)).alias("a"), extract.plural(F.lit("function"), F.lit(1)).alias("b"),
         extract.file_summary(F.lit("Go"), F.lit(1), F.lit(2), F.lit(1)).alias("c")).head()
     assert tuple(row) == ("classes", "function", "Go file, 1 line: 2 functions, 1 class")
+
+
+def test_few_changes_leave_the_edges_where_they_are(spark):
+    # Spark can't tell from such a plan that few paths change, so nodes and edges were dealt out for them.
+    nodes = spark.range(40).selectExpr("concat('file:', id) AS node_id", "concat('', id) AS path")
+    edges = spark.range(39).selectExpr("concat('file:', id) AS source", "concat('file:', id + 1) AS target")
+    changed = spark.range(5_000_000).where("id IN (3, 20)").selectExpr("concat('', id) AS path")
+    hit = overlay.changed_nodes(nodes, changed)
+    near = overlay.blast_radius(edges, hit)
+    for df, joins in ((hit, 1), (near, 3)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= joins and "SortMergeJoin" not in plan
+    assert sorted(r.node_id for r in near.collect()) == ["file:19", "file:2", "file:21", "file:4"]
+
+
+def test_entry_points_are_of_the_rows_at_hand(spark):
+    # Entries have their paths; they were looked up among all nodes once more.
+    nodes = make_nodes(spark, [fn("b.py", "x"), fn("a.py", "y"), fn("a.py", "z")])
+    edges = make_edges(spark, [("function:b.py:x", "function:a.py:z", "calls"), ("function:a.py:y", "function:a.py:z", "calls")])
+    first = regions.entry_points(nodes, semantics.entry_functions(nodes, edges))
+    assert [tuple(r) for r in first.orderBy("rank").collect()] == [(1, "function:a.py:y"), (2, "function:b.py:x")]
+    assert first._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
