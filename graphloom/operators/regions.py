@@ -239,8 +239,9 @@ def flow_entries(nodes: DataFrame, edges: DataFrame, flows: DataFrame | None = N
 
 
 def entry_points(nodes: DataFrame, entries: DataFrame, top: int = TOP) -> DataFrame:
-    """(rank, node_id): the first entry functions in map order."""
-    best = nodes.join(entries.select("node_id"), "node_id", "left_semi").orderBy("path", "node_id").limit(top)
+    """(rank, node_id): the first entry functions in map order; entries without paths are looked up among the nodes."""
+    known = entries if "path" in entries.columns else nodes.join(entries.select("node_id"), "node_id", "left_semi")
+    best = known.orderBy("path", "node_id").limit(top)
     return best.select(F.row_number().over(Window.orderBy("path", "node_id")).alias("rank"), "node_id")
 
 
