@@ -116,7 +116,7 @@ def tour(spark, sf_dir):
 @query(f"WITH {T},{STEPS} SELECT flow_id, domain, name, n_steps FROM flows")
 def domain_flows(spark, sf_dir):
     nodes, edges = _trade(spark, sf_dir)
-    return semantics.flows(nodes, semantics.flow_steps(nodes, edges))
+    return semantics.flows(nodes, semantics.rooted_steps(nodes, edges, named=True))
 
 
 _SUPPLY = """calls AS (SELECT DISTINCT 'customer:' || o_custkey AS source, 'order:' || o_orderkey AS target FROM orders
@@ -282,7 +282,7 @@ def flows_by_domain(spark, sf_dir):
 @query(f"WITH {T},{STEPS}, k AS (SELECT *, row_number() OVER (ORDER BY flow_id) - 1 AS seq FROM flows) SELECT domain, min(seq) OVER (PARTITION BY domain)::BIGINT AS domain_seq, seq::BIGINT AS seq, flow_id, name FROM k")
 def domain_flow_list(spark, sf_dir):
     nodes, edges = _trade(spark, sf_dir)
-    return regions.domain_flow_list(semantics.flows(nodes, semantics.flow_steps(nodes, edges)))
+    return regions.domain_flow_list(semantics.flows(nodes, semantics.rooted_steps(nodes, edges, named=True)))
 
 
 @query(f"WITH {T} SELECT DISTINCT source AS file_id, node_id, nodes.kind, name FROM edges JOIN nodes ON node_id = target WHERE edges.kind = 'contains' AND nodes.kind <> 'file'")

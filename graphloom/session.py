@@ -103,7 +103,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -272,3 +272,33 @@ def test_entry_points_are_of_the_rows_at_hand(spark):
     first = regions.entry_points(nodes, semantics.entry_functions(nodes, edges))
     assert [tuple(r) for r in first.orderBy("rank").collect()] == [(1, "function:a.py:y"), (2, "function:b.py:x")]
     assert first._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_flows_of_one_call_are_not_dealt_out(spark):
+    # Steps of entries whose callees call nothing stand in the callees' rows; they went through four shuffles, and one for names.
+    many = [f"f{i:03d}" for i in range(600)]
+    nodes = make_nodes(spark, [fn("a/a.py", "top"), fn("b/b.py", "two"), *(fn("c.py", n) for n in many)])
+    top, two, leaf = "function:a/a.py:top", "function:b/b.py:two", [f"function:c.py:{n}" for n in many]
+    calls = [*((top, x, "calls") for x in leaf), (top, leaf[0], "calls"), (two, leaf[7], "calls"), (two, "gone", "calls")]
+    steps = semantics.rooted_steps(nodes, make_edges(spark, calls), named=True)
+    assert "Exchange" not in steps._jdf.queryExecution().sparkPlan().toString() and "Join" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    want = [(top, "a/a.py", n, p, n.split(":")[-1]) for p, n in enumerate([top, *leaf])]
+    want += [(two, "b/b.py", two, 0, "two"), (two, "b/b.py", leaf[7], 1, "f007"), (two, "b/b.py", "gone", 2, "gone")]
+    assert sorted(tuple(r) for r in steps.select("root", "path", "node_id", "pos", "name").collect()) == sorted(want)
+    flows = {r.flow_id: (r.domain, r.name, r.n_steps) for r in semantics.flows(nodes, steps).collect()}
+    assert flows == {f"flow:{top}": ("a", " → ".join(["top", *many]), 601), f"flow:{two}": ("b", "two → f007 → gone", 3)}
+    assert {tuple(r) for r in semantics.flow_roots(nodes, make_edges(spark, calls)).collect()} == {(k, v[0]) for k, v in flows.items()}
+
+
+def test_flows_that_are_walked_stand_beside_those_that_are_not(spark):
+    nodes = make_nodes(spark, [fn("a.py", n) for n in "rstxyz"])
+    at = "function:a.py:".__add__
+    calls = [("r", "s"), ("r", "x"), ("s", "t"), ("s", "z"), ("t", "s"), ("y", "x"), ("y", "z")]
+    edges = make_edges(spark, [(at(a), at(b), "calls") for a, b in calls]).unionByName(
+        spark.createDataFrame([(at("x"), None, "calls", 0.9)], model.EDGE))
+    steps = semantics.rooted_steps(nodes, edges, named=True).orderBy("root", "pos").collect()
+    assert [(r.root[-1], r.name, r.pos, r.path) for r in steps] == [
+        ("r", "r", 0, "a.py"), ("r", "s", 1, "a.py"), ("r", "t", 2, "a.py"), ("r", "z", 3, "a.py"), ("r", "x", 4, "a.py"),
+        ("y", "y", 0, "a.py"), ("y", "x", 1, "a.py"), ("y", "z", 2, "a.py")]
+    plain = semantics.flow_steps(nodes, edges).orderBy("root", "pos").collect()
+    assert [(r.root, r.node_id, r.pos) for r in plain] == [(r.root, r.node_id, r.pos) for r in steps]
