@@ -566,7 +566,7 @@ slots AS (SELECT 'summary:' || node_id AS slot_key, 0 AS family, summary AS payl
 
 def _slots(spark, sf_dir):
     nodes, edges = _trade(spark, sf_dir)
-    flows = semantics.flows(nodes, semantics.flow_steps(nodes, edges))
+    flows = semantics.flows(nodes, semantics.rooted_steps(nodes, edges, named=True))
     return annotate.slots(nodes, semantics.layers(nodes), flows, semantics.tour(semantics.significance(nodes, edges)))
 
 
