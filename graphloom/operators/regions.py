@@ -75,20 +75,26 @@ def structural_regions(nodes: DataFrame, edges: DataFrame, layers: DataFrame) ->
     return _described(sizes, region_weight(edges, node_regions(nodes, regions)))
 
 
+def _rooted(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """``steps`` with the path of their root, which is looked up where they don't have it."""
+    return steps if "path" in steps.columns else steps.join(nodes.select(F.col("node_id").alias("root"), "path"), "root")
+
+
 def domain_owners(nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """(path, region) of files by the first flow that runs through them, in the order of roots."""
-    by_path = nodes.select("node_id", "path")
-    roots = by_path.select(F.col("node_id").alias("root"), F.col("path").alias("root_path"))
-    claims = steps.join(by_path, "node_id").join(roots, "root")
-    first = claims.groupBy("path").agg(F.min(F.struct("root_path", "root")).alias("claim"))
+    """(path, region) of files by the first flow that runs through them, in the order of roots' paths.
+
+    Steps are first brought to one row a node, in the task that has them.
+    """
+    claims = _rooted(nodes, steps).groupBy("node_id").agg(F.min(F.col("path")).alias("root_path"))
+    first = claims.join(nodes.select("node_id", "path"), "node_id").groupBy("path").agg(F.min("root_path").alias("root_path"))
     owned = files(nodes).select("path").join(first, "path", "left")
-    region = F.when(F.col("claim").isNull(), F.lit(UNROUTED)).otherwise(top_directory(F.col("claim.root_path")))
+    region = F.when(F.col("root_path").isNull(), F.lit(UNROUTED)).otherwise(top_directory(F.col("root_path")))
     return owned.select("path", region.alias("region"))
 
 
 def domain_regions(nodes: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
     """A region for each domain with flows, and one for what no flow runs through."""
-    roots = steps.select("root").distinct().join(nodes.select(F.col("node_id").alias("root"), "path"), "root")
+    roots = _rooted(nodes, steps.where("pos = 0"))
     flows = roots.groupBy(top_directory(F.col("path")).alias("region")).agg(F.count("*").alias("n_flows"))
     owners = domain_owners(nodes, steps)
     found = owners.groupBy("region").agg(F.count("*").alias("n_files"))

@@ -205,7 +205,7 @@ SELECT region, CASE region WHEN 'no-call-flow' THEN 'No call flow' ELSE region E
   n_files, weight, {COMPLEXITY} AS complexity FROM al""")
 def domain_regions(spark, sf_dir):
     nodes, edges = _trade(spark, sf_dir)
-    return regions.domain_regions(nodes, edges, semantics.flow_steps(nodes, edges))
+    return regions.domain_regions(nodes, edges, semantics.rooted_steps(nodes, edges))
 
 
 @query(f"WITH {T},{MEMBER},{WEIGHT} SELECT * FROM wgt")
