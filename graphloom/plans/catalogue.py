@@ -276,7 +276,7 @@ def files_filter(spark, sf_dir):
 @query(f"WITH {T},{STEPS} SELECT domain, count(*)::BIGINT AS n_flows, min(flow_id) AS first_flow FROM flows GROUP BY 1")
 def flows_by_domain(spark, sf_dir):
     nodes, edges = _trade(spark, sf_dir)
-    return regions.flows_by_domain(semantics.flows(nodes, semantics.flow_steps(nodes, edges)))
+    return regions.flows_by_domain(semantics.flow_roots(nodes, edges))
 
 
 @query(f"WITH {T},{STEPS}, k AS (SELECT *, row_number() OVER (ORDER BY flow_id) - 1 AS seq FROM flows) SELECT domain, min(seq) OVER (PARTITION BY domain)::BIGINT AS domain_seq, seq::BIGINT AS seq, flow_id, name FROM k")
