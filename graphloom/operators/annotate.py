@@ -50,7 +50,8 @@ def slot_payloads(nodes: DataFrame, layers: DataFrame, flows: DataFrame, steps:
     held = nodes.where("kind = 'file'").groupBy(F.col("layer").alias("layer_id")).agg(F.count("*").alias("n"))
     sized = still(layers).join(held, "layer_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     count = steps.groupBy("root").agg(F.count("*").alias("step_count"))
-    near = steps.where(F.col("pos") < STEP_NAMES).join(nodes.select("node_id", "name"), "node_id", "left")
+    near = steps.where(F.col("pos") < STEP_NAMES)
+    near = near if "name" in steps.columns else near.join(nodes.select("node_id", "name"), "node_id", "left")
     first = near.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("name", "node_id").alias("name")))).alias("s"))
     walked = still(flows).withColumn("root", F.substring_index("flow_id", "flow:", -1) if "root" not in flows.columns else F.col("root"))
     walked = walked.join(first, "root").join(count, "root").withColumn("names", F.col("s.name"))

@@ -583,7 +583,7 @@ UNION ALL SELECT 'flow-name:' || flow_id, 3, json_object('slot', 'flow-name', 'k
 UNION ALL SELECT 'tour-label:' || t.node_id, 4, json_object('slot', 'tour-label', 'key', 'tour-label:' || t.node_id, 'path', path, 'fan_in', fan_in, 'fan_out', fan_out, 'mechanical_label', label)::VARCHAR FROM tour t JOIN sig USING (node_id)""")
 def slot_payloads(spark, sf_dir):
     nodes, edges = _trade(spark, sf_dir)
-    scored, steps = semantics.significance(nodes, edges), semantics.flow_steps(nodes, edges)
+    scored, steps = semantics.significance(nodes, edges), semantics.rooted_steps(nodes, edges, named=True)
     return annotate.slot_payloads(nodes, semantics.layers(nodes), semantics.flows(nodes, steps), steps, semantics.tour(scored), scored)
 
 
