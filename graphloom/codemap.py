@@ -49,7 +49,7 @@ class CodeMap:
         return semantics.flows(self.nodes, self.flow_steps)
 
     def tour(self) -> DataFrame:
-        return semantics.tour(self.significance)
+        return semantics.tour(semantics.contenders(self.nodes, self.edges))
 
     def blast_radius(self, changed: DataFrame) -> DataFrame:
         return overlay.overlay(self.nodes, self.edges, changed)

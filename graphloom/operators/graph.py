@@ -21,12 +21,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> DataFrame:
-    """Files that a focus file imports or is imported by, and the focus itself."""
+    """Files that a focus file imports or is imported by, and the focus itself.
+
+    The focus and what is near are written first, as in ``touching``.
+    """
     imports = edges.where("kind = 'imports' AND source <> target")
-    ids = focus.select("node_id")
+    ids = cut(focus.select("node_id"), "focus")
     out = imports.join(ids, imports["source"] == ids["node_id"], "left_semi").select(F.col("target").alias("node_id"))
     back = imports.join(ids, imports["target"] == ids["node_id"], "left_semi").select(F.col("source").alias("node_id"))
-    near = out.unionByName(back).unionByName(ids).distinct()
+    near = cut(out.unionByName(back).unionByName(ids).distinct(), "near")
     return files(nodes).join(near, "node_id", "left_semi").select("node_id", "path")
 
 
@@ -64,11 +67,16 @@ def standalone(drawn: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def touching(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> DataFrame:
-    """(node_id, other, other_name, kind, direction) of the edges at the focus nodes."""
-    ids, names = focus.select("node_id"), nodes.select(F.col("node_id").alias("other"), F.col("name").alias("other_name"))
+    """(node_id, other, other_name, kind, direction) of the edges at the focus nodes.
+
+    The focus and then its edges are written first: Spark then knows their size, and edges are only shuffled
+    for a large focus and nodes for many of its edges.
+    """
+    ids, names = cut(focus.select("node_id"), "focus"), nodes.select(F.col("node_id").alias("other"), F.col("name").alias("other_name"))
     out = edges.select(F.col("source").alias("node_id"), F.col("target").alias("other"), "kind", F.lit("uses").alias("direction"))
     back = edges.select(F.col("target").alias("node_id"), F.col("source").alias("other"), "kind", F.lit("used by").alias("direction"))
-    return out.unionByName(back).join(ids, "node_id", "left_semi").join(names, "other").select("node_id", "other", "other_name", "kind", "direction")
+    touched = cut(out.unionByName(back).join(ids, "node_id", "left_semi"), "touched")
+    return touched.join(names, "other").select("node_id", "other", "other_name", "kind", "direction")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

@@ -73,6 +73,11 @@ def _scored(spark, sf_dir):
     return semantics.significance(nodes, edges)
 
 
+def _contenders(spark, sf_dir):
+    """Scored files for a tour, which is of the most significant."""
+    return semantics.contenders(*_trade(spark, sf_dir))
+
+
 def _changed(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").where("s_acctbal < 0").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     mapped = s.select(F.concat(F.lit("supplier/"), "n_name", F.lit("/s"), "s_suppkey", F.lit(".ts")).alias("path"))
@@ -105,12 +110,12 @@ def significance(spark, sf_dir):
 
 @query(f"WITH {T},{SCORED} SELECT node_id, path, significance FROM sig WHERE significance > 0 ORDER BY significance DESC, path LIMIT 12")
 def tour_select(spark, sf_dir):
-    return semantics.tour_selection(_scored(spark, sf_dir)).select("node_id", "path", "significance")
+    return semantics.tour_selection(_contenders(spark, sf_dir)).select("node_id", "path", "significance")
 
 
 @query(f"WITH {T},{SCORED},{TOUR} SELECT * FROM tour")
 def tour(spark, sf_dir):
-    return semantics.tour(_scored(spark, sf_dir))
+    return semantics.tour(_contenders(spark, sf_dir))
 
 
 @query(f"WITH {T},{STEPS} SELECT flow_id, domain, name, n_steps FROM flows")
@@ -303,7 +308,7 @@ _TOP = "top AS (SELECT node_id FROM sig WHERE significance > 0 ORDER BY signific
 
 
 def _top(spark, sf_dir):
-    return semantics.tour_selection(_scored(spark, sf_dir)).select("node_id")
+    return semantics.tour_selection(_contenders(spark, sf_dir)).select("node_id")
 
 
 @query(f"""WITH {T},{SCORED},{_TOP}, x AS (SELECT target AS node_id FROM edges WHERE kind = 'imports' AND source IN (SELECT * FROM top)
@@ -567,7 +572,7 @@ slots AS (SELECT 'summary:' || node_id AS slot_key, 0 AS family, summary AS payl
 def _slots(spark, sf_dir):
     nodes, edges = _trade(spark, sf_dir)
     flows = semantics.flows(nodes, semantics.rooted_steps(nodes, edges, named=True))
-    return annotate.slots(nodes, semantics.layers(nodes), flows, semantics.tour(semantics.significance(nodes, edges)))
+    return annotate.slots(nodes, semantics.layers(nodes), flows, semantics.tour(semantics.contenders(nodes, edges)))
 
 
 @query(f"WITH {T},{SLOTS} SELECT slot_key, family, payload FROM slots")
@@ -583,7 +588,7 @@ UNION ALL SELECT 'flow-name:' || flow_id, 3, json_object('slot', 'flow-name', 'k
 UNION ALL SELECT 'tour-label:' || t.node_id, 4, json_object('slot', 'tour-label', 'key', 'tour-label:' || t.node_id, 'path', path, 'fan_in', fan_in, 'fan_out', fan_out, 'mechanical_label', label)::VARCHAR FROM tour t JOIN sig USING (node_id)""")
 def slot_payloads(spark, sf_dir):
     nodes, edges = _trade(spark, sf_dir)
-    scored, steps = semantics.significance(nodes, edges), semantics.rooted_steps(nodes, edges, named=True)
+    scored, steps = semantics.contenders(nodes, edges), semantics.rooted_steps(nodes, edges, named=True)
     return annotate.slot_payloads(nodes, semantics.layers(nodes), semantics.flows(nodes, steps), steps, semantics.tour(scored), scored)
 
 
@@ -641,7 +646,7 @@ def flow_hashes(spark, sf_dir):
 
 @query(f"""WITH {T},{SCORED},{TOUR}, m AS (SELECT node_id, label AS t FROM tour) SELECT node_id, {_FNV} AS hash FROM m""")
 def tour_hashes(spark, sf_dir):
-    return annotate.tour_inputs(semantics.tour(_scored(spark, sf_dir)))
+    return annotate.tour_inputs(semantics.tour(_contenders(spark, sf_dir)))
 
 
 # --- redaction ----------------------------------------------------------------------

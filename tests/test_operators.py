@@ -313,3 +313,45 @@ def test_names_of_flows_that_ids_do_not_tell(spark):
     nodes = make_nodes(spark, [fn("a.py", "r"), *(fn("b.py", f"make{i}") for i in range(9))])
     edges = make_edges(spark, [("function:a.py:r", f"function:b.py:make{i}", "calls") for i in range(9)])
     assert semantics.flows(nodes, semantics.rooted_steps(nodes, edges, named=True)).head().name == " → ".join(["r", *(f"make{i}" for i in range(9))])
+
+
+def test_few_touching_edges_leave_edges_and_nodes_where_they_are(spark):
+    # Spark can't tell from such a plan that few edges touch the focus, so nodes were dealt out for their names.
+    nodes = spark.range(5_000_000).selectExpr("concat('file:', id) AS node_id", "concat('f', id) AS name", "'file' AS kind", "concat('', id) AS path")
+    edges = spark.range(4_999_999).selectExpr("concat('file:', id) AS source", "concat('file:', id + 1) AS target", "'imports' AS kind")
+    focus = spark.range(5_000_000).where("id IN (3, 20)").selectExpr("concat('file:', id) AS node_id")
+    found, near = graph.touching(nodes, edges, focus), graph.neighbourhood(nodes, edges, focus)
+    for df in (found, near):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = sorted((r.node_id, r.other, r.other_name, r.direction) for r in found.collect())
+    assert got == [("file:20", "file:19", "f19", "used by"), ("file:20", "file:21", "f21", "uses"), ("file:3", "file:2", "f2", "used by"), ("file:3", "file:4", "f4", "uses")]
+    assert sorted(r.path for r in near.collect()) == ["19", "2", "20", "21", "3", "4"]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_a_tour_is_chosen_from_its_contenders(spark, monkeypatch, few):
+    monkeypatch.setattr(semantics, "FEW", few)
+    rng = random.Random(few)
+    paths = [f"d/{i:02d}.ts" for i in range(30)]
+    funcs = [fn(p, f"g{k}") for p in paths for k in range(2)]
+    nodes = make_nodes(spark, [*map(file, paths), *funcs])
+    links = [(f"file:{rng.choice(paths)}", f"file:{rng.choice(paths[:12])}", "imports") for _ in range(50)]
+    calls = [(rng.choice(funcs)[0], rng.choice(funcs)[0], "calls") for _ in range(20)]
+    rows = lambda df, stops: [tuple(r) for r in semantics.tour_selection(df, stops).collect()]
+    for edges, stops in ((make_edges(spark, links + calls), 3), (make_edges(spark, links[:4] + calls), 12)):
+        left, scored = semantics.contenders(nodes, edges, stops), semantics.significance(nodes, edges)
+        assert rows(left, stops) == rows(scored, stops) and set(left.collect()) <= set(scored.collect())
+    assert semantics.contenders(nodes.limit(0), edges).count() == 0
+
+
+def test_only_contenders_are_looked_at_for_entries(spark):
+    # a ties with b by its entry and comes before it; d has one as well but can't come so far. All functions were dealt out.
+    a, b, c, d = (file(f"{x}.ts") for x in "abcd")
+    nodes = make_nodes(spark, [a, b, c, d, fn("a.ts", "f"), fn("a.ts", "g"), fn("d.ts", "f")])
+    edges = make_edges(spark, [
+        *[(x[0], x[0], "imports") for x in (b, b, c, c, a)], (a[0], b[0], "imports"), (c[0], d[0], "imports"), ("file:gone", a[0], "imports"),
+        ("function:a.ts:f", "function:a.ts:g", "calls"), ("function:d.ts:f", "function:a.ts:g", "calls")])
+    left = semantics.contenders(nodes, edges, 2)
+    assert sorted((r.path, r.fan_in + r.fan_out, r.is_entry) for r in left.collect()) == [("a.ts", 4, True), ("b.ts", 5, False), ("c.ts", 5, False)]
+    assert [r.path for r in semantics.tour_selection(left, 2).collect()] == ["a.ts", "b.ts"]
