@@ -115,13 +115,13 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls from customers to orders to parts to suppliers, as (source, target)."""
+    """Calls from customers to orders to parts to suppliers, as (source, target), as often as the tables have them."""
     name = lambda kind, key: F.concat(F.lit(f"{kind}:"), key)
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select(name("customer", "o_custkey").alias("source"), name("order", "o_orderkey").alias("target"))
-    parts = lines.select("l_orderkey", "l_partkey").distinct().select(name("order", "l_orderkey").alias("source"), name("part", "l_partkey").alias("target"))
-    suppliers = lines.select("l_partkey", "l_suppkey").distinct().select(name("part", "l_partkey").alias("source"), name("supplier", "l_suppkey").alias("target"))
-    return orders.distinct().unionByName(parts).unionByName(suppliers)
+    parts = lines.select(name("order", "l_orderkey").alias("source"), name("part", "l_partkey").alias("target"))
+    suppliers = lines.select(name("part", "l_partkey").alias("source"), name("supplier", "l_suppkey").alias("target"))
+    return orders.unionByName(parts).unionByName(suppliers)
 
 
 CHAIN_SQL = """

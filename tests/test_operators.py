@@ -304,6 +304,33 @@ def test_flows_that_are_walked_stand_beside_those_that_are_not(spark):
     assert [(r.root, r.node_id, r.pos) for r in plain] == [(r.root, r.node_id, r.pos) for r in steps]
 
 
+def test_a_flow_is_put_together_before_its_steps_are_rows(spark):
+    # Every step was a row that was made distinct, numbered and joined with its root's path, which dealt all of them out once more.
+    nodes = make_nodes(spark, [fn("a.py", n) for n in "rstxyz"])
+    at = "function:a.py:".__add__
+    calls = [("r", "s"), ("r", "x"), ("s", "t"), ("t", "x"), ("t", "y"), ("s", "z")]
+    steps = semantics.flow_steps(nodes, make_edges(spark, [(at(a), at(b), "calls") for a, b in calls]))
+    walked = steps._jdf.queryExecution().optimizedPlan().toString().split("posexplode")[-1]
+    made, moved, joined = (walked.index(w) for w in ("array_distinct", "RepartitionByExpression", "Join"))
+    assert made < moved < joined and "posexplode(targets" in steps._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.node_id[-1], r.pos) for r in steps.orderBy("pos").collect()] == [("r", 0), ("s", 1), ("t", 2), ("x", 3), ("y", 4), ("z", 5)]
+
+
+@pytest.mark.parametrize("listed, rows, block", [(0, 8, 256), (1_000, 0, 2), (3, 1, 1)])
+def test_flows_too_large_for_a_list_are_put_in_order_row_by_row(spark, monkeypatch, listed, rows, block):
+    rng = random.Random(8)
+    ids = [f"n{i:02d}" for i in range(24)]
+    pairs = {(a, b) for a in ids[::2] for b in ids if b > "n03" and rng.random() < 0.25} | {("n00", "n04"), ("n02", "n05")}
+    nodes = make_nodes(spark, [(i, "function", i, f"{i}.ts", "") for i in ids])
+    edges = make_edges(spark, [(a, b, "calls") for a, b in [*sorted(pairs), ("n00", "n04")]])
+    found = lambda: sorted(tuple(r) for r in semantics.rooted_steps(nodes, edges, named=True).select("root", "path", "node_id", "name", "pos").collect())
+    want = found()
+    assert {(r[0], r[1]) for r in want} == {("n00", "n00.ts"), ("n02", "n02.ts")} and len(want) > 20
+    for name, value in (("LISTED", listed), ("ROWS", rows), ("BLOCK", block)):
+        monkeypatch.setattr(semantics, name, value)
+    assert found() == want
+
+
 def test_names_of_flows_that_ids_do_not_tell(spark):
     # A name that ends its id isn't shuffled beside it; other names and ids without a node are.
     nodes = make_nodes(spark, [fn("a.py", "r"), ("function:a.py:x", "function", "other", "a.py", ""), fn("a.py", "y"), ("function:a.py:z", "function", None, "a.py", "")])
